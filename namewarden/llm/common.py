@@ -8,8 +8,8 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
@@ -49,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
     """The batches in pieces of about ``chars`` bytes of ``column``, one row at least."""
     for batch in batches:
         at, size = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist() if batch.num_rows else []
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if batch.num_rows else []
         for i, n in enumerate(lengths):
             if size and size + n > chars:
                 yield batch.slice(at, i - at)
@@ -79,4 +79,4 @@ def map_texts(df: DataFrame, function: Callable[[list[str]], dict], schema: str,
             columns += [pa.array(new[f.name], type=out.field(f.name).type) for f in made]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return df.select(*keep, F.col(column)).mapInArrow(run, spec)
+    return df.select(*dict.fromkeys((*keep, column))).mapInArrow(run, spec)
