@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from namewarden.llm import bpe, secrets, simhash, tokens
-from namewarden.llm.common import read
+from namewarden.llm import bpe, fingerprints, mixing, secrets, simhash, tokens
+from namewarden.llm.common import cut, read
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.half_edited(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +34,21 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    sized = cut(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_mixing": op8_mixing,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
