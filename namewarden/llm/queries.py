@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from namewarden.llm import bpe, fingerprints, mixing, permutation_index, secrets, simhash, tokens
+from namewarden.llm import bpe, fingerprints, katz, mixing, permutation_index, secrets, simhash, tokens
 from namewarden.llm.common import cut, read
 
 
@@ -30,6 +30,10 @@ def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op5_permutation_index": op5_permutation_index,
+    "op6_katz_backoff": op6_katz_backoff,
     "op9_token_counts": op9_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
