@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from namewarden.llm import bpe, fingerprints, katz, mixing, permutation_index, secrets, simhash, tokens
+from namewarden.llm import bpe, fingerprints, katz, language, mixing, permutation_index, secrets, simhash, tokens
 from namewarden.llm.common import cut, read
 
 
@@ -25,6 +25,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("row_key")
+
+
 def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return permutation_index.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_permutation_index": op5_permutation_index,
     "op6_katz_backoff": op6_katz_backoff,
     "op9_token_counts": op9_token_counts,
