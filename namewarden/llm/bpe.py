@@ -139,6 +139,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple = ("doc_id",
     return encoded.select(*keep, ids_col).mapInPandas(run, spec)
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, keep: tuple = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``keep``, ids, n_tokens and n_bytes, and whole: the decoded ids are the text's bytes."""
+
+    def run(texts: list[str]) -> dict:
+        bpe = ByteBpe.load(path, pattern)
+        ids = bpe.encode_batch(texts)
+        decoded = [bpe.decode(i) for i in ids]
+        return {"ids": ids, "n_tokens": [len(i) for i in ids], "n_bytes": [len(d) for d in decoded], "whole": [d == t.encode() for d, t in zip(decoded, texts)]}
+
+    return map_texts(docs, run, "ids array<int>, n_tokens long, n_bytes long, whole boolean", text_col, keep)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded and its ids decoded again."""
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
@@ -39,6 +40,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="namewarden-"))
 
 
+#: Rows of a checkpointed table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of few columns, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: its lineage is cut and executors may be lost."""
     ensure_checkpoints(df.sparkSession)

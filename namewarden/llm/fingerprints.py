@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut
+from namewarden.llm.common import cut, small
 
 #: Words of a shingle; the fraction of hashes kept is 1 / SCALE; least hashes kept.
 SHINGLE, SCALE, FLOOR = 5, 8, 32
@@ -22,8 +22,6 @@ SPACE = " \t\n\x0b\f\r"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: A window of the order by id spans 2**SPAN ids at most; upper levels span 2**20 windows each.
 SPAN, UPPER = 10, 20
-#: (bucket, id) rows that may be broadcast to find the first texts of the buckets; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -97,8 +95,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     docs = docs.withColumn("bucket", F.coalesce(F.shiftright("id", SPAN), F.lit(LEAST >> SPAN)))
     heads = cut(docs.groupBy("bucket").agg(F.min("id").alias("id")))
-    heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
-    firsts = docs.alias("d").join(heads.alias("h"), (F.col("d.bucket") == F.col("h.bucket")) & F.col("d.id").eqNullSafe(F.col("h.id")))
+    firsts = docs.alias("d").join(small(heads).alias("h"), (F.col("d.bucket") == F.col("h.bucket")) & F.col("d.id").eqNullSafe(F.col("h.id")))
     firsts = cut(firsts.select("d.bucket", "d.text").groupBy("bucket").agg(F.min("text").alias("text")))
     after = _next_windows(firsts, 64 - SPAN).select("bucket", F.col("next.text").alias("after"))
     lead = F.lead("text").over(Window.partitionBy("bucket").orderBy("id", "text"))

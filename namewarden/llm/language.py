@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts
+from namewarden.llm.common import cut, map_texts, small
 
 #: Rows sampled to fit on (about; by least hashes) and rows that a language needs in the sample, as a share.
 SAMPLE, RARE = 12_000, 0.002
@@ -157,3 +157,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     name = lambda i: F.get(F.array(*map(F.lit, names)), i)
     lang = name((F.array_position("joint", F.array_max("joint")) - 1).cast("int"))
     return df.select(F.col("id").alias(id_col), "row_key", lang.alias("lang"), "probability", name(F.col("best")).alias("text_lang"), "declared", (F.col("fits") & (F.col("probability") >= least)).alias("kept"))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` keeps, with their columns as they are."""
+    found = identify(docs, id_col, text_col, declared_col, host_col, least)
+    rejected = small(cut(found.filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()))
+    key = F.xxhash64(docs[text_col], docs[declared_col].cast("string"), docs[host_col].cast("string"))
+    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import WORD
+from namewarden.llm.common import WORD, cut, small
 
 #: Weights by rank, most times that a document is taken, words of a block, documents wanted in a shard, seed.
 WEIGHTS, CAP, BLOCK, SHARD_DOCS, SEED = (1, 2, 3), 3, 16, 4096, 42
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """
     columns = docs.columns
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
-    of = targets(sized, weights, cap)
+    of = cut(targets(sized, weights, cap))
     key = order_key(F.col(id_col), seed)
     same = lambda a, b: a.eqNullSafe(b)
 
@@ -89,9 +89,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
     of = of.withColumn("__shards", F.ceil(F.col("n_docs") / shard_docs))
     shards = of.select(F.col("source").alias("__source"), "rank", "__shards", "source_size", "target")
+    shards = small(cut(shards))
     cells = sized.join(shards, same(F.col("source"), F.col("__source")))
     cells = cells.withColumn("shard", shard(F.col("__shards"), order_key(F.col("__id"), seed)))
-    cells = cells.groupBy("rank", "shard").agg(F.sum("size").alias("cell"))
+    cells = cut(cells.groupBy("rank", "shard").agg(F.sum("size").alias("cell")))
 
     whole = Window.partitionBy(F.lit(0))
     all_targets = F.sum("target").over(whole)
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     cells = cells.join(quotas, "rank")
     per_shard = apportion(cells, ["rank"], "shard", "cell", F.col("quota"), F.sum("cell").over(Window.partitionBy("rank")))
     quotas = cells.drop("quota").join(per_shard, ["rank", "shard"])
-    quotas = quotas.select("rank", "shard", "cell", F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))
+    quotas = small(cut(quotas.select("rank", "shard", "cell", F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))))
 
     df = docs.join(shards, same(docs[source_col], F.col("__source")))
     df = df.withColumn("__key", key).withColumn("shard", shard(F.col("__shards"), F.col("__key")))
@@ -112,6 +113,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     return df.select(*columns, "source_size", "target", F.col("shard").cast("long").alias("shard"), taken.cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The mix in whole documents, with the columns of ``docs``: each row as often as its words are taken, rounded.
+
+    A row without words isn't taken.
+    """
+    mixed = mix(docs.withColumn("__size", words(F.col(text_col))), id_col, source_col, "__size")
+    times = F.when(F.col("__size") > 0, F.expr("(2 * taken + __size) div (2 * __size)")).otherwise(0)
+    return mixed.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*docs.columns)
+
+
 #: op8 in DuckDB SQL.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

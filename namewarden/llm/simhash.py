@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts
+from namewarden.llm.common import cut, map_texts, small
 from namewarden.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -208,3 +208,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their number. An empty table gives no rows. Other columns are ignored.
     """
     return classes(cut(fingerprints(docs, id_col, text_col, shingle, seed)), id_col, radius)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, that of the least id; its columns as they are.
+
+    Rows that share the least id: the one of the least hash of all columns; of
+    equal rows one stays. Null ids come last.
+    """
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    found = cut(near_duplicates(docs.select(key.alias("__key"), text_col), "__key", text_col))
+    gone = small(cut(found.filter("__key <> component_id").select("__key").distinct()))
+    left = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
+    kept = found.filter("__key = component_id")
+    repeats = kept.groupBy("__key").count().filter("count > 1").limit(1).count()
+    return (left.dropDuplicates(["__key"]) if repeats else left).select(*docs.columns)
