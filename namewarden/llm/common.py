@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches are cut into slices of about so many characters of text.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -32,6 +34,19 @@ def process_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def trim() -> None:
+    """Gives a task's freed memory back to the system, where the C library can; an idle worker then stays small."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver forget what was cut, so that Spark's cleaner removes shuffle files that nothing reads any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says; a local folder only serves sessions that name none."""
     sc = spark.sparkContext
@@ -88,5 +103,6 @@ def map_texts(df: DataFrame, function: Callable[[list[str]], dict], schema: str,
             columns = [a.cast(f.type) for a, f in zip(columns, out)]
             columns += [pa.array(new[f.name], type=out.field(f.name).type) for f in made]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
+        trim()
 
     return df.select(*dict.fromkeys((*keep, column))).mapInArrow(run, spec)
