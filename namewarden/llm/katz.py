@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut
+from namewarden.llm.common import cut, release, trim
 
 #: Bytes of text of a block; keys of a part; counts up to CUTOFF are discounted; HOT: see above.
-BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 16_000_000, 1_000_000, 5, 1000
+BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 28_000_000, 1_000_000, 5, 1000
 #: Documents whose crc32(id as text) mod FOLDS is 0 are held out.
 FOLDS = 10
 #: Of the base score.
@@ -49,7 +49,7 @@ def pack(**arrays) -> bytes:
         if a.dtype.kind in "iu" and a.ndim == 1 and len(a) and a.dtype == np.int64:
             a = a.astype(np.min_scalar_type(int(a.max())) if a.min() >= 0 else np.int64)
         out[k] = (a.dtype.str, a.shape, a.reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -147,6 +147,11 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
             flat = np.concatenate(tokens)
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
             train = np.array([not held_out(i) for i in ids], bool)
+            order = np.argsort(-np.bincount(flat, minlength=len(words))[1:], kind="stable") + 1  # frequent words get small numbers, but 0 stays the boundary
+            order = np.concatenate([[0], order])
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
+            words, flat = words[order], number[flat]
             data = pack(ids=np.array([0 if i is None else i for i in ids], np.int64), null=np.array([i is None for i in ids], bool), lens=np.array(lens, np.int64), train=train, words=words, tokens=flat)
             made = pa.RecordBatch.from_pydict({"block": [TaskContext.get().partitionId() << 24 | seq], "kind": [BLOCK], "part": [0], "data": [data], "words": [len(words)], "tokens": [len(flat)]}, schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())]))
             seq, vocab, ids, lens, tokens, size = seq + 1, None, [], [], [], 0
@@ -167,6 +172,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
                     yield close()
         if ids:
             yield close()
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ROWS + ", words long, tokens long")
 
@@ -223,14 +229,14 @@ def _read_block(f: pd.DataFrame, word_parts: int) -> tuple[dict, np.ndarray]:
 
 
 def _pairs(b: dict, counts: np.ndarray, parts: int, hot_over: float):
-    """The block's distinct pairs by part and context, as (context, next, part), and each token's pair."""
+    """The block's distinct pairs by part, context and next word's hash, as (context, next, part), and each token's pair."""
     x = b["tokens"].astype(np.int64)
     n = len(b["words"])
     codes, which = np.unique(np.concatenate([[0], x[:-1]]) * n + x, return_inverse=True)
     u, v = codes // n, codes % n
     words = b["words"]
     part = np.where(counts[u] > hot_over, words[v] >> np.uint64(20), words[u] >> np.uint64(20)) % np.uint64(parts)
-    order = np.lexsort((v, u, part))
+    order = np.lexsort((words[v] & np.uint64((1 << 48) - 1), u, part))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     return u[order], v[order], part[order].astype(np.int64), back[which]
@@ -251,7 +257,7 @@ def _pair_requests(grouped, word_parts: int, parts: int, hot_over: float) -> Dat
             s = slice(at[p], at[p + 1])
             if at[p] < at[p + 1]:
                 start = _runs(u[s])
-                six = b["words"][v[s]].view(np.uint8).reshape(-1, 8)[:, :6]  # a word after a context: 48 bits
+                six = b["words"][v[s]].view(np.uint8).reshape(-1, 8)[:, :6].T  # a word after a context: 48 bits, by planes
                 rows.append((key[0], PAIRS, p, pack(context=b["words"][u[s][start]], run=np.diff([*start, at[p + 1] - at[p]]), next=six, own=own[s], count=counts[v[s]], seen=counts[u[s][start]])))
         return pd.DataFrame(rows, columns=["block", "kind", "part", "data"])
 
@@ -268,7 +274,7 @@ def _pair_table(requests: DataFrame, unigrams: Unigrams, cutoff: int, hot_over:
         run_of = np.concatenate([a["run"] for a in asked]).astype(np.int64)
         of_pair = np.repeat(of, run_of)
         six = np.zeros((len(of_pair), 8), np.uint8)
-        six[:, :6] = np.concatenate([a["next"] for a in asked])
+        six[:, :6] = np.concatenate([a["next"] for a in asked], axis=1).T
         pairs, first, at = np.unique(_mix(contexts[of_pair], six.view(np.uint64).ravel()), return_index=True, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, at, np.concatenate([a["own"] for a in asked]).astype(np.int64))
@@ -347,12 +353,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     sums = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     word_parts = max(1, -(-sums.words // part_keys))
     words = cut(_word_table(_word_requests(blocks, word_parts), cutoff))
+    release(docs.sparkSession)
     totals = _totals(words)
     n = sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64))
     tokens, n_words = (int(sum(int(t["total"][i]) for t in totals)) for i in (0, 1))
     unigrams, hot_over = Unigrams(n, tokens, cutoff), tokens / HOT
     parts = max(1, -(-sums.tokens // (2 * part_keys)))
     pairs = cut(_pair_table(_pair_requests(_gather(blocks, words), word_parts, parts, hot_over), unigrams, cutoff, hot_over))
+    release(docs.sparkSession)
     totals = _totals(pairs)
     factor = discounts(sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64)), cutoff)
     hot: dict[int, list] = {}
