@@ -1,15 +1,583 @@
-"""The queries of the name-confusion operators and their DuckDB SQL."""
+"""The queries of the name-confusion operators over the test tables, and their DuckDB SQL.
+
+Part names stand for package names, summed quantities for downloads, brands for
+groups, page addresses for paths, embeddings' ids for names with vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewarden.config import TRUSTED_NAMESPACES
+from namewarden.functions import names as N
+from namewarden.functions import similarity as S
+from namewarden.operators import benignity as B
+from namewarden.operators import catalog as K
+from namewarden.operators import evaluate as E
+from namewarden.operators import learned, releases, vectors
+from namewarden.operators import neighbors as J
+from namewarden.operators import popular as P
+from namewarden.plans import detect as D
+from namewarden.sources import readers
+from namewarden.streaming import arrivals
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LEAST_POPULAR = 800.0
+COMMANDS = ("install", "test", "run", "small ring", "red bolt", "red belt", "hot gear", "old golt")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package_name, popularity): quantities sold of each part name."""
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
+    return table(spark, sf_dir, "part").join(sold, "p_partkey").groupBy(F.col("p_name").alias("package_name")).agg(F.sum("q").alias("popularity"))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).filter(F.col("popularity") >= LEAST_POPULAR)
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ordered pairs of distinct part names, a fixed vocabulary of a few dozen names."""
+    one = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    return one.join(F.broadcast(one.withColumnRenamed("a", "b")), F.col("a") != F.col("b"))
+
+
+def six_digits(*columns: str) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+PARTS = "parts AS (SELECT p_name AS package_name, sum(q) AS popularity FROM part JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1), listed AS (SELECT * FROM parts WHERE popularity >= 800)"
+PAIRS = "n AS (SELECT DISTINCT p_name AS a FROM part), pairs AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a <> y.a)"
+
+
+# popular lists
+
+
+@query("SELECT p_name || '#' || p_partkey AS package_name, q AS popularity FROM part JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE q >= 800")
+def popular_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("popularity"))
+    rows = table(spark, sf_dir, "part").join(sold, F.col("l_partkey") == F.col("p_partkey")).withColumn("package_name", F.concat_ws("#", "p_name", "p_partkey"))
+    return P.popular(rows, "npm", threshold=LEAST_POPULAR)
+
+
+@query("SELECT p_name || '#' || p_partkey AS package_name, q AS popularity FROM part JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey ORDER BY 2 DESC, 1 LIMIT 100")
+def popular_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("popularity"))
+    rows = table(spark, sf_dir, "part").join(sold, F.col("l_partkey") == F.col("p_partkey")).withColumn("package_name", F.concat_ws("#", "p_name", "p_partkey"))
+    return P.popular(rows, "npm", top=100)
 
 
+@query("SELECT s_name AS package_name, s_acctbal AS popularity FROM supplier WHERE s_acctbal <= 5000 ORDER BY 2, 1")
+def popular_rank_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("package_name"), F.col("s_acctbal").alias("popularity"))
+    return P.popular(rows, "maven", threshold=5000)
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE s_acctbal <= 5000) AS n_popular FROM supplier")
+def popular_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_acctbal") <= 5000).alias("n_popular"))
+
+
+@query(f"WITH {PARTS} SELECT DISTINCT p_type AS package_name, 9999999.0::DOUBLE AS popularity FROM part WHERE p_type NOT IN (SELECT package_name FROM listed) UNION ALL SELECT * FROM listed")
+def merge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.with_targets(listed(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_type").alias("package_name")), "npm")
+
+
+@query(f"WITH {PARTS} SELECT * FROM listed WHERE package_name NOT IN (SELECT p_name FROM part WHERE p_size = 1)")
+def remove_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.without(listed(spark, sf_dir), table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_name").alias("package_name")))
+
+
+@query("WITH s AS (SELECT s_name AS package_name, s_acctbal AS popularity FROM supplier) SELECT q.package_name AS query, p.package_name, p.popularity FROM s q JOIN s p ON q.popularity < 10000 AND p.popularity >= 10 * q.popularity")
+def popular_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("package_name"), F.col("s_acctbal").alias("popularity"))
+    return P.narrowed(rows.select("package_name"), rows, "npm")
+
+
+# neighbours
+
+
+FLAT = """SELECT query, package_name, edits, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY edits, package_name) AS place FROM (
+    SELECT q.package_name AS query, p.package_name, levenshtein(lower(q.package_name), lower(p.package_name)) AS edits FROM parts q JOIN {popular} p ON lower(q.package_name) <> lower(p.package_name))
+  WHERE edits < 3 AND edits < 2 * length(query) // 3) WHERE place <= 10"""
+
+
+@query(f"WITH {PARTS} {FLAT.format(popular='listed')}")
 def neighbors_flat_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_name").alias("package_name"))
+    found = J.flat(parts(spark, sf_dir), listed(spark, sf_dir), vector_over=None)
+    return found.select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {PARTS} {FLAT.format(popular='(SELECT * FROM listed ORDER BY popularity DESC, package_name LIMIT 20)')}")
+def neighbors_flat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.flat(parts(spark, sf_dir), P.popular(listed(spark, sf_dir), "npm", top=20), vector_over=None)
+    return found.select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH v AS (SELECT 'vector-' || vec_id AS package_name, embedding::DOUBLE[] AS e, label FROM embeddings),
+x AS (SELECT q.package_name AS query, p.package_name, levenshtein(q.package_name, p.package_name) AS edits, list_cosine_similarity(q.e, p.e) AS s FROM v q JOIN v p ON q.package_name <> p.package_name AND p.label = 0),
+y AS (SELECT * FROM x WHERE (s > 0.4 OR edits < 3) AND edits < 2 * length(query) // 3)
+SELECT query, package_name, edits, round(s, 6) AS vector_similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY edits < 3 DESC, CASE WHEN edits < 3 THEN edits END NULLS LAST, s DESC NULLS LAST, package_name) AS place FROM y) WHERE place <= 10""")
+def neighbors_flat_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("vector-"), "vec_id").alias("package_name"), "embedding", "label")
+    found = J.flat(rows, rows.filter("label = 0"), vector_over=0.4)
+    return found.select("query", "package_name", F.col("edits").cast("long").alias("edits"), *six_digits("vector_similarity"), F.col("place").cast("long").alias("place"))
+
+
+TWO = """SELECT query, package_name, edits, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY edits, package_name) AS place FROM (
+SELECT q.n AS query, p.n AS package_name, levenshtein(lower(split_part(q.n, '{d}', {o})), lower(split_part(p.n, '{d}', {o}))) AS edits, q.n AS qn FROM g q JOIN g p
+ON lower(split_part(q.n, '{d}', {s})) = lower(split_part(p.n, '{d}', {s})) AND lower(split_part(q.n, '{d}', {o})) <> lower(split_part(p.n, '{d}', {o})) AND q.n <> p.n)
+WHERE {keep})"""
+
+
+@query("WITH g AS (SELECT DISTINCT p_brand || ':' || p_name AS n FROM part) " + TWO.format(d=":", s=2, o=1, keep="edits < 4 AND edits < 2 * length(split_part(qn, ':', 1)) // 3"))
+def neighbors_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.concat_ws(":", "p_brand", "p_name").alias("package_name")).distinct()
+    return J.by_group(rows, rows, "maven").select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
+
+
+PATH = "regexp_extract(url, '^https?://([^?#]*)', 1)"
+
+
+@query("WITH g AS (SELECT DISTINCT 'example/' || regexp_extract(url, '([a-z]+)[.]example', 1) || '/' || regexp_extract(url, '/([a-z]+)/[0-9]', 1) AS n FROM pages) " + TWO.format(d="/", s=3, o=2, keep="edits < 4"))
+def neighbors_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.lit("example"), F.regexp_extract("url", "([a-z]+)[.]example", 1), F.regexp_extract("url", "/([a-z]+)/[0-9]", 1)).alias("package_name")).distinct()
+    return J.by_group(rows, rows, "golang").select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
+
+
+@query("WITH g AS (SELECT DISTINCT lower(p_brand) || '/' || replace(p_name, ' ', '-') AS n FROM part) " + TWO.format(d="/", s=2, o=1, keep="edits < 4 AND edits < 2 * length(split_part(qn, '/', 1)) // 3"))
+def neighbors_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", F.lower("p_brand"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("package_name")).distinct()
+    return J.by_group(rows, rows, "hf").select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT * FROM (VALUES (0,'install'),(1,'test'),(2,'run'),(3,'small ring'),(4,'red bolt'),(5,'red belt'),(6,'hot gear'),(7,'old golt')) t(i, c))
+SELECT p_name AS query, min_by(c, i) AS command FROM (SELECT DISTINCT p_name FROM part) JOIN c ON levenshtein(lower(p_name), lower(c)) < 2 GROUP BY 1""")
+def command_squat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name")).distinct()
+    return J.commands(rows, COMMANDS, "lev")
+
+
+@query()
+def fullscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts(spark, sf_dir)
+    return D.full_scan(rows, P.popular(rows, "npm", top=20), "npm")
+
+
+# words, names and namespaces
+
+
+@query("SELECT DISTINCT url, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(url), '[-_ .~@/:]+', ' ', 'g'), '([0-9]+)', '\\1 ', 'g'), '\\s+'), lambda x: x <> ''), '|') AS words FROM pages")
+def tokenise_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("url", F.array_join(N.tokens_served(F.col("url")), "|").alias("words")).distinct()
+
+
+@query("SELECT DISTINCT url, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(url), '[-_ .~@/:]+', ' ', 'g'), '([0-9]+)', ' \\1 ', 'g'), '\\s+'), lambda x: x <> ''), '|') AS words FROM pages")
+def tokenise_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("url", F.array_join(N.tokens_trained(F.col("url")), "|").alias("words")).distinct()
+
+
+@query("SELECT DISTINCT c_name, lower(regexp_replace(c_name, '[-_.]+', '-', 'g')) AS normal, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS clean FROM customer")
+def pypi_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_name", N.pypi_normal(F.col("c_name")).alias("normal"), N.cleaned(F.col("c_name")).alias("clean")).distinct()
+
+
+@query(f"""WITH g AS (SELECT DISTINCT {PATH} AS n FROM pages) SELECT n, split_part(n, '/', 1) AS space, split_part(n, '/', 1) AS domain, split_part(n, '/', 2) AS package, array_to_string(string_split(n, '/')[3:], '/') AS rest FROM g""")
+def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("n")).distinct()
+    golang = F.lit("golang")
+    x = g.select("n", N.namespace(F.col("n"), golang).alias("space"), N.name_parts(F.col("n"), golang).alias("x"))
+    return x.select("n", "space", F.col("x.domain").alias("domain"), F.col("x.package").alias("package"), F.coalesce("x.rest", F.lit("")).alias("rest"))
+
+
+@query("""WITH h AS (SELECT DISTINCT split_part(regexp_extract(url, '^https?://([^/?#]*)', 1), '.', 1) AS a FROM pages)
+SELECT x.a, y.a AS b, CASE WHEN x.a IN ('angular','angular-devkit','azure','babel','google','google-cloud','microsoft','nestjs','oxc-parser','oxc-resolver','react','typescript','vue','nolyfill','types') OR y.a IN ('angular','angular-devkit','azure','babel','google','google-cloud','microsoft','nestjs','oxc-parser','oxc-resolver','react','typescript','vue','nolyfill','types') THEN false ELSE levenshtein(x.a, y.a) < 3 END AS suspicious FROM h x JOIN h y ON x.a < y.a""")
+def namespace_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "pages").select(F.split_part(F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.lit("."), F.lit(1)).alias("a")).distinct()
+    trusted = F.array(*map(F.lit, TRUSTED_NAMESPACES["npm"]))
+    pairs = h.join(h.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", S.suspicious_namespace(F.col("a"), F.col("b"), trusted, "lev").alias("suspicious"))
+
+
+@query("SELECT DISTINCT p_brand AS space, p_name AS name, p_brand || '/' || p_name AS npm, p_brand || ':' || p_name AS maven, 'pkg:npm/' || p_brand || '/' || p_name AS purl, 'ruby' AS registry FROM part")
+def full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space, name = F.col("p_brand"), F.col("p_name")
+    made = lambda r: N.full_name(F.lit(r), space, name).alias(r)
+    return table(spark, sf_dir, "part").select(space.alias("space"), name.alias("name"), made("npm"), made("maven"), N.purl(F.lit("npm"), space, name).alias("purl"), N.registry_of(F.lit(" GEM")).alias("registry")).distinct()
+
+
+# similarities
+
+
+@query(f"""WITH {PAIRS}, d AS (SELECT *, levenshtein(a, b) AS d, greatest(length(a), length(b)) AS m FROM pairs)
+SELECT a, b, d AS edits, round(CASE WHEN d < 3 THEN 1.0 ELSE 1 - d / m END, 6) AS edit, round(1 - d / m, 6) AS ratio FROM d""")
+def sim_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    df = name_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").cast("long").alias("edits"), S.edit_similarity(a, b, "lev").alias("edit"), S.edit_ratio(a, b, "lev").alias("ratio"))
+    return df.select("a", "b", "edits", *six_digits("edit", "ratio"))
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT a, substr(lower(a), i, 2) AS g, count(*) AS c FROM n, unnest(range(1, 40)) r(i) WHERE i < length(a) GROUP BY ALL),
+s AS (SELECT a, sum(c) AS t FROM g GROUP BY a), b AS (SELECT p.a, p.b, sum(CASE WHEN y.c IS NULL THEN 0 ELSE least(x.c, y.c) END) AS o FROM pairs p LEFT JOIN g x ON x.a = p.a LEFT JOIN g y ON y.a = p.b AND y.g = x.g GROUP BY ALL)
+SELECT b.a, b.b, round(o / (x.t + y.t - o), 6) AS bigram FROM b JOIN s x ON x.a = b.a JOIN s y ON y.a = b.b""")
+def sim_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(S.bigram_similarity(F.col("a"), F.col("b")), 6).alias("bigram"))
+
+
+LOOKALIKE = " OR ".join(f"({x} LIKE '%{o}%' AND replace({x}, '{o}', '{n}') = {y})" for o, n in (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "b"), ("7", "t"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("i", "l"), ("l", "i")) for x, y in (("a", "b"), ("b", "a")))
+
+
+@query(f"""WITH {PAIRS} SELECT a, b, round(CASE WHEN {LOOKALIKE} THEN 1.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN 1 - (length(a) - length(b)) / 100
+WHEN length(a) = length(b) THEN 1 - hamming(a, b) / 100 ELSE 0 END, 6) AS lookalike FROM pairs""")
+def sim_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(S.lookalike_similarity(F.col("a"), F.col("b")), 6).alias("lookalike"))
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT *, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM pairs)
+SELECT a, b, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS jaccard FROM t""")
+def sim_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(S.token_jaccard(N.tokens_trained(F.col("a")), N.tokens_trained(F.col("b"))), 6).alias("jaccard"))
+
+
+@query()
+def sim_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = S.six(F.col("a"), F.col("b"))
+    df = name_pairs(spark, sf_dir).withColumns(measures)
+    return df.withColumn("overall", S.greatest_number(*(F.col(c).cast("double") for c in measures)))
+
+
+VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), vp AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s, x.label = y.label AS same FROM v x JOIN v y ON y.vec_id % 50 = x.vec_id % 50 AND x.vec_id < y.vec_id)"
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (a, b) of vectors in one of 50 groups by id, their cosine and whether they share a label."""
+    v = table(spark, sf_dir, "embeddings").withColumn("g", F.col("vec_id") % 50)
+    x = v.select("g", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"))
+    y = v.select("g", F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb"))
+    return x.join(y, "g").filter("a < b").select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("s"), (F.col("la") == F.col("lb")).alias("same"))
+
+
+@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
+def sim_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = vector_pairs(spark, sf_dir)
+    d = F.levenshtein(F.col("a").cast("string"), F.col("b").cast("string")) / 10
+    return df.select("a", "b", F.round("s", 6).alias("cosine"), F.round(S.hybrid(d, F.col("s")), 6).alias("hybrid"), F.round(S.tanh_hybrid((F.col("s"), 0.4), (F.abs("s"), 0.6)), 6).alias("tanh"))
+
+
+# benignity
+
+
+@query("""WITH f AS (SELECT o_orderkey AS k, k % 2 = 0 AS adv, k % 3 = 0 AS sus, k % 5 = 0 AS nr, k % 7 < 3 AS comp, k % 11 < 4 AS act, k % 13 = 0 AS obv, k % 17 = 0 AS fork, k % 19 = 0 AS test, k % 23 = 0 AS dist, k % 29 = 0 AS known, k % 31 = 0 AS ov, k % 37 = 0 AS rel FROM orders),
+s AS (SELECT k, CASE WHEN adv THEN 8 ELSE 0 END + CASE WHEN sus AND NOT nr THEN 10 WHEN nr THEN 3 ELSE 0 END + CASE WHEN NOT comp THEN 2 ELSE 0 END - CASE WHEN act THEN 1 ELSE 0 END - CASE WHEN obv THEN 18 ELSE 0 END - CASE WHEN fork THEN 2 ELSE 0 END
+- CASE WHEN test THEN 5 ELSE 0 END - CASE WHEN dist THEN 18 ELSE 0 END - CASE WHEN known AND NOT sus THEN 18 ELSE 0 END - CASE WHEN ov THEN 18 ELSE 0 END - CASE WHEN rel THEN 18 ELSE 0 END AS p FROM f)
+SELECT k AS o_orderkey, greatest(0, least(10, p))::INTEGER AS risk_score, CASE WHEN greatest(0, least(10, p)) < 5 THEN 'Low' WHEN greatest(0, least(10, p)) < 8 THEN 'Medium' ELSE 'High' END AS risk_level, greatest(0, least(10, p)) < 5 AS is_false_positive FROM s""")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    flags = (k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 < 3, k % 11 < 4, k % 13 == 0, k % 17 == 0, k % 19 == 0, k % 23 == 0, k % 29 == 0, k % 31 == 0, k % 37 == 0)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", B.risk_score(*flags).alias("risk_score"))
+    return df.withColumns({"risk_level": B.risk_level(F.col("risk_score")), "is_false_positive": B.is_benign(F.col("risk_score"))})
+
+
+@query("""WITH s AS (SELECT l_partkey AS k, list_sort(list(DISTINCT l_suppkey)) AS people FROM lineitem GROUP BY 1)
+SELECT x.k AS part, len(list_intersect(x.people, y.people)) AS shared, CASE WHEN len(y.people) > 3 THEN len(list_intersect(x.people, y.people)) >= 2 OR len(list_intersect(x.people, y.people)) / len(y.people) > 0.5 ELSE len(list_intersect(x.people, y.people)) >= 1 END AS overlap FROM s x JOIN s y ON y.k = x.k + 1""")
+def overlap_maintainers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.collect_set("l_suppkey").alias("people"))
+    t = s.select((F.col("part") - 1).alias("part"), F.col("people").alias("target"))
+    return s.join(t, "part").select("part", F.size(F.array_intersect("people", "target")).cast("long").alias("shared"), B.overlapping(F.col("people"), F.col("target")).alias("overlap"))
+
+
+@query("""SELECT event_id, floor((epoch(TIMESTAMP '2025-01-10') - floor(epoch(ts))) / 86400) <= 365 AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 5 AS active FROM events""")
+def active_development(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = F.get_json_object("props", "$.k").cast("int")
+    pushed = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return table(spark, sf_dir, "events").select("event_id", B.active(pushed, versions, F.lit("2025-01-10").cast("timestamp")).alias("active"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 > 0.8 THEN event_type <> 'error' ELSE true END AS benign FROM events")
+def command_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", B.command_verdict(F.col("value") / 100, F.col("event_type") != "error").alias("benign"))
+
+
+@query("""WITH m AS (SELECT l_partkey AS package_id, list_sort(list(DISTINCT s_name)) AS u FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R' GROUP BY 1)
+SELECT p_partkey AS package_id, coalesce(array_to_string(u, '|'), '') AS users FROM part LEFT JOIN m ON package_id = p_partkey""")
+def maintainers_left_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    people = people.select(F.col("l_partkey").alias("package_id"), F.col("s_name").alias("user"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("removed_at"))
+    packages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("package_id"))
+    return K.active_maintainers(packages, people).select("package_id", F.array_join("users", "|").alias("users"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.doc, b.doc) AS doc FROM (SELECT o_custkey AS k, max(nullif(o_orderpriority, '5-LOW')) AS doc FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, c_mktsegment AS doc FROM customer) b ON a.k = b.k")
+def doc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max(F.nullif("o_orderpriority", F.lit("5-LOW"))).alias("doc"))
+    return K.first_filled(a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("doc")), "k", "doc")
+
+
+# evaluation
+
+
+RATIOS = "coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r"
+FULL = "tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, round(coalesce(fp / nullif(tn + fp, 0), 0), 6) AS fpr, round(coalesce(fn / nullif(tp + fn, 0), 0), 6) AS fnr"
+COUNTS = "count(*) FILTER (WHERE t AND h) AS tp, count(*) FILTER (WHERE NOT t AND h) AS fp, count(*) FILTER (WHERE NOT t AND NOT h) AS tn, count(*) FILTER (WHERE t AND NOT h) AS fn"
+RATES = ("precision", "recall", "f1", "accuracy", "specificity", "fpr", "fnr")
+CELLS = ("tp", "fp", "tn", "fn")
+
+
+@query(f"WITH c AS (SELECT {COUNTS} FROM (SELECT toxic = 1 AS t, quality = 0 AS h FROM labels)), d AS (SELECT *, {RATIOS} FROM c) SELECT {FULL} FROM d")
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("t"), (F.col("quality") == 0).alias("h"))
+    return E.confusion(df, "t", "h").select(*CELLS, *six_digits(*RATES))
+
+
+@query(f"WITH x AS (SELECT lang, toxic = 1 AS t, quality = 0 AS h FROM labels JOIN documents USING (doc_id)), c AS (SELECT coalesce(lang, 'all') AS lang, {COUNTS} FROM x GROUP BY GROUPING SETS ((lang), ())), d AS (SELECT *, {RATIOS} FROM c) SELECT lang, {FULL} FROM d")
+def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    df = df.select("lang", (F.col("toxic") == 1).alias("t"), (F.col("quality") == 0).alias("h"))
+    return E.confusion(df, "t", "h", ["lang"], overall=True).select(F.coalesce("lang", F.lit("all")).alias("lang"), *CELLS, *six_digits(*RATES))
+
+
+@query("SELECT trim(x) AS category, count(*) AS n FROM (SELECT unnest(string_split(p_type || ', ' || p_brand, ',')) AS x FROM part) GROUP BY 1")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.category_counts(table(spark, sf_dir, "part").select(F.concat_ws(", ", "p_type", "p_brand").alias("x")), "x")
+
+
+LABEL = "CASE o_orderkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN '' WHEN 3 THEN 'Unknown' END"
+
+
+@query(f"SELECT *, round(100.0 * yes / (yes + no), 6) AS yes_percent FROM (SELECT count(*) FILTER (WHERE l = 'yes') AS yes, count(*) FILTER (WHERE l = 'no') AS no, count(*) FILTER (WHERE coalesce(l, '') = '') AS missing, count(*) FILTER (WHERE l LIKE '%unk%') AS unknown FROM (SELECT lower({LABEL}) AS l FROM orders))")
+def label_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select(F.expr(LABEL).alias("l"))
+    return E.label_tally(df, "l").select("yes", "no", "missing", "unknown", *six_digits("yes_percent"))
+
+
+@query(f"SELECT CASE WHEN lower({LABEL}) = 'yes' THEN 'benign' ELSE 'stealthy' END AS category, count(*) AS n FROM orders WHERE lower({LABEL}) IN ('yes', 'no') GROUP BY 1")
+def label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select(E.label_category(F.expr(LABEL)).alias("category"))
+    return df.filter("category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'benign' WHEN 'click' THEN 'stealthy' ELSE 'active' END AS category, CASE WHEN event_type = 'error' THEN 'TP (Missing Metadata)' WHEN value > 50 THEN 'TP' ELSE 'FP' END AS status FROM events")
+def threat_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threat = F.when(F.col("event_type") == "view", "false_positive").when(F.col("event_type") == "click", "typosquat").otherwise(F.col("event_type"))
+    found = F.when(F.col("value") > 50, F.array("event_type")).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "events").select("event_id", E.threat_category(threat).alias("category"), E.detection_status(F.col("event_type") == "error", found).alias("status"))
+
+
+@query("SELECT * FROM (SELECT 'big' AS flag, count(*) FILTER (WHERE p_size > 25) AS n FROM part UNION ALL SELECT 'dear', count(*) FILTER (WHERE p_retailprice > 950) FROM part UNION ALL SELECT 'economy', count(*) FILTER (WHERE p_type = 'ECONOMY') FROM part)")
+def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("big"), (F.col("p_retailprice") > 950).alias("dear"), (F.col("p_type") == "ECONOMY").alias("economy"))
+    return E.flag_counts(df, ["big", "dear", "economy"])
+
+
+@query("SELECT p_type AS category, count(*) AS n, round(avg(CASE WHEN p_type = 'ECONOMY' THEN (p_size > 25)::INTEGER ELSE (NOT p_size > 40)::INTEGER END), 6) AS rate FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') GROUP BY 1")
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_type", (F.col("p_size") > 25).alias("big"), (F.col("p_size") > 40).alias("huge"))
+    return E.match_rates(df, "p_type", {"ECONOMY": ("big", False), "STANDARD": ("huge", True)}).select("category", "n", *six_digits("rate"))
+
+
+@query("SELECT round(avg(value) * 1000, 6) AS mean_ms, round(median(value) * 1000, 6) AS median_ms, count(value) AS packages, round(sum(value), 6) AS total_s, round(count(value) / sum(value), 6) AS throughput FROM events")
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.latency(table(spark, sf_dir, "events"), "value").select(*six_digits("mean_ms", "median_ms"), "packages", *six_digits("total_s", "throughput"))
+
+
+@query("SELECT p_brand AS package, bool_or(p_size > 45) AS flagged FROM part GROUP BY 1")
+def flagged_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.flagged(table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), (F.col("p_size") <= 45).alias("fp")), "package", "fp")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS package, l_linenumber AS place, l_returnflag <> 'R' AS hit FROM lineitem), y AS (SELECT *, max(CASE WHEN place = 1 THEN hit::INTEGER END) OVER (PARTITION BY package) AS f FROM x)
+SELECT package, bool_or(hit) AS detected, count(*) AS neighbours FROM y WHERE place <= 3 AND NOT (place = 2 AND coalesce(f, 0) = 1) GROUP BY 1""")
+def package_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_linenumber").alias("place"), (F.col("l_returnflag") == "R").alias("fp"))
+    return E.package_verdict(df, "package", "place", "fp")
+
+
+@query("""WITH t AS (SELECT lower(trim(o_orderpriority)) || o_custkey % 100 AS k, arg_max(o_orderstatus, o_orderkey) AS truth FROM orders GROUP BY 1), o AS (SELECT lower(trim(c_mktsegment)) || c_custkey % 100 AS k, c_custkey FROM customer)
+SELECT t.k AS match_key, truth, said FROM t JOIN (SELECT '1-urgent' || c_custkey % 100 AS k, arg_max(c_mktsegment, c_custkey) AS said FROM customer GROUP BY 1) u ON u.k = t.k""")
+def truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", (F.col("o_custkey") % 100).cast("string")).alias("name"), F.col("o_orderstatus").alias("truth"), F.col("o_orderkey").alias("at"))
+    said = table(spark, sf_dir, "customer").select(F.concat(F.lit(" 1-URGENT"), (F.col("c_custkey") % 100).cast("string")).alias("name"), F.col("c_mktsegment").alias("said"), F.col("c_custkey").alias("at"))
+    return E.truth_and_output(truth.withColumn("name", F.lower("name")), said, "name", "at").select("match_key", "truth", "said")
+
+
+@query("SELECT c_custkey, coalesce(n > 0, false) AS detected, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON o_custkey = c_custkey")
+def detected_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(hits, "c_custkey", "left").select("c_custkey", F.col("n").isNotNull().alias("detected"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+SWEEP = "WITH {vec}, k AS (SELECT unnest(range(0, 101)) AS k), c AS (SELECT k, count(*) FILTER (WHERE same AND floor(s / 0.01 + 1e-9) >= k) AS tp, count(*) FILTER (WHERE NOT same AND floor(s / 0.01 + 1e-9) >= k) AS fp, count(*) FILTER (WHERE NOT same AND floor(s / 0.01 + 1e-9) < k) AS tn, count(*) FILTER (WHERE same AND floor(s / 0.01 + 1e-9) < k) AS fn FROM vp, k GROUP BY k), d AS (SELECT *, {ratios} FROM c)"
+
+
+@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.sweep(vector_pairs(spark, sf_dir), "same", "s").select("threshold", *CELLS, *six_digits(*RATES))
+
+
+@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best_by(threshold_sweep(spark, sf_dir), "f1", "threshold")
+
+
+@query(f"WITH {VEC} SELECT round((sum(r) FILTER (WHERE same) - count(*) FILTER (WHERE same) * (count(*) FILTER (WHERE same) + 1) / 2) / (count(*) FILTER (WHERE same) * count(*) FILTER (WHERE NOT same)), 6) AS auc FROM (SELECT same, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM (SELECT same, round(s, 6) AS s FROM vp))")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.auc(vector_pairs(spark, sf_dir).withColumn("s", F.round("s", 6)), "same", "s").select(*six_digits("auc"))
+
+
+@query("WITH a AS (SELECT quality AS s, count(*) FILTER (WHERE toxic = 1) AS p, count(*) FILTER (WHERE toxic = 0) AS n FROM labels GROUP BY 1) SELECT s, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER (ORDER BY s DESC) / sum(n) OVER (), 6) AS fpr FROM a")
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "labels").select(F.col("quality").alias("s"), (F.col("toxic") == 1).alias("t"))
+    return E.roc(df, "t", "s").select("s", *six_digits("tpr", "fpr"))
+
+
+@query(f"""WITH {VEC}, k AS (SELECT unnest(range(0, 11)) AS k), x AS (SELECT k, same AS t, s * (k * 0.1::DOUBLE) + (1 - levenshtein(a::VARCHAR, b::VARCHAR) / 5) * (1 - k * 0.1::DOUBLE) >= 0.3 - 1e-12 AS h FROM vp, k),
+c AS (SELECT k, {COUNTS} FROM x GROUP BY k), d AS (SELECT *, {RATIOS} FROM c) SELECT round(k * 0.1::DOUBLE, 1) AS weight, {FULL} FROM d ORDER BY f1 DESC, weight LIMIT 3""")
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = vector_pairs(spark, sf_dir).withColumn("e", 1 - F.levenshtein(F.col("a").cast("string"), F.col("b").cast("string")) / 5)
+    found = E.weight_grid(df, "same", "s", "e", 0.3).select("weight", *CELLS, *six_digits(*RATES))
+    return found.orderBy(F.col("f1").desc(), "weight").limit(3)
+
+
+@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
+def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_pairs(spark, sf_dir).filter("s < -0.3").orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
+
+
+# tables
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS updated_at, min(event_id) AS created_at FROM events GROUP BY 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("updated_at"), F.col("event_id").alias("created_at"))
+    return K.upsert(rows.filter("event_type <> 'error'"), rows.filter("event_type = 'error'"), "user_id")
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return K.insert_ignore(there, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)")
+def anti_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return K.unprocessed(e.select("event_id", "user_id"), e.filter("event_type = 'error' AND value > 90"), "user_id")
+
+
+@query("SELECT name, row_number() OVER (ORDER BY l, p, name) AS place FROM (SELECT name, l, p FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY l, p) AS n FROM (SELECT p_name AS name, 0 AS l, p_partkey AS p FROM part WHERE p_size > 40 UNION ALL SELECT p_name, 1, p_partkey FROM part)) WHERE n = 1 ORDER BY l, p, name LIMIT 50)")
+def dedupe_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("place"), "p_size")
+    return K.first_distinct([one.filter("p_size > 40"), one], "name", 50).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT p_type AS registry, count(DISTINCT p_name) AS n, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names FROM part GROUP BY 1")
+def names_per_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("registry")).agg(F.countDistinct("p_name").alias("n"), F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("names"))
+
+
+@query("WITH b AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE ts < t) AS earlier FROM b JOIN events USING (user_id) GROUP BY 1")
+def releases_before_first_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return releases.before_first_bad(e, e.filter("event_type = 'error'"), "user_id", "ts").select("user_id", "earlier")
+
+
+@query("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2")
+def first_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return releases.first_uploads(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+
+
+@query("""SELECT 'p' || o_orderkey AS input, 't' || o_custkey AS target, o_orderpriority AS category, round(o_orderkey % 60 + 0.5, 6) AS seconds FROM orders""")
+def parse_tool_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = F.format_string("('t%s', 'p%s'): {'p%s': '%s'}, 0:00:%s.500000", F.col("o_custkey"), k, k, F.col("o_orderpriority"), F.lpad((k % 60).cast("string"), 2, "0"))
+    x = table(spark, sf_dir, "orders").select(readers.tool_line(line).alias("x"))
+    return x.select("x.input", "x.target", "x.category", F.round("x.seconds", 6).alias("seconds"))
+
+
+@query("SELECT event_id, event_type AS type, 'n' || user_id AS name FROM events")
+def feed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.concat(F.lit("n"), "user_id").alias("name"))).alias("artifact"))
+    return readers.feed_artifacts(raw).select("event_id", "type", "name")
+
+
+# vectors
+
+
+@query("""WITH s AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS scale FROM embeddings) SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE / scale, 0)::INTEGER), ',') AS q FROM embeddings, s""")
+def quantise_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    scale = vectors.int8_scale(e).first().scale
+    return e.select("vec_id", F.array_join(F.transform(vectors.quantised(F.col("embedding"), F.lit(scale)), lambda x: x.cast("string")), ",").alias("q"))
+
+
+@query("""WITH w AS (SELECT DISTINCT p_name AS n, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT n AS package_name, round(avg(length(w)::DOUBLE), 6) AS x, round(avg(ascii(w)::DOUBLE), 6) AS y FROM w GROUP BY 1""")
+def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name"))
+    words = named.select(F.explode(N.tokens_served(F.col("package_name"))).alias("word")).distinct()
+    words = words.withColumn("vector", F.array(F.length("word").cast("double"), F.ascii("word").cast("double")))
+    out = vectors.pooled(named, words, 2)
+    return out.select("package_name", F.round(F.get("embedding", F.lit(0)), 6).alias("x"), F.round(F.get("embedding", F.lit(1)), 6).alias("y"))
+
+
+@query()
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.hashed(table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name")).distinct())
+
+
+@query()
+def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name"))
+    return vectors.sampled_negatives(named, name_pairs(spark, sf_dir).filter(F.levenshtein("a", "b") < 3), 200)
+
+
+# learned weights, detection, streams
+
+
+@query()
+def learned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).alias("long"), F.col("text").contains("!!").alias("loud"), F.col("text").contains("|").alias("table"), (F.col("lang") == "en").alias("english"))
+    df = d.join(table(spark, sf_dir, "labels"), "doc_id")
+    flags = ["long", "loud", "table", "english"]
+    return learned.importances(learned.fit(df, flags, "quality"), df, flags)
+
+
+def length_judge(pairs):
+    """A stand-in for a judge: a name of its target's length is adversarial."""
+    same = pairs["query"].str.len() == pairs["package_name"].str.len()
+    return B.no_judge(pairs).assign(is_adversarial_name=same.to_numpy())
+
+
+@query()
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts(spark, sf_dir)
+    top = P.popular(rows, "npm", top=20)
+    doc = F.to_json(F.struct(F.col("package_name").alias("name"), F.lit("text").alias("description")))
+    return D.detect(rows.join(top.select("package_name"), "package_name", "left_anti"), top, rows.select(F.col("package_name").alias("name"), doc.alias("doc")), "pypi", "2025-01-01", length_judge)
+
+
+@query(f"""WITH {PARTS} SELECT p_partkey AS id, lower(l.package_name) AS target, levenshtein(lower(p_name), lower(l.package_name)) AS edits FROM part JOIN listed l ON lower(p_name) <> lower(l.package_name)
+WHERE levenshtein(lower(p_name), lower(l.package_name)) < 3 AND levenshtein(lower(p_name), lower(l.package_name)) < 2 * length(p_name) // 3""")
+def arrivals_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("package_name"))
+    return arrivals.confusable(new, listed(spark, sf_dir)).select("id", "target", F.col("edits").cast("long").alias("edits"))
