@@ -96,20 +96,20 @@ def test_stored_metrics_follow_from_counts(spark):
 
 def test_detect_finds_the_squat_and_spares_trusted(spark):
     popular = spark.createDataFrame([("@acme/requests", 9e6), ("@acme/numpy", 8e6)], "package_name string, popularity double")
-    queries = spark.createDataFrame([("@acne/reqeusts",), ("@google/numpi",), ("far",)], "package_name string")
-    docs = spark.createDataFrame([("@acne/reqeusts", "{}"), ("@acme/requests", "{}")], "name string, doc string")
+    queries = spark.createDataFrame([("@acne/requests",), ("@google/numpi",), ("far",)], "package_name string")
+    docs = spark.createDataFrame([("@acne/requests", "{}"), ("@acme/requests", "{}")], "name string, doc string")
 
     def judge(pairs):
         return B.no_judge(pairs).assign(is_adversarial_name=True)
 
     found = D.detect(queries, popular, docs, "npm", "2025-01-01", judge).collect()
-    assert [(r.query, r.package_name, r.risk_score) for r in found] == [("@acne/reqeusts", "@acme/requests", 10)]
+    assert [(r.query, r.package_name, r.risk_score) for r in found] == [("@acne/requests", "@acme/requests", 10)]
 
     def broken(pairs):
         raise RuntimeError("no judge")
 
     assert D.detect(queries, popular, docs, "npm", "2025-01-01", broken).count() == 0
-    pairs = spark.createDataFrame([("@acne/reqeusts", "@acme/requests")], "query string, package_name string")
+    pairs = spark.createDataFrame([("@acne/requests", "@acme/requests")], "query string, package_name string")
     row = D.verify(pairs, docs, "2025-01-01", broken).first()
     assert row.is_false_positive is None and "no judge" in row.error
 
