@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import types
 from collections.abc import Callable, Iterator
 
@@ -42,9 +43,14 @@ def trim() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver forget what was cut, so that Spark's cleaner removes shuffle files that nothing reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Has the driver forget what was cut, so that Spark's cleaner removes shuffle files that nothing reads any more.
+
+    The chain from a table to its shuffles takes the collector a few rounds.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
