@@ -33,8 +33,7 @@ def hashes(words: Column, shingle: int = SHINGLE) -> Column:
 def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
     """``df`` with ``out``: struct(kept array<long> ascending, reach long) of the text column (null: empty)."""
     bound = LEAST + (1 << 64) // scale
-    trimmed = F.expr(f"btrim(coalesce({text}, ''), ' \\t\\n\\u000b\\f\\r')")
-    df = df.withColumn("__t", trimmed)
+    df = df.withColumn("__t", F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE)))
     df = df.withColumn("__w", F.when(F.col("__t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("__t", "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))))
     df = df.withColumn("__h", hashes(F.col("__w"), shingle))
     df = df.withColumn("__b", F.array_distinct(F.filter("__h", lambda x: x < F.lit(bound))))

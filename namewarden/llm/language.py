@@ -29,6 +29,8 @@ from namewarden.llm.common import cut, map_texts, small
 SAMPLE, RARE = 12_000, 0.002
 #: Buckets of hashed trigrams, added to counts, and trigrams that a text's evidence is worth at most.
 BUCKETS, ADDED, EVIDENCE = 1 << 15, 0.5, 120
+#: Fewer trigrams are too few to tell that a text fits no language.
+JUDGED = 20
 #: Pseudo-counts of host, domain, declared and suffix smoothing; the least posterior of a kept row.
 HOST, DOMAIN, MARK, LEAST = 20.0, 50.0, 1.0, 0.5
 
@@ -101,8 +103,8 @@ def _address(host: Column) -> tuple[Column, Column]:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     """(id, row_key, lang, probability, text_lang, declared, kept) for every row.
 
-    kept: the text has letters, its trigrams fit a language better than chance
-    does, and the posterior is ``least`` or more. A null or empty text, or one
+    kept: the text has letters, its trigrams, unless they are too few to tell, fit a
+    language better than chance does, and the posterior is ``least`` or more. A null or empty text, or one
     without letters, is judged by the other evidence and not kept; a null
     declared language, host or suffix is no evidence. Ties go to the language
     first by name. Without any row that declares a language lang is null and
@@ -124,7 +126,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             at = trigrams(t)
             logs = model[at].sum(axis=0, dtype=np.float64)
             out["letters"].append(len(at))
-            out["fits"].append(bool(len(at)) and logs.max() / len(at) > -math.log(BUCKETS))
+            out["fits"].append(bool(len(at)) and (len(at) < JUDGED or bool(logs.max() / len(at) > -math.log(BUCKETS))))
             out["best"].append(int(logs.argmax()) if len(at) else None)
             out["logs"].append(logs * min(1.0, EVIDENCE / len(at)) if len(at) else logs)
         return out
