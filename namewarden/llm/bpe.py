@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from namewarden.llm.common import map_texts, process_cache
 
 #: Most stretches that a worker keeps, and the longest one kept.
-CACHE, CACHED_CHARS = 120_000, 48
+CACHE, CACHED_CHARS = 80_000, 48
 
 
 def byte_table() -> dict[int, str]:

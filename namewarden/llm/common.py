@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of an Arrow batch of texts (one row at least), set for the session.
+BATCH_BYTES = "4m"
+
 #: Arrow batches are cut into slices of about so many characters of text.
 SLICE_CHARS = 1_000_000
 
@@ -93,9 +96,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
 def map_texts(df: DataFrame, function: Callable[[list[str]], dict], schema: str, column: str = "text", keep: tuple = ()) -> DataFrame:
     """Adds the columns that ``function`` makes from a list of texts (null: empty).
 
-    ``keep`` names the columns to carry; memory is bounded by a slice of
-    ``SLICE_CHARS`` characters and the longest text.
+    ``keep`` names the columns to carry; memory is bounded by a batch of
+    ``BATCH_BYTES``, a slice of ``SLICE_CHARS`` characters and the longest text.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     made = T._parse_datatype_string(schema)
     spec = T.StructType([*(df.schema[c] for c in keep), *made])
 
