@@ -156,3 +156,28 @@ def package_verdict(df: DataFrame, package: str, place: str, is_fp: str, most: i
     first = F.max(F.when(F.col(place) == 1, hit)).over(Window.partitionBy(package))
     looked = (F.col(place) <= most) & ~((F.col(place) == 2) & F.coalesce(first, F.lit(False)))
     return df.withColumn("__look", looked).filter("__look").groupBy(package).agg(F.bool_or(hit).alias("detected"), F.count(F.lit(1)).alias("neighbours"))
+
+
+def with_truth(results: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Results with the truth's columns; those that it doesn't know keep nulls."""
+    return results.join(truth, list(keys), "left")
+
+
+def truth_key(kind: Column, name: Column, space: Column) -> Column:
+    """type:name, and :namespace if there is one."""
+    return F.concat_ws(":", kind, name, F.nullif(space, F.lit("")))
+
+
+def with_category(groups: DataFrame, truth: DataFrame, key: str, category: str, text: str) -> DataFrame:
+    """Groups with the truth's category; unmatched ones take it from a text that names one, else benign."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    told = F.when(low.contains("stealthy"), "stealthy").when(low.contains("active"), "active").otherwise("benign")
+    return groups.join(truth.select(key, category), key, "left").withColumn(category, F.coalesce(category, told))
+
+
+def edit_classifier(df: DataFrame, truth: str, edits: str, limits: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """Confusion of taking pairs within each number of edits for positive, and mean_f1 of both classes."""
+    rows = df.withColumn("limit", F.explode(F.array(*map(F.lit, limits))))
+    out = confusion(rows.withColumn("__hit", F.col(edits) <= F.col("limit")), truth, "__hit", ["limit"])
+    tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
+    return out.withColumn("negative_f1", ratio(2 * tn, 2 * tn + fp + fn)).withColumn("mean_f1", (F.col("f1") + F.col("negative_f1")) / 2)

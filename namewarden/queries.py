@@ -581,3 +581,77 @@ WHERE levenshtein(lower(p_name), lower(l.package_name)) < 3 AND levenshtein(lowe
 def arrivals_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("package_name"))
     return arrivals.confusable(new, listed(spark, sf_dir)).select("id", "target", F.col("edits").cast("long").alias("edits"))
+
+
+# what is left of the sources and joins
+
+
+@query("SELECT DISTINCT p_name AS package_name FROM part WHERE p_name IS NOT NULL")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.catalog_names(table(spark, sf_dir, "part").withColumnRenamed("p_name", "package_name"))
+
+
+@query("SELECT p_type || ':' || p_name AS package_name, 'maven' AS \"Ecosystem\" FROM part UNION ALL SELECT c_name, 'npm' FROM customer UNION ALL SELECT s_name, 'hf' FROM supplier")
+def concatenated_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maven = table(spark, sf_dir, "part").select(F.col("p_type").alias("group_id"), F.col("p_name").alias("artifact_id"))
+    npm = table(spark, sf_dir, "customer").select(F.col("c_name").alias("package_name"))
+    return readers.dumps({"maven": maven, "npm": npm, "hf": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("context_id"))})
+
+
+@query("SELECT DISTINCT p_name AS package_name FROM part WHERE length(p_name) < 10 ORDER BY 1 LIMIT 1000")
+def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.short_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name")).distinct())
+
+
+@query("SELECT p_partkey, p_brand, p_type, coalesce(n, 0) AS n, n IS NOT NULL AS known FROM part LEFT JOIN (SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_size > 48 GROUP BY 1, 2) USING (p_brand, p_type)")
+def results_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    truth = part.filter("p_size > 48").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    return E.with_truth(part.select("p_partkey", "p_brand", "p_type"), truth, ["p_brand", "p_type"]).withColumn("known", F.col("n").isNotNull()).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("""WITH g AS (SELECT p_type || ':' || p_name || ':' || p_brand AS k, min(p_partkey) AS n FROM part GROUP BY 1), t AS (SELECT DISTINCT p_type || ':' || p_name || ':' || p_brand AS k FROM part WHERE p_size > 40)
+SELECT g.k, coalesce(CASE WHEN t.k IS NOT NULL THEN 'active' END, CASE WHEN n % 3 = 0 THEN 'stealthy' ELSE 'benign' END) AS category FROM g LEFT JOIN t ON g.k = t.k""")
+def grouped_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("k", E.truth_key(F.col("p_type"), F.col("p_name"), F.col("p_brand")))
+    groups = part.groupBy("k").agg(F.min("p_partkey").alias("n")).withColumn("said", F.when(F.col("n") % 3 == 0, "a Stealthy one"))
+    truth = part.filter("p_size > 40").select("k").distinct().withColumn("category", F.lit("active"))
+    return E.with_category(groups, truth, "k", "category", "said").select("k", "category")
+
+
+@query(f"""WITH {PAIRS}, l AS (SELECT unnest([2, 3, 4]) AS k), c AS (SELECT k, {COUNTS} FROM (SELECT k, split_part(a, ' ', 2) = split_part(b, ' ', 2) AS t, levenshtein(a, b) <= k AS h FROM pairs, l) GROUP BY k), d AS (SELECT *, {RATIOS} FROM c)
+SELECT k AS "limit", {FULL}, round((coalesce(2 * p * r / nullif(p + r, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 6) AS mean_f1 FROM d""")
+def edit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
+    df = name_pairs(spark, sf_dir).select((word(F.col("a")) == word(F.col("b"))).alias("t"), F.levenshtein("a", "b").alias("d"))
+    return E.edit_classifier(df, "t", "d").select("limit", *CELLS, *six_digits(*RATES, "mean_f1"))
+
+
+@query("""SELECT doc_id, 'doc-' || doc_id AS name, array_to_string(list_filter(string_split_regex('Description: ' || text || ' README: ' || lang, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')[:100], ' ') AS description, source AS people FROM documents""")
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.to_json(F.struct(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.col("text").alias("description"), F.col("lang").alias("readme"), F.array(F.struct(F.col("source").alias("name"))).alias("maintainers")))
+    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("doc"))
+    doc = F.col("doc")
+    return df.select("doc_id", N.document_name(doc).alias("name"), N.description(doc, F.lit("npm")).alias("description"), F.array_join(N.maintainers(doc), "|").alias("people"))
+
+
+@query()
+def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.halved(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def flagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).alias("long"), F.col("text").contains("!!").alias("loud"), F.col("text").contains("|").alias("table"), (F.col("lang") == "en").alias("english"))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query()
+def learned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, flags = flagged_documents(spark, sf_dir), ["long", "loud", "table", "english"]
+    flags_as_numbers = df.select(*(F.col(c).cast("double").alias(c) for c in flags), "quality")
+    return learned.scored(learned.fit(flags_as_numbers, flags, "quality"), flags_as_numbers, flags, "quality")
+
+
+@query()
+def learned_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned.validated(flagged_documents(spark, sf_dir), ["long", "loud", "table", "english"], "quality", "doc_id")

@@ -35,6 +35,22 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return names(df.na.drop()).select("package_name").distinct()
 
 
+def catalog_names(df: DataFrame) -> DataFrame:
+    """The distinct names of an embedding table or of any dump."""
+    return names(df).select("package_name").filter(F.col("package_name").isNotNull()).distinct()
+
+
+def first_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """(package_name): the distinct first columns of all CSV files in a folder, headers left out."""
+    raw = spark.read.option("header", True).csv(folder)
+    return raw.select(F.col(raw.columns[0]).alias("package_name")).filter("package_name is not null").distinct()
+
+
+def short_names(df: DataFrame, under: int = 10, most: int = 1000) -> DataFrame:
+    """At most so many names of fewer characters, the first by name."""
+    return df.filter(F.length("package_name") < under).orderBy("package_name").limit(most)
+
+
 def dumps(tables: dict[str, DataFrame]) -> DataFrame:
     """(package_name, Ecosystem) of the dumps there are."""
     out = None
