@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from namewarden.llm.common import cut, release, trim
 
 #: Bytes of text of a block; keys of a part; counts up to CUTOFF are discounted; HOT: see above.
-BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 28_000_000, 1_000_000, 5, 1000
+BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 16_000_000, 1_000_000, 5, 1000
 #: Documents whose crc32(id as text) mod FOLDS is 0 are held out.
 FOLDS = 10
 #: Of the base score.
@@ -198,6 +198,7 @@ def _word_table(requests: DataFrame, cutoff: int) -> DataFrame:
     """For each part and block the counts of the words asked for, and a row of totals."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        trim()
         asked = [unpack(d) for d in f.data]
         words, at = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
         counts = np.zeros(len(words), np.int64)
@@ -220,6 +221,7 @@ def _gather(rows: DataFrame, *tables: DataFrame):
 
 def _read_block(f: pd.DataFrame, word_parts: int) -> tuple[dict, np.ndarray]:
     """A block and its words' counts."""
+    trim()
     b = unpack(f.data[f.kind == BLOCK].iloc[0])
     order, _ = _word_order(b["words"], word_parts)
     counts = np.zeros(len(order), np.int64)
@@ -268,6 +270,7 @@ def _pair_table(requests: DataFrame, unigrams: Unigrams, cutoff: int, hot_over:
     """For each part and block the counts of the pairs asked for and, by context, the seen next words' probability and how many were counted 1..cutoff times; and a row of totals."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        trim()
         asked = [unpack(d) for d in f.data]
         context = np.concatenate([a["context"] for a in asked])
         contexts, of = np.unique(context, return_inverse=True)
