@@ -43,6 +43,17 @@ def sweep(df: DataFrame, truth: str, score: str, low: int = 0, high: int = 100,
     """
     level = F.least(F.floor(F.col(score) / by + 1e-9), F.lit(high)).cast("int")
     few = df.withColumn("__level", level).groupBy("__level", F.col(truth).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    return _swept(few, low, high, step, by)
+
+
+def sweep_counts(counts: DataFrame, level: str, low: int = 0, high: int = 100, step: int = 1, by: float = 0.01) -> DataFrame:
+    """``sweep`` of rows already counted: p true and n false ones at each level, a score / by rounded down."""
+    pair = F.array(*(F.struct(F.lit(t).alias("t"), F.col(c).alias("n")) for t, c in ((True, "p"), (False, "n"))))
+    few = counts.select(F.least(F.col(level), F.lit(high)).alias("__level"), F.explode(pair).alias("x"))
+    return _swept(few.select("__level", F.col("x.t").alias("__t"), F.col("x.n").alias("__n")), low, high, step, by)
+
+
+def _swept(few: DataFrame, low: int, high: int, step: int, by: float) -> DataFrame:
     few = few.withColumn("__k", F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))))
     t, p, n = F.col("__t"), F.col("__level") >= F.col("__k"), F.col("__n")
     count = lambda c, name: F.sum(F.when(c, n).otherwise(0)).alias(name)
@@ -66,6 +77,12 @@ def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: the area under the curve, from the counts at each distinct score (ties count half)."""
     at = df.groupBy(score).agg(F.count_if(F.col(truth)).cast("double").alias("p"), F.count_if(~F.col(truth)).cast("double").alias("n"))
+    return auc_counts(at, score)
+
+
+def auc_counts(at: DataFrame, score: str) -> DataFrame:
+    """``auc`` of rows already counted: p true and n false ones at each distinct score."""
+    at = at.select(score, F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"))
     below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2))
     return at.agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from namewarden.functions import similarity as S
 from namewarden.operators import benignity as B
 from namewarden.operators import catalog as K
 from namewarden.operators import evaluate as E
-from namewarden.operators import learned, releases, vectors
+from namewarden.operators import learned, pairwise, releases, vectors
 from namewarden.operators import neighbors as J
 from namewarden.operators import popular as P
 from namewarden.plans import detect as D
@@ -280,11 +281,23 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
 def sim_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = vector_pairs(spark, sf_dir)
+    return hybrid_measures(vector_pairs(spark, sf_dir))
+
+
+def hybrid_measures(df: DataFrame) -> DataFrame:
     d = F.levenshtein(F.col("a").cast("string"), F.col("b").cast("string")) / 10
     return df.select("a", "b", F.round("s", 6).alias("cosine"), F.round(S.hybrid(d, F.col("s")), 6).alias("hybrid"), F.round(S.tanh_hybrid((F.col("s"), 0.4), (F.abs("s"), 0.6)), 6).alias("tanh"))
 
 
+#: All pairs of vectors, where VEC and vector_pairs have only those whose ids are equal modulo 50.
+VEC_ALL = VEC.replace("y.vec_id % 50 = x.vec_id % 50 AND ", "")
+
+
+@query(f"WITH {VEC_ALL} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
+def sim_hybrid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_measures(pairwise.pairs(table(spark, sf_dir, "embeddings")))
+
+
 # benignity
 
 
@@ -464,6 +477,35 @@ def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pairs(spark, sf_dir).filter("s < -0.3").orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
 
 
+@query(SWEEP.format(vec=VEC_ALL, ratios=RATIOS) + f" SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d")
+def threshold_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = pairwise.counted(table(spark, sf_dir, "embeddings"), lambda s: np.floor(s / 0.01 + 1e-9), -101, 101)
+    return E.sweep_counts(levels, "level").select("threshold", *CELLS, *six_digits(*RATES))
+
+
+@query(SWEEP.format(vec=VEC_ALL, ratios=RATIOS) + f" SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best_by(threshold_sweep_all(spark, sf_dir), "f1", "threshold")
+
+
+@query(f"WITH {VEC_ALL}, c AS (SELECT round(s, 6) AS s, count(*) FILTER (WHERE same)::DOUBLE AS p, count(*) FILTER (WHERE NOT same)::DOUBLE AS n FROM vp GROUP BY 1), d AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM c) SELECT round(sum(p * (less + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM d")
+def roc_auc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = pairwise.counted(table(spark, sf_dir, "embeddings"), lambda s: np.rint(s * 1e6), -1_000_001, 1_000_001)
+    return E.auc_counts(levels, "level").select(*six_digits("auc"))
+
+
+@query(f"""WITH {VEC_ALL}, k AS (SELECT unnest(range(0, 11)) AS k), x AS (SELECT k, same AS t, s * (k * 0.1::DOUBLE) + (1 - levenshtein(a::VARCHAR, b::VARCHAR) / 5) * (1 - k * 0.1::DOUBLE) >= 0.3 - 1e-12 AS h FROM vp, k),
+c AS (SELECT k, {COUNTS} FROM x GROUP BY k), d AS (SELECT *, {RATIOS} FROM c) SELECT round(k * 0.1::DOUBLE, 1) AS weight, {FULL} FROM d ORDER BY f1 DESC, weight LIMIT 3""")
+def grid_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.with_ratios(pairwise.weights(table(spark, sf_dir, "embeddings"), 0.3)).withColumn("weight", F.round(F.col("k") * 0.1, 1))
+    return found.select("weight", *CELLS, *six_digits(*RATES)).orderBy(F.col("f1").desc(), "weight").limit(3)
+
+
+@query(f"WITH {VEC_ALL} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
+def low_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.pairs(table(spark, sf_dir, "embeddings"), below=-0.3).orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
+
+
 # tables
 
 
