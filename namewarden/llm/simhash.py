@@ -26,6 +26,10 @@ from namewarden.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Of ``one_of_each`` beside these: words of a shingle and least similarity; bands, rows of a band (a pair at 0.8 shares
+#: one with probability 0.9995); distinct sets in a band that are all paired.
+WORDS, ALIKE, BANDS, ROWS, PAIRED = 5, 0.8, 25, 6, 16
+_MASKS, _FACTORS = np.random.default_rng(13).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Fingerprints sampled for the upper tree; rows wanted in a shard; most rows of a task's cell.
 SAMPLE, SHARD_ROWS, CELL_ROWS = 2048, 32_768, 200_000
 #: Cells of so many fingerprints aren't split any more.
@@ -158,10 +162,11 @@ def local_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return up
 
 
-def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, more: DataFrame | None = None) -> DataFrame:
     """(id, fp, component_id): the least id reachable over links of ``radius`` or fewer bits.
 
-    ``prints``: (id, fp) rows; repeats are allowed. Equal fingerprints are one
+    ``prints``: (id, fp) rows; repeats are allowed. ``more``: (x, y) links of
+    fingerprints beside those found. Equal fingerprints are one
     row from the first shuffle on, so copies never make pairs.
     """
     spark = prints.sparkSession
@@ -192,7 +197,7 @@ def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
         return pd.DataFrame({"x": fp[top[keep]], "y": fp[keep]})
 
     edges = cells.select("shard", "low", "high", "fp").groupBy("shard", "low", "high").applyInPandas(links, "x long, y long")
-    groups = connected_components(edges)
+    groups = connected_components(edges if more is None else edges.unionByName(more))
     groups = groups.join(points, groups.node == points.fp).select("fp", "root", "least")
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
@@ -210,14 +215,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(cut(fingerprints(docs, id_col, text_col, shingle, seed)), id_col, radius)
 
 
+def sketch(text: str) -> tuple[int, list[int]]:
+    """A hash of the text's set of shingles of ``WORDS`` words, and a key for each band of its least hashes; no keys without words."""
+    import xxhash
+
+    hashes = shingle_set(text)
+    if not len(hashes):
+        return 0, []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        mixed = (hashes[at : at + 1024, None] ^ _MASKS) * _FACTORS
+        least = np.minimum(least, mixed.min(axis=0))
+    parts = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(parts[i].tobytes(), i) for i in range(BANDS)]
+    return xxhash.xxh64_intdigest(hashes.tobytes()), keys
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of ``WORDS`` words; fewer words are one shingle."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split()
+    n = max(1, len(words) - WORDS + 1) if words else 0
+    parts = map(b" ".join, zip(*(words[i : i + n] for i in range(min(WORDS, len(words))))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, n))
+
+
+def alike_links(docs: DataFrame, sketched: DataFrame, key: str, text_col: str, radius: int = RADIUS) -> DataFrame:
+    """(x, y): fingerprints over ``radius`` bits apart of texts whose sets of shingles have a Jaccard similarity of ``ALIKE`` or more.
+
+    ``sketched``: (key, fp, set, bands) rows. Texts that share a band's key are
+    candidates: all pairs of up to ``PAIRED`` distinct sets, in more each with
+    two that differ from band to band. Each candidate's sets are compared whole.
+    """
+    texts = sketched.groupBy("fp", "set").agg(F.min(F.struct(key, "bands")).alias("x")).select("fp", "set", F.col(f"x.{key}").alias("at"), F.explode("x.bands").alias("band"))
+    rows = cut(texts.select("band", F.struct(F.xxhash64("band", "fp", "set").alias("order"), "fp", "at").alias("x")))
+    shared = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n > 1"))
+    rows = cut(rows.join(small(shared), "band"))
+    few = rows.filter(F.col("n") <= PAIRED).select("band", "x")
+    pairs = few.join(few.select("band", F.col("x").alias("y")), "band").select("x", "y")
+    many = rows.filter(F.col("n") > PAIRED)
+    pairs = pairs.union(many.select("x", F.explode(F.array("low", "high")).alias("y")))
+    pairs = pairs.select(F.col("x.at").alias("a"), F.col("y.at").alias("b"), F.col("x.fp").alias("x"), F.col("y.fp").alias("y"))
+    low = F.col("x") < F.col("y")
+    pairs = pairs.filter("x <> y").select(*(F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in ("ab", "ba", "xy", "yx")))
+    pairs = cut(pairs.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) > radius).distinct())
+
+    wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()))
+    sets = cut(map_texts(docs.select(key, text_col).join(wanted, key, "left_semi").dropDuplicates([key]), lambda ts: {"hashes": [shingle_set(t).view(np.int64) for t in ts]}, "hashes array<long>", text_col, (key,)))
+    pairs = pairs.join(sets.select(F.col(key).alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col(key).alias("b"), F.col("hashes").alias("q")), "b")
+    both = F.size(F.array_intersect("p", "q"))
+    return pairs.filter(both >= ALIKE * (F.size("p") + F.size("q") - both) - 1e-9).select("x", "y").distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate class, that of the least id; its columns as they are.
 
-    Rows that share the least id: the one of the least hash of all columns; of
-    equal rows one stays. Null ids come last.
+    Texts link by SimHash, or by a Jaccard similarity of ``ALIKE`` or more of
+    their ``WORDS``-word shingles, which SimHash's few bits mostly miss. Rows
+    that share the least id: the one of the least hash of all columns; of equal
+    rows one stays. Null ids come last.
     """
     key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*docs.columns).alias("row"))
-    found = cut(near_duplicates(docs.select(key.alias("__key"), text_col), "__key", text_col))
+
+    def run(texts: list[str]) -> dict:
+        sets, bands = zip(*map(sketch, texts))
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return {"fp": signed([fingerprint(t) for t in texts]), "set": signed(sets), "bands": [signed(b) for b in bands]}
+
+    keyed = docs.select(key.alias("__key"), text_col)
+    sketched = cut(map_texts(keyed, run, "fp long, set long, bands array<long>", text_col, ("__key",)))
+    found = cut(classes(sketched.select("__key", "fp"), "__key", more=alike_links(keyed, sketched, "__key", text_col)))
     gone = small(cut(found.filter("__key <> component_id").select("__key").distinct()))
     left = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
     kept = found.filter("__key = component_id")

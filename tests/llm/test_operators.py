@@ -262,6 +262,31 @@ def test_simhash_links_across_shards(spark):
     assert got == plain_classes(rows)
 
 
+def test_one_of_each_drops_near_copies_from_similarity_0_8_on(spark):
+    rng = random.Random(14)
+    rows, want, far = [], set(), 0
+    for k in range(150):
+        w = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(rng.randint(60, 250))]
+        copy = list(w)
+        for at in range(rng.randint(0, 20), len(w), rng.choice((18, 60, 90, 130))):  # single-word edits
+            copy[at] = "edited%d" % rng.randrange(1 << 30)
+        a, b = (" ".join(x) for x in (w, copy))
+        rows += [(2 * k, a, "en", "s", len(a)), (2 * k + 1, b, "en", "s", len(b))]
+        linked = alike(shingles(a), shingles(b)) >= 0.8
+        near = (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() <= 4
+        far += linked and not near
+        want |= {2 * k} if linked or near else {2 * k, 2 * k + 1}
+    many = [["".join(rng.choices("abcdefghij", k=5)) for _ in range(100)]] * 40
+    for k, w in enumerate(many):  # more than are all paired, each alike to the others
+        w = list(w)
+        w[k] = "own%d" % k
+        rows.append((1000 + k, " ".join(w), "en", "s", 600))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert far > 30 and 160 < len(want) < 300
+    assert got == want | {1000}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (4, 4), (7, 8), (8, 7), (None, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
