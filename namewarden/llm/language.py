@@ -8,8 +8,10 @@ The posterior of a language is proportional to
 - the prior of the host: its rows' languages by text alone, shrunk to its
   domain's, and these to those of all rows, the row's own vote left out.
 
-The trigram model is fitted on a bounded sample of rows with a declared
-language. Counts over hosts, domains, suffixes and declared languages come from
+The trigram model is fitted on a sample of rows with a declared language,
+bounded for each language. A language that under ``FEW`` rows declare has no
+model: its texts are judged by the languages that have one, so that most of 20
+trigrams or more fit none of these and aren't kept. Counts over hosts, domains, suffixes and declared languages come from
 all rows by grouped aggregation and are joined, not broadcast.
 """
 
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from namewarden.llm.common import cut, map_texts, small
 
-#: Rows sampled to fit on (about; by least hashes) and rows that a language needs in the sample, as a share.
-SAMPLE, RARE = 12_000, 0.002
+#: Rows sampled to fit on in all (about; by least hashes), rows that a rarer language has beyond its share of
+#: these (about; all if it has fewer), and rows that a language needs.
+SAMPLE, EACH, FEW = 12_000, 500, 10
 #: Buckets of hashed trigrams, added to counts, and trigrams that a text's evidence is worth at most.
 BUCKETS, ADDED, EVIDENCE = 1 << 15, 0.5, 120
 #: Fewer trigrams are too few to tell that a text fits no language.
@@ -47,14 +50,24 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed >> np.uint64(49)).astype(np.int64)
 
 
-def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each trigram bucket in each, from about ``sample`` rows that declare one."""
+def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE, each: int = EACH, few: int = FEW) -> tuple[list[str], np.ndarray]:
+    """Languages, and the log probability of each trigram bucket in each.
+
+    Fitted on about ``sample`` rows that declare a language, and so many more
+    of those with under ``each`` rows among them that they have about ``each``, or
+    all of their rows. Languages that under ``few`` rows declare are left out.
+    """
     labelled = docs.filter(F.col(declared_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(declared_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    total = labelled.count()
+    sizes = cut(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.agg(F.sum("size")).first()[0]
     if not total:
         return [], np.zeros((0, BUCKETS))
-    if total > sample:
-        labelled = labelled.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < math.ceil(sample / total * (1 << 20)))
+    enough = sizes.filter(F.col("size") >= few)
+    if not enough.limit(1).count():  # too small a table to leave any out
+        enough = sizes
+    rate = F.greatest(F.lit(sample / total), F.lit(each) / F.col("size"))
+    labelled = labelled.join(small(cut(enough.select("l", F.ceil(F.least(rate, F.lit(1.0)) * (1 << 20)).alias("most")))), "l")
+    labelled = labelled.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.col("most")).select("l", "t")
 
     def run(frames):
         sums: dict[str, np.ndarray] = {}
@@ -69,8 +82,7 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE)
 
     counted = labelled.mapInPandas(run, "l string, n long, b array<long>, c array<long>")
     languages = counted.groupBy("l").agg(F.sum("n").alias("n")).orderBy("l").collect()
-    least = RARE * sum(r.n for r in languages)
-    names = [r.l for r in languages if r.n >= least]
+    names = [r.l for r in languages]
     model = np.full((len(names), BUCKETS), ADDED)
     cells = counted.filter(F.col("l").isin(names)).select("l", F.explode(F.arrays_zip("b", "c")).alias("x")).groupBy("l", "x.b").agg(F.sum("x.c").alias("c"))
     for l, part in cells.toPandas().groupby("l"):
