@@ -2,8 +2,8 @@
 
 Base spans come from three patterns. Beside them a candidate is reported only
 if it decodes into the structure that it claims: a signed token whose header
-and payload are JSON with an algorithm, a PEM or bare base64 or hex key whose
-DER lengths nest exactly, or an SSH key whose length-prefixed fields fill it.
+and payload are JSON with an algorithm, a PEM or bare base64 (on one line or
+wrapped) or hex key whose DER lengths nest exactly, an encrypted PEM body, or an SSH key whose length-prefixed fields fill it.
 """
 
 from __future__ import annotations
@@ -26,10 +26,16 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 #: A run of the class is one match, so a least length in the pattern drops what is too short.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: Hex of either case that may be a DER sequence.
+HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Label, header lines (folded ones begin with a space) and body.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n(?:[ \t]+[^\s][^\r\n]*\r?\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+ENCRYPTED = re.compile(r"^(?:Proc-Type:.*ENCRYPTED|DEK-Info:)", re.MULTILINE)
 #: How base64 of a DER sequence, of an SSH key's first field and of the OpenSSH magic begins.
 BLOB = re.compile(r"(?:M[A-I]|AAAA[A-H]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A line of base64, and what is between it and the next.
+LINE, BREAK = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[ \t]*\r?\n[ \t]*")
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -67,6 +73,37 @@ def der_key(data: bytes | None) -> bool:
     return bool(data) and len(data) >= 16 and data[0] == 0x30 and der_nests(data) and any(t in data[:12] for t in (0x02, 0x06, 0x30)) and len(set(data)) > 8
 
 
+def pem_key(headers: str, body: str) -> bool:
+    """Whether a PEM body is DER or an SSH key; an encrypted one, as its headers tell, is any base64 of 16 bytes or more."""
+    data = unbase64(body)
+    if ENCRYPTED.search(headers):
+        return data is not None and len(data) >= 16
+    return der_key(data) or ssh_key(data)
+
+
+def wrapped_der(text: str, start: int) -> int | None:
+    """The end of a DER key in base64 over several lines, whose first bytes tell its length; None if it isn't one."""
+    head = unbase64(text[start : start + 8])
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 4:
+        return None
+    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    left, at, lines = -(-size * 4 // 3), start, []
+    while (m := LINE.match(text, at)) and len(m[0]) <= left:
+        lines.append(m[0])
+        left, at = left - len(m[0]), m.end()
+        if not left:
+            end = at + min(-size % 3, len(text[at : at + 2]) - len(text[at : at + 2].lstrip("=")))
+            return end if len(lines) > 1 and der_key(unbase64("".join(lines))) else None
+        gap = BREAK.match(text, at)
+        if not gap:
+            return None
+        at = gap.end()
+    return None
+
+
 def ssh_key(data: bytes | None) -> bool:
     """An OpenSSH private key's magic, or length-prefixed fields that fill the bytes, the first a key type."""
     if not data:
@@ -110,17 +147,22 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         found.append((m.start(), 2, m.end()))
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
             found.append((m.start(), 5, m.end()))
+    for m in HEX_DER.finditer(text):
+        if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
+            found.append((m.start(), 5, m.end()))
     if "eyJ" in text:
         found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
     if "-----BEGIN " in text:
-        found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if der_key(data := unbase64(m[2])) or ssh_key(data)]
+        found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if pem_key(m[2], m[3])]
     for m in BLOB.finditer(text):
         data = unbase64(m[0])
         if der_key(data):
             found.append((m.start(), 5, m.end()))
         elif ssh_key(data):
             found.append((m.start(), 6, m.end()))
-    return sorted(found)
+        elif m[0][0] == "M" and (end := wrapped_der(text, m.start())):
+            found.append((m.start(), 5, end))
+    return sorted(set(found))
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:

@@ -130,6 +130,32 @@ def test_secrets(spark):
     assert not secrets.der_nests(key[:-1]) and secrets.redact(f"a {token} b") == "a [SECRET] b"
 
 
+@pytest.mark.parametrize("case", ["upper hex", "mixed hex", "headers", "encrypted", "wrapped", "wrapped crlf", "wrapped indented"])
+def test_keys_in_other_forms_are_confirmed_and_redacted(case):
+    inner = b"\x02\x01\x00" + b"".join(b"\x02\x20\x01" + bytes((7 * i + 13 * k) % 251 for i in range(31)) for k in range(8))
+    key = b"\x30\x82" + len(inner).to_bytes(2, "big") + inner
+    assert secrets.der_key(key)
+    b64 = b64encode(key).decode()
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n{}\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----"
+    cut_off = b64encode(bytes((i * 37 + 5) % 256 for i in range(96))).decode()
+    forms = {
+        "upper hex": ("der", key.hex().upper()),
+        "mixed hex": ("der", "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))),
+        "headers": ("pem", pem.format("Comment: one\n  folded\n")),
+        "encrypted": ("pem", f"-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n{cut_off}\n-----END EC PRIVATE KEY-----"),
+        "wrapped": ("der", "\n".join(lines)),
+        "wrapped crlf": ("der", "\r\n".join(lines)),
+        "wrapped indented": ("der", "\n    ".join(lines)),
+    }
+    kind, form = forms[case]
+    text = f"before {form}\nafter it"
+    assert (7, secrets.KINDS.index(kind), 7 + len(form)) in secrets.scan(text)
+    assert secrets.redact(text) == "before [SECRET]\nafter it"
+    other = text.replace(b64[-8:], "!" * 8) if case.startswith("wrapped") else text.replace("Proc-Type: 4,ENCRYPTED\nDEK-Info", "Note: 4\nOther") if case == "encrypted" else None
+    assert other is None or not any(k in (4, 5) for _, k, _ in secrets.scan(other))
+
+
 # language
 
 
