@@ -178,10 +178,10 @@ def test_a_rare_language_is_modelled_and_its_clean_texts_kept(spark):
     langs = ["en", "de"] * 4000 + ["fi"] * 12 + ["xx"] * 3  # fi: 0.15 %; xx: too few to model
     rows = [(i, " ".join(rng.choices(stems[l], k=20)), l, "h.example.org") for i, l in enumerate(langs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in language.identify(df, sample=2000).collect()}
+    got = {r.doc_id: r for r in language.identify(df).collect()}
     assert all((got[i].lang, got[i].kept) == (l, True) for i, _, l, _ in rows if l != "xx")
     assert not any(got[i].kept for i, _, l, _ in rows if l == "xx")
-    assert language.fit(df, "text", "lang", sample=2000)[0] == ["de", "en", "fi"]
+    assert language.fit(df, "text", "lang")[0] == ["de", "en", "fi"]
 
 
 # nearest neighbours
