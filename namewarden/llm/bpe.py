@@ -8,21 +8,23 @@ every split of a token into two tokens.
 
 The pattern never crosses from a non-space to white space, so the stretches
 between such places encode independently. Each distinct stretch of a batch is
-encoded once and kept while the Python worker lives, up to ``CACHE`` stretches.
+encoded once and kept while the Python worker lives, up to ``CACHE`` stretches;
+those in use stay.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from namewarden.llm.common import map_texts, process_cache
+from namewarden.llm.common import Recent, map_texts, process_cache
 
 #: Most stretches that a worker keeps, and the longest one kept.
-CACHE, CACHED_CHARS = 80_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
 
 
 def byte_table() -> dict[int, str]:
@@ -51,7 +53,7 @@ class ByteBpe:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         back = {c: b for b, c in table.items()}
         self.bytes_of = {r: bytes(map(back.__getitem__, shown[t])) for t, r in ranks.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.ids, self.pieces = Recent(CACHE), Recent(CACHE)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -69,20 +71,33 @@ class ByteBpe:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]
 
+    def encoded(self, texts: list[str], kept: Recent, entry: Callable) -> Iterator[list]:
+        """For each text its stretches' entries, each made of a stretch and its encoding once and kept."""
+        cut = [self.stretches(t) for t in texts]
+        new = kept.want(set(chain.from_iterable(cut)))
+        made = {s: entry(s, e) for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
+        long = {s: made.pop(s) for s in new if len(s) > CACHED_CHARS}
+        kept.update(made)
+        find = kept.__getitem__ if not long else lambda s: long[s] if s in long else kept[s]
+        return (list(map(find, c)) for c in cut)
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of every whole text."""
-        cut = [self.stretches(t) for t in texts]
-        seen = set(chain.from_iterable(cut))
-        if len(self.kept) > CACHE:
-            self.kept = {}
-        new = sorted(seen.difference(self.kept))
-        got = {s: tuple(e.ids) for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        self.kept.update((s, ids) for s, ids in got.items() if len(s) <= CACHED_CHARS)
-        kept = self.kept
-        find = lambda s: kept[s] if s in kept else got[s]
-        if all(len(s) <= CACHED_CHARS for s in new):
-            find = kept.__getitem__
-        return [list(chain.from_iterable(map(find, c))) for c in cut]
+        return [list(chain.from_iterable(found)) for found in self.encoded(texts, self.ids, lambda s, e: tuple(e.ids))]
+
+    def digest_batch(self, texts: list[str]) -> list[tuple[str, bytes, int]]:
+        """For every whole text its ids in decimal, comma-joined, the bytes that these decode to, and the characters that two or more tokens share."""
+
+        def entry(stretch: str, e) -> tuple[str, bytes, int]:
+            ids = e.ids
+            shared = 0 if stretch.isascii() else len({a for (a, _), (_, b) in zip(e.offsets[1:], e.offsets) if a < b})
+            return ",".join(map(str, ids)), self.decode(ids), shared
+
+        out = []
+        for found in self.encoded(texts, self.pieces, entry):
+            written, decoded, shared = zip(*found)
+            out.append((",".join(filter(None, written)), b"".join(decoded), sum(shared)))
+        return out
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the code points [start, end) that each one has bytes of."""
@@ -152,19 +167,21 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, keep: tuple = ("doc
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded and its ids decoded again."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, n_shared): every whole text encoded and its ids decoded again.
+
+    n_shared counts, by the offsets, the characters whose bytes lie in more than one token.
+    """
 
     def run(texts: list[str]) -> dict:
         import hashlib
 
-        bpe = ByteBpe.load(path, pattern)
-        made = bpe.encode_batch(texts)
         hashed = lambda b: hashlib.sha256(b).hexdigest()
-        written = process_cache().setdefault("decimals", [str(i) for i in range(max(bpe.bytes_of) + 1)])
+        made = ByteBpe.load(path, pattern).digest_batch(texts)
         return {
-            "n_tokens": [len(ids) for ids in made],
-            "ids_sha256": [hashed(",".join(map(written.__getitem__, ids)).encode()) for ids in made],
-            "decoded_sha256": [hashed(bpe.decode(ids)) for ids in made],
+            "n_tokens": [w.count(",") + 1 if w else 0 for w, _, _ in made],
+            "ids_sha256": [hashed(w.encode()) for w, _, _ in made],
+            "decoded_sha256": [hashed(d) for _, d, _ in made],
+            "n_shared": [n for _, _, n in made],
         }
 
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, (id_col,))
+    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared long", text_col, (id_col,))

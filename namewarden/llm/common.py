@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import sys
-import tempfile
-import time
 import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from namewarden.operators.durable import cut, ensure_checkpoints, running, small
+
+__all__ = ["cut", "ensure_checkpoints", "running", "small"]
+
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,38 +45,21 @@ def trim() -> None:
         free(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver forget what was cut, so that Spark's cleaner removes shuffle files that nothing reads any more.
-
-    The chain from a table to its shuffles takes the collector a few rounds.
-    """
-    for _ in range(4):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a local folder only serves sessions that name none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="namewarden-"))
-
-
-#: Rows of a checkpointed table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of few columns, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+class Recent(dict):
+    """A cache of at most ``most`` entries in two generations: what is used stays, what isn't goes with the older one."""
 
+    def __init__(self, most: int) -> None:
+        self.most, self.older = most, {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: its lineage is cut and executors may be lost."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def want(self, keys: set) -> list:
+        """The keys that have no entry, in order; the others' entries are in the younger generation after it."""
+        if len(self) > self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        found = new.intersection(self.older)
+        self.update((k, self.older[k]) for k in found)
+        return sorted(new.difference(found))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, release, trim
+from namewarden.llm.common import cut, trim
 
 #: Bytes of text of a block; keys of a part; counts up to CUTOFF are discounted; HOT: see above.
 BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 16_000_000, 1_000_000, 5, 1000
@@ -356,14 +356,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     sums = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     word_parts = max(1, -(-sums.words // part_keys))
     words = cut(_word_table(_word_requests(blocks, word_parts), cutoff))
-    release(docs.sparkSession)
     totals = _totals(words)
     n = sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64))
     tokens, n_words = (int(sum(int(t["total"][i]) for t in totals)) for i in (0, 1))
     unigrams, hot_over = Unigrams(n, tokens, cutoff), tokens / HOT
     parts = max(1, -(-sums.tokens // (2 * part_keys)))
     pairs = cut(_pair_table(_pair_requests(_gather(blocks, words), word_parts, parts, hot_over), unigrams, cutoff, hot_over))
-    release(docs.sparkSession)
     totals = _totals(pairs)
     factor = discounts(sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64)), cutoff)
     hot: dict[int, list] = {}

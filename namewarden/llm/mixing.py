@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import WORD, cut, small
+from namewarden.llm.common import WORD, cut, running, small
+from namewarden.operators.durable import FEW
 
 #: Weights by rank, most times that a document is taken, words of a block, documents wanted in a shard, seed.
 WEIGHTS, CAP, BLOCK, SHARD_DOCS, SEED = (1, 2, 3), 3, 16, 4096, 42
@@ -28,7 +29,7 @@ def order_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, few: int = FEW) -> DataFrame:
     """(source, source_size, n_docs, rank, target) for rows (source, size).
 
     Sources by code point, null last, weigh ``weights``, repeating. With the
@@ -38,19 +39,19 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     weight * level and cap.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    by = by.withColumn("w", F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights)))))
+    by = running(by, [], [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, few).withColumn("rank", F.col("rank") + 1)
+    by = by.withColumn("w", F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int")))
     by = by.withColumn("most", F.col("source_size") * cap)
-    everything = Window.partitionBy(F.lit(0))
-    before = Window.orderBy(F.col("most") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    by = by.withColumn("level", left / weight)
-    by = by.withColumn("target", F.least(F.max("level").over(everything) * F.col("w"), F.col("most").cast("double")))
+    by = running(by, [], [F.col("most") / F.col("w"), F.col("rank")], {"__most": F.col("most"), "__w": F.col("w")}, few)
+    by = cut(by)
+    all_of = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    by = by.withColumn("level", (F.lit(all_of["size"]) - F.col("__most")) / (F.lit(all_of.w) - F.col("__w")))
+    level = by.agg(F.max("level")).first()[0]
+    by = by.withColumn("target", F.least(F.lit(level).cast("double") * F.col("w"), F.col("most").cast("double")))
     return by.select("source", "source_size", "n_docs", "rank", "target")
 
 
-def apportion(parties: DataFrame, within: list[str], party: str, votes: str, seats: Column, total: Column) -> DataFrame:
+def apportion(parties: DataFrame, within: list[str], party: str, votes: str, seats: Column, total: Column, few: int = FEW) -> DataFrame:
     """(within, party, quota): ``seats`` dealt to parties by Sainte-Laguë, ties to the lesser party.
 
     ``seats`` and ``total`` (of the votes) are the same for all rows of a
@@ -58,69 +59,100 @@ def apportion(parties: DataFrame, within: list[str], party: str, votes: str, sea
     number is known but for a short run of its quotients; only those runs are
     ranked, about three for a party.
     """
-    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    df = parties.withColumns({"__seats": seats, "__total": total, "__n": F.count(F.lit(1)).over(group)})
+    df = cut(parties.withColumns({"__seats": seats, "__total": total, "__all": F.lit(0)}))
+    by = within or ["__all"]
+    df = df.join(small(cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))), few), by)
     df = df.withColumn("__share", F.when(F.col("__total") > 0, F.col(votes) * F.col("__seats") / F.col("__total")).otherwise(0.0))
     reach = F.ceil(F.col("__share") * (F.col("__n") + 1) / (2 * F.greatest("__seats", F.lit(1)))) + 2
     df = df.withColumn("__sure", F.greatest(F.floor("__share") - reach, F.lit(0)).cast("long"))
     df = df.withColumn("__k", F.explode(F.sequence("__sure", (F.floor("__share") + reach).cast("long"))))
     df = df.withColumn("__quotient", F.col(votes) / (2 * F.col("__k") + 1))
-    rank = F.row_number().over(group.orderBy(F.col("__quotient").desc(), party, "__k"))
-    sure = F.sum(F.when(F.col("__k") == F.col("__sure"), F.col("__sure")).otherwise(0)).over(group)
-    df = df.withColumn("__taken", ((rank <= F.col("__seats") - sure) & (F.col("__quotient") > 0)).cast("long"))
-    return df.groupBy(*within, party).agg((F.first("__sure") + F.sum("__taken")).alias("quota"))
+    df = df.select(*by, party, "__seats", "__sure", "__k", "__quotient")
+    df = cut(running(df, by, [F.col("__quotient").desc(), F.col(party), F.col("__k")], {"__before": F.lit(1)}, few))
+    sure = df.filter(F.col("__k") == F.col("__sure")).groupBy(*by).agg(F.sum("__sure").alias("__surely"))
+    df = df.join(small(cut(sure), few), by)
+    taken = (F.col("__before") < F.col("__seats") - F.col("__surely")) & (F.col("__quotient") > 0)
+    return df.groupBy(*within, party).agg((F.min("__sure") + F.sum(taken.cast("long"))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """``docs`` with source_size, target, shard and taken (words the mix takes, repeats counted).
+def shard_of(key: Column, shards: Column) -> Column:
+    """The shard of a digest."""
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), shards)
 
-    Every row stays; rows of size 0 take 0; rows that repeat an id are taken
-    apart. No document is taken more than ``cap`` times, the last time perhaps
-    in part. Equal seeds give equal results. An empty table gives no rows.
+
+def quotas(sized: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of rows (id, source, size).
+
+    (__source, __rank, __shards, source_size, target) of every source, and
+    (__of, shard, __cell, __words) of every shard, __of its source's rank:
+    the words it has and those it gives.
     """
-    columns = docs.columns
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
-    of = cut(targets(sized, weights, cap))
-    key = order_key(F.col(id_col), seed)
-    same = lambda a, b: a.eqNullSafe(b)
-
-    def shard(n: Column, digest: Column) -> Column:
-        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n)
-
-    of = of.withColumn("__shards", F.ceil(F.col("n_docs") / shard_docs))
-    shards = of.select(F.col("source").alias("__source"), "rank", "__shards", "source_size", "target")
-    shards = small(cut(shards))
-    cells = sized.join(shards, same(F.col("source"), F.col("__source")))
-    cells = cells.withColumn("shard", shard(F.col("__shards"), order_key(F.col("__id"), seed)))
+    of = targets(sized.select("source", "size"), weights, cap, few).withColumn("shards", F.ceil(F.col("n_docs") / shard_docs))
+    of = cut(of)
+    sources = small(of.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"), F.col("shards").alias("__shards"), "source_size", "target"), few)
+    cells = sized.join(sources, F.col("source").eqNullSafe(F.col("__source")))
+    cells = cells.select(F.col("__rank").alias("rank"), shard_of(order_key(F.col("id"), seed), F.col("__shards")).alias("shard"), "size")
     cells = cut(cells.groupBy("rank", "shard").agg(F.sum("size").alias("cell")))
+    all_targets = F.lit(of.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+    seats = apportion(of.select("rank", "target"), [], "rank", "target", F.floor(all_targets / block + 0.5), all_targets, few)
+    sums = small(cut(seats.join(cells.groupBy("rank").agg(F.sum("cell").alias("words")), "rank")), few)
+    per_shard = apportion(cells.join(sums, "rank"), ["rank"], "shard", "cell", F.col("quota"), F.col("words"), few)
+    given = cells.join(per_shard, ["rank", "shard"]).select(F.col("rank").alias("__of"), "shard", F.col("cell").alias("__cell"), F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))
+    return sources, small(cut(given), few)
+
+
+def placed(docs: DataFrame, key: Column, source: Column, sources: DataFrame, given: DataFrame) -> DataFrame:
+    """``docs`` with __key and its source's and its shard's rows."""
+    df = docs.withColumn("__key", key).join(sources, source.eqNullSafe(F.col("__source")))
+    df = df.withColumn("__shard", shard_of(F.col("__key"), F.col("__shards")))
+    return df.join(given, (F.col("__rank") == F.col("__of")) & (F.col("__shard") == F.col("shard")))
 
-    whole = Window.partitionBy(F.lit(0))
-    all_targets = F.sum("target").over(whole)
-    quotas = apportion(of.select("rank", "target"), [], "rank", "target", F.floor(all_targets / block + 0.5), all_targets)
-    cells = cells.join(quotas, "rank")
-    per_shard = apportion(cells, ["rank"], "shard", "cell", F.col("quota"), F.sum("cell").over(Window.partitionBy("rank")))
-    quotas = cells.drop("quota").join(per_shard, ["rank", "shard"])
-    quotas = small(cut(quotas.select("rank", "shard", "cell", F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))))
-
-    df = docs.join(shards, same(docs[source_col], F.col("__source")))
-    df = df.withColumn("__key", key).withColumn("shard", shard(F.col("__shards"), F.col("__key")))
-    df = df.join(quotas, ["rank", "shard"])
-    line = Window.partitionBy("rank", "shard").orderBy("__key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, few: int = FEW) -> DataFrame:
+    """``docs`` with source_size, target, shard and taken (words the mix takes, repeats counted).
+
+    Every row stays; rows of size 0 take 0; rows that repeat an id are taken
+    apart, those alike in id and size in any order. A shard's quota is taken
+    from the front of its seeded order, so the last document of a round may be
+    taken in part; no document is taken more than ``cap`` times. Equal seeds
+    give equal results. An empty table gives no rows. Columns of ``docs`` named
+    as those added give way to them.
+    """
+    made = ("source_size", "target", "shard", "taken")
+    docs = docs.select(*(c for c in docs.columns if c not in made))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
+    df = placed(docs, order_key(F.col(id_col), seed), F.col(source_col), *quotas(sized, weights, cap, block, shard_docs, seed, few))
+    line = Window.partitionBy("__rank", "shard").orderBy("__key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__before", F.coalesce(F.sum(size_col).over(line), F.lit(0)))
-    rounds = F.when(F.col("cell") > 0, F.expr("__words div cell")).otherwise(0)
-    rest = F.when(F.col("cell") > 0, F.expr("__words % cell")).otherwise(0)
+    rounds = F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)
+    rest = F.when(F.col("__cell") > 0, F.expr("__words % __cell")).otherwise(0)
     taken = rounds * F.col(size_col) + F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col(size_col))
-    return df.select(*columns, "source_size", "target", F.col("shard").cast("long").alias("shard"), taken.cast("long").alias("taken"))
+    return df.select(*docs.columns, "source_size", "target", F.col("shard").cast("long").alias("shard"), taken.cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, few: int = FEW) -> DataFrame:
     """The mix in whole documents, with the columns of ``docs``: each row as often as its words are taken, rounded.
 
-    A row without words isn't taken.
+    All is worked out on ids, sources, sizes and a hash of the text. In a
+    shard's order the rows up to one are taken once more than those after it,
+    so that row's place is all that is joined to the texts, which aren't
+    shuffled. Rows alike in id and text are taken alike; a row without words
+    isn't taken; a null source is a source, a null id an id. An empty table
+    gives no rows.
     """
-    mixed = mix(docs.withColumn("__size", words(F.col(text_col))), id_col, source_col, "__size")
-    times = F.when(F.col("__size") > 0, F.expr("(2 * taken + __size) div (2 * __size)")).otherwise(0)
-    return mixed.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*docs.columns)
+    row = lambda: F.xxhash64(F.col(text_col))
+    slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row().alias("row")))
+    sources, given = quotas(slim.select("id", "source", "size"), weights, cap, block, shard_docs, seed, few)
+    df = placed(slim, order_key(F.col("id"), seed), F.col("source"), sources, given)
+    line = Window.partitionBy("__rank", "shard").orderBy("__key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    more = (F.col("__cell") > 0) & (F.col("size") > 0) & (2 * F.expr("(__words % __cell) - before") >= F.col("size"))
+    place = F.struct(F.col("__key").alias("key"), F.col("id"), F.col("row"))
+    last = df.groupBy("__of", "shard").agg(F.max(F.when(more, place)).alias("__last"), F.max(F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)).alias("__rounds"))
+    df = placed(docs.select(F.struct(*docs.columns).alias("__row"), F.col(source_col).alias("__src"), F.col(id_col).alias("__id"), row().alias("__hash"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("__any")).filter("__any"), order_key(F.col("__id"), seed), F.col("__src"), sources, small(cut(last), few))
+    once_more = F.coalesce(F.struct(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col("__hash").alias("row")) <= F.col("__last"), F.lit(False))
+    times = (F.col("__rounds") + once_more.cast("long")).cast("int")
+    return df.select("__row", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).select("__row.*")
 
 
 #: op8 in DuckDB SQL.

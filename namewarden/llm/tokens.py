@@ -1,11 +1,12 @@
 """Token counts, with huge documents encoded in overlapping windows.
 
 A text of over ``WINDOW`` characters is encoded window by window, each with the
-offsets of its tokens; neighbours share an overlap. They are spliced at a place
-in the overlap that is proven stable: an ASCII space that no token of either
-covers, from which on both give the same tokens up to the next such place.
-Where there is none the overlap doubles, down to the window's own start and
-then over the whole rest.
+offsets of its tokens; neighbours share an overlap. They are spliced between
+two tokens of a run of ``SHARED`` that both windows have at the same places: a
+sequence of tokens is what the merges give if all its neighbouring pairs are,
+and each pair of the spliced sequence stands in one of the windows. Where there
+is no such run the overlap doubles, down to the window's own start and then
+over the whole rest.
 
 Other texts are cut at spaces, where this kind of tokenizer (words apart, white
 space dropped) can't join tokens; a distinct piece is encoded once per worker.
@@ -15,14 +16,15 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from namewarden.llm.common import map_texts, process_cache
+from namewarden.llm.common import Recent, map_texts, process_cache
 
-#: Characters of a window and of the first overlap tried; texts longer than a window are huge.
-WINDOW, OVERLAP = 65_536, 512
+#: Characters of a window and of the first overlap tried; texts longer than a window are huge. Tokens that windows share.
+WINDOW, OVERLAP, SHARED = 24_576, 512, 6
 #: Most pieces that a worker keeps, and the longest one kept.
-CACHE, CACHED_CHARS = 200_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
 
@@ -39,59 +41,65 @@ def load(path: str):
     return cache[path]
 
 
-def _encode(tokenizer, text: str, at: int) -> list[tuple[int, int, int]]:
-    """(id, start, end) of a window that begins at ``at``."""
+def _encode(tokenizer, text: str, at: int) -> np.ndarray:
+    """Rows (id, start, end) of a window that begins at ``at``."""
     e = tokenizer.encode(text, add_special_tokens=False)
-    return [(i, a + at, b + at) for i, (a, b) in zip(e.ids, e.offsets)]
-
-
-def _stable(text: str, left: list, right: list, low: int, high: int) -> int | None:
-    """The first space in [low, high) from which to the next one both windows agree, uncovered in both."""
-    spaces = [i for i in range(low, high) if text[i] == " "]
-    if len(spaces) < 3:
-        return None
-    a = [t for t in left if t[2] > low]
-    b = [t for t in right if t[1] < high]
-    for o, end in zip(spaces[1:], spaces[2:]):
-        if any(s <= o < e or s <= end < e for _, s, e in chain(a, b)):
-            continue
-        inside = [[t for t in side if o < t[1] and t[2] <= end] for side in (a, b)]
-        if inside[0] and inside[0] == inside[1]:
-            return o
-    return None
+    spans = np.array(e.offsets, np.int64).reshape(-1, 2) + at
+    return np.column_stack([np.array(e.ids, np.int64), spans])
+
+
+def _shared_run(left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
+    """Rows of left and right in the midst of the first ``SHARED`` tokens in a row that are the same in both; None without."""
+    row = lambda t: np.ascontiguousarray(t).view([("", np.int64)] * 3).ravel()
+    _, i, j = np.intersect1d(row(left), row(right), return_indices=True)
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    n = SHARED - 1
+    runs = np.flatnonzero((i[n:] - i[: len(i) - n] == n) & (j[n:] - j[: len(j) - n] == n)) if len(i) > n else ()
+    return (int(i[runs[0]]) + SHARED // 2, int(j[runs[0]]) + SHARED // 2) if len(runs) else None
+
 
+def encode_long(tokenizer, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> np.ndarray:
+    """Rows (id, start, end) of every token of the text, equal to encoding it whole.
 
-def encode_long(tokenizer, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(id, start, end) of every token of the text, equal to encoding it whole."""
+    ``overlap`` is longer than the tokenizer's longest special string, so one
+    that a window cuts is whole in the other.
+    """
     done: list = []  # tokens before the window at hand
     begin, stop = 0, min(window, len(text))
-    tokens = _encode(tokenizer, text[:stop], 0)
+    tokens, seam = _encode(tokenizer, text[:stop], 0), None
     while stop < len(text):
-        wide, o = overlap, None
-        while o is None and wide < stop - begin:
+        wide, at = overlap, None
+        while at is None and wide < stop - begin:
             low, end = stop - wide, min(len(text), stop + window)
             right = _encode(tokenizer, text[low:end], low)
-            o = _stable(text, tokens, right, low, stop)
+            first = int(np.searchsorted(tokens[:, 1], low))
+            at = _shared_run(tokens[first:], right[: int(np.searchsorted(right[:, 1], stop))])
             wide *= 2
-        if o is None:  # nothing to splice at: this window grows
-            stop = min(len(text), stop + max(window, stop - begin))
-            tokens = _encode(tokenizer, text[begin:stop], begin)
+        if at is not None:
+            done.append(tokens[: first + at[0]])
+            seam, tokens = right[at[1] - SHARED // 2 : at[1] + SHARED - SHARED // 2], right[at[1] :]
+            begin, stop = low, end
             continue
-        done += [t for t in tokens if t[2] <= o]
-        tokens = [t for t in right if t[1] > o]
-        begin, stop = o + 1, end
-    return done + tokens
-
-
-def count(tokenizer, texts: list[str], kept: dict[str, int], window: int = WINDOW, overlap: int = OVERLAP) -> list[int]:
+        # nothing to splice at: this window grows, and must still fit what is before it
+        stop = min(len(text), stop + max(window, stop - begin))
+        tokens = _encode(tokenizer, text[begin:stop], begin)
+        if seam is not None:
+            at = _shared_run(seam, tokens)
+            if at is None:
+                return _encode(tokenizer, text, 0)
+            tokens = tokens[at[1] :]
+    return np.concatenate([*done, tokens])
+
+
+def count(tokenizer, texts: list[str], kept: Recent, window: int = WINDOW, overlap: int = OVERLAP) -> list[int]:
     """The number of tokens of each whole text."""
     cut = [t.split(" ") if len(t) <= window else None for t in texts]
-    if len(kept) > CACHE:
-        kept.clear()
-    new = sorted(set(chain.from_iterable(c for c in cut if c)).difference(kept))
+    new = kept.want(set(chain.from_iterable(c for c in cut if c)))
     got = {s: len(e) for s, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-    kept.update((s, n) for s, n in got.items() if len(s) <= CACHED_CHARS)
-    find = kept.__getitem__ if all(len(s) <= CACHED_CHARS for s in new) else lambda s: kept[s] if s in kept else got[s]
+    long = {s: got.pop(s) for s in new if len(s) > CACHED_CHARS}
+    kept.update(got)
+    find = kept.__getitem__ if not long else lambda s: long[s] if s in long else kept[s]
     return [len(encode_long(tokenizer, t, window, overlap)) if c is None else sum(map(find, c)) for t, c in zip(texts, cut)]
 
 
@@ -103,7 +111,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     """
 
     def run(texts: list[str]) -> dict:
-        kept = process_cache().setdefault(("counts", path), {})
+        kept = process_cache().setdefault(("counts", path), Recent(CACHE))
         n = count(load(path), texts, kept, window, overlap)
         return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
