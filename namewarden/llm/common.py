@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from namewarden.operators.durable import cut, ensure_checkpoints, running, small
@@ -32,6 +33,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; those that hold maps or variants, which have no hash, by their JSON."""
+    plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    return F.xxhash64(*(F.col(name(f.name)) if plain(f) else F.to_json(F.struct(name(f.name))) for f in df.schema))
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     name = "_namewarden_process_cache"

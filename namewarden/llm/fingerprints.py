@@ -1,12 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, with DataFrame functions only.
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash
-range, so its size follows the text's and sketches of very unequal texts
-compare without bias; the sketch of a union is the union of sketches. A text
-with fewer than ``FLOOR`` such hashes keeps its ``FLOOR`` least ones instead
-(all, if it has no more), so that short texts compare too. Each sketch thus
-holds all of its text's hashes up to its reach; two are compared up to the
-shorter reach of both.
+range, the same for all texts: its size follows the text's, sketches of very
+unequal texts compare without bias, and the sketch of a union is the union of
+sketches. ``SCALE`` 1 keeps all and is exact. Beside the hashes a sketch has
+one hash of all shingles in order, which tells apart texts so short that none
+of their hashes is below the threshold.
 """
 
 from __future__ import annotations
@@ -16,12 +15,12 @@ from pyspark.sql import functions as F
 
 from namewarden.llm.common import cut, small
 
-#: Words of a shingle; the fraction of hashes kept is 1 / SCALE; least hashes kept.
-SHINGLE, SCALE, FLOOR = 5, 8, 32
+#: Words of a shingle; the fraction of hashes kept is 1 / SCALE.
+SHINGLE, SCALE = 5, 4
 SPACE = " \t\n\x0b\f\r"
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: A window of the order by id spans 2**SPAN ids at most; upper levels span 2**20 windows each.
-SPAN, UPPER = 10, 20
+LEAST = -(1 << 63)
+#: A window of the order by id spans 2**SPAN ids at most; upper levels span 2**UPPER windows each. Null ids lie in 2**NULLS windows.
+SPAN, UPPER, NULLS = 10, 20, 20
 
 
 def hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -30,78 +29,78 @@ def hashes(words: Column, shingle: int = SHINGLE) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(shingle)))))
 
 
-def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
-    """``df`` with ``out``: struct(kept array<long> ascending, reach long) of the text column (null: empty)."""
+def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """``df`` with ``out``: struct(kept array<long> ascending, whole long) of the text column (null: empty)."""
     bound = LEAST + (1 << 64) // scale
     df = df.withColumn("__t", F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE)))
     df = df.withColumn("__w", F.when(F.col("__t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("__t", "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))))
     df = df.withColumn("__h", hashes(F.col("__w"), shingle))
-    df = df.withColumn("__b", F.array_distinct(F.filter("__h", lambda x: x < F.lit(bound))))
-    df = df.withColumn("__s", F.when(F.size("__b") >= floor, F.sort_array("__b")).otherwise(F.slice(F.sort_array(F.array_distinct("__h")), 1, floor)))
-    reach = F.when(F.size("__b") >= floor, F.lit(bound - 1)).when(F.size("__s") < floor, F.lit(MOST)).otherwise(F.element_at("__s", -1))
-    return df.withColumn(out, F.struct(F.col("__s").alias("kept"), reach.alias("reach"))).drop("__t", "__w", "__h", "__b", "__s")
+    kept = F.sort_array(F.array_distinct("__h" if scale == 1 else F.filter("__h", lambda x: x < F.lit(bound))))
+    return df.withColumn(out, F.struct(kept.alias("kept"), F.xxhash64("__h").alias("whole"))).drop("__t", "__w", "__h")
 
 
 def shown(sketch: str) -> Column:
-    """A sketch as a string: its reach and its hashes as hexadecimal numbers."""
-    return F.concat_ws(":", F.lower(F.hex(f"{sketch}.reach")), F.array_join(F.transform(f"{sketch}.kept", lambda x: F.lower(F.hex(x))), ","))
+    """A sketch as a string: the hash of all shingles and the kept ones as hexadecimal numbers."""
+    return F.concat_ws(":", F.lower(F.hex(f"{sketch}.whole")), F.array_join(F.transform(f"{sketch}.kept", lambda x: F.lower(F.hex(x))), ","))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, likeness: str, containment: str) -> DataFrame:
     """Adds the estimated resemblance of two sketches' shingle sets, and the larger containment of one in the other.
 
-    Two sets without shingles are alike (1); one without and one with aren't (0).
+    Where neither has a kept hash, texts of the same shingles are alike (1) and others aren't (0).
     """
-    reach = F.least(f"{a}.reach", f"{b}.reach")
-    df = df.withColumn("__r", reach)
-    for s, o in ((a, "__a"), (b, "__b")):
-        df = df.withColumn(o, F.when(F.col(f"{s}.reach") == F.col("__r"), F.col(f"{s}.kept")).otherwise(F.filter(f"{s}.kept", lambda x: x <= F.col("__r"))))
-    df = df.withColumn("__n", F.size(F.array_intersect("__a", "__b")))
-    union = F.size("__a") + F.size("__b") - F.col("__n")
-    lesser = F.least(F.size("__a"), F.size("__b"))
-    df = df.withColumn(likeness, F.when(union == 0, F.lit(1.0)).otherwise(F.col("__n") / union))
-    df = df.withColumn(containment, F.when(union == 0, F.lit(1.0)).when(lesser == 0, F.lit(0.0)).otherwise(F.col("__n") / lesser))
-    return df.drop("__r", "__a", "__b", "__n")
+    df = df.withColumn("__n", F.size(F.array_intersect(f"{a}.kept", f"{b}.kept")))
+    sizes = [F.size(f"{s}.kept") for s in (a, b)]
+    neither = (F.col(f"{a}.whole") == F.col(f"{b}.whole")).cast("double")
+    df = df.withColumn(likeness, F.when(F.greatest(*sizes) == 0, neither).otherwise(F.col("__n") / (sizes[0] + sizes[1] - F.col("__n"))))
+    df = df.withColumn(containment, F.when(F.greatest(*sizes) == 0, neither).when(F.least(*sizes) == 0, F.lit(0.0)).otherwise(F.col("__n") / F.least(*sizes)))
+    return df.drop("__n")
 
 
-def _next_windows(firsts: DataFrame, bits: int) -> DataFrame:
-    """(bucket, next) for rows (bucket, text): the row of the next bucket there is, the first one's after the last.
+def next_buckets(buckets: DataFrame, bits: int = 64 - SPAN + 1) -> DataFrame:
+    """(bucket, next) for distinct buckets: the next one there is, the first after the last.
 
     Level by level: a window spans 2**UPPER buckets, its last one takes the
     first of the next window, found in the same way. The last level has few
     rows, whatever the ids are.
     """
-    row = F.struct("bucket", "text")
     if bits <= UPPER:
         line = Window.orderBy("bucket")
-        first = F.first(row).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return firsts.select("bucket", F.coalesce(F.lead(row).over(line), first).alias("next"))
-    wide = firsts.withColumn("wide", F.shiftright("bucket", UPPER))
-    within = wide.select("bucket", "wide", F.lead(row).over(Window.partitionBy("wide").orderBy("bucket")).alias("in"))
-    heads = wide.groupBy(F.col("wide").alias("bucket")).agg(F.min_by("text", "bucket").alias("text"), F.min("bucket").alias("own"))
-    after = _next_windows(heads.select("bucket", F.struct("text", "own").alias("text")), bits - UPPER)
-    after = after.select(F.col("bucket").alias("wide"), F.struct(F.col("next.text.own").alias("bucket"), F.col("next.text.text").alias("text")).alias("out"))
-    return within.join(after, "wide").select("bucket", F.coalesce("in", "out").alias("next"))
-
-
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next_text): the text of the next document by ascending id, the first one's after the last.
-
-    Rows that share an id are ordered by text; a null id comes first; null
-    texts become empty. The order is found window by window over ranges of
-    ids, so the texts are shuffled once and no task orders all rows.
+        first = F.first("bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return buckets.select("bucket", F.coalesce(F.lead("bucket").over(line), first).alias("next"))
+    wide = buckets.withColumn("wide", F.shiftright("bucket", UPPER))
+    within = wide.select("bucket", "wide", F.lead("bucket").over(Window.partitionBy("wide").orderBy("bucket")).alias("in"))
+    heads = wide.groupBy("wide").agg(F.min("bucket").alias("head"))
+    after = next_buckets(heads.select(F.col("wide").alias("bucket")), bits - UPPER).select(F.col("bucket").alias("wide"), F.col("next").alias("to"))
+    after = after.join(heads.select(F.col("wide").alias("to"), "head"), "to").select("wide", "head")
+    return within.join(after, "wide").select("bucket", F.coalesce("in", "head").alias("next"))
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """(id, text, own, next_text, next_own): each text and its sketch beside those of the next document by ascending id, the first one's after the last.
+
+    Rows that share an id are ordered by text; null ids come first, in the
+    order of a hash of their texts; null texts become empty. Which window of
+    ids follows which is found on window numbers alone; texts are shuffled
+    once, and each window's first row is fetched by the one before.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    docs = docs.withColumn("bucket", F.coalesce(F.shiftright("id", SPAN), F.lit(LEAST >> SPAN)))
-    heads = cut(docs.groupBy("bucket").agg(F.min("id").alias("id")))
-    firsts = docs.alias("d").join(small(heads).alias("h"), (F.col("d.bucket") == F.col("h.bucket")) & F.col("d.id").eqNullSafe(F.col("h.id")))
-    firsts = cut(firsts.select("d.bucket", "d.text").groupBy("bucket").agg(F.min("text").alias("text")))
-    after = _next_windows(firsts, 64 - SPAN).select("bucket", F.col("next.text").alias("after"))
-    lead = F.lead("text").over(Window.partitionBy("bucket").orderBy("id", "text"))
-    return docs.withColumn("in", lead).join(after, "bucket").select(F.col("id").alias(id_col), "text", F.coalesce("in", "after").alias("next_text"))
-
-
-def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    null_bucket = F.lit((LEAST >> SPAN) - (1 << NULLS)) + F.pmod(F.xxhash64("text"), F.lit(1 << NULLS))
+    docs = docs.withColumn("bucket", F.coalesce(F.shiftright("id", SPAN), null_bucket))
+    heads = cut(docs.groupBy("bucket").agg(F.min("id").alias("head")))
+    at = heads.select(F.col("bucket").alias("b"), "head")
+    firsts = docs.join(small(at), (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("head")))
+    firsts = with_sketch(firsts.groupBy("bucket").agg(F.min("text").alias("text")), "text", "own", shingle, scale)
+    firsts = firsts.select("bucket", F.struct("text", "own").alias("first"))
+    after = cut(next_buckets(heads.select("bucket"))).withColumnRenamed("bucket", "b").join(firsts, F.col("next") == F.col("bucket"))
+    after = cut(after.select(F.col("b").alias("bucket"), "first"))
+    docs = with_sketch(docs.repartition("bucket"), "text", "own", shingle, scale)
+    lead = F.lead(F.struct("text", "own")).over(Window.partitionBy("bucket").orderBy("id", "text"))
+    df = docs.withColumn("in", lead).join(after, "bucket").withColumn("then", F.coalesce("in", "first"))
+    return df.select(F.col("id").alias(id_col), "text", "own", F.col("then.text").alias("next_text"), F.col("then.own").alias("next_own"))
+
+
+def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Fingerprints of every whole text and of its edit, and their likenesses.
 
     The edit replaces the last floor(n_chars / 2) code points by the first as
@@ -110,12 +109,11 @@ def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     contained_edited, contained_next), a row for every row; a lone document is
     its own next one, an empty table gives no rows, other columns are ignored.
     """
-    df = with_next(docs, id_col, text_col)
+    df = with_next(docs, id_col, text_col, shingle, scale)
     df = df.withColumn("n_chars", F.char_length("text").cast("long"))
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))"))
-    for text, sketch in (("text", "own"), ("edited", "made"), ("next_text", "follows")):
-        df = with_sketch(df, text, sketch)
-    df = df.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "next_text", "edited")
+    df = with_sketch(df.drop("text", "next_text"), "edited", "made", shingle, scale)
+    df = df.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     df = with_likeness(df, "own", "made", "near_edited", "contained_edited")
-    df = with_likeness(df, "own", "follows", "near_next", "contained_next")
+    df = with_likeness(df, "own", "next_own", "near_next", "contained_next")
     return df.select(id_col, "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("made").alias("edited_fingerprint"), "near_edited", "near_next", "contained_edited", "contained_next")

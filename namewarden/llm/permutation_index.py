@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is known by the order of its ``PREFIX`` nearest of ``PIVOTS`` pivots.
-A shard of the index posts its vectors in one inverted file per pivot, with the
-pivot's place in the vector's order. A query adds up, over the files of its own
-nearest pivots, how far apart the places are (the footrule; a pivot that one of
-the two doesn't have counts as at place ``PREFIX``), takes the share ``SHARE``
-of the shard with the least footrule (``LEAST`` at least, and all ties with the
-last), and ranks these by exact cosine.
+A vector is known by the order of its ``PREFIX`` nearest pivots. The index
+posts it in the inverted files of its ``POSTED`` nearest ones; files lie in
+buckets by pivot. A query is sent only to the buckets that hold files of its
+own nearest pivots (``probed`` of them), adds up in each how far apart the
+places of pivots are in both orders (the footrule; a pivot that one of the two
+doesn't have counts as at place ``PREFIX``), takes the ``KEEP`` least of the
+rows posted in its files, ties to smaller ids, and ranks these by exact cosine.
+
+Pivots number about 4 times the root of the vectors, so a file's length and the
+files that a query reads both grow slower than the vectors. A bucket whose
+files or queries are many (one vector a million times) is split into blocks.
 """
 
 from __future__ import annotations
@@ -17,55 +21,77 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from namewarden.llm.common import cut
+from namewarden.llm.common import cut, small
 
-#: Pivots come from a bounded sample of the vectors (``SAMPLE`` times as many, by least hashes of their ids), near-equal ones left out.
-PIVOTS, PREFIX, SAMPLE, ALIKE = 256, 64, 4, 0.9
-#: Candidates reranked: this share of a shard, at least so many.
-SHARE, LEAST = 0.15, 1000
-#: Vectors of a shard and queries of a block; a task holds one of each.
-SHARD, BLOCK = 16_384, 2_048
+#: Pivots come from a bounded sample (``SAMPLE`` rows a pivot, by least hashes of their ids), near-equal ones left out; most pivots.
+SAMPLE, ALIKE, MOST = 4, 0.9, 1 << 16
+#: Places of an order; files that a vector is posted in; rows of a bucket that are reranked for a query.
+PREFIX, POSTED, KEEP = 64, 4, 384
+#: Postings and queries wanted in a task.
+ROWS, QUERIES = 16_384, 65_536
 TOP = 5
 
 
+def pivots_for(rows: int) -> int:
+    return min(MOST, 4 * math.isqrt(rows) + 16)
+
+
+def probed(pivots: int) -> int:
+    """How many of its nearest pivots' files a query reads."""
+    return min(pivots, math.ceil(3 * pivots**0.6))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>, dim) of vectors that aren't null, empty or zero and have finite components only."""
+    """(id, v, dim) of vectors that aren't null, empty or zero and have finite components only; rows that repeat an id are one, the least."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    df = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vec_col].dataType
+    v = F.col(vec_col) if isinstance(getattr(kind, "elementType", None), T.FloatType) else F.col(vec_col).cast("array<double>")
+    df = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
     df = df.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(~bad & F.exists("v", lambda x: x != 0))
-    return df.withColumn("dim", F.size("v"))
+    return df.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that nothing over- or underflows; cosines stay what they are."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    """Rows of length 1; scaled by a power of two first, so that none over- or underflows."""
-    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+    rows = scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Dot product over the lengths' product, sums exactly rounded."""
+    return math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b)))
+
+
 def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
     """The first so many rows that are under ``ALIKE`` in cosine to those before; a copied vector so is one pivot."""
-    kept = [0]
-    for i in range(1, len(sample)):
-        if len(kept) < pivots and (sample[kept] @ sample[i]).max() < ALIKE:
-            kept.append(i)
-    return sample[kept]
+    kept = sample[:1].repeat(min(pivots, len(sample)), axis=0)
+    n = 1
+    for x in sample[1:]:
+        if n < len(kept) and (kept[:n] @ x).max() < ALIKE:
+            kept[n] = x
+            n += 1
+    return kept[:n]
 
 
 def orders(units: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Each row's nearest pivots, nearest first, ties to the lesser number."""
-    return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, : min(prefix, len(pivots))].astype(np.int16)
+    return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
 class Files:
-    """The inverted files of a shard: per pivot the rows that have it and its place in their orders."""
+    """Inverted files of some rows: per pivot the rows that have it in their orders and at which place."""
 
     def __init__(self, order: np.ndarray, pivots: int) -> None:
-        n, self.prefix = order.shape
+        self.n, self.prefix = order.shape
         at = np.argsort(order.ravel(), kind="stable")
         self.row, self.place = (at // self.prefix).astype(np.int32), (at % self.prefix).astype(np.int32)
         self.start = np.searchsorted(order.ravel()[at], np.arange(pivots + 1))
-        self.n = n
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
         """The footrule distance of every row to a query's order."""
@@ -78,63 +104,102 @@ class Files:
             far[self.row[a:b]] += np.abs(p - place) - (m - p) - (m - place)
         return far
 
-
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, share: float, least: int, top: int) -> tuple[list, list, list]:
-    """Query ids, ids and cosines of the nearest found in a shard, ties to smaller ids."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, units = ids[by_id], unit(vectors[by_id])
-    asked = unit(queries)
-    files = Files(orders(units, pivots, prefix), len(pivots))
-    want = min(len(ids), max(least, math.ceil(share * len(ids))))
-    out: tuple[list, list, list] = ([], [], [])
-    for q, order in enumerate(orders(asked, pivots, prefix)):
-        far = files.footrule(order)
-        near = np.flatnonzero(far <= np.partition(far, want - 1)[want - 1])
-        near = near[ids[near] != query_ids[q]]
-        score = units[near] @ asked[q]
-        if len(near) > 4 * top:
-            keep = score >= np.partition(score, -top)[-top] - 1e-9
-            near, score = near[keep], score[keep]
-        score = np.array([math.fsum(units[i] * asked[q]) for i in near.tolist()])
-        best = np.lexsort((ids[near], -score))[:top]
-        out[0].extend([query_ids[q]] * len(best))
-        out[1].extend(ids[near][best].tolist())
-        out[2].extend(score[best].tolist())
-    return out
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    def posted(self, pivots: np.ndarray, first: int) -> np.ndarray:
+        """Whether each row has one of these pivots among its ``first`` nearest."""
+        out = np.zeros(self.n, bool)
+        for pivot in pivots.tolist():
+            a, b = self.start[pivot], self.start[pivot + 1]
+            out[self.row[a:b][self.place[a:b] < first]] = True
+        return out
+
+
+def search_bucket(index: pd.DataFrame, queries: pd.DataFrame, buckets: int, bucket: int, pivots: int, posted: int, keep: int, top: int) -> pd.DataFrame:
+    """(query_id, id, score) of the nearest rows found in a bucket's files, ties to smaller ids."""
+    index = index.sort_values("id")
+    ids, vectors = index.id.to_numpy(), scaled(np.stack(index.v.to_list()).astype(float))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    files = Files(np.stack([np.frombuffer(o, np.int32) for o in index["order"]]), pivots)
+    out: list[tuple] = []
+    asked = scaled(np.stack(queries.v.to_list()).astype(float))
+    for q, vector, order, probe in zip(queries.id.tolist(), asked, queries["order"], queries.probe):
+        probe = np.frombuffer(probe, np.int32)
+        near = np.flatnonzero(files.posted(probe[probe % buckets == bucket], posted))
+        near = near[ids[near] != q]
+        if len(near) > keep:
+            far = files.footrule(np.frombuffer(order, np.int32))[near].astype(np.int64) * len(near) + np.arange(len(near))
+            near = near[np.sort(np.argpartition(far, keep - 1)[:keep])]
+        score = units[near] @ (vector / np.linalg.norm(vector))
+        if len(near) > top:
+            near = near[score >= np.partition(score, -top)[-top] - 1e-9]
+        found = sorted((-cosine(vectors[i], vector), ids[i]) for i in near.tolist())[:top]
+        out += [(q, i, -s) for s, i in found]
+    return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, pivots: int | None = None, prefix: int = PREFIX, posted: int = POSTED, keep: int = KEEP, rows: int = ROWS, queries_each: int = QUERIES) -> DataFrame:
     """(query_id, rank, id, score): the ``top`` nearest vectors found for each query by cosine.
 
     Both tables have ``id_col`` and ``vec_col``. Vectors that are null, empty,
     zero or not finite take no part, on either side; vectors of other lengths
     than a query's aren't its candidates; a query's own id isn't either. Rows
-    that repeat an id are one vector, the least. Fewer candidates than ``top``
-    give fewer rows. Every vector is indexed; the pivots of each length come
-    from a sample of at most ``SAMPLE * pivots`` rows.
+    that repeat an id are one vector, the least. A query of whose files few
+    rows are posted, or fewer than ``top`` vectors, give fewer rows. Every
+    vector is indexed; the pivots of each length come from a sample of at most
+    ``SAMPLE`` rows a pivot.
     """
-    rows = cut(usable(vectors, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // BLOCK)))))
-    n_blocks = F.lit(max(1, -(-rows.count() // SHARD)))
-    sample = rows.withColumn("h", F.xxhash64("id", F.lit(1))).withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "id"))).filter(F.col("n") <= SAMPLE * pivots)
+    every, asked = cut(usable(vectors, id_col, vec_col)), usable(queries, id_col, vec_col)
+    sizes = {r.dim: r.n for r in every.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {dim: pivots or pivots_for(n) for dim, n in sizes.items()}
+    buckets = {dim: max(1, math.ceil(n * posted / rows)) for dim, n in sizes.items()}
     chosen: dict[int, np.ndarray] = {}
-    for dim, group in sample.select("dim", "id", "h", "v").toPandas().groupby("dim"):
-        chosen[int(dim)] = spread(unit(np.stack(group.sort_values(["h", "id"]).v.to_list()).astype(float)), pivots)
-
-    def search(key: tuple, index: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(block):
-            found = ([], [], [])
-        else:
-            found = search_shard(index.id.to_numpy(), np.stack(index.v.to_list()).astype(float), block.id.to_numpy(), np.stack(block.v.to_list()).astype(float), chosen[int(key[0])], prefix, share, least, top)
-        return pd.DataFrame({"query_id": pd.Series(found[0], dtype="int64"), "id": pd.Series(found[1], dtype="int64"), "score": pd.Series(found[2], dtype="float64")})
-
-    shards = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(2)), n_blocks))
-    every_block = asked.select(F.col("dim").alias("d"), (F.col("block") + 0).alias("b")).distinct()
-    shards = shards.join(every_block, F.col("dim") == F.col("d")).select((F.col("dim") + 0).alias("dim"), "shard", F.col("b").alias("block"), "id", "v").groupBy("dim", "shard", "block")
-    every_shard = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1))).groupBy("dim", "shard", "block")
-    found = shards.cogroup(every_shard).applyInPandas(search, "query_id long, id long, score double")
-    # each shard gives a query few rows; the window keeps the best of all
+    for dim, n in wanted.items():
+        sample = every.filter(F.col("dim") == dim).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE * n).select("v").toPandas()
+        chosen[dim] = spread(unit(np.stack(sample.v.to_list()).astype(float)), n)
+
+    def number(frames):
+        """(id, v, order, probe, buckets of the posted and of the probed files) of each vector; none of another length than any indexed."""
+        for f in frames:
+            for dim, part in f.groupby("dim"):
+                if dim not in chosen:
+                    continue
+                all_orders = orders(unit(np.stack(part.v.to_list()).astype(float)), chosen[dim], max(prefix, probed(len(chosen[dim]))))
+                order, probe = np.ascontiguousarray(all_orders[:, :prefix]), np.ascontiguousarray(all_orders[:, : probed(len(chosen[dim]))])
+                at = lambda x: [np.unique(r % buckets[dim]) for r in x]  # noqa: B023, E731
+                yield pd.DataFrame({"id": part.id, "v": part.v, "dim": part.dim, "order": [r.tobytes() for r in order], "probe": [r.tobytes() for r in probe], "own": at(order[:, :posted]), "reads": at(probe)})
+
+    spec = T.StructType([*every.schema, *T._parse_datatype_string("order binary, probe binary, own array<long>, reads array<long>")])
+    shaped = lambda df: cut(df.mapInPandas(number, T.StructType([spec[c] for c in ("id", "v", "dim", "order", "probe", "own", "reads")])))
+    index = shaped(every).select("id", "v", "dim", "order", F.explode("own").alias("bucket"))
+    reads = shaped(asked).select("id", "v", "dim", "order", "probe", F.explode("reads").alias("bucket"))
+    load = lambda df, each, out: df.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / each).alias(out))
+    loads = small(cut(load(index, rows * 4, "blocks").join(load(reads, queries_each, "parts"), ["dim", "bucket"])))
+    index, reads = index.join(loads, ["dim", "bucket"]), reads.join(loads, ["dim", "bucket"])
+    block, part = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id", F.lit(2)), "parts")
+    index = index.select("dim", "bucket", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "v", "order")
+    reads = reads.select("dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), part.alias("part"), "id", "v", "order", "probe")
+
+    def search(key: tuple, rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asking):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        dim = int(key[0])
+        return search_bucket(rows, asking, buckets[dim], int(key[1]), len(chosen[dim]), posted, keep, top)
+
+    by = ("dim", "bucket", "block", "part")
+    found = index.groupBy(*by).cogroup(reads.groupBy(*by)).applyInPandas(search, "query_id long, id long, score double")
+    # a vector's files may lie in more buckets than one; each bucket gives a query few rows
     line = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    best = found.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= top)
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= top)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+
+def recall(vectors: np.ndarray, ids: np.ndarray, found: dict[int, list[int]], top: int = TOP) -> float:
+    """The share of the exact ``top`` nearest of each query that were found, over rows of usable vectors."""
+    units = unit(vectors.astype(float))
+    at = {i: n for n, i in enumerate(ids.tolist())}
+    hit = total = 0
+    for q, got in found.items():
+        score = units @ units[at[q]]
+        score[at[q]] = -2
+        best = np.lexsort((ids, -score.round(12)))[: min(top, len(ids) - 1)]
+        hit, total = hit + len(set(ids[best].tolist()) & set(got)), total + len(best)
+    return hit / max(1, total)

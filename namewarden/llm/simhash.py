@@ -8,10 +8,11 @@ The search is a metric self-join. A vantage-point tree over a bounded sample
 deals the distinct fingerprints to shards: at a node with vantage point v and
 radius mu, x goes inside if d(x, v) <= mu, else outside, and an x outside with
 d(x, v) <= mu + radius is also a visitor inside, as only there can it meet a
-partner within ``radius`` (triangle inequality). Each pair is so found in
-exactly the shard of its inner member. Inside a shard the same rule goes on
-until a cell is small enough to compare, and the shard gives a spanning star
-for each group found, never all pairs.
+partner within ``radius`` (triangle inequality). Each pair so meets in a shard.
+Inside a shard the tree goes on with one ring for each distance from a vantage
+point: a ring meets only those whose distances differ by ``radius`` or less,
+ring by ring from further vantage points, until few pairs are left to compare.
+A shard gives a spanning star for each group found, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts, small
+from namewarden.llm.common import cut, map_texts, row_hash, small
 from namewarden.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -32,8 +33,10 @@ WORDS, ALIKE, BANDS, ROWS, PAIRED = 5, 0.8, 25, 6, 16
 _MASKS, _FACTORS = np.random.default_rng(13).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Fingerprints sampled for the upper tree; rows wanted in a shard; most rows of a task's cell.
 SAMPLE, SHARD_ROWS, CELL_ROWS = 2048, 32_768, 200_000
-#: Cells of so many fingerprints aren't split any more.
-LEAF = 1024
+#: Pairs that are compared rather than thinned out by a further vantage point.
+LEAF = 1 << 18
+#: Fingerprints of over 1 / HOT of all rows (fewer than HOT there are) get their classes by broadcast.
+HOT = 1000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -64,8 +67,8 @@ def _far(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16)
 
 
-def _split(points: np.ndarray, radius: int, rng: np.random.Generator, low: float, most: float) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius that leave least to compare, neither side under ``low``; None if over ``most`` of all pairs stay."""
+def _split(points: np.ndarray, radius: int, rng: np.random.Generator, low: float) -> tuple[np.uint64, int] | None:
+    """The vantage point and radius that leave least to compare, neither side under ``low``; None without."""
     best = None
     for v in points[rng.integers(0, len(points), 8)]:
         seen = np.cumsum(np.bincount(_far(points, v), minlength=65 + radius)) / len(points)
@@ -73,7 +76,7 @@ def _split(points: np.ndarray, radius: int, rng: np.random.Generator, low: float
             inside, reached = seen[mu], seen[mu + radius]
             if low <= inside <= 1 - low and (best is None or reached**2 + (1 - inside) ** 2 < best[0]):
                 best = (reached**2 + (1 - inside) ** 2, v, mu)
-    return None if best is None or best[0] > most else best[1:]
+    return None if best is None else best[1:]
 
 
 def upper_tree(sample: np.ndarray, shards: int, radius: int = RADIUS) -> list | int:
@@ -81,7 +84,7 @@ def upper_tree(sample: np.ndarray, shards: int, radius: int = RADIUS) -> list |
     rng, numbers = np.random.default_rng(7), iter(range(1 << 30))
 
     def grow(points: np.ndarray, want: int):
-        at = _split(points, radius, rng, 0.3, 2.0) if want > 1 and len(points) >= 16 else None
+        at = _split(points, radius, rng, 0.3) if want > 1 and len(points) >= 16 else None
         if at is None:
             return next(numbers)
         v, mu = at
@@ -113,53 +116,64 @@ def route(tree: list | int, points: np.ndarray, radius: int = RADIUS) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def local_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For distinct sorted points the number of the least one that each is connected to.
+class Groups:
+    """Sets of numbers, each known by its least one."""
 
-    The tree goes on while a vantage point prunes; what stays together in a
-    cell is compared where one of radius + 1 bands of bits agrees, as it must
-    for a pair within ``radius``.
-    """
-    up, rng = np.arange(len(points)), np.random.default_rng(11)
-    edges_of = np.linspace(0, 64, radius + 2).astype(int)
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal up
-        apart = up[a] != up[b]
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Puts a[i] and b[i] together for every i."""
+        up = self.up
+        a, b = up[a], up[b]
+        apart = a != b
         if not apart.any():
             return
-        for i, j in zip(up[a[apart]].tolist(), up[b[apart]].tolist()):
+        for i, j in np.unique(np.stack([a[apart], b[apart]]), axis=1).T.tolist():
             while up[i] != i:
                 i = up[i]
             while up[j] != j:
                 j = up[j]
             up[max(i, j)] = min(i, j)
         while (over := up[up] != up).any():
-            up = np.where(over, up[up], up)
-
-    def compare(rows: np.ndarray) -> None:
-        for low, high in zip(edges_of, edges_of[1:]):
-            key = (points[rows] >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
-            order = np.argsort(key, kind="stable")
-            key, at = key[order], rows[order]
-            i, step = np.arange(len(at)), 1
-            while len(i := i[i + step < len(at)]) and len(i := i[key[i] == key[i + step]]):
-                a, b = at[i], at[i + step]
-                near = _far(points[a], points[b]) <= radius
-                join(a[near], b[near])
-                step += 1
-
-    stack = [np.arange(len(points))]
-    while stack:
-        rows = stack.pop()
-        sample = rows if len(rows) <= 2048 else rng.choice(rows, 2048, replace=False)
-        at = _split(points[sample], radius, rng, 0.1, 0.75) if len(rows) > LEAF else None
-        if at is None:
-            compare(rows)
-        else:
-            d = _far(points[rows], at[0])
-            stack += [rows[d <= at[1] + radius], rows[d > at[1]]]
-    return up
+            self.up = up = np.where(over, up[up], up)
+
+
+def local_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, tally: list | None = None) -> np.ndarray:
+    """For distinct sorted points the number of the least one that each is connected to.
+
+    ``tally`` takes the numbers of pairs that were compared.
+    """
+    groups, rng = Groups(len(points)), np.random.default_rng(11)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        step = max(1, (1 << 20) // len(b))
+        for at in range(0, len(a), step):
+            i, j = np.nonzero(np.bitwise_count(points[a[at : at + step], None] ^ points[b]) <= radius)
+            groups.join(a[at : at + step][i], b[j])
+        if tally is not None:
+            tally.append(len(a) * len(b))
+
+    def meet(a: np.ndarray, b: np.ndarray, alone: bool, left: int) -> None:
+        """Every pair of one of a and one of b; ``alone``: a and b are the same, so that a ring only meets itself and those outside it."""
+        if not len(a) or not len(b):
+            return
+        if len(a) * len(b) <= leaf or not left:
+            compare(a, b)
+            return
+        sample = points[b[rng.integers(0, len(b), 256)]]
+        v = max(sample[:4], key=lambda x: _far(sample, x).std())
+        d, e = _far(points[a], v), _far(points[b], v)
+        a, b = a[np.argsort(d, kind="stable")], b[np.argsort(e, kind="stable")]
+        d, e = np.sort(d), np.sort(e)
+        for ring in np.unique(d):
+            own = slice(*np.searchsorted(d, (ring, ring + 1)))
+            reached = slice(*np.searchsorted(e, (ring if alone else ring - radius, ring + radius + 1)))
+            meet(a[own], b[reached], False, left - 1)
+
+    everything = np.arange(len(points))
+    meet(everything, everything, True, 16)
+    return groups.up
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, more: DataFrame | None = None) -> DataFrame:
@@ -170,7 +184,7 @@ def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
     row from the first shuffle on, so copies never make pairs.
     """
     spark = prints.sparkSession
-    points = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    points = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     shards = max(1, -(-points.count() // shard_rows))
     sample = [r.fp for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()] if shards > 1 else []
     tree = upper_tree(np.array(sample, np.int64).view(np.uint64), shards, radius) if sample else 0
@@ -198,11 +212,14 @@ def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
 
     edges = cells.select("shard", "low", "high", "fp").groupBy("shard", "low", "high").applyInPandas(links, "x long, y long")
     groups = connected_components(edges if more is None else edges.unionByName(more))
-    groups = groups.join(points, groups.node == points.fp).select("fp", "root", "least")
+    groups = groups.join(points.drop("n"), groups.node == points.fp).select("fp", "root", "least")
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
-    named = points.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = cut(points.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    # a group of copies is as large as it likes: its rows aren't shuffled to one task
+    hot = F.broadcast(named.filter(F.col("n") * HOT > (named.agg(F.sum("n")).first()[0] or 0)).select("fp", "component_id"))
+    found = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(named.drop("n"), "fp"), allowMissingColumns=False)
+    return found.select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -276,7 +293,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that share the least id: the one of the least hash of all columns; of equal
     rows one stays. Null ids come last.
     """
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), row_hash(docs).alias("row"))
 
     def run(texts: list[str]) -> dict:
         sets, bands = zip(*map(sketch, texts))
