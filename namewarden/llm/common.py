@@ -33,11 +33,37 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are written in expressions, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row; those that hold maps or variants, which have no hash, by their JSON."""
     plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
-    name = lambda c: "`" + c.replace("`", "``") + "`"
-    return F.xxhash64(*(F.col(name(f.name)) if plain(f) else F.to_json(F.struct(name(f.name))) for f in df.schema))
+    return F.xxhash64(*(F.col(name) if plain(f) else F.to_json(F.struct(name)) for f, name in zip(df.schema, quoted(df.columns))))
+
+
+#: Keys that over 1 / HOT of all rows have, so fewer than HOT, are hot.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` beside the row of ``table`` that has the same ``on``, null for null; ``n`` counts a key's rows and is left out.
+
+    A hot key's rows aren't shuffled to one task: the fewer than ``HOT`` hot
+    keys are broadcast, the others joined by a shuffle. ``table`` is
+    checkpointed, has one row for every key of ``rows``, and is read thrice.
+    """
+    other = {c: f"__other_{c}" for c in on}
+    table = table.withColumnsRenamed(other)
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    is_hot = F.col(n) * HOT > total
+    same = lambda: [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]
+    hot = F.broadcast(table.filter(is_hot).drop(n))
+    made = rows.join(hot, same(), "inner").drop(*other.values())
+    rest = rows.join(F.broadcast(table.filter(is_hot).select(*other.values())), same(), "left_anti")
+    return made.unionByName(rest.join(table.filter(~is_hot).drop(n), same(), "inner").drop(*other.values()))
 
 
 def process_cache() -> dict:
@@ -92,18 +118,21 @@ def map_texts(df: DataFrame, function: Callable[[list[str]], dict], schema: str,
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     made = T._parse_datatype_string(schema)
-    spec = T.StructType([*(df.schema[c] for c in keep), *made])
+    # carried under plain names, as any may be in the table
+    place = {c: f"__c{i}" for i, c in enumerate(dict.fromkeys((*keep, column)))}
+    spec = T.StructType([*(T.StructField(place[c], df.schema[c].dataType) for c in keep), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(spec)
-        for part in slices(batches, column):
-            new = function([t or "" for t in part.column(column).to_pylist()])
-            columns = [part.column(c) for c in keep]
+        for part in slices(batches, place[column]):
+            new = function([t or "" for t in part.column(place[column]).to_pylist()])
+            columns = [part.column(place[c]) for c in keep]
             columns = [a.cast(f.type) for a, f in zip(columns, out)]
             columns += [pa.array(new[f.name], type=out.field(f.name).type) for f in made]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
         trim()
 
-    return df.select(*dict.fromkeys((*keep, column))).mapInArrow(run, spec)
+    rows = df.select(*(F.col(q).alias(p) for q, p in zip(quoted(list(place)), place.values())))
+    return rows.mapInArrow(run, spec).toDF(*keep, *made.names)

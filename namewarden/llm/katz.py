@@ -1,19 +1,23 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
+"""Katz backoff language model of any order: Good-Turing discounts, exactly normalised backoff weights.
 
-P(v | u) = d(c(uv)) c(uv) / c(u) for a seen pair, else alpha(u) P(v), with
-P(v) = d(c(v)) c(v) / N for a seen word, and what the discounts leave for the
-one class of unknown words. alpha(u) = (what is left of u) / (1 - sum of P(v)
-over the v seen after u). A text's boundary is one symbol: its end is a token,
-and it is the context of the first word.
+P(w | u..v) = d(c(u..vw)) c(u..vw) / c(u..v) for a seen n-gram, else
+alpha(u..v) P(w | ..v), one word of context less, down to P(w) = d(c(w)) c(w) / N
+for a seen word and what the discounts leave for the one class of unknown
+words. alpha(u..v) = (what is left of u..v) / (1 - sum of P(w | ..v) over the w
+seen after u..v). A context all of whose next words are counted over ``CUTOFF``
+times leaves nothing; it is given one more occurrence, and that is left. A
+text's boundary is one symbol: its end is a token, and it fills the contexts
+before the first words.
 
 Documents are packed into blocks: a local vocabulary of word hashes and local
-token numbers. Each block asks the word table, partitioned by word hash, for
-its distinct words' counts, then the pair table, partitioned by context, for
-its distinct pairs' counts and its contexts' sums; both requests carry the
-block's own training counts, so a table part is made and answered in one go.
-What is shuffled are distinct words and pairs of a block, packed. A context
-that holds over 1 / HOT of all tokens (so fewer than HOT there are) is spread
-over the parts by the next word, and its sums are added up.
+token numbers. Order by order each block asks the table of n-grams, partitioned
+by context, for its distinct n-grams' counts and for the sums of those contexts
+that it must back off from. A request carries the block's own training counts
+and the lower order's counts, so a part of the table is made and answered in
+one go, and no part is asked for a block that has nothing in it: rows are at
+most as many as distinct n-grams of blocks. What is shuffled is packed. A
+context that holds over 1 / HOT of all tokens (so fewer than HOT there are) is
+spread over the parts by the next word, and its sums are added up.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ from pyspark.sql import functions as F
 
 from namewarden.llm.common import cut, trim
 
-#: Bytes of text of a block; keys of a part; counts up to CUTOFF are discounted; HOT: see above.
-BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 16_000_000, 1_000_000, 5, 1000
+#: Words of an n-gram; bytes of text of a block; n-grams of a part; counts up to CUTOFF are discounted; HOT: see above.
+ORDER, BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 3, 8_000_000, 1_000_000, 5, 1000
 #: Documents whose crc32(id as text) mod FOLDS is 0 are held out.
 FOLDS = 10
 #: Of the base score.
 ADDED = 0.1
+#: Bits of a next word's hash that tell it from others after its context.
+NEXT = np.uint64((1 << 48) - 1)
 
-ROWS = "block long, kind int, part int, data binary"
-BLOCK, WORDS, PAIRS, STATS = 0, 1, 2, 3
+#: Level 0: a block itself; else the answers of an order.
+ROWS = "block long, level int, part int, data binary"
+#: For a block -1: sums of a hot context, or of all (a null hot).
+SUMS = ROWS + ", hot long, sums array<double>"
 
 
 def pack(**arrays) -> bytes:
@@ -86,7 +94,7 @@ def discounts(n: np.ndarray, cutoff: int) -> np.ndarray:
     if (n[1 : cutoff + 2] > 0).all():
         last = (cutoff + 1) * n[cutoff + 1] / n[1]
         found = ((r + 1) * n[r + 1] / n[r] / r - last) / (1 - last) if last < 1 else np.zeros(cutoff)
-        if (found > 0).all() and (found <= 1).all() and found[0] < 1:
+        if (found > 0).all() and (found < 1).all():
             out[1:] = found
             return out
     out[1:] = (r - 0.5) / r
@@ -113,17 +121,6 @@ class Unigrams:
         return np.where(count > 0, p, self.unknown)
 
 
-def _bounds(parts: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(parts, np.arange(n + 1))
-
-
-def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of words by part and hash, and where each part starts."""
-    part = (words >> np.uint64(20)) % np.uint64(parts)
-    order = np.lexsort((words, part))
-    return order, _bounds(part[order], parts)
-
-
 def _mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """A 64-bit hash of pairs of hashes."""
     x = (u ^ (v * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -133,7 +130,7 @@ def _mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """A row per block of documents, and the numbers of its distinct words and of its tokens."""
+    """A row per block of documents, and the numbers of its tokens, its training tokens and its training documents."""
 
     def run(batches):
         import pyarrow as pa
@@ -153,7 +150,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
             number[order] = np.arange(len(order), dtype=np.int32)
             words, flat = words[order], number[flat]
             data = pack(ids=np.array([0 if i is None else i for i in ids], np.int64), null=np.array([i is None for i in ids], bool), lens=np.array(lens, np.int64), train=train, words=words, tokens=flat)
-            made = pa.RecordBatch.from_pydict({"block": [TaskContext.get().partitionId() << 24 | seq], "kind": [BLOCK], "part": [0], "data": [data], "words": [len(words)], "tokens": [len(flat)]}, schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())]))
+            made = pa.RecordBatch.from_pydict({"block": [TaskContext.get().partitionId() << 24 | seq], "level": [0], "part": [0], "data": [data], "tokens": [len(flat)], "trained": [int(np.array(lens)[train].sum())], "docs": [int(train.sum())]}, schema=pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("tokens", pa.int64()), ("trained", pa.int64()), ("docs", pa.int64())]))
             seq, vocab, ids, lens, tokens, size = seq + 1, None, [], [], [], 0
             return made
 
@@ -174,199 +171,239 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
             yield close()
         trim()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ROWS + ", words long, tokens long")
-
-
-def _word_requests(blocks: DataFrame, parts: int) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            for block, data in zip(f.block, f.data):
-                b = unpack(data)
-                own = np.bincount(b["tokens"][np.repeat(b["train"], b["lens"])], minlength=len(b["words"]))
-                order, at = _word_order(b["words"], parts)
-                rows = [(block, WORDS, p, pack(words=b["words"][o], counts=own[o])) for p in range(parts) if len(o := order[at[p] : at[p + 1]])]
-                yield pd.DataFrame(rows, columns=["block", "kind", "part", "data"])
-
-    return blocks.select("block", "data").mapInPandas(run, ROWS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ROWS + ", tokens long, trained long, docs long")
 
 
 def _histogram(counts: np.ndarray, cutoff: int) -> np.ndarray:
-    return np.bincount(np.minimum(counts, cutoff + 2), minlength=cutoff + 3)[: cutoff + 2]
-
-
-def _word_table(requests: DataFrame, cutoff: int) -> DataFrame:
-    """For each part and block the counts of the words asked for, and a row of totals."""
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        trim()
-        asked = [unpack(d) for d in f.data]
-        words, at = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, at, np.concatenate([a["counts"] for a in asked]).astype(np.int64))
-        sizes = np.cumsum([0, *(len(a["words"]) for a in asked)])
-        rows = [(block, WORDS, key[0], pack(counts=counts[at[a:b]])) for block, a, b in zip(f.block, sizes, sizes[1:])]
-        rows.append((-1, STATS, key[0], pack(n=_histogram(counts, cutoff), total=np.array([counts.sum(), (counts > 0).sum()]))))
-        return pd.DataFrame(rows, columns=["block", "kind", "part", "data"])
+    """How many counts are 0, 1, .. cutoff + 1, and above."""
+    return np.bincount(np.minimum(counts, cutoff + 2), minlength=cutoff + 3)
 
-    return requests.groupBy("part").applyInPandas(run, ROWS)
 
-
-def _gather(rows: DataFrame, *tables: DataFrame):
-    """The blocks' rows beside their answers, grouped by block."""
-    every = rows.select("block", "kind", "part", "data")
-    for t in tables:
-        every = every.unionByName(t.filter(F.col("block") >= 0))
-    return every.groupBy("block")
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _read_block(f: pd.DataFrame, word_parts: int) -> tuple[dict, np.ndarray]:
-    """A block and its words' counts."""
-    trim()
-    b = unpack(f.data[f.kind == BLOCK].iloc[0])
-    order, _ = _word_order(b["words"], word_parts)
-    counts = np.zeros(len(order), np.int64)
-    answers = f[f.kind == WORDS].sort_values("part")
-    counts[order] = np.concatenate([unpack(d)["counts"] for d in answers.data])
-    return b, counts
-
-
-def _pairs(b: dict, counts: np.ndarray, parts: int, hot_over: float):
-    """The block's distinct pairs by part, context and next word's hash, as (context, next, part), and each token's pair."""
-    x = b["tokens"].astype(np.int64)
-    n = len(b["words"])
-    codes, which = np.unique(np.concatenate([[0], x[:-1]]) * n + x, return_inverse=True)
-    u, v = codes // n, codes % n
-    words = b["words"]
-    part = np.where(counts[u] > hot_over, words[v] >> np.uint64(20), words[u] >> np.uint64(20)) % np.uint64(parts)
-    order = np.lexsort((words[v] & np.uint64((1 << 48) - 1), u, part))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return u[order], v[order], part[order].astype(np.int64), back[which]
-
-
-def _runs(u: np.ndarray) -> np.ndarray:
-    """Where runs of equal numbers start."""
-    return np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+class Block:
+    """A block of documents and what is known of its n-grams, order by order.
 
+    Per order: ``grams`` (each token's distinct n-gram), ``counts`` of these,
+    and per token ``context`` (its hash), ``seen`` (how often it was trained on)
+    and ``bare``; ``at`` and ``sums`` give a context's mass and counts of
+    counts where a token has to back off from it.
+    """
 
-def _pair_requests(grouped, word_parts: int, parts: int, hot_over: float) -> DataFrame:
+    def __init__(self, data: bytes, docs: int, hot_over: float) -> None:
+        self.__dict__.update(unpack(data))
+        self.hash = self.words[self.tokens]
+        self.begin = np.cumsum([0, *self.lens[:-1]])
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.lens)
+        self.trained = np.repeat(self.train, self.lens)
+        self.docs, self.hot_over, self.level = docs, hot_over, 0
+
+    def before(self, values: np.ndarray, back: int, first) -> np.ndarray:
+        """Each token's value of the token ``back`` places before it in its text; ``first`` where the text begins later."""
+        out = np.concatenate([values[:back], values[:-back]]) if len(values) > back else np.resize(values, len(values))
+        return np.where(self.place < back, first, out)
+
+    def grow(self, parts: int) -> None:
+        """Finds the distinct n-grams of the next order, sorted by part, context and next word."""
+        self.level = k = self.level + 1
+        boundary = self.words[0]
+        if k == 1:
+            self.context, self.seen = np.zeros(len(self.hash), np.uint64), np.full(len(self.hash), np.iinfo(np.int64).max)
+        else:
+            before = self.before(self.hash, k - 1, boundary)
+            self.context = before if k == 2 else _mix(before, self.context)
+            self.seen = self.before(self.counts[self.grams], 1, self.docs)
+        key = _mix(self.context, self.hash)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        context, word = self.context[first], self.hash[first]
+        self.hot = self.seen > self.hot_over
+        part = (np.where(self.hot[first], key[first], context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)
+        order = np.lexsort((word & NEXT, context, part))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.first, self.grams, self.part = first[order], back[which.ravel()], part[order].astype(np.int64)
+        # runs of one context in one part
+        self.run = _runs(_mix(self.context[self.first], self.part.astype(np.uint64)))
+        self.run_of = np.repeat(np.arange(len(self.run)), np.diff([*self.run, len(self.first)]))
+
+    def requests(self, lower: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, bytes]]:
+        """(part, request); ``lower``: each token's count in the order below, and what it is a part of there."""
+        own = np.bincount(self.grams[self.trained], minlength=len(self.first))
+        starts, out = _runs(self.part), []
+        for a, b in zip(starts, [*starts[1:], len(self.part)]):
+            run = self.run[slice(*np.searchsorted(self.run, (a, b)))]
+            at = self.first[run]
+            next_word = (self.hash[self.first[a:b]] & NEXT).view(np.uint8).reshape(-1, 8)[:, :6].T  # 48 bits, by planes
+            steps = np.diff(self.context[at], prepend=np.uint64(0))
+            out.append((int(self.part[a]), pack(steps=steps, run=np.diff([*run, b]), next=next_word, own=own[a:b], count=lower[0][self.first[a:b]], of=lower[1][at], hot=self.hot[at])))
+        return out
+
+    def answered(self, answers: list[bytes], hot: dict[int, tuple[float, np.ndarray]]) -> None:
+        """Takes the answers of this order's parts, and the sums of hot contexts."""
+        got = [unpack(d) for d in answers]
+        self.counts = np.concatenate([a["counts"] for a in got]).astype(np.int64)
+        bare = np.concatenate([a["bare"] for a in got]).astype(bool)
+        at = np.concatenate([a["at"] + n for a, n in zip(got, np.cumsum([0, *(len(a["bare"]) for a in got)]))])
+        mass, few = (np.concatenate([a[c] for a in got]) for c in ("mass", "few"))
+        sums = np.zeros((len(self.run), 1 + few.shape[1]))
+        sums[at.astype(np.int64)] = np.column_stack([mass, few])
+        context = self.context[self.first[self.run]].view(np.int64)
+        for i in np.flatnonzero(self.hot[self.first[self.run]]).tolist():
+            sums[i, 0], sums[i, 1:] = hot[int(context[i])]
+            bare[i] = not sums[i, 1:].any()
+        self.sums, self.bare = sums, bare[self.run_of][self.grams]
+
+    def probability(self, lower: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """Each token's probability in this order, given that of the order below."""
+        cutoff = len(factor) - 1
+        count = self.counts[self.grams]
+        seen = np.maximum(self.seen, 1)
+        found = np.where(count > cutoff, 1.0, factor[np.minimum(count, cutoff)]) * count / (seen + self.bare)
+        sums = self.sums[self.run_of][self.grams]
+        left = np.where(self.bare, 1 / (seen + 1), (sums[:, 1:] @ (np.arange(1, cutoff + 1) * (1 - factor[1:]))) / seen)
+        back = np.where(self.seen > 0, left / np.maximum(1 - sums[:, 0], 1e-300), 1.0) * lower
+        return np.where((count > 0) & (self.seen > 0), found, back)
+
+
+class Model:
+    """What the orders done so far are known by: parts, discount factors, hot contexts' sums, the lowest order and totals."""
+
+    def __init__(self, docs: int, tokens: int, cutoff: int) -> None:
+        self.docs, self.tokens, self.cutoff, self.hot_over = docs, tokens, cutoff, tokens / HOT
+        self.parts: list[int] = []
+        self.factors: list[np.ndarray] = []
+        self.hot: list[dict] = []
+        self.unigrams: Unigrams | None = None
+        self.words = 0
+
+    def replay(self, f: pd.DataFrame) -> tuple[Block, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """A block with all answers so far, its tokens' probabilities, and its tokens' counts in the last order with what these are a part of."""
+        trim()
+        block = Block(f.data[f.level == 0].iloc[0], self.docs, self.hot_over)
+        p, lower = np.zeros(len(block.tokens)), (np.zeros(len(block.tokens), np.int64), np.zeros(len(block.tokens), np.int64))
+        for k, parts in enumerate(self.parts):
+            block.grow(parts)
+            block.answered(f[f.level == k + 1].sort_values("part").data.to_list(), self.hot[k])
+            count = block.counts[block.grams]
+            if k == 0:
+                p, lower, block.unigram = self.unigrams(count), (count, np.zeros(len(count), np.int64)), count
+            else:
+                p, lower = block.probability(p, self.factors[k]), (count, block.seen + block.bare)
+        return block, p, lower
+
+    def learn(self, histogram: np.ndarray, hot: dict, parts: int) -> None:
+        """Adds an order."""
+        if self.unigrams is None:
+            self.unigrams, self.words = Unigrams(histogram, self.tokens, self.cutoff), int(histogram[1:].sum())
+        self.parts.append(parts)
+        self.factors.append(discounts(histogram, self.cutoff))
+        self.hot.append(hot)
+
+    def below(self, count: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The last order's probabilities of trained n-grams, by their counts and what these are a part of."""
+        if len(self.parts) == 1:
+            return self.unigrams(count)
+        factor = self.factors[-1]
+        return np.where(count > self.cutoff, 1.0, factor[np.minimum(count, self.cutoff)]) * count / np.maximum(of, 1)
+
+
+def _requests(grouped, model: Model, parts: int) -> DataFrame:
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        b, counts = _read_block(f, word_parts)
-        u, v, part, which = _pairs(b, counts, parts, hot_over)
-        own = np.bincount(which[np.repeat(b["train"], b["lens"])], minlength=len(u))
-        at, rows = _bounds(part, parts), []
-        for p in range(parts):
-            s = slice(at[p], at[p + 1])
-            if at[p] < at[p + 1]:
-                start = _runs(u[s])
-                six = b["words"][v[s]].view(np.uint8).reshape(-1, 8)[:, :6].T  # a word after a context: 48 bits, by planes
-                rows.append((key[0], PAIRS, p, pack(context=b["words"][u[s][start]], run=np.diff([*start, at[p + 1] - at[p]]), next=six, own=own[s], count=counts[v[s]], seen=counts[u[s][start]])))
-        return pd.DataFrame(rows, columns=["block", "kind", "part", "data"])
+        block, _, lower = model.replay(f)
+        block.grow(parts)
+        return pd.DataFrame([(key[0], block.level, p, data) for p, data in block.requests(lower)], columns=["block", "level", "part", "data"])
 
     return grouped.applyInPandas(run, ROWS)
 
 
-def _pair_table(requests: DataFrame, unigrams: Unigrams, cutoff: int, hot_over: float) -> DataFrame:
-    """For each part and block the counts of the pairs asked for and, by context, the seen next words' probability and how many were counted 1..cutoff times; and a row of totals."""
+def _table(requests: DataFrame, model: Model) -> DataFrame:
+    """For each part and block the answers to a request, and rows of sums."""
+    cutoff, lowest = model.cutoff, not model.parts
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         trim()
         asked = [unpack(d) for d in f.data]
-        context = np.concatenate([a["context"] for a in asked])
-        contexts, of = np.unique(context, return_inverse=True)
+        contexts, of = np.unique(np.concatenate([np.cumsum(a["steps"]) for a in asked]), return_inverse=True)
         run_of = np.concatenate([a["run"] for a in asked]).astype(np.int64)
-        of_pair = np.repeat(of, run_of)
-        six = np.zeros((len(of_pair), 8), np.uint8)
+        of_gram = np.repeat(of, run_of)
+        six = np.zeros((len(of_gram), 8), np.uint8)
         six[:, :6] = np.concatenate([a["next"] for a in asked], axis=1).T
-        pairs, first, at = np.unique(_mix(contexts[of_pair], six.view(np.uint64).ravel()), return_index=True, return_inverse=True)
-        counts = np.zeros(len(pairs), np.int64)
+        _, first, at = np.unique(_mix(contexts[of_gram], six.view(np.uint64).ravel()), return_index=True, return_inverse=True)
+        counts = np.zeros(len(first), np.int64)
         np.add.at(counts, at, np.concatenate([a["own"] for a in asked]).astype(np.int64))
-        owner = of_pair[first]
-        p = unigrams(np.concatenate([a["count"] for a in asked])[first])
-        mass = np.bincount(owner, np.where(counts > 0, p, 0.0), minlength=len(contexts))
-        few = np.stack([np.bincount(owner[counts == r], minlength=len(contexts)) for r in range(1, cutoff + 1)], axis=1)
-        kinds = np.bincount(owner[counts > 0], minlength=len(contexts))
+        owner = of_gram[first]
+        n = len(contexts)
+        mass = np.zeros(n)
+        if not lowest:
+            below = np.repeat(np.concatenate([a["of"] for a in asked]).astype(np.int64), run_of)[first]
+            p = model.below(np.concatenate([a["count"] for a in asked]).astype(np.int64)[first], below)
+            mass = np.bincount(owner, np.where(counts > 0, p, 0.0), minlength=n)
+        few = np.stack([np.bincount(owner[counts == r], minlength=n) for r in range(1, cutoff + 1)], axis=1)
+        bare = ~few.any(axis=1)
         ends, runs = np.cumsum([0, *(int(a["run"].sum()) for a in asked)]), np.cumsum([0, *(len(a["run"]) for a in asked)])
-        rows = []
+        rows: list[tuple] = []
         for i, block in enumerate(f.block):
-            mine = of[runs[i] : runs[i + 1]]
-            rows.append((block, PAIRS, key[0], pack(counts=counts[at[ends[i] : ends[i + 1]]], mass=mass[mine], few=few[mine].astype(np.int32), kinds=kinds[mine])))
-        seen = np.zeros(len(contexts), np.int64)
-        seen[of] = np.concatenate([a["seen"] for a in asked]).astype(np.int64)
-        hot = seen > hot_over
-        rows.append((-1, STATS, key[0], pack(n=_histogram(counts, cutoff), context=contexts[hot], mass=mass[hot], few=few[hot].astype(np.int64), kinds=kinds[hot])))
-        return pd.DataFrame(rows, columns=["block", "kind", "part", "data"])
-
-    return requests.groupBy("part").applyInPandas(run, ROWS)
-
-
-def _totals(table: DataFrame) -> list[dict]:
-    """The totals of the parts: a few numbers for each part and hot context."""
-    return [unpack(r.data) for r in table.filter(F.col("kind") == STATS).select("data").toLocalIterator()]
-
-
-def pair_logs(counts: np.ndarray, context_counts: np.ndarray, next_counts: np.ndarray, mass: np.ndarray, few: np.ndarray, kinds: np.ndarray, factor: np.ndarray, unigrams: Unigrams) -> np.ndarray:
-    """log10 P(v | u) for pairs: their counts, the counts of u and v, and u's sums (mass, few, kinds)."""
-    cutoff = len(factor) - 1
-    p = unigrams(next_counts)
-    seen = np.maximum(context_counts, 1)
-    left = (few * (np.arange(1, cutoff + 1) * (1 - factor[1:]))).sum(axis=1) / seen
-    # a context whose next words are all frequent leaves its kinds' share, as many again as it has
-    bare = left <= 0
-    share = kinds / (seen + kinds)
-    kept = np.where(bare, 1 - share, 1.0)
-    left = np.where(bare, share, left)
-    found = np.where(counts > cutoff, 1.0, factor[np.minimum(counts, cutoff)]) * counts / seen * kept
-    back = np.where(context_counts > 0, left / np.maximum(1 - mass, 1e-300), 1.0) * p
-    return np.log10(np.where((counts > 0) & (context_counts > 0), found, back))
-
-
-def _scores(grouped, word_parts: int, parts: int, hot_over: float, unigrams: Unigrams, n_words: int, factor: np.ndarray, hot: dict, id_col: str) -> DataFrame:
+            mine, got = of[runs[i] : runs[i + 1]], counts[at[ends[i] : ends[i + 1]]]
+            lengths = asked[i]["run"].astype(np.int64)
+            unseen = np.flatnonzero(np.bincount(np.repeat(np.arange(len(mine)), lengths), got == 0, minlength=len(mine)) > 0)
+            rows.append((block, int(f.level.iloc[0]), key[0], pack(counts=got, bare=bare[mine], at=unseen, mass=mass[mine[unseen]], few=few[mine[unseen]].astype(np.int32)), None, None))
+        hot = np.zeros(n, bool)
+        hot[of] = np.concatenate([a["hot"] for a in asked])
+        rows.append((-1, 0, key[0], None, None, _histogram(counts, cutoff).astype(float).tolist()))
+        rows += [(-1, 0, key[0], None, int(contexts[i].view(np.int64)), [float(mass[i]), *few[i].astype(float).tolist()]) for i in np.flatnonzero(hot)]
+        columns = dict(zip(("block", "level", "part", "data", "hot", "sums"), zip(*rows)))
+        return pd.DataFrame(columns | {"hot": pd.array(columns["hot"], "Int64")})  # never through floats
+
+    return requests.groupBy("part").applyInPandas(run, SUMS)
+
+
+def _sums(table: DataFrame) -> tuple[np.ndarray, dict[int, tuple[float, np.ndarray]]]:
+    """The histogram of counts, and hot contexts' mass and counts of counts: a few numbers for each of fewer than ``HOT`` contexts."""
+    cells = table.filter("block < 0").select("hot", F.posexplode("sums").alias("i", "x")).groupBy("hot", "i").agg(F.sum("x").alias("x")).collect()
+    found: dict = {}
+    for r in cells:
+        found.setdefault(r.hot, {})[r.i] = r.x
+    line = lambda d: np.array([d[i] for i in range(len(d))])
+    histogram = line(found.pop(None, {})).astype(np.int64)
+    return histogram, {h: (d[0], line(d)[1:]) for h, d in found.items()}
+
+
+def _gather(blocks: DataFrame, tables: list[DataFrame]):
+    """The blocks' rows beside their answers, grouped by block."""
+    every = blocks.select("block", "level", "part", "data")
+    for t in tables:
+        every = every.unionByName(t.filter(F.col("block") >= 0).select("block", "level", "part", "data"))
+    return every.groupBy("block")
+
+
+def _scores(grouped, model: Model, id_col: str) -> DataFrame:
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        b, counts = _read_block(f, word_parts)
-        u, v, part, which = _pairs(b, counts, parts, hot_over)
-        answers = [unpack(d) for d in f[f.kind == PAIRS].sort_values("part").data]
-        pair_counts = np.concatenate([a["counts"] for a in answers]).astype(np.int64)
-        start = _runs(part * (int(u.max()) + 1) + u)
-        run_of = np.repeat(np.arange(len(start)), np.diff([*start, len(u)]))
-        mass, few, kinds = (np.concatenate([a[k] for a in answers]) for k in ("mass", "few", "kinds"))
-        few, kinds = few.astype(np.int64), kinds.astype(np.int64)
-        for i in np.flatnonzero(counts[u[start]] > hot_over).tolist():
-            mass[i], few[i], kinds[i] = hot[int(b["words"][u[start[i]]])]
-        log = pair_logs(pair_counts, counts[u], counts[v], mass[run_of], few[run_of], kinds[run_of], factor, unigrams)
-        base = np.log10((counts + ADDED) / (unigrams.tokens + ADDED * (n_words + 1)))
-        begin = np.cumsum([0, *b["lens"][:-1]])
-        total = lambda per_token: np.add.reduceat(per_token, begin)
-        ids = pd.Series(b["ids"]).astype("Int64").mask(b["null"])
-        return pd.DataFrame({id_col: ids, "held_out": ~b["train"], "n_tokens": b["lens"].astype(np.int64), "n_known": total((counts > 0).astype(np.int64)[b["tokens"]]), "train_tokens": np.int64(unigrams.tokens), "base_score": total(base[b["tokens"]]), "score": total(log[which])})
+        b, p, _ = model.replay(f)
+        base = np.log10((b.unigram + ADDED) / (model.tokens + ADDED * (model.words + 1)))
+        total = lambda per_token: np.add.reduceat(per_token, b.begin)
+        ids = pd.Series(b.ids).astype("Int64").mask(b.null)
+        return pd.DataFrame({id_col: ids, "held_out": ~b.train, "n_tokens": b.lens.astype(np.int64), "n_known": total((b.unigram > 0).astype(np.int64)), "train_tokens": np.int64(model.tokens), "base_score": total(base), "score": total(np.log10(p))})
 
     return grouped.applyInPandas(run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: int = CUTOFF, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, cutoff: int = CUTOFF, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text.
 
-    The model learns from all documents that aren't held out. Null and empty
-    texts are their end alone. Rows that repeat an id count and are scored one
-    by one. Without training documents every word is of the unknown class,
-    which then has probability 1. An empty table gives no rows; other columns
-    are left out.
+    The model of n-grams up to ``order`` words learns from all documents that
+    aren't held out. Null and empty texts are their end alone. Rows that repeat
+    an id count and are scored one by one. Without training documents every
+    word is of the unknown class, which then has probability 1. An empty table
+    gives no rows; other columns are left out.
     """
     blocks = cut(_blocks(docs, id_col, text_col, block_bytes))
-    sums = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    word_parts = max(1, -(-sums.words // part_keys))
-    words = cut(_word_table(_word_requests(blocks, word_parts), cutoff))
-    totals = _totals(words)
-    n = sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64))
-    tokens, n_words = (int(sum(int(t["total"][i]) for t in totals)) for i in (0, 1))
-    unigrams, hot_over = Unigrams(n, tokens, cutoff), tokens / HOT
-    parts = max(1, -(-sums.tokens // (2 * part_keys)))
-    pairs = cut(_pair_table(_pair_requests(_gather(blocks, words), word_parts, parts, hot_over), unigrams, cutoff, hot_over))
-    totals = _totals(pairs)
-    factor = discounts(sum((t["n"].astype(np.int64) for t in totals), np.zeros(cutoff + 2, np.int64)), cutoff)
-    hot: dict[int, list] = {}
-    for t in totals:
-        for h, m, few, kinds in zip(t["context"].tolist(), t["mass"].tolist(), t["few"], t["kinds"].tolist()):
-            one = hot.setdefault(h, [0.0, np.zeros(cutoff, np.int64), 0])
-            one[0], one[1], one[2] = one[0] + m, one[1] + few, one[2] + kinds
-    return _scores(_gather(blocks, words, pairs), word_parts, parts, hot_over, unigrams, n_words, factor, hot, id_col)
+    sums = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "trained", "docs"))).first()
+    model, tables = Model(sums.docs, sums.trained, cutoff), []
+    parts = max(1, -(-sums.tokens // part_keys))
+    for _ in range(order if sums.tokens else 0):
+        tables.append(cut(_table(_requests(_gather(blocks, tables), model, parts), model)))
+        model.learn(*_sums(tables[-1]), parts)
+    return _scores(_gather(blocks, tables), model, id_col)

@@ -8,24 +8,27 @@ The posterior of a language is proportional to
 - the prior of the host: its rows' languages by text alone, shrunk to its
   domain's, and these to those of all rows, the row's own vote left out.
 
-The trigram model is fitted on a sample of rows with a declared language,
-bounded for each language. A language that under ``FEW`` rows declare has no
-model: its texts are judged by the languages that have one, so that most of 20
-trigrams or more fit none of these and aren't kept. Counts over hosts, domains, suffixes and declared languages come from
-all rows by grouped aggregation and are joined, not broadcast.
+The trigram model is fitted on a sample of labelled rows, bounded for each
+language; a label is never evidence for its own row. A language that under
+``FEW`` rows are labelled with has no model: its texts are judged by the
+languages that have one, so that most of 20 trigrams or more fit none of these
+and aren't kept. Counts over hosts, domains, suffixes and declared languages
+come from all rows by grouped aggregation.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts, small
+from namewarden.llm.common import cut, join_counted, map_texts, quoted, small
 
 #: Rows sampled to fit on in all (about; by least hashes), rows that a rarer language has beyond its share of
 #: these (about; all if it has fewer), and rows that a language needs.
@@ -38,6 +41,8 @@ JUDGED = 20
 HOST, DOMAIN, MARK, LEAST = 20.0, 50.0, 1.0, 0.5
 
 _OTHER = re.compile(r"[\W\d_]+")
+_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+_MARKUP = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -90,19 +95,26 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE,
     return names, np.log(model / model.sum(axis=1, keepdims=True))
 
 
-def _counts(df: DataFrame, by: str, languages: int, out: str) -> DataFrame:
-    """(by, out): an array of how many rows have each language by text alone."""
-    votes = F.array(*(F.sum((F.col("best") == i).cast("double")) for i in range(languages)))
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(votes.alias(out))
+def from_page(url: str, markup: str) -> tuple[str, str | None, str | None]:
+    """A page's visible text, the language that its markup declares and its host; null where there is none."""
+    found = _MARKUP.search(markup)
+    try:
+        host = urlsplit(url).hostname
+    except ValueError:
+        host = None
+    return html.unescape(_HIDDEN.sub(" ", markup)), found and found[1].lower(), host
 
 
-def _log_given(df: DataFrame, by: str, languages: int, out: str) -> DataFrame:
-    """(by, out): log P(value | language) for each language, with ``MARK`` rows added to every value."""
-    table = cut(_counts(df, by, languages, "n"))
-    sums = table.agg(*(F.sum(F.get("n", F.lit(i))) for i in range(languages)), F.count(F.lit(1))).first()
-    kinds = sums[languages]
-    total = F.array(*(F.lit(float(s or 0.0) + MARK * kinds) for s in sums[:languages]))
-    return table.select(by, F.zip_with("n", total, lambda n, t: F.log((n + MARK) / t)).alias(out))
+def pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, text, declared, host) of pages; null addresses and markup count as empty."""
+
+    def run(frames):
+        for f in frames:
+            made = [from_page(u or "", m or "") for u, m in zip(f.u, f.m)]
+            yield pd.DataFrame({id_col: f[id_col], **{c: [m[i] for m in made] for i, c in enumerate(("text", "declared", "host"))}})
+
+    name = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}"
+    return df.select(id_col, F.col(url_col).alias("u"), F.col(html_col).alias("m")).mapInPandas(run, f"{name}, text string, declared string, host string")
 
 
 def _address(host: Column) -> tuple[Column, Column]:
@@ -112,24 +124,50 @@ def _address(host: Column) -> tuple[Column, Column]:
     return F.when(dotted, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host), F.when(dotted, F.lower(F.element_at(labels, -1)))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
-    """(id, row_key, lang, probability, text_lang, declared, kept) for every row.
+def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
+    """(host, declared, rows, of_host, of_domain, given_declared, given_suffix) for every pair of host and declared language, and all rows' votes.
+
+    of_*: rows of each language by text alone; given_*: log P(value | language),
+    with ``MARK`` rows added to every value. Null where the value is null.
+    """
+    add_up = lambda df, by, column: df.groupBy(*by).agg(F.sum("rows").alias("rows"), F.array(*(F.sum(F.get(column, F.lit(i))) for i in range(n))).alias("votes"))
+    one = scored.select("host", "declared", F.lit(1).alias("rows"), F.array(*(F.coalesce((F.col("best") == i).cast("double"), F.lit(0.0)) for i in range(n))).alias("v"))
+    pairs = cut(add_up(one, ["host", "declared"], "v"))
+    whole = pairs.agg(*(F.coalesce(F.sum(F.get("votes", F.lit(i))), F.lit(0.0)) for i in range(n))).first()
+    domain, suffix = _address(F.col("host"))
+    hosts = cut(add_up(pairs.filter("host is not null").withColumns({"domain": domain, "suffix": suffix}), ["host", "domain", "suffix"], "votes"))
+
+    def given(df: DataFrame, by: str, out: str) -> DataFrame:
+        table = cut(add_up(df.filter(F.col(by).isNotNull()), [by], "votes"))
+        sums = table.agg(*(F.sum(F.get("votes", F.lit(i))) for i in range(n)), F.count(F.lit(1))).first()
+        total = F.array(*(F.lit(float(s or 0.0) + MARK * sums[n]) for s in sums[:n]))
+        return table.select(by, F.zip_with("votes", total, lambda x, t: F.log((x + MARK) / t)).alias(out))
+
+    domains = add_up(hosts, ["domain"], "votes").select("domain", F.col("votes").alias("of_domain"))
+    of_hosts = hosts.withColumnRenamed("votes", "of_host").drop("rows").join(domains, "domain").join(given(hosts, "suffix", "given_suffix"), "suffix", "left")
+    of_hosts = of_hosts.select(F.col("host").alias("h"), "of_host", "of_domain", "given_suffix")
+    found = pairs.drop("votes").join(of_hosts, F.col("host") == F.col("h"), "left").drop("h").join(given(pairs, "declared", "given_declared"), "declared", "left")
+    return cut(found), list(whole)
+
+
+def identify(docs: DataFrame, keep: tuple = ("doc_id",), text_col: str = "text", label_col: str = "lang", host_col: str = "source", declared_col: str | None = None, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """``keep``, lang, probability, text_lang, declared and kept for every row.
 
     kept: the text has letters, its trigrams, unless they are too few to tell, fit a
     language better than chance does, and the posterior is ``least`` or more. A null or empty text, or one
     without letters, is judged by the other evidence and not kept; a null
     declared language, host or suffix is no evidence. Ties go to the language
-    first by name. Without any row that declares a language lang is null and
-    nothing is kept. row_key hashes the row, so rows that repeat an id can be
-    told apart. Other columns are left out.
+    first by name. Without any labelled row lang is null and nothing is kept.
+    Rows keep their number, repeats included.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(declared_col).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
-    keyed = docs.withColumn("row_key", F.xxhash64("text", "declared", "host"))
-    names, model = fit(docs, "text", "declared", sample)
+    own = lambda c: f"__{c}"
+    declared = F.lit(None) if declared_col is None else F.col(declared_col)
+    rows = docs.select(*(F.col(c).alias(own(c)) for c in keep), F.col(text_col).alias("text"), declared.cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
+    kept = [F.col(own(c)).alias(c) for c in keep]
+    names, model = fit(docs, text_col, label_col, sample)
     n = len(names)
     if not n:
-        nothing = keyed.select(F.col("id").alias(id_col), "row_key", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", F.lit(False).alias("kept"))
-        return nothing
+        return rows.select(*kept, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", F.lit(False).alias("kept"))
     model = model.astype(np.float32).T.copy()
 
     def run(texts: list[str]) -> dict:
@@ -143,25 +181,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             out["logs"].append(logs * min(1.0, EVIDENCE / len(at)) if len(at) else logs)
         return out
 
-    scored = map_texts(keyed, run, "logs array<double>, best int, letters int, fits boolean", "text", ("id", "row_key", "declared", "host"))
-    domain, suffix = _address(F.col("host"))
-    scored = cut(scored.withColumns({"domain": domain, "suffix": suffix}))
-    hosts = cut(scored.filter("best is not null and host is not null").groupBy("host", "domain").agg(F.array(*(F.sum((F.col("best") == i).cast("double")) for i in range(n))).alias("of_host")))
-    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.get("of_host", F.lit(i))) for i in range(n))).alias("of_domain"))
-    whole = scored.agg(*(F.coalesce(F.sum((F.col("best") == i).cast("double")), F.lit(0.0)) for i in range(n))).first()
+    scored = cut(map_texts(rows, run, "logs array<double>, best int, letters int, fits boolean", "text", (*map(own, keep), "declared", "host")))
+    found, whole = evidence(scored, n)
     everywhere = F.array(*(F.lit((x + 1) / (sum(whole) + n)) for x in whole))
-
     none = F.array(*[F.lit(0.0)] * n)
-    own = F.array(*(F.when(F.col("best") == i, 1.0).otherwise(0.0) for i in range(n)))
+    vote = F.array(*(F.when(F.col("best") == i, 1.0).otherwise(0.0) for i in range(n)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def shrunk(counts: str, prior: Column, weight: float) -> Column:
-        left = F.zip_with(F.coalesce(counts, none), F.when(F.col(counts).isNotNull(), own).otherwise(none), lambda a, b: a - b)
+        left = F.when(F.col(counts).isNull(), none).otherwise(F.zip_with(counts, vote, lambda a, b: a - b))
         return F.transform(F.zip_with(left, prior, lambda a, p: a + p * weight), lambda x: x / (total(left) + weight))
 
-    df = scored
-    for by, table in (("host", hosts.drop("domain")), ("domain", domains), ("declared", _log_given(scored, "declared", n, "given_declared")), ("suffix", _log_given(scored, "suffix", n, "given_suffix"))):
-        df = df.join(table, by, "left")
+    df = join_counted(scored, found, ["host", "declared"], "rows")
     df = df.withColumn("p_domain", shrunk("of_domain", everywhere, DOMAIN))
     df = df.withColumn("p_host", shrunk("of_host", F.col("p_domain"), HOST))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
@@ -170,12 +201,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     df = df.withColumn("probability", 1 / total(F.col("p")))
     name = lambda i: F.get(F.array(*map(F.lit, names)), i)
     lang = name((F.array_position("joint", F.array_max("joint")) - 1).cast("int"))
-    return df.select(F.col("id").alias(id_col), "row_key", lang.alias("lang"), "probability", name(F.col("best")).alias("text_lang"), "declared", (F.col("fits") & (F.col("probability") >= least)).alias("kept"))
+    return df.select(*kept, lang.alias("lang"), "probability", name(F.col("best")).alias("text_lang"), "declared", (F.col("fits") & (F.col("probability") >= least)).alias("kept"))
+
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host_col: str = "source", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` keeps, with their columns as they are.
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that ``identify`` keeps, with their columns as they are."""
-    found = identify(docs, id_col, text_col, declared_col, host_col, least)
-    rejected = small(cut(found.filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()))
-    key = F.xxhash64(docs[text_col], docs[declared_col].cast("string"), docs[host_col].cast("string"))
-    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    Labels only fit the model. Rows that share an id are judged one by one;
+    those alike in id, text, label and host together, as they have one answer.
+    """
+    key = lambda: F.xxhash64(F.col(text_col), F.col(label_col).cast("string"), F.col(host_col).cast("string"))
+    named = docs.select(F.col(id_col).alias("__id"), key().alias("__key"), F.col(text_col), F.col(label_col), F.col(host_col))
+    found = identify(named, ("__id", "__key"), text_col, label_col, host_col, None, least)
+    rejected = small(cut(found.filter(~F.col("kept")).select("__id", "__key").distinct()))
+    left = docs.withColumn("__hash", key()).join(rejected, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left_anti")
+    return left.select(*quoted(docs.columns))

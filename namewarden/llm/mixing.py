@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import WORD, cut, running, small
+from namewarden.llm.common import WORD, cut, quoted, running, small
 from namewarden.operators.durable import FEW
 
 #: Weights by rank, most times that a document is taken, words of a block, documents wanted in a shard, seed.
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     as those added give way to them.
     """
     made = ("source_size", "target", "shard", "taken")
-    docs = docs.select(*(c for c in docs.columns if c not in made))
+    docs = docs.select(*quoted([c for c in docs.columns if c not in made]))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
     df = placed(docs, order_key(F.col(id_col), seed), F.col(source_col), *quotas(sized, weights, cap, block, shard_docs, seed, few))
     line = Window.partitionBy("__rank", "shard").orderBy("__key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rounds = F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)
     rest = F.when(F.col("__cell") > 0, F.expr("__words % __cell")).otherwise(0)
     taken = rounds * F.col(size_col) + F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col(size_col))
-    return df.select(*docs.columns, "source_size", "target", F.col("shard").cast("long").alias("shard"), taken.cast("long").alias("taken"))
+    return df.select(*quoted(docs.columns), "source_size", "target", F.col("shard").cast("long").alias("shard"), taken.cast("long").alias("taken"))
 
 
 def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, few: int = FEW) -> DataFrame:
@@ -149,7 +149,7 @@ def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
     more = (F.col("__cell") > 0) & (F.col("size") > 0) & (2 * F.expr("(__words % __cell) - before") >= F.col("size"))
     place = F.struct(F.col("__key").alias("key"), F.col("id"), F.col("row"))
     last = df.groupBy("__of", "shard").agg(F.max(F.when(more, place)).alias("__last"), F.max(F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)).alias("__rounds"))
-    df = placed(docs.select(F.struct(*docs.columns).alias("__row"), F.col(source_col).alias("__src"), F.col(id_col).alias("__id"), row().alias("__hash"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("__any")).filter("__any"), order_key(F.col("__id"), seed), F.col("__src"), sources, small(cut(last), few))
+    df = placed(docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(source_col).alias("__src"), F.col(id_col).alias("__id"), row().alias("__hash"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("__any")).filter("__any"), order_key(F.col("__id"), seed), F.col("__src"), sources, small(cut(last), few))
     once_more = F.coalesce(F.struct(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col("__hash").alias("row")) <= F.col("__last"), F.lit(False))
     times = (F.col("__rounds") + once_more.cast("long")).cast("int")
     return df.select("__row", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).select("__row.*")

@@ -26,7 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("row_key")
+    """Documents, whose labels fit the text model and whose sources are their hosts, and pages, which declare a language and have an address."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumnRenamed("source", "host")
+    pages = language.pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return language.identify(docs.unionByName(pages, allowMissingColumns=True), ("doc_id", "page_id"), host_col="host", declared_col="declared")
 
 
 def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

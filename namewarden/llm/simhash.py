@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts, row_hash, small
+from namewarden.llm.common import cut, join_counted, map_texts, quoted, row_hash, small
 from namewarden.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -35,8 +35,6 @@ _MASKS, _FACTORS = np.random.default_rng(13).integers(0, 1 << 64, (2, BANDS * RO
 SAMPLE, SHARD_ROWS, CELL_ROWS = 2048, 32_768, 200_000
 #: Pairs that are compared rather than thinned out by a further vantage point.
 LEAF = 1 << 18
-#: Fingerprints of over 1 / HOT of all rows (fewer than HOT there are) get their classes by broadcast.
-HOT = 1000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -216,10 +214,8 @@ def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
     named = cut(points.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
-    # a group of copies is as large as it likes: its rows aren't shuffled to one task
-    hot = F.broadcast(named.filter(F.col("n") * HOT > (named.agg(F.sum("n")).first()[0] or 0)).select("fp", "component_id"))
-    found = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(named.drop("n"), "fp"), allowMissingColumns=False)
-    return found.select(id_col, "fp", "component_id")
+    # a group of copies is as large as it likes
+    return join_counted(prints, named, ["fp"], "n").select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -307,4 +303,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
     kept = found.filter("__key = component_id")
     repeats = kept.groupBy("__key").count().filter("count > 1").limit(1).count()
-    return (left.dropDuplicates(["__key"]) if repeats else left).select(*docs.columns)
+    return (left.dropDuplicates(["__key"]) if repeats else left).select(*quoted(docs.columns))

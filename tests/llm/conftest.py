@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, ids string, size string, score double, target string, rank string, shard string, words string, component_id string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, ids string, size string, score double, target string, rank string, shard string, words string, component_id string, kept string, cell string, taken string, source_size string, declared string, bucket string, `a.b` string, m map<string,int>"
 
 
 def words(rng, n):
@@ -19,7 +19,7 @@ def edge_rows():
         (None, words(rng, 40)), (10, "Ünï çödé 中文 😀 naïve space em  two  \n\n lines"), (11, "a" * 5000), (12, words(rng, 4)), (13, words(rng, 5)), (14, "don't we'll  'tis  <|endoftext|> 12345"), (15, body),
     ]
     more = [(100 + i, words(rng, rng.randint(0, 80))) for i in range(60)]
-    rest = ("fp", "ids", "7", None, "t", "r", "s", "w", "c", "k")
+    rest = ("fp", "ids", "7", None, "t", "r", "s", "w", "c", "k", "l", "n", "z", "d", "b", "dot", {"x": 1})
     langs, sources = ["en", None, "de"], ["s1", None, "s2", "a.example.org", "s1"]
     return [(i, t, langs[n % 3], sources[n % 5], None if t is None else len(t), *rest) for n, (i, t) in enumerate(texts + more)]
 
@@ -41,6 +41,7 @@ def edge_dir(spark, edge, tmp_path_factory):
     edge.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(5, 1), (6, 0), (6, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [None, 1.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(0, "http://a.example.org/x", "<html lang=en><p>the house</p></html>"), (1, None, None), (2, "http://[bad", "<HTML class='x' lang='de-AT'>")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return d
 
 
@@ -50,4 +51,5 @@ def empty_dir(spark, nothing, tmp_path_factory):
     nothing.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return d
