@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator
+from array import array
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from namewarden.llm.common import Recent, map_texts, process_cache
+from namewarden.llm.common import Recent, map_texts, process_cache, trim
 
-#: Most stretches that a worker keeps, and the longest one kept.
-CACHE, CACHED_CHARS = 400_000, 48
+#: Most stretches that a worker keeps, alone and beside other operators' memory; the longest one kept.
+CACHE, BESIDE, CACHED_CHARS = 300_000, 100_000, 48
 
 
 def byte_table() -> dict[int, str]:
@@ -42,7 +43,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder for a rank file; ``pattern`` splits text before the merges."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         table = byte_table()
@@ -53,15 +54,17 @@ class ByteBpe:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         back = {c: b for b, c in table.items()}
         self.bytes_of = {r: bytes(map(back.__getitem__, shown[t])) for t, r in ranks.items()}
-        self.ids, self.pieces = Recent(CACHE), Recent(CACHE)
+        self.kept = Recent(cache)
+        self.written = [str(i) for i in range(max(self.bytes_of) + 1)]
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> ByteBpe:
+    def load(cls, path: str, pattern: str, cache: int = CACHE) -> ByteBpe:
         """The worker's encoder for this file, built once."""
-        cache = process_cache()
-        if (path, pattern) not in cache:
-            cache[path, pattern] = cls(read_ranks(path), pattern)
-        return cache[path, pattern]
+        known = process_cache()
+        if (path, pattern, cache) not in known:
+            known[path, pattern, cache] = cls(read_ranks(path), pattern, cache)
+            trim()
+        return known[path, pattern, cache]
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -71,33 +74,37 @@ class ByteBpe:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]
 
-    def encoded(self, texts: list[str], kept: Recent, entry: Callable) -> Iterator[list]:
-        """For each text its stretches' entries, each made of a stretch and its encoding once and kept."""
+    @staticmethod
+    def packed(stretch: str, e) -> bytes:
+        """A stretch's ids, and behind them, less than 0, how many of its characters two or more tokens share, if any do."""
+        ids = array("i", e.ids)
+        if not stretch.isascii() and (shared := {a for (a, _), (_, b) in zip(e.offsets[1:], e.offsets) if a < b}):
+            ids.append(-len(shared))
+        return ids.tobytes()
+
+    def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """The ids of every whole text, and how many of its characters two or more tokens share."""
         cut = [self.stretches(t) for t in texts]
-        new = kept.want(set(chain.from_iterable(cut)))
-        made = {s: entry(s, e) for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
+        new = self.kept.want(set(chain.from_iterable(cut)))
+        made = dict(zip(new, map(self.packed, new, self.tokenizer.encode_batch(new, add_special_tokens=False))))
         long = {s: made.pop(s) for s in new if len(s) > CACHED_CHARS}
-        kept.update(made)
-        find = kept.__getitem__ if not long else lambda s: long[s] if s in long else kept[s]
-        return (list(map(find, c)) for c in cut)
+        self.kept.update(made)
+        find = self.kept.__getitem__ if not long else lambda s: long[s] if s in long else self.kept[s]
+        out = []
+        for c in cut:
+            ids = np.frombuffer(b"".join(map(find, c)), np.int32)
+            shared = ids[ids < 0] if len(ids) and ids.min() < 0 else ids[:0]
+            out.append((ids[ids >= 0] if len(shared) else ids, -int(shared.sum())))
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of every whole text."""
-        return [list(chain.from_iterable(found)) for found in self.encoded(texts, self.ids, lambda s, e: tuple(e.ids))]
-
-    def digest_batch(self, texts: list[str]) -> list[tuple[str, bytes, int]]:
-        """For every whole text its ids in decimal, comma-joined, the bytes that these decode to, and the characters that two or more tokens share."""
+        return [ids.tolist() for ids, _ in self.encode_arrays(texts)]
 
-        def entry(stretch: str, e) -> tuple[str, bytes, int]:
-            ids = e.ids
-            shared = 0 if stretch.isascii() else len({a for (a, _), (_, b) in zip(e.offsets[1:], e.offsets) if a < b})
-            return ",".join(map(str, ids)), self.decode(ids), shared
-
-        out = []
-        for found in self.encoded(texts, self.pieces, entry):
-            written, decoded, shared = zip(*found)
-            out.append((",".join(filter(None, written)), b"".join(decoded), sum(shared)))
-        return out
+    def digest_batch(self, texts: list[str]) -> list[tuple[int, str, bytes, int]]:
+        """For every whole text the number of its ids, these in decimal, comma-joined, the bytes that they decode to, and its shared characters."""
+        made = ((ids.tolist(), shared) for ids, shared in self.encode_arrays(texts))
+        return [(len(ids), ",".join(map(self.written.__getitem__, ids)), self.decode(ids), shared) for ids, shared in made]
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the code points [start, end) that each one has bytes of."""
@@ -130,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple = ("doc_id",),
         if offsets:
             ids, starts, ends = zip(*map(bpe.encode, texts))
             return {"ids": ids, "n_tokens": [len(i) for i in ids], "starts": starts, "ends": ends}
-        ids = bpe.encode_batch(texts)
+        ids = [i for i, _ in bpe.encode_arrays(texts)]
         return {"ids": ids, "n_tokens": [len(i) for i in ids]}
 
     return map_texts(docs, run, "ids array<int>, n_tokens long" + ", starts array<int>, ends array<int>" * offsets, text_col, keep)
@@ -158,9 +165,9 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, keep: tuple = ("doc
     """``keep``, ids, n_tokens and n_bytes, and whole: the decoded ids are the text's bytes."""
 
     def run(texts: list[str]) -> dict:
-        bpe = ByteBpe.load(path, pattern)
-        ids = bpe.encode_batch(texts)
-        decoded = [bpe.decode(i) for i in ids]
+        bpe = ByteBpe.load(path, pattern, BESIDE)
+        ids = [i for i, _ in bpe.encode_arrays(texts)]
+        decoded = [bpe.decode(i.tolist()) for i in ids]
         return {"ids": ids, "n_tokens": [len(i) for i in ids], "n_bytes": [len(d) for d in decoded], "whole": [d == t.encode() for d, t in zip(decoded, texts)]}
 
     return map_texts(docs, run, "ids array<int>, n_tokens long, n_bytes long, whole boolean", text_col, keep)
@@ -178,10 +185,10 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         hashed = lambda b: hashlib.sha256(b).hexdigest()
         made = ByteBpe.load(path, pattern).digest_batch(texts)
         return {
-            "n_tokens": [w.count(",") + 1 if w else 0 for w, _, _ in made],
-            "ids_sha256": [hashed(w.encode()) for w, _, _ in made],
-            "decoded_sha256": [hashed(d) for _, d, _ in made],
-            "n_shared": [n for _, _, n in made],
+            "n_tokens": [n for n, _, _, _ in made],
+            "ids_sha256": [hashed(w.encode()) for _, w, _, _ in made],
+            "decoded_sha256": [hashed(d) for _, _, d, _ in made],
+            "n_shared": [n for _, _, _, n in made],
         }
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared long", text_col, (id_col,))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, join_counted, map_texts, quoted, row_hash, small
+from namewarden.llm.common import cut, join_counted, map_texts, quoted, row_hash, small, trim
 from namewarden.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -127,7 +127,8 @@ class Groups:
         apart = a != b
         if not apart.any():
             return
-        for i, j in np.unique(np.stack([a[apart], b[apart]]), axis=1).T.tolist():
+        pairs = np.unique(a[apart] * len(up) + b[apart])
+        for i, j in zip((pairs // len(up)).tolist(), (pairs % len(up)).tolist()):
             while up[i] != i:
                 i = up[i]
             while up[j] != j:
@@ -145,7 +146,7 @@ def local_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, tall
     groups, rng = Groups(len(points)), np.random.default_rng(11)
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
-        step = max(1, (1 << 20) // len(b))
+        step = max(1, (1 << 18) // len(b))
         for at in range(0, len(a), step):
             i, j = np.nonzero(np.bitwise_count(points[a[at : at + step], None] ^ points[b]) <= radius)
             groups.join(a[at : at + step][i], b[j])
@@ -206,6 +207,7 @@ def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
         fp = np.sort(f.fp.to_numpy(np.int64))
         top = local_links(fp.view(np.uint64), radius)
         keep = top != np.arange(len(fp))
+        trim()
         return pd.DataFrame({"x": fp[top[keep]], "y": fp[keep]})
 
     edges = cells.select("shard", "low", "high", "fp").groupBy("shard", "low", "high").applyInPandas(links, "x long, y long")
