@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a query made while it is set
     finally:
         spark.conf.set(CLEANUP, before)
 
