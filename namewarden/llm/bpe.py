@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from namewarden.llm.common import Recent, map_texts, process_cache, trim
 
 #: Most stretches that a worker keeps, alone and beside other operators' memory; the longest one kept.
-CACHE, BESIDE, CACHED_CHARS = 300_000, 100_000, 48
+CACHE, BESIDE, CACHED_CHARS = 600_000, 100_000, 48
 
 
 def byte_table() -> dict[int, str]:
@@ -84,15 +83,10 @@ class ByteBpe:
 
     def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """The ids of every whole text, and how many of its characters two or more tokens share."""
-        cut = [self.stretches(t) for t in texts]
-        new = self.kept.want(set(chain.from_iterable(cut)))
-        made = dict(zip(new, map(self.packed, new, self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        long = {s: made.pop(s) for s in new if len(s) > CACHED_CHARS}
-        self.kept.update(made)
-        find = self.kept.__getitem__ if not long else lambda s: long[s] if s in long else self.kept[s]
+        make = lambda new: map(self.packed, new, self.tokenizer.encode_batch(new, add_special_tokens=False))
         out = []
-        for c in cut:
-            ids = np.frombuffer(b"".join(map(find, c)), np.int32)
+        for found in self.kept.entries([self.stretches(t) for t in texts], make, CACHED_CHARS):
+            ids = np.frombuffer(b"".join(found), np.int32)
             shared = ids[ids < 0] if len(ids) and ids.min() < 0 else ids[:0]
             out.append((ids[ids >= 0] if len(shared) else ids, -int(shared.sum())))
         return out

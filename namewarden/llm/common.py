@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,15 +85,20 @@ class Recent(dict):
     def __init__(self, most: int) -> None:
         self.most, self.older = most, {}
 
-    def want(self, keys: set) -> list:
-        """The keys that have no entry, in order; the others' entries are in the younger generation after it."""
+    def entries(self, keyed: list[list[str]], make: Callable[[list[str]], Iterable], longest: int) -> list[list]:
+        """For each list of keys their entries; ``make`` gives those of keys that have none, and keys up to ``longest`` keep theirs."""
         if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
-        new = keys.difference(self)
-        found = new.intersection(self.older)
-        self.update((k, self.older[k]) for k in found)
-        return sorted(new.difference(found))
+        found = [list(map(self.get, keys)) for keys in keyed]
+        missing = {k: self.older.get(k) for keys, got in zip(keyed, found) if None in got for k, x in zip(keys, got) if x is None}
+        new = [k for k, x in missing.items() if x is None]
+        missing.update(zip(new, make(new)))
+        for keys, got in zip(keyed, found):
+            if None in got:
+                got[:] = [missing[k] if x is None else x for k, x in zip(keys, got)]
+        self.update((k, x) for k, x in missing.items() if len(k) <= longest)
+        return found
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -209,19 +209,23 @@ class Block:
     def grow(self, parts: int) -> None:
         """Finds the distinct n-grams of the next order, sorted by part, context and next word."""
         self.level = k = self.level + 1
-        boundary = self.words[0]
+        boundary, n = self.words[0], len(self.words)
         if k == 1:
             self.context, self.seen = np.zeros(len(self.hash), np.uint64), np.full(len(self.hash), np.iinfo(np.int64).max)
+            first, which = np.empty(n, np.int64), self.tokens
+            first[self.tokens[::-1]] = np.arange(len(self.tokens) - 1, -1, -1)
         else:
             before = self.before(self.hash, k - 1, boundary)
             self.context = before if k == 2 else _mix(before, self.context)
             self.seen = self.before(self.counts[self.grams], 1, self.docs)
-        key = _mix(self.context, self.hash)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        context, word = self.context[first], self.hash[first]
+            code = self.before(self.grams, 1, len(self.counts)) * n + self.tokens
+            _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        context = self.context[first]
         self.hot = self.seen > self.hot_over
-        part = (np.where(self.hot[first], key[first], context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)
-        order = np.lexsort((word & NEXT, context, part))
+        spread = np.where(self.hot[first], _mix(context, self.hash[first]), context * np.uint64(0x9E3779B97F4A7C15))
+        part = (spread >> np.uint64(20)) % np.uint64(parts)
+        # by part; a context's n-grams beside each other (any that come between only make a further run)
+        order = np.argsort((part << np.uint64(44)) | (context & np.uint64((1 << 44) - 1)), kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.first, self.grams, self.part = first[order], back[which.ravel()], part[order].astype(np.int64)

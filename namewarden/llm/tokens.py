@@ -14,8 +14,6 @@ space dropped) can't join tokens; a distinct piece is encoded once per worker.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -24,7 +22,7 @@ from namewarden.llm.common import Recent, map_texts, process_cache
 #: Characters of a window and of the first overlap tried; texts longer than a window are huge. Tokens that windows share.
 WINDOW, OVERLAP, SHARED = 24_576, 512, 6
 #: Most pieces that a worker keeps, and the longest one kept.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 600_000, 48
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
 
@@ -94,13 +92,9 @@ def encode_long(tokenizer, text: str, window: int = WINDOW, overlap: int = OVERL
 
 def count(tokenizer, texts: list[str], kept: Recent, window: int = WINDOW, overlap: int = OVERLAP) -> list[int]:
     """The number of tokens of each whole text."""
-    cut = [t.split(" ") if len(t) <= window else None for t in texts]
-    new = kept.want(set(chain.from_iterable(c for c in cut if c)))
-    got = {s: len(e) for s, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-    long = {s: got.pop(s) for s in new if len(s) > CACHED_CHARS}
-    kept.update(got)
-    find = kept.__getitem__ if not long else lambda s: long[s] if s in long else kept[s]
-    return [len(encode_long(tokenizer, t, window, overlap)) if c is None else sum(map(find, c)) for t, c in zip(texts, cut)]
+    make = lambda new: map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False))
+    short = iter(kept.entries([t.split(" ") for t in texts if len(t) <= window], make, CACHED_CHARS))
+    return [sum(next(short)) if len(t) <= window else len(encode_long(tokenizer, t, window, overlap)) for t in texts]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

@@ -136,9 +136,9 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, edge, edge_rows):
 def test_the_cache_is_bounded_and_keeps_what_is_used():
     kept = Recent(10)
     for i in range(100):
-        new = kept.want({"always", f"n{i}"})
-        assert ("always" in new) == (i == 0)
-        kept.update((k, 1) for k in new)
+        asked = []
+        got = kept.entries([["always", f"n{i}"], [], ["always", "too long a key"]], lambda new: asked.extend(new) or [len(k) for k in new], 8)
+        assert got == [[6, len(f"n{i}")], [], [6, 14]] and ("always" in asked) == (i == 0) and "too long a key" in asked
         assert len(kept) + len(kept.older) <= 14
 
 
