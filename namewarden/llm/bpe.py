@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from namewarden.llm.common import Recent, map_texts, process_cache, trim
 
 #: Most stretches that a worker keeps, alone and beside other operators' memory; the longest one kept.
-CACHE, BESIDE, CACHED_CHARS = 600_000, 100_000, 48
+CACHE, BESIDE, CACHED_CHARS = 400_000, 100_000, 48
 
 
 def byte_table() -> dict[int, str]:
@@ -51,6 +51,11 @@ class ByteBpe:
         model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        # a stretch that the pattern takes whole needs no splitting
+        self.whole = Tokenizer(model)
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
+        one = r"| ?\p{L}+|" in pattern
+        self.is_whole = re.compile(r" ?[A-Za-z]+" if one else r"(?!)").fullmatch
         back = {c: b for b, c in table.items()}
         self.bytes_of = {r: bytes(map(back.__getitem__, shown[t])) for t, r in ranks.items()}
         self.kept = Recent(cache)
@@ -81,11 +86,18 @@ class ByteBpe:
             ids.append(-len(shared))
         return ids.tobytes()
 
+    def made(self, new: list[str]) -> list[bytes]:
+        """The packed ids of stretches."""
+        plain = [s for s in new if self.is_whole(s)]
+        other = [s for s in new if not self.is_whole(s)]
+        out = {s: array("i", e.ids).tobytes() for s, e in zip(plain, self.whole.encode_batch_fast(plain, add_special_tokens=False))}
+        out.update(zip(other, map(self.packed, other, self.tokenizer.encode_batch(other, add_special_tokens=False))))
+        return [out[s] for s in new]
+
     def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """The ids of every whole text, and how many of its characters two or more tokens share."""
-        make = lambda new: map(self.packed, new, self.tokenizer.encode_batch(new, add_special_tokens=False))
         out = []
-        for found in self.kept.entries([self.stretches(t) for t in texts], make, CACHED_CHARS):
+        for found in self.kept.entries([self.stretches(t) for t in texts], self.made, CACHED_CHARS):
             ids = np.frombuffer(b"".join(found), np.int32)
             shared = ids[ids < 0] if len(ids) and ids.min() < 0 else ids[:0]
             out.append((ids[ids >= 0] if len(shared) else ids, -int(shared.sum())))
