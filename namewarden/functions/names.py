@@ -118,24 +118,45 @@ def json_first(doc: Column, *paths: str) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(doc, p), F.lit("")) for p in paths))
 
 
-def document_name(doc: Column) -> Column:
-    return json_first(doc, "$.name", "$.info.name", "$.package_name", "$.artifact", "$.id")
+def document_name(doc: Column, registry: Column) -> Column:
+    """A document's own name, or where its registry keeps another."""
+    return (
+        F.when(registry == "maven", json_first(doc, "$.name", "$.doc.name", "$.n", "$.info.name"))
+        .when(registry == "nuget", json_first(doc, "$.name"))
+        .otherwise(json_first(doc, "$.name", "$.info.name"))
+    )
 
 
 def description(doc: Column, registry: Column) -> Column:
-    """The first 100 words of a package's description, with a summary or readme where the registry has one."""
+    """The first 100 words of what a document's registry has for a description; empty without.
+
+    npm: description and readme, each behind its heading. pypi and nuget:
+    summary and description, if both are there. Others: the readme first.
+    """
     of = lambda p: F.coalesce(F.get_json_object(doc, p), F.lit(""))
+    filled = lambda *paths: F.concat_ws("\n\n", *(F.nullif(of(p), F.lit("")) for p in paths))
     text = (
-        F.when(registry == "npm", F.concat(F.lit("Description: "), of("$.description"), F.lit("\nREADME: "), of("$.readme")))
-        .when(registry == "pypi", F.concat(of("$.info.summary"), F.lit("\n\n"), of("$.info.description")))
-        .when(registry == "nuget", F.concat(of("$.summary"), F.lit("\n\n"), of("$.description")))
-        .otherwise(of("$.description"))
+        F.when(registry == "npm", F.concat(F.lit("Description:"), of("$.description"), F.lit("\n\nREADME:"), of("$.readme")))
+        .when(registry == "pypi", filled("$.info.summary", "$.info.description"))
+        .when(registry == "nuget", filled("$.summary", "$.description"))
+        .when(registry == "maven", json_first(doc, "$.description", "$.doc.description", "$.d"))
+        .otherwise(json_first(doc, "$.readme", "$.description", "$.doc", "$.payload"))
     )
-    return F.array_join(F.slice(_words(text), 1, 100), " ")
-
-
-def maintainers(doc: Column) -> Column:
-    """The names in a document's maintainers, plain or as objects, empty ones left out."""
-    raw = F.coalesce(F.from_json(F.get_json_object(doc, "$.maintainers"), "array<string>"), F.array().cast("array<string>"))
-    named = F.transform(raw, lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.login"), x))
-    return F.filter(named, lambda x: x.isNotNull() & (x != ""))
+    return F.array_join(F.slice(_words(F.coalesce(text, F.lit(""))), 1, 100), " ")
+
+
+def maintainers(doc: Column, registry: Column) -> Column:
+    """The people that a document of a registry names, in order, empty ones left out."""
+    nobody = F.array().cast("array<string>")
+    listed = lambda p: F.coalesce(F.from_json(F.get_json_object(doc, p), "array<string>"), nobody)
+    fields = lambda p, *names: F.transform(listed(p), lambda x: F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{n}"), F.lit("")) for n in names)))
+    one = lambda p: F.array(F.get_json_object(doc, p))
+    owners = F.get_json_object(doc, "$.owners")
+    people = (
+        F.when(registry == "npm", F.concat(fields("$.maintainers", "name"), one("$.authors.name")))
+        .when(registry == "pypi", listed("$.maintainers"))
+        .when(registry == "maven", F.concat(fields("$.doc.maintainers", "name"), one("$.doc.a"), one("$.repo_metadata.owner")))
+        .when(registry == "nuget", F.when(owners.startswith("["), listed("$.owners")).otherwise(F.array(owners)))
+        .otherwise(F.concat(fields("$.maintainers", "login", "uuid"), one("$.repo_metadata.owner")))
+    )
+    return F.filter(people, lambda x: x.isNotNull() & (x != ""))

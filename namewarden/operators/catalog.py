@@ -14,11 +14,11 @@ def insert_ignore(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str, updated: str = "updated_at", created: str = "created_at") -> DataFrame:
-    """The table with the latest row of each key; created stays the earliest."""
-    rows = table.unionByName(new, allowMissingColumns=True)
-    latest = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last())
+    """The table with the latest row of each key; created stays the earliest. Of rows as late, a new one stays, then the one of the least hash."""
+    rows = table.withColumn("__old", F.lit(1)).unionByName(new.withColumn("__old", F.lit(0)), allowMissingColumns=True)
+    latest = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), "__old", F.xxhash64(*(c for c in rows.columns if c != created)))
     out = rows.withColumns({"__n": F.row_number().over(latest), created: F.min(created).over(Window.partitionBy(key))})
-    return out.filter("__n = 1").drop("__n")
+    return out.filter("__n = 1").drop("__n", "__old")
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

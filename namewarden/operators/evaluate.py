@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namewarden.operators.durable import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -69,9 +71,10 @@ def best_by(df: DataFrame, value: str, *order: str) -> DataFrame:
 def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, tpr, fpr) at every distinct score, highest first."""
     at = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    down = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(F.lit(0))
-    return at.select(score, (F.sum("p").over(down) / F.sum("p").over(all_)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(all_)).alias("fpr"), "p", "n")
+    at = running(at, [], [F.col(score).desc()], {"__p": F.col("p"), "__n": F.col("n")})
+    whole = at.agg(F.sum("p").alias("__all_p"), F.sum("n").alias("__all_n"))  # one row
+    share = lambda c: F.try_divide(F.col(f"__{c}") + F.col(c), F.col(f"__all_{c}"))
+    return at.join(F.broadcast(whole)).select(score, share("p").alias("tpr"), share("n").alias("fpr"), "p", "n")
 
 
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -83,8 +86,8 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 def auc_counts(at: DataFrame, score: str) -> DataFrame:
     """``auc`` of rows already counted: p true and n false ones at each distinct score."""
     at = at.select(score, F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    at = at.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2))
+    at = running(at, [], [F.col(score)], {"below": F.col("n")})
+    at = at.withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     return at.agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))
 
 

@@ -119,7 +119,7 @@ def scored(pairs: DataFrame, popular: DataFrame, registry: str, least: float = L
     measures = six(F.col("query"), F.col("package_name"))
     df = pairs.withColumns(measures)
     df = df.withColumn("overall", greatest_number(*(F.col(c).cast("double") for c in (*measures, vector)))).filter(F.col("overall") >= least)
-    listed = popular.groupBy("package_name").agg(F.first("popularity").alias("popularity"))
+    listed = popular.groupBy("package_name").agg(F.max("popularity").alias("popularity"))
     df = df.join(listed, "package_name", "left").withColumn("popularity", F.coalesce("popularity", F.lit(0.0)))
     by = F.col("popularity").asc() if low_is_popular(registry) else F.col("popularity").desc()
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("overall").desc(), by, "package_name")))

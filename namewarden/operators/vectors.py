@@ -74,11 +74,11 @@ def sampled_negatives(names: DataFrame, positives: DataFrame, limit: int, seed:
     Each name is paired with the names at a few seeded places, so that about
     ``trials`` pairs are tried without comparing all.
     """
-    from pyspark.sql import Window
-
     from namewarden.functions.similarity import edit_ratio
+    from namewarden.operators.durable import cut, running
 
-    listed = names.select(F.col("package_name").alias("a")).distinct().withColumn("i", F.row_number().over(Window.orderBy("a")) - 1)
+    listed = names.select(F.col("package_name").alias("a")).distinct()
+    listed = cut(running(listed, [], [F.col("a")], {"i": F.lit(1)}))
     n = max(1, listed.count())
     tries = max(1, min(n, -(-trials // n)))
     key = lambda *x: F.md5(F.concat_ws(":", F.lit(seed), *x))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.config import LEAST_SIMILARITY, TRUSTED_NAMESPACES
+from namewarden.config import LEAST_SIMILARITY, REGISTRIES, TRUSTED_NAMESPACES
 from namewarden.functions.names import maintainers, namespace
 from namewarden.operators.benignity import active, comprehensive, judged, no_judge, overlapping, verified
 from namewarden.operators.neighbors import by_group, commands, flat, scored, valid
@@ -18,7 +18,9 @@ HIERARCHIES = {"maven", "golang", "hf"}
 
 
 def neighbours(queries: DataFrame, popular: DataFrame, registry: str, known_commands: Sequence[str] = (), least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Ranked neighbours of names in one registry; command squats are among them, with rank 0."""
+    """Ranked neighbours of names in one registry; command squats are among them, with rank 0. An unknown registry has none."""
+    if registry not in REGISTRIES:
+        queries = queries.filter(F.lit(False))
     if registry in HIERARCHIES:
         pairs = by_group(queries, popular, registry)
     else:
@@ -30,7 +32,7 @@ def neighbours(queries: DataFrame, popular: DataFrame, registry: str, known_comm
     return found.unionByName(squats)
 
 
-def verify(pairs: DataFrame, documents: DataFrame, as_of: str, judge: Callable[[pd.DataFrame], pd.DataFrame] = no_judge) -> DataFrame:
+def verify(pairs: DataFrame, documents: DataFrame, as_of: str, judge: Callable[[pd.DataFrame], pd.DataFrame] = no_judge, registry: str = "npm") -> DataFrame:
     """Pairs (query, package_name) with both documents (name, doc): metadata facts, the judge's flags and the risk score.
 
     Pairs of which a document is missing have metadata_missing and no verdict.
@@ -39,10 +41,11 @@ def verify(pairs: DataFrame, documents: DataFrame, as_of: str, judge: Callable[[
     df = pairs.join(of("own"), F.col("query") == F.col("own_name"), "left").join(of("target"), F.col("package_name") == F.col("target_name"), "left").drop("own_name", "target_name")
     df = df.withColumn("metadata_missing", F.col("own_doc").isNull() | F.col("target_doc").isNull())
     get = lambda p: F.get_json_object("own_doc", p)
-    own = maintainers(F.col("own_doc"))
+    people = lambda doc: maintainers(F.col(doc), F.lit(registry))
+    own = people("own_doc")
     keys = F.coalesce(F.json_object_keys("own_doc"), F.array().cast("array<string>"))
     df = df.withColumns({
-        "overlapped_maintainers": overlapping(own, maintainers(F.col("target_doc"))),
+        "overlapped_maintainers": overlapping(own, people("target_doc")),
         "comprehensive_metadata": F.coalesce(comprehensive(get("$.license"), own, get("$.repository_url"), get("$.webpage"), F.array_contains(keys, "description"), F.array_contains(keys, "readme")), F.lit(False)),
         "active_development": active(get("$.pushed_at"), F.try_to_number(get("$.versions_count"), F.lit("999999")).cast("int"), F.lit(as_of).cast("timestamp")),
     })
@@ -66,7 +69,7 @@ def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registr
     found = found.join(own, "query", "left_anti").unionByName(found.join(own, "query", "left_semi").join(targets, ["query", "package_name"], "left_semi"))
     found = found.withColumns({"__a": space("query"), "__b": space("package_name")})
     kept = valid(found, registry, trusted, ("__a", "__b") if registry == "npm" else None).drop("__a", "__b")
-    bad = verify(kept, documents, as_of, judge).filter("is_false_positive = false")
+    bad = verify(kept, documents, as_of, judge, registry).filter("is_false_positive = false")
     first = bad.groupBy("query").agg(F.min_by(F.struct("package_name", "overall", "risk_score", "risk_level", "FP_category", "explanation", "command"), "rank").alias("x")).select("query", "x.*")
     return first.join(own.withColumn("removed_from_legit", F.lit(True)), "query", "left").withColumn("removed_from_legit", F.coalesce("removed_from_legit", F.lit(False)))
 

@@ -268,20 +268,7 @@ def sim_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("overall", S.greatest_number(*(F.col(c).cast("double") for c in measures)))
 
 
-VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), vp AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s, x.label = y.label AS same FROM v x JOIN v y ON y.vec_id % 50 = x.vec_id % 50 AND x.vec_id < y.vec_id)"
-
-
-def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs (a, b) of vectors in one of 50 groups by id, their cosine and whether they share a label."""
-    v = table(spark, sf_dir, "embeddings").withColumn("g", F.col("vec_id") % 50)
-    x = v.select("g", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"))
-    y = v.select("g", F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb"))
-    return x.join(y, "g").filter("a < b").select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("s"), (F.col("la") == F.col("lb")).alias("same"))
-
-
-@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
-def sim_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_measures(vector_pairs(spark, sf_dir))
+VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), vp AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s, x.label = y.label AS same FROM v x JOIN v y ON x.vec_id < y.vec_id)"
 
 
 def hybrid_measures(df: DataFrame) -> DataFrame:
@@ -289,12 +276,8 @@ def hybrid_measures(df: DataFrame) -> DataFrame:
     return df.select("a", "b", F.round("s", 6).alias("cosine"), F.round(S.hybrid(d, F.col("s")), 6).alias("hybrid"), F.round(S.tanh_hybrid((F.col("s"), 0.4), (F.abs("s"), 0.6)), 6).alias("tanh"))
 
 
-#: All pairs of vectors, where VEC and vector_pairs have only those whose ids are equal modulo 50.
-VEC_ALL = VEC.replace("y.vec_id % 50 = x.vec_id % 50 AND ", "")
-
-
-@query(f"WITH {VEC_ALL} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
-def sim_hybrid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS cosine, round(0.5 * s + 0.5 * levenshtein(a::VARCHAR, b::VARCHAR) / 10, 6) AS hybrid, round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) AS tanh FROM vp")
+def sim_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_measures(pairwise.pairs(table(spark, sf_dir, "embeddings")))
 
 
@@ -443,66 +426,38 @@ def detected_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWEEP = "WITH {vec}, k AS (SELECT unnest(range(0, 101)) AS k), c AS (SELECT k, count(*) FILTER (WHERE same AND floor(s / 0.01 + 1e-9) >= k) AS tp, count(*) FILTER (WHERE NOT same AND floor(s / 0.01 + 1e-9) >= k) AS fp, count(*) FILTER (WHERE NOT same AND floor(s / 0.01 + 1e-9) < k) AS tn, count(*) FILTER (WHERE same AND floor(s / 0.01 + 1e-9) < k) AS fn FROM vp, k GROUP BY k), d AS (SELECT *, {ratios} FROM c)"
 
 
-@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d")
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.sweep(vector_pairs(spark, sf_dir), "same", "s").select("threshold", *CELLS, *six_digits(*RATES))
-
-
-@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1")
-def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_by(threshold_sweep(spark, sf_dir), "f1", "threshold")
-
-
-@query(f"WITH {VEC} SELECT round((sum(r) FILTER (WHERE same) - count(*) FILTER (WHERE same) * (count(*) FILTER (WHERE same) + 1) / 2) / (count(*) FILTER (WHERE same) * count(*) FILTER (WHERE NOT same)), 6) AS auc FROM (SELECT same, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM (SELECT same, round(s, 6) AS s FROM vp))")
-def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.auc(vector_pairs(spark, sf_dir).withColumn("s", F.round("s", 6)), "same", "s").select(*six_digits("auc"))
-
-
 @query("WITH a AS (SELECT quality AS s, count(*) FILTER (WHERE toxic = 1) AS p, count(*) FILTER (WHERE toxic = 0) AS n FROM labels GROUP BY 1) SELECT s, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER (ORDER BY s DESC) / sum(n) OVER (), 6) AS fpr FROM a")
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "labels").select(F.col("quality").alias("s"), (F.col("toxic") == 1).alias("t"))
     return E.roc(df, "t", "s").select("s", *six_digits("tpr", "fpr"))
 
 
-@query(f"""WITH {VEC}, k AS (SELECT unnest(range(0, 11)) AS k), x AS (SELECT k, same AS t, s * (k * 0.1::DOUBLE) + (1 - levenshtein(a::VARCHAR, b::VARCHAR) / 5) * (1 - k * 0.1::DOUBLE) >= 0.3 - 1e-12 AS h FROM vp, k),
-c AS (SELECT k, {COUNTS} FROM x GROUP BY k), d AS (SELECT *, {RATIOS} FROM c) SELECT round(k * 0.1::DOUBLE, 1) AS weight, {FULL} FROM d ORDER BY f1 DESC, weight LIMIT 3""")
-def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = vector_pairs(spark, sf_dir).withColumn("e", 1 - F.levenshtein(F.col("a").cast("string"), F.col("b").cast("string")) / 5)
-    found = E.weight_grid(df, "same", "s", "e", 0.3).select("weight", *CELLS, *six_digits(*RATES))
-    return found.orderBy(F.col("f1").desc(), "weight").limit(3)
-
-
-@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
-def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_pairs(spark, sf_dir).filter("s < -0.3").orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
-
-
-@query(SWEEP.format(vec=VEC_ALL, ratios=RATIOS) + f" SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d")
-def threshold_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = pairwise.counted(table(spark, sf_dir, "embeddings"), lambda s: np.floor(s / 0.01 + 1e-9), -101, 101)
     return E.sweep_counts(levels, "level").select("threshold", *CELLS, *six_digits(*RATES))
 
 
-@query(SWEEP.format(vec=VEC_ALL, ratios=RATIOS) + f" SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1")
-def best_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_by(threshold_sweep_all(spark, sf_dir), "f1", "threshold")
+@query(SWEEP.format(vec=VEC, ratios=RATIOS) + f" SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best_by(threshold_sweep(spark, sf_dir), "f1", "threshold")
 
 
-@query(f"WITH {VEC_ALL}, c AS (SELECT round(s, 6) AS s, count(*) FILTER (WHERE same)::DOUBLE AS p, count(*) FILTER (WHERE NOT same)::DOUBLE AS n FROM vp GROUP BY 1), d AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM c) SELECT round(sum(p * (less + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM d")
-def roc_auc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {VEC}, c AS (SELECT round(s, 6) AS s, count(*) FILTER (WHERE same)::DOUBLE AS p, count(*) FILTER (WHERE NOT same)::DOUBLE AS n FROM vp GROUP BY 1), d AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM c) SELECT round(sum(p * (less + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM d")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = pairwise.counted(table(spark, sf_dir, "embeddings"), lambda s: np.rint(s * 1e6), -1_000_001, 1_000_001)
     return E.auc_counts(levels, "level").select(*six_digits("auc"))
 
 
-@query(f"""WITH {VEC_ALL}, k AS (SELECT unnest(range(0, 11)) AS k), x AS (SELECT k, same AS t, s * (k * 0.1::DOUBLE) + (1 - levenshtein(a::VARCHAR, b::VARCHAR) / 5) * (1 - k * 0.1::DOUBLE) >= 0.3 - 1e-12 AS h FROM vp, k),
+@query(f"""WITH {VEC}, k AS (SELECT unnest(range(0, 11)) AS k), x AS (SELECT k, same AS t, s * (k * 0.1::DOUBLE) + (1 - levenshtein(a::VARCHAR, b::VARCHAR) / 5) * (1 - k * 0.1::DOUBLE) >= 0.3 - 1e-12 AS h FROM vp, k),
 c AS (SELECT k, {COUNTS} FROM x GROUP BY k), d AS (SELECT *, {RATIOS} FROM c) SELECT round(k * 0.1::DOUBLE, 1) AS weight, {FULL} FROM d ORDER BY f1 DESC, weight LIMIT 3""")
-def grid_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.with_ratios(pairwise.weights(table(spark, sf_dir, "embeddings"), 0.3)).withColumn("weight", F.round(F.col("k") * 0.1, 1))
     return found.select("weight", *CELLS, *six_digits(*RATES)).orderBy(F.col("f1").desc(), "weight").limit(3)
 
 
-@query(f"WITH {VEC_ALL} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
-def low_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {VEC} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
+def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.pairs(table(spark, sf_dir, "embeddings"), below=-0.3).orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
 
 
@@ -669,12 +624,35 @@ def edit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edit_classifier(df, "t", "d").select("limit", *CELLS, *six_digits(*RATES, "mean_f1"))
 
 
-@query("""SELECT doc_id, 'doc-' || doc_id AS name, array_to_string(list_filter(string_split_regex('Description: ' || text || ' README: ' || lang, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')[:100], ' ') AS description, source AS people FROM documents""")
+REGISTRIES = ("npm", "pypi", "maven", "nuget", "ruby", "golang", "hf")
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, ['npm', 'pypi', 'maven', 'nuget', 'ruby', 'golang', 'hf'][doc_id % 7 + 1] AS r FROM documents),
+f AS (SELECT *, CASE r WHEN 'npm' THEN 'Description:' || text || chr(10) || chr(10) || 'README:' || lang WHEN 'maven' THEN text
+WHEN 'pypi' THEN CASE WHEN text = '' THEN lang ELSE lang || chr(10) || chr(10) || text END WHEN 'nuget' THEN CASE WHEN text = '' THEN lang ELSE lang || chr(10) || chr(10) || text END ELSE lang END AS raw FROM d)
+SELECT doc_id, r AS registry, CASE WHEN doc_id % 3 <> 0 THEN 'doc-' || doc_id WHEN r = 'maven' THEN 'group-' || doc_id WHEN r = 'nuget' THEN NULL ELSE 'info-' || doc_id END AS name,
+array_to_string(list_filter(string_split_regex(raw, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')[:100], ' ') AS description,
+CASE r WHEN 'npm' THEN source || '|' || lang WHEN 'pypi' THEN source WHEN 'maven' THEN source || '|' || lang || '|own-' || lang WHEN 'nuget' THEN CASE WHEN doc_id % 2 = 0 THEN source || '|' || lang ELSE source END ELSE CASE WHEN doc_id % 2 = 0 THEN 'l-' ELSE 'u-' END || source || '|own-' || lang END AS people FROM f""")
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.to_json(F.struct(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.col("text").alias("description"), F.col("lang").alias("readme"), F.array(F.struct(F.col("source").alias("name"))).alias("maintainers")))
-    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("doc"))
-    doc = F.col("doc")
-    return df.select("doc_id", N.document_name(doc).alias("name"), N.description(doc, F.lit("npm")).alias("description"), F.array_join(N.maintainers(doc), "|").alias("people"))
+    """Metadata of seven registries, every field in each document, of which a registry reads its own."""
+    registry = F.element_at(F.array(*map(F.lit, REGISTRIES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
+    even = F.col("doc_id") % 2 == 0
+    person = F.struct(F.col("source").alias("name"), F.when(even, F.concat(F.lit("l-"), "source")).alias("login"), F.concat(F.lit("u-"), "source").alias("uuid"))
+    common = [
+        F.when(F.col("doc_id") % 3 != 0, named("doc-")).alias("name"),
+        F.struct(named("info-").alias("name"), F.col("lang").alias("summary"), F.col("text").alias("description")).alias("info"),
+        F.struct(named("group-").alias("name"), F.col("text").alias("description"), F.array(person).alias("maintainers"), F.col("lang").alias("a")).alias("doc"),
+        *(F.when(registry != "maven", F.col(c)).alias(n) for c, n in (("text", "description"), ("lang", "summary"), ("lang", "readme"))),
+        F.struct(F.col("lang").alias("name")).alias("authors"),
+        F.struct(F.concat(F.lit("own-"), "lang").alias("owner")).alias("repo_metadata"),
+    ]
+    people = lambda kind: F.to_json(F.struct(*common, kind.alias("maintainers"), F.array("source", "lang").alias("owners")))
+    one_owner = F.to_json(F.struct(*common, F.col("source").alias("owners")))
+    made = F.when(registry == "pypi", people(F.array("source"))).when((registry == "nuget") & ~even, one_owner).otherwise(people(F.array(person)))
+    df = table(spark, sf_dir, "documents").select("doc_id", registry.alias("registry"), made.alias("doc"))
+    doc, registry = F.col("doc"), F.col("registry")
+    return df.select("doc_id", "registry", N.document_name(doc, registry).alias("name"), N.description(doc, registry).alias("description"), F.array_join(N.maintainers(doc, registry), "|").alias("people"))
 
 
 @query()

@@ -15,14 +15,14 @@ def confusable(arrivals: DataFrame, popular: DataFrame, name: str = "package_nam
     the first of the deletions that it shares, so no state is needed to tell
     repeats.
     """
-    listed = popular.select(F.lower(name).alias("target")).distinct().withColumn("__cuts", deletions(F.col("target")))
-    listed = listed.withColumn("__k", F.explode("__cuts"))
-    asked = arrivals.withColumn("__low", F.lower(name)).withColumn("__own", deletions(F.col("__low")))
-    pairs = asked.withColumn("__k", F.explode("__own")).join(listed, "__k")
+    listed = popular.select(F.lower(name).alias("target")).distinct().withColumn("__k", F.explode(deletions(F.col("target"))))
+    asked = arrivals.withColumn("__low", F.lower(name)).withColumn("__k", F.explode(deletions(F.col("__low"))))
+    pairs = asked.join(listed, "__k")
     pairs = pairs.filter((F.col("__low") != F.col("target")) & (F.levenshtein("__low", "target", 2) >= 0))
-    first = F.array_min(F.array_intersect("__own", "__cuts")) == F.col("__k")
+    # made anew for the few pairs that are left, so that no exploded row carries them
+    first = F.array_min(F.array_intersect(deletions(F.col("__low")), deletions(F.col("target")))) == F.col("__k")
     pairs = pairs.filter(first).withColumn("edits", F.levenshtein("__low", "target"))
-    return pairs.filter(F.col("edits") < most_edits(F.col("__low"))).drop("__k", "__own", "__cuts", "__low")
+    return pairs.filter(F.col("edits") < most_edits(F.col("__low"))).drop("__k", "__low")
 
 
 def counts(pairs: DataFrame, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

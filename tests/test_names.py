@@ -136,3 +136,27 @@ def test_streamed_arrivals_equal_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM arrived").collect())) == want and len(want) == 2
+
+
+@pytest.mark.parametrize("registry, doc, want", [
+    ("npm", {"name": "", "info": {"name": "i"}, "description": "a  b", "maintainers": [{"name": "m"}, {"name": ""}, None], "authors": {"name": "w"}}, ("i", "Description:a b README:", ["m", "w"])),
+    ("pypi", {"info": {"name": "i", "description": "d"}, "maintainers": ["p", ""]}, ("i", "d", ["p"])),
+    ("maven", {"n": "n", "d": "d e", "doc": {"a": "g", "maintainers": [{"name": "x"}]}, "repo_metadata": {"owner": "o"}}, ("n", "d e", ["x", "g", "o"])),
+    ("nuget", {"info": {"name": "i"}, "summary": "s", "description": "d", "owners": "one"}, (None, "s d", ["one"])),
+    ("nuget", {"name": "n", "summary": "s", "owners": None}, ("n", "s", [])),
+    ("ruby", {"name": "n", "description": "d", "readme": "r", "maintainers": [{"uuid": "u"}, {"login": "l", "uuid": "v"}], "repo_metadata": {"owner": "o"}}, ("n", "r", ["u", "l", "o"])),
+    ("hf", {}, (None, "", [])),
+])
+def test_fields_of_a_registry(spark, registry, doc, want):
+    import json
+
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
+    d, r = F.col("doc"), F.lit(registry)
+    assert tuple(df.select(N.document_name(d, r), N.description(d, r), N.maintainers(d, r)).first()) == want
+
+
+def test_an_unknown_registry_has_no_neighbours(spark):
+    from namewarden.plans.detect import neighbours
+
+    rows = spark.createDataFrame([("lodash", 9e6), ("lodahs", 1.0)], "package_name string, popularity double")
+    assert neighbours(rows, rows, "npm").count() and not neighbours(rows, rows, "nowhere").count()
