@@ -7,6 +7,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,6 +102,12 @@ class Recent(dict):
         return found
 
 
+def space_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Each text cut at its spaces, all pieces in one array, and where each text's begin, with the end; an empty text is one empty piece."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    return parts.flatten(), parts.offsets.to_numpy()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``chars`` bytes of ``column``, one row at least."""
     for batch in batches:

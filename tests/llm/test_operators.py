@@ -15,7 +15,9 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from namewarden.llm import bpe, components, fingerprints, katz, language, mixing, permutation_index, secrets, simhash, tokens, toxicity
@@ -107,8 +109,6 @@ def test_sparse_and_negative_ids_are_in_order(spark):
 
 
 def test_bpe_equals_tiktoken_and_round_trips(spark, edge, edge_rows):
-    import tiktoken
-
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     one = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(5)
@@ -594,10 +594,24 @@ def test_apportionment_is_by_highest_quotients(spark):
 # token counts
 
 
+def test_byte_bpe_stretches_in_runs():
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    one, rng = bpe.ByteBpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, 300), random.Random(11)
+    bits = ["a", "the", " ", " ", "  ", "\n", "\u00a0", "\u2003", "é", "中", "'s", "12", "--", "🙂", "👩‍🚀", "\u0301", ""]
+    for n in range(400):
+        texts = ["".join(rng.choices(bits if n % 2 else [b for b in bits if b != "  "], k=rng.randint(0, 40))) for _ in range(rng.randint(0, 12))]
+        got = one.digest_batch(texts)
+        assert one.encode_batch(texts) == [known.encode_ordinary(t) for t in texts]
+        assert [(n, bytes(w).decode(), bytes(d)) for n, w, d, _ in got] == [(len(known.encode_ordinary(t)), ",".join(map(str, known.encode_ordinary(t))), t.encode()) for t in texts]
+        for t, (_, _, _, shared) in zip(texts, got):
+            _, starts, ends = one.encode(t)
+            assert shared == len({a for a, b in zip(starts[1:], ends) if a < b})
+
+
 def test_token_counts_and_windows(spark, edge, edge_rows):
     path = public_tokenizers.path("word_bpe_49k.json")
-    one = tokens.load(path)
-    whole = lambda t: len(one.encode(t or "", add_special_tokens=False))
+    one, library = tokens.load(path), Tokenizer.from_file(path)
+    whole = lambda t: len(library.encode(t or "", add_special_tokens=False))
     for window in (tokens.WINDOW, 300):
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(edge, path, window=window, overlap=64).collect())
         assert got == sorted((-1 if r[0] is None else r[0], len((r[1] or "").encode()), whole(r[1]), whole(r[1]) > 2048) for r in edge_rows)
@@ -605,12 +619,27 @@ def test_token_counts_and_windows(spark, edge, edge_rows):
     bits = ["a", "bc", " ", " ", "  ", "\n", "é", "中", "'s", "12", "--", "<|endoftext|>", "İ", "ſ", "́"]
     for _ in range(150):
         text = "".join(rng.choices(bits, k=rng.randint(50, 400)))
-        e = one.encode(text, add_special_tokens=False)
+        e = library.encode(text, add_special_tokens=False)
         assert [tuple(x) for x in tokens.encode_long(one, text, rng.choice((40, 64)), 16).tolist()] == [(i, *o) for i, o in zip(e.ids, e.offsets)]
 
 
+def test_token_counts_of_pieces_in_runs():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one, library, rng = tokens.load(path), Tokenizer.from_file(path), random.Random(12)
+    bits = ["a", "Bc", " ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x00", "É", "中", "'S", "12", "--", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "\u0301", "\u0323", "\u00a0"]
+    texts = ["".join(rng.choices(bits[: rng.choice((11, len(bits)))], k=rng.randint(0, 60))) for _ in range(3000)]
+    want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    for size in (1, 7, 3000):
+        kept = tokens.Recent(500)
+        assert [n for i in range(0, 3000, size) for n in tokens.count(one, texts[i : i + size], kept, 40, 16)] == want
+        assert one.bare is not None
+    for t in texts:
+        e, own = library.encode(t, add_special_tokens=False), one.encode(t)
+        assert (own.ids, own.offsets) == (e.ids, e.offsets)
+
+
 def test_windows_are_spliced_without_spaces():
-    one = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    one = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("的国人民有在不了中大" * 6000, "ab\ncd ef\n" * 6000, "x" * 40_000, "ab-" * 15_000):
         encoded = []
         counting = type("T", (), {"encode": lambda self, t, add_special_tokens: encoded.append(len(t)) or one.encode(t, add_special_tokens=False)})()
@@ -680,8 +709,6 @@ def test_secrets_are_marked_and_lengths_counted_anew(spark):
 
 
 def test_pipeline_runs_as_its_stages_do(spark):
-    import tiktoken
-
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     kept = [r.doc_id for r in language.identify(docs).filter("kept").collect()]
