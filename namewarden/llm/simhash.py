@@ -28,8 +28,8 @@ from namewarden.llm.components import connected_components
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Of ``one_of_each`` beside these: words of a shingle and least similarity; bands, rows of a band (a pair at 0.8 shares
-#: one with probability 0.9995); distinct sets in a band that are all paired.
-WORDS, ALIKE, BANDS, ROWS, PAIRED = 5, 0.8, 25, 6, 16
+#: one with probability 0.9995); distinct sets in a band that are all paired; those of larger bands in a block of a cell.
+WORDS, ALIKE, BANDS, ROWS, PAIRED, BLOCK = 5, 0.8, 25, 6, 16, 128
 _MASKS, _FACTORS = np.random.default_rng(13).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Fingerprints sampled for the upper tree; rows wanted in a shard; most rows of a task's cell.
 SAMPLE, SHARD_ROWS, CELL_ROWS = 2048, 32_768, 200_000
@@ -256,12 +256,49 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, n))
 
 
+def in_common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of some sets has in common with each of others; all are sorted and distinct."""
+    owner = np.repeat(np.arange(len(others)), list(map(len, others)))
+    hashes = np.concatenate([np.empty(0, np.int64), *others])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    out = np.zeros((len(sets), len(others)), np.int64)
+    for row, own in zip(out, sets):
+        low, n = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
+        n -= low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row += np.bincount(owner[at], minlength=len(others))
+    return out
+
+
+def cell_links(f: pd.DataFrame) -> pd.DataFrame:
+    """(x, y): a star for each class of a cell's rows (fp, root, block, low, high, hashes), by ``root`` and by alike sets of its two blocks."""
+    fp, sets = f.fp.to_numpy(np.int64), [np.sort(np.asarray(h, np.int64)) for h in f.hashes]
+    groups = Groups(len(f))
+    _, first, root = np.unique(f.root.to_numpy(np.int64), return_index=True, return_inverse=True)
+    groups.join(first[root], np.arange(len(f)))
+    if len(first) > 1:
+        size = np.array(list(map(len, sets)))
+        # two of the largest class are together already
+        other = root != np.bincount(root).argmax()
+        left, right = (f.block == f.low).to_numpy(), (f.block == f.high).to_numpy()
+        for a, b in ((left & other, right), (left & ~other, right & other)):
+            a, b = np.flatnonzero(a), np.flatnonzero(b)
+            both = in_common([sets[i] for i in a], [sets[j] for j in b])
+            i, j = np.nonzero(both >= ALIKE * (size[a][:, None] + size[b] - both) - 1e-9)
+            groups.join(a[i], b[j])
+    keep = groups.up != np.arange(len(f))
+    return pd.DataFrame({"x": fp[groups.up[keep]], "y": fp[keep]})
+
+
 def alike_links(docs: DataFrame, sketched: DataFrame, key: str, text_col: str, radius: int = RADIUS) -> DataFrame:
     """(x, y): fingerprints over ``radius`` bits apart of texts whose sets of shingles have a Jaccard similarity of ``ALIKE`` or more.
 
     ``sketched``: (key, fp, set, bands) rows. Texts that share a band's key are
-    candidates: all pairs of up to ``PAIRED`` distinct sets, in more each with
-    two that differ from band to band. Each candidate's sets are compared whole.
+    candidates: all pairs of up to ``PAIRED`` distinct sets; in more, first each
+    with two that differ from band to band, and then, where that leaves the band
+    in several classes, the whole sets in cells of two blocks of ``BLOCK``, each
+    of which gives a star. Each candidate's sets are compared whole.
     """
     texts = sketched.groupBy("fp", "set").agg(F.min(F.struct(key, "bands")).alias("x")).select("fp", "set", F.col(f"x.{key}").alias("at"), F.explode("x.bands").alias("band"))
     rows = cut(texts.select("band", F.struct(F.xxhash64("band", "fp", "set").alias("order"), "fp", "at").alias("x")))
@@ -274,13 +311,32 @@ def alike_links(docs: DataFrame, sketched: DataFrame, key: str, text_col: str, r
     pairs = pairs.select(F.col("x.at").alias("a"), F.col("y.at").alias("b"), F.col("x.fp").alias("x"), F.col("y.fp").alias("y"))
     low = F.col("x") < F.col("y")
     pairs = pairs.filter("x <> y").select(*(F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in ("ab", "ba", "xy", "yx")))
-    pairs = cut(pairs.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) > radius).distinct())
+    pairs = cut(pairs.distinct())
+    bits = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    near, pairs = pairs.filter(bits <= radius).select("x", "y"), pairs.filter(bits > radius)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(key, text_col).join(small(cut(wanted.distinct())), key, "left_semi").dropDuplicates([key])
+        return cut(map_texts(texts, lambda ts: {"hashes": [shingle_set(t).view(np.int64) for t in ts]}, "hashes array<long>", text_col, (key,)))
 
-    wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()))
-    sets = cut(map_texts(docs.select(key, text_col).join(wanted, key, "left_semi").dropDuplicates([key]), lambda ts: {"hashes": [shingle_set(t).view(np.int64) for t in ts]}, "hashes array<long>", text_col, (key,)))
-    pairs = pairs.join(sets.select(F.col(key).alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col(key).alias("b"), F.col("hashes").alias("q")), "b")
+    of = sets(pairs.select(F.explode(F.array("a", "b")).alias(key)))
+    pairs = pairs.join(of.select(F.col(key).alias("a"), F.col("hashes").alias("p")), "a").join(of.select(F.col(key).alias("b"), F.col("hashes").alias("q")), "b")
     both = F.size(F.array_intersect("p", "q"))
-    return pairs.filter(both >= ALIKE * (F.size("p") + F.size("q") - both) - 1e-9).select("x", "y").distinct()
+    links = pairs.filter(both >= ALIKE * (F.size("p") + F.size("q") - both) - 1e-9).select("x", "y").distinct()
+    if not many.limit(1).count():
+        return links
+
+    links = cut(links)
+    groups = connected_components(links.union(near))
+    members = many.select("band", "n", "x.fp", "x.at").join(groups, F.col("fp") == groups.node, "left").select("band", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
+    members = cut(members)
+    open_bands = cut(members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band"))
+    cells = members.join(small(open_bands), "band", "left_semi")
+    cells = cells.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("fp", "at"), F.col("parts")))
+    cells = cut(cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    cells = cells.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "root", F.col("at").alias(key))
+    cells = cells.join(sets(cells.select(key)), key).drop(key)
+    return links.union(cells.groupBy("band", "low", "high").applyInPandas(cell_links, "x long, y long"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -502,6 +502,52 @@ def test_simhash_classes_of_a_table(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == plain_classes(rows)
 
 
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for group in range(4):
+        # chains: each text is its neighbour with one more run of words replaced, so the ends are far from alike
+        words = rng.choices(vocabulary, k=240)
+        for _ in range(24):
+            at = rng.randrange(230)
+            words = words[:at] + rng.choices(vocabulary, k=3) + words[at + 3 :]
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    sets = {k: set(simhash.shingle_set(t).tolist()) for k, t in texts.items()}
+    bands = {k: set(simhash.sketch(t)[1]) for k, t in texts.items()}
+    prints = {k: simhash.fingerprint(t) for k, t in texts.items()}
+    up = {k: k for k in texts}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    stars = 0
+    for a in texts:
+        for b in range(a):
+            alike = bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            stars += bool(alike)
+            if alike or (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS:
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    assert stars > 200
+    kept = sorted(k for k in texts if top(k) == k)
+    for paired, block in ((16, 128), (1, 128), (1, 5)):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == kept
+
+
+def test_sets_in_common():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-9, 9, n)) for n in (0, 1, 5, 30, 8)]
+    assert simhash.in_common(sets, sets[1:]).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[1:]] for a in sets]
+    assert simhash.in_common([], sets).shape == (0, 5) and simhash.in_common(sets, []).shape == (5, 0)
+
+
 def test_one_of_each_drops_near_copies_from_similarity_0_8_on(spark):
     rng = random.Random(14)
     rows, want, far = [], set(), 0
