@@ -148,7 +148,7 @@ class ByteBpe:
         """For each text the entries of a table for its ids, one behind the other."""
         found = table.take(pa.array(ids))
         at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[starts].tolist()
-        data = memoryview(found.buffers()[2] or b"")
+        data = memoryview(found.buffers()[2] or b"").cast("B")
         return [data[a:b] for a, b in zip(at, at[1:])]
 
     def digest_batch(self, texts: list[str]) -> list[tuple[int, memoryview, memoryview, int]]:
