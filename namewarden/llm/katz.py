@@ -38,8 +38,8 @@ ORDER, BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 3, 8_000_000, 1_000_000, 5, 1000
 FOLDS = 10
 #: Of the base score.
 ADDED = 0.1
-#: Bits of a word's hash, and of a next word's that tell it from others after its context.
-WORD_BITS, NEXT_BYTES = np.uint64((1 << 48) - 1), 5
+#: Words are told apart by hashes of 64 bits in order 1; in contexts, and after a context, by these bits of them.
+WORD_BITS = np.uint64((1 << 48) - 1)
 
 #: Level 0: a block itself; else the answers of an order.
 ROWS = "block long, level int, part int, data binary"
@@ -142,7 +142,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
         def close():
             nonlocal seq, vocab, ids, lens, tokens, size
             flat = np.concatenate(tokens)
-            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab)) & WORD_BITS
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
             train = np.array([not held_out(i) for i in ids], bool)
             order = np.argsort(-np.bincount(flat, minlength=len(words))[1:], kind="stable") + 1  # frequent words get small numbers, but 0 stays the boundary
             order = np.concatenate([[0], order])
@@ -195,7 +195,7 @@ class Block:
 
     def __init__(self, data: bytes, docs: int, hot_over: float) -> None:
         self.__dict__.update(unpack(data))
-        self.hash = self.words[self.tokens]
+        self.hash, self.boundary = self.words[self.tokens], self.words[0] & WORD_BITS
         self.begin = np.cumsum([0, *self.lens[:-1]])
         self.place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.lens)
         self.trained = np.repeat(self.train, self.lens)
@@ -209,13 +209,14 @@ class Block:
     def grow(self, parts: int) -> None:
         """Finds the distinct n-grams of the next order, sorted by part, context and next word."""
         self.level = k = self.level + 1
-        boundary, n = self.words[0], len(self.words)
+        n = len(self.words)
         if k == 1:
             self.context, self.seen = np.zeros(len(self.hash), np.uint64), np.full(len(self.hash), np.iinfo(np.int64).max)
             first, which = np.empty(n, np.int64), self.tokens
             first[self.tokens[::-1]] = np.arange(len(self.tokens) - 1, -1, -1)
         else:
-            before = self.before(self.hash, k - 1, boundary)
+            self.hash &= WORD_BITS
+            before = self.before(self.hash, k - 1, self.boundary)
             self.context = before if k == 2 else _mix(before, self.context)
             self.seen = self.before(self.counts[self.grams], 1, self.docs)
             code = self.before(self.grams, 1, len(self.counts)) * n + self.tokens
@@ -240,7 +241,7 @@ class Block:
         for a, b in zip(starts, [*starts[1:], len(self.part)]):
             run = self.run[slice(*np.searchsorted(self.run, (a, b)))]
             at = self.first[run]
-            next_word = self.hash[self.first[a:b]].view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES].T  # by planes
+            next_word = self.hash[self.first[a:b]].view(np.uint8).reshape(-1, 8)[:, : 8 if self.level == 1 else 6].T  # by planes
             steps = np.diff(self.context[at], prepend=np.uint64(0))
             out.append((int(self.part[a]), pack(steps=steps, run=np.diff([*run, b]), next=next_word, own=own[a:b], count=lower[0][self.first[a:b]], of=lower[1][at], hot=self.hot[at])))
         return out
@@ -333,8 +334,9 @@ def _table(requests: DataFrame, model: Model) -> DataFrame:
         contexts, of = np.unique(np.concatenate([np.cumsum(a["steps"]) for a in asked]), return_inverse=True)
         run_of = np.concatenate([a["run"] for a in asked]).astype(np.int64)
         of_gram = np.repeat(of, run_of)
+        planes = np.concatenate([a["next"] for a in asked], axis=1)
         word = np.zeros((len(of_gram), 8), np.uint8)
-        word[:, :NEXT_BYTES] = np.concatenate([a["next"] for a in asked], axis=1).T
+        word[:, : len(planes)] = planes.T
         _, first, at = np.unique(_mix(contexts[of_gram], word.view(np.uint64).ravel()), return_index=True, return_inverse=True)
         counts = np.zeros(len(first), np.int64)
         np.add.at(counts, at, np.concatenate([a["own"] for a in asked]).astype(np.int64))
