@@ -34,6 +34,8 @@ HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
 JWT_RUN = re.compile(r"[A-Za-z0-9_.-]+")
 #: Label, header lines (folded ones begin with a space) and body; possessive, so that no place is tried twice.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----\s*+((?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+\r?\n(?:[ \t]++[^\s][^\r\n]*+\r?\n)*+)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
+#: Strings, brackets, what lies between them, and what can't stand there.
+JSON_PIECE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]]|[^"{}\[\]\\]++|["\\]', re.DOTALL)
 ENCRYPTED = re.compile(r"^(?:Proc-Type:.*ENCRYPTED|DEK-Info:)", re.MULTILINE)
 #: How base64 of a DER sequence and of the OpenSSH magic begins.
 BLOB = re.compile(r"(?:M[A-I]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -169,14 +171,42 @@ def token_start(part: str) -> int | None:
         shown = data.decode("latin-1").rstrip()
         if not shown.endswith("}"):
             continue
-        at = shown.find('{"')
-        while at >= 0:
+        for at in last_objects(shown):
             if at % 3 == 0 and _header(shown, at):
                 return skip + at // 3 * 4
-            at = shown.find('{"', at + 1)
     return None
 
 
+def last_objects(text: str) -> list[int]:
+    """Where an object may begin whose braces close at the text's very end, in order.
+
+    A brace met outside strings on the way from an earlier place closes where
+    that way closes it, so none starts there; two readings of a quote are left,
+    and each place is looked at a few times.
+    """
+    met: set[int] = set()
+    found = []
+    at = text.find('{"')
+    while at >= 0:
+        if at not in met:
+            opened: list[int] = []
+            for m in JSON_PIECE.finditer(text, at):
+                piece = m[0]
+                if piece == "{" or piece == "[":
+                    opened.append(m.start())
+                    met.add(m.start())
+                elif piece == "}" or piece == "]":
+                    start = opened.pop()
+                    if m.end() == len(text) and text.startswith('{"', start):
+                        found.append(start)
+                    if not opened:
+                        break
+                elif piece == "\\" or piece == '"':  # a backslash outside strings, a string without an end
+                    break
+        at = text.find('{"', at + 1)
+    return sorted(found)
+
+
 def _header(shown: str, at: int) -> bool:
     try:
         found, end = json.JSONDecoder().raw_decode(shown, at)
