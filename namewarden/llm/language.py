@@ -41,8 +41,10 @@ JUDGED = 20
 HOST, DOMAIN, MARK, LEAST = 20.0, 50.0, 1.0, 0.5
 
 _OTHER = re.compile(r"[\W\d_]+")
-_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_MARKUP = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
+_HIDDEN = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_HIDDEN_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"""\slang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -68,8 +70,6 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE,
     if not total:
         return [], np.zeros((0, BUCKETS))
     enough = sizes.filter(F.col("size") >= few)
-    if not enough.limit(1).count():  # too small a table to leave any out
-        enough = sizes
     rate = F.greatest(F.lit(sample / total), F.lit(each) / F.col("size"))
     labelled = labelled.join(small(cut(enough.select("l", F.ceil(F.least(rate, F.lit(1.0)) * (1 << 20)).alias("most")))), "l")
     labelled = labelled.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.col("most")).select("l", "t")
@@ -95,14 +95,48 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE,
     return names, np.log(model / model.sum(axis=1, keepdims=True))
 
 
+def visible(markup: str) -> str:
+    """Markup with a space for each script, style, comment and tag; what isn't closed is text, or a tag where that is.
+
+    One pass: a mark that has no end isn't looked for again.
+    """
+    out, at, endless = [], 0, set()
+    while (i := markup.find("<", at)) >= 0 and (close := markup.find(">", i)) >= 0:
+        out += [markup[at:i], " "]
+        at = close + 1
+        if (m := _HIDDEN.match(markup, i)) and (name := m[1].lower()) not in endless:
+            end = _HIDDEN_END[name].search(markup, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+        elif markup.startswith("<!--", i) and "comment" not in endless:
+            end = markup.find("-->", i + 4)
+            if end >= 0:
+                at = end + 3
+            else:
+                endless.add("comment")
+    return "".join([*out, markup[at:]])
+
+
+def declared_language(markup: str) -> str | None:
+    """The language of the first html tag that has one, in lower case."""
+    at = 0
+    while m := _HTML.search(markup, at):
+        close = markup.find(">", m.end())
+        at = len(markup) if close < 0 else close
+        if found := _LANG.search(markup, m.end(), at):
+            return found[1].lower()
+    return None
+
+
 def from_page(url: str, markup: str) -> tuple[str, str | None, str | None]:
     """A page's visible text, the language that its markup declares and its host; null where there is none."""
-    found = _MARKUP.search(markup)
     try:
         host = urlsplit(url).hostname
     except ValueError:
         host = None
-    return html.unescape(_HIDDEN.sub(" ", markup)), found and found[1].lower(), host
+    return html.unescape(visible(markup)), declared_language(markup), host
 
 
 def pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
