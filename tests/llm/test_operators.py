@@ -213,9 +213,57 @@ def test_secrets_in_long_texts_take_time_in_proportion(text):
     assert time.process_time() - began < 10
 
 
+def encoded(text):
+    return urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+
+@pytest.mark.parametrize("text", ['{"aa":' * 125_000 + "}", '{"a":[1,' * 95_000 + "}", '{"aa":' * 80_000 + "1" + "}" * 80_000, '{"{"{"' * 150_000 + "}", '{"\\\\' * 150_000 + "}"])
+def test_nested_headers_take_time_in_proportion(text):
+    text = encoded(text) + ".e30.x"
+    began = time.process_time()
+    assert not any(k == 3 for _, k, _ in secrets.scan(text))
+    assert time.process_time() - began < 3
+
+
+def test_headers_are_found_where_every_place_is_tried():
+    """Against a scan that decodes from each place."""
+
+    def plain(shown):
+        for at in range(len(shown)):
+            if shown.startswith('{"', at) and at % 3 == 0 and secrets._header(shown, at):
+                return at
+        return None
+
+    rng, pieces, hits = random.Random(5), ["{", '"', "}", "alg", ":", '"alg":"HS"', "\\", ",", "[", "]", '{"a":1}', '{"alg":"x"}', " ", '{"'], 0
+    for _ in range(20_000):
+        shown = "".join(rng.choices(pieces, k=rng.randint(1, 9))) + "}"
+        shown = '{"alg":"HS256","k":' + shown if rng.random() < 0.5 else shown
+        found = next((a for a in secrets.last_objects(shown) if a % 3 == 0 and secrets._header(shown, a)), None)
+        assert found == plain(shown), shown
+        hits += found is not None
+    assert hits > 200
+
+
 # language
 
 
+@pytest.mark.parametrize("markup", ["<!--" * 250_000, "<script>" * 125_000, "<html " * 170_000, "<" * 1_000_000, "<script>" * 60_000 + "</script" * 60_000, "<html lang " * 90_000])
+def test_long_pages_take_time_in_proportion(markup):
+    began = time.process_time()
+    language.from_page("", markup)
+    assert time.process_time() - began < 1
+
+
+def test_pages_are_read_as_their_patterns_say():
+    hidden = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+    declared = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
+    rng, pieces = random.Random(4), ["<script", "<style>", "</script >", "</style>", "<!--", "-->", "<html", " lang", "=", " 'de'", "fr", ">", "<", "a", " ", "\n", "<SCRIPT x>", "/"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        m = declared.search(t)
+        assert (language.visible(t), language.declared_language(t)) == (hidden.sub(" ", t), m and m[1].lower()), t
+
+
 def plain_posteriors(rows, names, model):
     """Probability of each language for rows (text, declared, host), in plain Python; the trigram model is given."""
     n = len(names)
@@ -415,6 +463,21 @@ def plain_katz(docs, order=3, k=5):
     return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), sum(math.log10(p(tuple([*pad, *t][i : i + order - 1]), w)) for i, w in enumerate(t))) for t in tok]
 
 
+def test_words_of_like_short_hashes_are_told_apart(spark):
+    """The least 40 bits of both words' hashes are equal."""
+    import xxhash
+
+    a, b = "w2968505", "w4481945"
+    assert (xxhash.xxh64_intdigest(a) ^ xxhash.xxh64_intdigest(b)) % (1 << 40) == 0
+    ids = [i for i in range(200) if not katz.held_out(i)][:30]
+    away = next(i for i in range(200) if katz.held_out(i))
+    df = spark.createDataFrame([*((i, f"{a} and more") for i in ids), (away, f"{b} and")], "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.score(df, order=2).collect()}
+    n, v = 4 * len(ids), 4
+    assert (got[away].n_known, got[away].train_tokens) == (2, n)
+    assert got[away].base_score == pytest.approx(math.log10(0.1 / (n + 0.1 * (v + 1))) + 2 * math.log10((len(ids) + 0.1) / (n + 0.1 * (v + 1))))
+
+
 @pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "part_keys": 200}, {"order": 2}, {"order": 4, "part_keys": 500}])
 def test_katz_equals_the_plain_model_and_is_normalised(spark, sizes):
     rng = random.Random(6)
