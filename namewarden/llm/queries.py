@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from namewarden.llm import bpe, fingerprints, katz, language, mixing, permutation_index, secrets, simhash, tokens, toxicity
+from namewarden.llm import bpe, clustering, decontamination, fingerprints, katz, language, mixing, permutation_index, resampling, secrets, simhash, tokens, toxicity
 from namewarden.llm.common import cut, read
 
 
@@ -64,6 +64,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text")
+    return resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.decontaminate(docs, items).drop("spans")
+
+
+def op13_annulus_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
@@ -75,7 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_decontamination": op12_decontamination,
+    "op13_annulus_clustering": op13_annulus_clustering,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.ORACLE,
+    "op11_resampling": resampling.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
+    "op13_annulus_clustering": clustering.ORACLE,
+}
