@@ -9,6 +9,14 @@ def words(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
 
 
+def item_rows(rows):
+    """Items with passages of the rows' texts, short, empty, null and repeated ones, and one of a null id."""
+    texts = [t for _, t, *_ in rows if t and len(t.split()) > 30]
+    part = lambda t, a, b: " ".join(t.split()[a:b])
+    items = [(1, part(texts[0], 29_980, 30_000)), (10, part(texts[1], 3, 25).upper()), (2, "one"), (3, None), (4, ""), (5, "nothing of this is anywhere at all in these texts, is it"), (5, part(texts[1], 10, 30)), (6, "x x x"), (7, " \t"), (None, part(texts[3], 0, 15)), (8, "naïve space"), (9, "don't")]
+    return [(i, t, 0, 1) for i, t in items]
+
+
 @pytest.fixture(scope="session")
 def edge_rows():
     """Nulls, empty and long texts, ties, repeats, copies, odd characters; and columns named as the operators' own."""
@@ -35,13 +43,14 @@ def nothing(spark):
 
 
 @pytest.fixture(scope="session")
-def edge_dir(spark, edge, tmp_path_factory):
+def edge_dir(spark, edge, edge_rows, tmp_path_factory):
     """The edge rows as a documents table, with few labels and vectors."""
     d = str(tmp_path_factory.mktemp("edge"))
     edge.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(5, 1), (6, 0), (6, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [None, 1.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(0, "http://a.example.org/x", "<html lang=en><p>the house</p></html>"), (1, None, None), (2, "http://[bad", "<HTML class='x' lang='de-AT'>")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(item_rows(edge_rows), "item_id long, text string, doc_id long, n int").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -52,4 +61,5 @@ def empty_dir(spark, nothing, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d

@@ -31,7 +31,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_over_edge_cases(spark, edge_dir, edge_rows, name):
     n = QUERIES[name](spark, edge_dir).count()
-    assert n == (4 if name.startswith("op5") else len(edge_rows) + 3 * name.startswith("op4"))
+    none_of_64 = name.startswith("op13")
+    assert n == (4 if name.startswith("op5") else 0 if none_of_64 else len(edge_rows) + 3 * name.startswith("op4"))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
