@@ -18,7 +18,7 @@ TRUSTED_NAMESPACES = {
     "hf": ["deepmind", "facebook", "google", "huggingface", "microsoft", "nvidia", "openai"],
 }
 #: Neighbour search.
-VECTOR_OVER, PART_OVER, NEAR_EDITS, GROUP_EDITS, FLAT_LIMIT, KEPT, LEAST_SIMILARITY = 0.8, 0.99, 3, 4, 10, 2, 0.85
+VECTOR_OVER, AUTHOR_OVER, PART_OVER, NEAR_EDITS, GROUP_EDITS, FLAT_LIMIT, KEPT, LEAST_SIMILARITY = 0.8, 0.9, 0.99, 3, 4, 10, 2, 0.85
 #: Points of the risk score; its bounds; below these it is low, medium.
 RISK = {"adversarial": 8, "suspicious": 10, "no_readme": 3, "bare_metadata": 2, "active": -1, "obvious": -18, "fork": -2, "test": -5, "distinct": -18, "known": -18, "overlap": -18, "relocated": -18}
 RISK_MOST, RISK_LOW, RISK_MEDIUM = 10, 5, 8

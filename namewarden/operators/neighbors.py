@@ -1,11 +1,9 @@
 """Confusable neighbours of names among popular names, per kind of registry.
 
-Names of registries with namespaces are joined on their equal part by hash, the
-edits of the other part are a residual. Flat names have no equality; names
-within two edits share a string that deleting at most two characters from each
-gives, so they are joined on those, whatever the sizes. Only the arm that needs
-vectors compares all pairs; the popular side is broadcast there, after its size
-is checked.
+Names within a few edits share a segment, so they are joined on those, flat
+names by themselves and names of registries with namespaces within their equal
+part. Vectors over a threshold are joined by angles, within that part too. No
+arm compares all pairs.
 """
 
 from __future__ import annotations
@@ -15,35 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewarden.config import FLAT_LIMIT, GROUP_EDITS, KEPT, LEAST_SIMILARITY, NEAR_EDITS, PART_OVER, VECTOR_OVER
+from namewarden.config import AUTHOR_OVER, FLAT_LIMIT, GROUP_EDITS, KEPT, LEAST_SIMILARITY, NEAR_EDITS, PART_OVER, VECTOR_OVER
 from namewarden.functions.edit import osa_col
 from namewarden.functions.similarity import cosine, greatest_number, six, suspicious_namespace
+from namewarden.operators.angles import cosine_over
+from namewarden.operators.edits import names_near
 from namewarden.operators.popular import low_is_popular
 
-#: Rows of the popular side that may be broadcast to compare all pairs.
-BROADCAST_ROWS = 200_000
-
 
 def most_edits(name: Column) -> Column:
     """Two thirds of a name's length, whole."""
     return F.floor(2 * F.length(name) / 3)
 
 
-def deletions(name: Column) -> Column:
-    """The strings that deleting up to two characters gives, and the name."""
-    n = F.length(name)
-    cut = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    places = lambda s: F.when(F.length(s) > 0, F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    once = F.when(n > 0, F.transform(places(name), lambda i: cut(name, i))).otherwise(F.array().cast("array<string>"))
-    twice = F.flatten(F.transform(once, lambda s: F.transform(places(s), lambda i: cut(s, i))))
-    return F.array_distinct(F.concat(F.array(name), once, twice))
-
-
 def within_two_edits(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of rows whose lower-case names are within two edits: joined on deletions, then checked."""
-    x = left.select(F.lower(a).alias("__a")).filter("__a is not null").distinct().withColumn("__k", F.explode(deletions(F.col("__a"))))
-    y = right.select(F.lower(b).alias("__b")).filter("__b is not null").distinct().withColumn("__k", F.explode(deletions(F.col("__b"))))
-    pairs = x.join(y, "__k").select("__a", "__b").filter(F.levenshtein("__a", "__b", 2) >= 0).distinct()
+    """Pairs of rows whose lower-case names are within two edits."""
+    x, y = left.select(F.lower(a).alias("__a")), right.select(F.lower(b).alias("__b"))
+    pairs = names_near(x, y, "__a", "__b", NEAR_EDITS - 1)
     return left.join(pairs, F.lower(left[a]) == F.col("__a")).join(right, F.lower(right[b]) == F.col("__b")).drop("__a", "__b")
 
 
@@ -60,11 +46,10 @@ def flat(queries: DataFrame, popular: DataFrame, limit: int = FLAT_LIMIT, vector
     names = within_two_edits(q.select("query").distinct(), p.select("package_name").distinct(), "query", "package_name")
     if vector_over is not None:
         p = p.filter(F.col("embedding").isNotNull())
-        side = F.broadcast(p) if p.count() <= BROADCAST_ROWS else p
-        pairs = q.join(side, cosine(F.col("__v"), F.col("embedding")) > vector_over).withColumn("vector_similarity", cosine(F.col("__v"), F.col("embedding")))
+        pairs = cosine_over(q.select(F.col("query").alias("a"), F.col("__v").alias("v")), p.select(F.col("package_name").alias("b"), F.col("embedding").alias("v")), vector_over)
+        pairs = pairs.select(F.col("a").alias("query"), F.col("b").alias("package_name"), F.col("similarity").alias("vector_similarity"))
         near = q.join(names, "query").join(p, "package_name").withColumn("vector_similarity", cosine(F.col("__v"), F.col("embedding")))
-        columns = ["query", "package_name", "vector_similarity"]
-        pairs = pairs.select(*columns).union(near.select(*columns)).groupBy("query", "package_name").agg(F.max("vector_similarity").alias("vector_similarity"))
+        pairs = pairs.union(near.select(*pairs.columns)).groupBy("query", "package_name").agg(F.max("vector_similarity").alias("vector_similarity"))
     else:
         pairs = names.withColumn("vector_similarity", F.lit(None).cast("double"))
     pairs = pairs.withColumn("edits", F.levenshtein(F.lower("query"), F.lower("package_name")))
@@ -86,14 +71,22 @@ def by_group(queries: DataFrame, popular: DataFrame, kind: str) -> DataFrame:
     delimiter, same, other, over = {"maven": (":", 2, 1, True), "golang": ("/", 3, 2, False), "hf": ("/", 2, 1, True)}[kind]
     part = lambda c, n: F.split_part(c, F.lit(delimiter), F.lit(n))
     side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in ("package_name", "author_embedding", "package_embedding") if c in df.columns), F.lower(part(F.col("package_name"), same)).alias("__same"), F.lower(part(F.col("package_name"), other)).alias(f"{x}_other"), part(F.col("package_name"), other).alias(f"{x}_raw"))
-    q, p = side(queries, "q"), side(popular, "p")
-    pairs = q.join(p, "__same").filter((F.col("q_other") != F.col("p_other")) & (F.col("q_package_name") != F.col("p_package_name")))
+    q, p = side(queries, "q").filter("__same <> ''"), side(popular, "p").filter("__same <> ''")
+    own, their = (["q_package_name", "q_other"], ["p_package_name", "p_other"])
+    near = names_near(q, p, "q_other", "p_other", GROUP_EDITS - 1, ["__same"])
+    found = q.select("__same", *own).distinct().join(near, ["__same", "q_other"]).join(p.select("__same", *their).distinct(), ["__same", "p_other"]).select(own[0], their[0])
+    vectors = "author_embedding" in queries.columns and "author_embedding" in popular.columns and "package_embedding" in queries.columns and "package_embedding" in popular.columns
+    if vectors:
+        by_vector = cosine_over(q.select("__same", F.col(own[0]).alias("a"), F.col("q_author_embedding").alias("v")), p.select("__same", F.col(their[0]).alias("b"), F.col("p_author_embedding").alias("v")), AUTHOR_OVER, ["__same"])
+        found = found.union(by_vector.select("a", "b"))
+    pairs = q.join(found.distinct(), own[0]).join(p.drop("__same"), their[0])
+    pairs = pairs.filter((F.col("q_other") != F.col("p_other")) & (F.col("q_package_name") != F.col("p_package_name")))
     pairs = pairs.withColumn("edits", F.levenshtein("q_other", "p_other"))
     zero = F.lit(0.0)
-    author = cosine(F.col("q_author_embedding"), F.col("p_author_embedding")) if "q_author_embedding" in q.columns else zero
-    package = cosine(F.col("q_package_embedding"), F.col("p_package_embedding")) if "q_package_embedding" in q.columns else zero
+    author = cosine(F.col("q_author_embedding"), F.col("p_author_embedding")) if vectors else zero
+    package = cosine(F.col("q_package_embedding"), F.col("p_package_embedding")) if vectors else zero
     pairs = pairs.withColumns({"author_similarity": author, "package_similarity": package})
-    keep = ((F.col("author_similarity") > 0.9) & (F.col("package_similarity") > PART_OVER)) | (F.col("edits") < GROUP_EDITS)
+    keep = ((F.col("author_similarity") > AUTHOR_OVER) & (F.col("package_similarity") > PART_OVER)) | (F.col("edits") < GROUP_EDITS)
     if over:
         keep = keep & (F.col("edits") < most_edits(F.col("q_other")))
     if kind == "maven":

@@ -173,6 +173,38 @@ def neighbors_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.by_group(rows, rows, "hf").select("query", "package_name", F.col("edits").cast("long").alias("edits"), F.col("place").cast("long").alias("place"))
 
 
+VECTOR_GROUPS = """WITH v AS (SELECT {name} AS n, embedding[1:2]::DOUBLE[] AS a, embedding[3:4]::DOUBLE[] AS b FROM embeddings),
+x AS (SELECT q.n AS query, p.n AS package_name, levenshtein(split_part(q.n, '/', {o}), split_part(p.n, '/', {o})) AS edits, list_cosine_similarity(q.a, p.a) AS s, list_cosine_similarity(q.b, p.b) AS t FROM v q JOIN v p ON split_part(q.n, '/', {s}) = split_part(p.n, '/', {s}) AND split_part(q.n, '/', {o}) <> split_part(p.n, '/', {o})),
+y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY edits, t DESC, s DESC, package_name) AS place FROM x WHERE {keep})
+SELECT query, package_name, edits, round(s, 6) AS author_similarity, round(t, 6) AS package_similarity, place FROM y"""
+
+
+def vector_groups(spark: SparkSession, sf_dir: str, name: Column, kind: str) -> DataFrame:
+    """Neighbours of vectors' names by group; the first two components stand for the author's vector, the next two for the package's."""
+    v = table(spark, sf_dir, "embeddings")
+    rows = v.select(name.alias("package_name"), F.slice("embedding", 1, 2).alias("author_embedding"), F.slice("embedding", 3, 2).alias("package_embedding"))
+    found = J.by_group(rows, rows, kind)
+    return found.select("query", "package_name", F.col("edits").cast("long").alias("edits"), *six_digits("author_similarity", "package_similarity"), F.col("place").cast("long").alias("place"))
+
+
+@query(VECTOR_GROUPS.format(name="'example/owner-' || md5(vec_id::VARCHAR)[1:8] || '/label' || label", o=2, s=3, keep="(s > 0.9 AND t > 0.99) OR edits < 4"))
+def neighbors_path_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 8)
+    return vector_groups(spark, sf_dir, F.concat(F.lit("example/owner-"), owner, F.lit("/label"), "label"), "golang")
+
+
+@query(VECTOR_GROUPS.format(name="'organisation-' || md5(vec_id::VARCHAR)[1:8] || '/label' || label", o=1, s=2, keep="((s > 0.9 AND t > 0.99) OR edits < 4) AND edits < 2 * length(split_part(query, '/', 1)) // 3"))
+def neighbors_author_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 8)
+    return vector_groups(spark, sf_dir, F.concat(F.lit("organisation-"), owner, F.lit("/label"), "label"), "hf")
+
+
+@query(VECTOR_GROUPS.replace("'/'", "':'").format(name="'org.m' || vec_id % 50 || '.' || md5(vec_id::VARCHAR)[1:8] || ':label' || label", o=1, s=2, keep="((s > 0.9 AND t > 0.99) OR edits < 4) AND edits < 2 * length(split_part(query, ':', 1)) // 3 AND split_part(query, '.', 2) <> split_part(package_name, '.', 2)"))
+def neighbors_group_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.concat(F.lit("org.m"), F.col("vec_id") % 50, F.lit("."), F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 8))
+    return vector_groups(spark, sf_dir, F.concat(group, F.lit(":label"), "label"), "maven")
+
+
 @query("""WITH c AS (SELECT * FROM (VALUES (0,'install'),(1,'test'),(2,'run'),(3,'small ring'),(4,'red bolt'),(5,'red belt'),(6,'hot gear'),(7,'old golt')) t(i, c))
 SELECT p_name AS query, min_by(c, i) AS command FROM (SELECT DISTINCT p_name FROM part) JOIN c ON levenshtein(lower(p_name), lower(c)) < 2 GROUP BY 1""")
 def command_squat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.operators.neighbors import deletions, most_edits
+from namewarden.config import NEAR_EDITS
+from namewarden.operators.edits import near
+from namewarden.operators.neighbors import most_edits
 
 
 def confusable(arrivals: DataFrame, popular: DataFrame, name: str = "package_name") -> DataFrame:
-    """Rows of a stream with the popular names within two edits, joined on shared deletions; each pair of a row once.
+    """Rows of a stream with the popular names within two edits; each pair of a row once.
 
-    Stateless, so it runs in append mode and on batches alike. A pair is kept at
-    the first of the deletions that it shares, so no state is needed to tell
-    repeats.
+    Stateless, so it runs in append mode and on batches alike.
     """
-    listed = popular.select(F.lower(name).alias("target")).distinct().withColumn("__k", F.explode(deletions(F.col("target"))))
-    asked = arrivals.withColumn("__low", F.lower(name)).withColumn("__k", F.explode(deletions(F.col("__low"))))
-    pairs = asked.join(listed, "__k")
-    pairs = pairs.filter((F.col("__low") != F.col("target")) & (F.levenshtein("__low", "target", 2) >= 0))
-    # made anew for the few pairs that are left, so that no exploded row carries them
-    first = F.array_min(F.array_intersect(deletions(F.col("__low")), deletions(F.col("target")))) == F.col("__k")
-    pairs = pairs.filter(first).withColumn("edits", F.levenshtein("__low", "target"))
-    return pairs.filter(F.col("edits") < most_edits(F.col("__low"))).drop("__k", "__low")
+    listed = popular.select(F.lower(name).alias("target")).distinct()
+    pairs = near(arrivals.withColumn("__low", F.lower(name)), listed, "__low", "target", NEAR_EDITS - 1)
+    pairs = pairs.filter(F.col("__low") != F.col("target")).withColumn("edits", F.levenshtein("__low", "target"))
+    return pairs.filter(F.col("edits") < most_edits(F.col("__low"))).drop("__low")
 
 
 def counts(pairs: DataFrame, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
