@@ -14,7 +14,7 @@ pairs are cut into cells.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -82,8 +82,24 @@ def _placed(df: DataFrame, v: str, cells: Cells, own: bool) -> DataFrame:
     return df.mapInPandas(run, spec)
 
 
-def _blocks(left: DataFrame, right: DataFrame, keys: list[str], over: float, rows: int, groups: int) -> DataFrame:
-    """(a, b, similarity) of rows of equal keys, block against block, from (keys, block, part, side, id, v)."""
+def blocked(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides in blocks (right) and parts (left) of about ``rows`` rows of a key, a row once for each of the other side's, and how many groups that makes."""
+    load = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias(n))
+    loads = cut(load(right, "blocks").join(load(left, "parts"), keys))
+    groups = loads.agg(F.sum(F.col("blocks") * F.col("parts"))).first()[0] or 0
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = right.join(small(loads), keys).withColumn("block", F.pmod(F.xxhash64("b", "v"), "blocks")).withColumn("part", each("parts"))
+    left = left.join(small(loads), keys).withColumn("part", F.pmod(F.xxhash64("a", "v"), "parts")).withColumn("block", each("blocks"))
+    return left, right, groups
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], choose: Callable[[np.ndarray], np.ndarray], groups: int) -> DataFrame:
+    """(a, b, similarity) of the pairs of equal keys that ``choose`` marks in a matrix of cosines.
+
+    Sides have (keys, block, part, a or b, v), v of length 1. Equal (keys,
+    block, part) come together in a task, the left ones held; the columns of a
+    matrix are in the order of b, and may be some of a group's.
+    """
     by = [*keys, "block", "part"]
     both = left.select(*by, F.lit(0).alias("side"), F.col("a"), F.lit(None).cast(right.schema["b"].dataType).alias("b"), "v")
     both = both.unionByName(right.select(*by, F.lit(1).alias("side"), F.lit(None).cast(left.schema["a"].dataType).alias("a"), "b", "v"))
@@ -99,19 +115,19 @@ def _blocks(left: DataFrame, right: DataFrame, keys: list[str], over: float, row
                 now = tuple(part[by].iloc[0])
                 if now != key:
                     key, ids, held = now, [], []
-                asking, answering = part[part["side"] == 0], part[part["side"] == 1]
+                asking, answering = part[part["side"] == 0], part[part["side"] == 1].sort_values("b", kind="stable")
                 if len(asking):
                     ids += asking["a"].to_list()
                     held.append(np.stack(asking["v"].to_list()))
                 if not len(answering) or not held:
                     continue
                 held = [np.concatenate(held)]
-                y, known = np.stack(answering["v"].to_list()), answering["b"].to_numpy()
+                y, known = np.stack(answering["v"].to_list()), answering["b"].to_list()
                 for at in range(0, len(ids), 256):
                     s = held[0][at : at + 256] @ y.T
-                    i, j = np.nonzero(s > over)
+                    i, j = np.nonzero(choose(s))
                     if len(i):
-                        yield pd.DataFrame({"a": pd.Series([ids[at + k] for k in i.tolist()]), "b": pd.Series(known[j]), "similarity": s[i, j]})
+                        yield pd.DataFrame({"a": pd.Series([ids[at + k] for k in i.tolist()]), "b": pd.Series([known[k] for k in j.tolist()]), "similarity": s[i, j]})
 
     return both.mapInPandas(run, spec)
 
@@ -150,10 +166,5 @@ def _by_cells(left: DataFrame, right: DataFrame, over: float, on: list[str], ref
         cells.low[r.dim][r.cell], cells.high[r.dim][r.cell] = r.low, r.high
     left = cut(_placed(left, "v", cells, own=False)).withColumn("cell", F.explode("cells")).drop("cells")
     keys = [*on, "dim", "cell"]
-    load = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias(n))
-    loads = cut(load(right, "blocks").join(load(left, "parts"), keys))
-    groups = loads.agg(F.sum(F.col("blocks") * F.col("parts"))).first()[0] or 0
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    right = right.drop("angle").join(small(loads), keys).withColumn("block", F.pmod(F.xxhash64("b", "v"), "blocks")).withColumn("part", each("parts"))
-    left = left.join(small(loads), keys).withColumn("part", F.pmod(F.xxhash64("a", "v"), "parts")).withColumn("block", each("blocks"))
-    return _blocks(left, right, keys, over, rows, groups)
+    left, right, groups = blocked(left, right.drop("angle"), keys, rows)
+    return matched(left, right, keys, lambda s: s > over, groups)
