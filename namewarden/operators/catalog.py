@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns; maps and variants, which have none, count by their JSON."""
+    hashable = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    named = lambda f: "`" + f.name.replace("`", "``") + "`"
+    return F.xxhash64(*(F.col(named(f)) if hashable(f) else F.to_json(F.struct(named(f))) for f in rows.schema))
+
+
 def insert_ignore(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows that an insert adds: new keys, once each."""
     return new.dropDuplicates([key]).join(table.select(key), key, "left_anti")
@@ -16,7 +23,7 @@ def insert_ignore(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def upsert(table: DataFrame, new: DataFrame, key: str, updated: str = "updated_at", created: str = "created_at") -> DataFrame:
     """The table with the latest row of each key; created stays the earliest. Of rows as late, a new one stays, then the one of the least hash."""
     rows = table.withColumn("__old", F.lit(1)).unionByName(new.withColumn("__old", F.lit(0)), allowMissingColumns=True)
-    latest = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), "__old", F.xxhash64(*(c for c in rows.columns if c != created)))
+    latest = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), "__old", row_hash(rows.drop(created)))
     out = rows.withColumns({"__n": F.row_number().over(latest), created: F.min(created).over(Window.partitionBy(key))})
     return out.filter("__n = 1").drop("__n", "__old")
 
