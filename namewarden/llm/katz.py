@@ -9,15 +9,16 @@ times leaves nothing; it is given one more occurrence, and that is left. A
 text's boundary is one symbol: its end is a token, and it fills the contexts
 before the first words.
 
-Documents are packed into blocks: a local vocabulary of word hashes and local
-token numbers. Order by order each block asks the table of n-grams, partitioned
-by context, for its distinct n-grams' counts and for the sums of those contexts
-that it must back off from. A request carries the block's own training counts
-and the lower order's counts, so a part of the table is made and answered in
-one go, and no part is asked for a block that has nothing in it: rows are at
-most as many as distinct n-grams of blocks. What is shuffled is packed. A
-context that holds over 1 / HOT of all tokens (so fewer than HOT there are) is
-spread over the parts by the next word, and its sums are added up.
+Documents are packed into blocks: a local vocabulary of word hashes, of 64 bits,
+and local token numbers. The first order's table numbers the words, and from
+then on they go by these. Order by order each block asks the table of n-grams,
+partitioned by context, for its distinct n-grams' counts and for the sums of
+those contexts that it must back off from. A request carries the block's own
+training counts and the lower order's counts, so a part of the table is made and
+answered in one go, and no part is asked for a block that has nothing in it:
+rows are at most as many as distinct n-grams of blocks. What is shuffled is
+packed. A context that holds over 1 / HOT of all tokens (so fewer than HOT there
+are) is spread over the parts by the next word, and its sums are added up.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ ORDER, BLOCK_BYTES, PART_KEYS, CUTOFF, HOT = 3, 8_000_000, 1_000_000, 5, 1000
 FOLDS = 10
 #: Of the base score.
 ADDED = 0.1
-#: Words are told apart by hashes of 64 bits in order 1; in contexts, and after a context, by these bits of them.
-WORD_BITS = np.uint64((1 << 48) - 1)
 
 #: Level 0: a block itself; else the answers of an order.
 ROWS = "block long, level int, part int, data binary"
@@ -195,7 +194,7 @@ class Block:
 
     def __init__(self, data: bytes, docs: int, hot_over: float) -> None:
         self.__dict__.update(unpack(data))
-        self.hash, self.boundary = self.words[self.tokens], self.words[0] & WORD_BITS
+        self.hash = self.words[self.tokens]
         self.begin = np.cumsum([0, *self.lens[:-1]])
         self.place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.lens)
         self.trained = np.repeat(self.train, self.lens)
@@ -215,8 +214,7 @@ class Block:
             first, which = np.empty(n, np.int64), self.tokens
             first[self.tokens[::-1]] = np.arange(len(self.tokens) - 1, -1, -1)
         else:
-            self.hash &= WORD_BITS
-            before = self.before(self.hash, k - 1, self.boundary)
+            before = self.before(self.hash, k - 1, self.words[0])
             self.context = before if k == 2 else _mix(before, self.context)
             self.seen = self.before(self.counts[self.grams], 1, self.docs)
             code = self.before(self.grams, 1, len(self.counts)) * n + self.tokens
@@ -241,7 +239,8 @@ class Block:
         for a, b in zip(starts, [*starts[1:], len(self.part)]):
             run = self.run[slice(*np.searchsorted(self.run, (a, b)))]
             at = self.first[run]
-            next_word = self.hash[self.first[a:b]].view(np.uint8).reshape(-1, 8)[:, : 8 if self.level == 1 else 6].T  # by planes
+            next_word = self.hash[self.first[a:b]]
+            next_word = next_word if self.level == 1 else next_word.astype(np.int64)  # numbers are packed small
             steps = np.diff(self.context[at], prepend=np.uint64(0))
             out.append((int(self.part[a]), pack(steps=steps, run=np.diff([*run, b]), next=next_word, own=own[a:b], count=lower[0][self.first[a:b]], of=lower[1][at], hot=self.hot[at])))
         return out
@@ -250,6 +249,10 @@ class Block:
         """Takes the answers of this order's parts, and the sums of hot contexts."""
         got = [unpack(d) for d in answers]
         self.counts = np.concatenate([a["counts"] for a in got]).astype(np.int64)
+        if self.level == 1:  # from here on words go by their numbers
+            self.words = self.words.copy()
+            self.words[self.tokens[self.first]] = np.concatenate([a["numbers"] for a in got]).astype(np.uint64)
+            self.hash = self.words[self.tokens]
         bare = np.concatenate([a["bare"] for a in got]).astype(bool)
         at = np.concatenate([a["at"] + n for a, n in zip(got, np.cumsum([0, *(len(a["bare"]) for a in got)]))])
         mass, few = (np.concatenate([a[c] for a in got]) for c in ("mass", "few"))
@@ -324,7 +327,7 @@ def _requests(grouped, model: Model, parts: int) -> DataFrame:
     return grouped.applyInPandas(run, ROWS)
 
 
-def _table(requests: DataFrame, model: Model) -> DataFrame:
+def _table(requests: DataFrame, model: Model, parts: int) -> DataFrame:
     """For each part and block the answers to a request, and rows of sums."""
     cutoff, lowest = model.cutoff, not model.parts
 
@@ -334,10 +337,8 @@ def _table(requests: DataFrame, model: Model) -> DataFrame:
         contexts, of = np.unique(np.concatenate([np.cumsum(a["steps"]) for a in asked]), return_inverse=True)
         run_of = np.concatenate([a["run"] for a in asked]).astype(np.int64)
         of_gram = np.repeat(of, run_of)
-        planes = np.concatenate([a["next"] for a in asked], axis=1)
-        word = np.zeros((len(of_gram), 8), np.uint8)
-        word[:, : len(planes)] = planes.T
-        _, first, at = np.unique(_mix(contexts[of_gram], word.view(np.uint64).ravel()), return_index=True, return_inverse=True)
+        word = np.concatenate([a["next"].astype(np.uint64) for a in asked])
+        _, first, at = np.unique(_mix(contexts[of_gram], word), return_index=True, return_inverse=True)
         counts = np.zeros(len(first), np.int64)
         np.add.at(counts, at, np.concatenate([a["own"] for a in asked]).astype(np.int64))
         owner = of_gram[first]
@@ -350,12 +351,17 @@ def _table(requests: DataFrame, model: Model) -> DataFrame:
         few = np.stack([np.bincount(owner[counts == r], minlength=n) for r in range(1, cutoff + 1)], axis=1)
         bare = ~few.any(axis=1)
         ends, runs = np.cumsum([0, *(int(a["run"].sum()) for a in asked)]), np.cumsum([0, *(len(a["run"]) for a in asked)])
+        number = None
+        if lowest:  # words are numbered, frequent ones first, apart from those of other parts
+            number = np.empty(len(counts), np.int64)
+            number[np.argsort(-counts, kind="stable")] = np.arange(len(counts)) * parts + int(key[0])
         rows: list[tuple] = []
         for i, block in enumerate(f.block):
             mine, got = of[runs[i] : runs[i + 1]], counts[at[ends[i] : ends[i + 1]]]
             lengths = asked[i]["run"].astype(np.int64)
             unseen = np.flatnonzero(np.bincount(np.repeat(np.arange(len(mine)), lengths), got == 0, minlength=len(mine)) > 0)
-            rows.append((block, int(f.level.iloc[0]), key[0], pack(counts=got, bare=bare[mine], at=unseen, mass=mass[mine[unseen]], few=few[mine[unseen]].astype(np.int32)), None, None))
+            names = {"numbers": number[at[ends[i] : ends[i + 1]]]} if lowest else {}
+            rows.append((block, int(f.level.iloc[0]), key[0], pack(**names, counts=got, bare=bare[mine], at=unseen, mass=mass[mine[unseen]], few=few[mine[unseen]].astype(np.int32)), None, None))
         hot = np.zeros(n, bool)
         hot[of] = np.concatenate([a["hot"] for a in asked])
         rows.append((-1, 0, key[0], None, None, _histogram(counts, cutoff).astype(float).tolist()))
@@ -410,6 +416,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     model, tables = Model(sums.docs, sums.trained, cutoff), []
     parts = max(1, -(-sums.tokens // part_keys))
     for _ in range(order if sums.tokens else 0):
-        tables.append(cut(_table(_requests(_gather(blocks, tables), model, parts), model)))
+        tables.append(cut(_table(_requests(_gather(blocks, tables), model, parts), model, parts)))
         model.learn(*_sums(tables[-1]), parts)
     return _scores(_gather(blocks, tables), model, id_col)
