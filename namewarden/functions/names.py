@@ -70,7 +70,7 @@ def name_parts(name: Column, registry: Column) -> Column:
 
 
 def embedding_parts(name: Column, registry: Column) -> Column:
-    """struct(namespace, author, package) of what is embedded apart; the last takes what is left of the name."""
+    """struct(namespace, author, package) of what is embedded apart; the last takes what is left of the name. A golang name of one or two parts has its namespace as its author too."""
     colon, slash = F.split(name, ":"), F.split(name, "/")
     at = lambda a, i: F.get(a, F.lit(i))
     rest = lambda i: F.array_join(F.slice(slash, i, 1 << 20), "/")
@@ -81,7 +81,7 @@ def embedding_parts(name: Column, registry: Column) -> Column:
 
     return by_registry(registry, {
         "maven": made(empty, at(colon, 0), F.coalesce(at(colon, 1), empty)),
-        "golang": F.when(F.size(slash) >= 3, made(at(slash, 0), at(slash, 1), rest(3))).when(F.size(slash) == 2, made(at(slash, 0), empty, at(slash, 1))).otherwise(made(empty, empty, name)),
+        "golang": F.when(F.size(slash) >= 3, made(at(slash, 0), at(slash, 1), rest(3))).otherwise(made(at(slash, 0), at(slash, 0), F.coalesce(at(slash, 1), empty))),
         "hf": F.when(F.size(slash) >= 2, made(empty, at(slash, 0), rest(2))).otherwise(made(empty, empty, name)),
     })
 

@@ -41,6 +41,23 @@ def small(df: DataFrame, few: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= few else df
 
 
+#: Keys that over 1 / HOT of all rows have, so fewer than HOT, are hot.
+HOT = 1000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` beside the row of ``table`` with the same key, inner or left; ``table`` has one for each key.
+
+    A hot key's rows aren't shuffled to one task: the rows of the fewer than
+    ``HOT`` hot keys are joined by broadcast, the others by a shuffle.
+    """
+    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.filter(F.col("__n") * HOT > total).select(key).filter(F.col(key).isNotNull()))
+    made = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, how)
+    return made.unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
+
+
 def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], few: int = FEW) -> DataFrame:
     """``df`` with, for each of ``sums``, its sum over the rows of the group that come before by ``order`` (0 at first).
 

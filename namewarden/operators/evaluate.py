@@ -63,6 +63,20 @@ def _swept(few: DataFrame, low: int, high: int, step: int, by: float) -> DataFra
     return with_ratios(out).withColumn("threshold", F.round(F.col("__k") * by, 6)).drop("__k")
 
 
+def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """As many rows of either class as the smaller one has, the first by md5 of ``seed:key``; null labels are in neither.
+
+    Keys tell rows apart; ranks come from running counts, range by range.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    few = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.count(F.lit(1))).first()
+    if few[1] < 2:
+        return rows.limit(0)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ranked = running(rows.withColumn("__order", order), [label], [F.col("__order"), F.col(key)], {"__place": F.lit(1)})
+    return ranked.filter(F.col("__place") < few[0]).drop("__order", "__place")
+
+
 def best_by(df: DataFrame, value: str, *order: str) -> DataFrame:
     """The row of the greatest value; of equals the first in order."""
     return df.orderBy(F.col(value).desc(), *order).limit(1)

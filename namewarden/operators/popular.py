@@ -28,10 +28,11 @@ def popular(packages: DataFrame, registry: str, top: int | None = None, threshol
 
 
 def with_targets(listed: DataFrame, truth: DataFrame, registry: str) -> DataFrame:
-    """The list with the targets that it lacks on top, at a popularity that stands for the most popular."""
+    """The list with the targets that it lacks on top, by name, at a popularity that stands for the most popular; the others follow as they are in order of theirs."""
     new = truth.select("package_name").filter("package_name <> ''").distinct().join(listed, "package_name", "left_anti")
     new = new.withColumn("popularity", F.lit(0.1 if low_is_popular(registry) else 9999999.0))
-    return new.unionByName(listed.select("package_name", "popularity"))
+    both = new.withColumn("__old", F.lit(0)).unionByName(listed.select("package_name", "popularity", F.lit(1).alias("__old")))
+    return both.orderBy("__old", *popularity_order(registry)).drop("__old")
 
 
 def without(listed: DataFrame, names: DataFrame) -> DataFrame:

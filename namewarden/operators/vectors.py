@@ -1,4 +1,4 @@
-"""Vectors of names: pooling, hashed character n-grams, quantisation."""
+"""Vectors of names: pooling of words, of parts, hashed character n-grams, quantisation, projection."""
 
 from __future__ import annotations
 
@@ -6,20 +6,51 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.functions.names import tokens_served
+from namewarden.functions.names import embedding_parts, tokens_served
+from namewarden.operators.durable import join_split
 
 
-def pooled(names: DataFrame, words: DataFrame, dim: int) -> DataFrame:
-    """(package_name, embedding): the mean of the vectors of a name's words; zeros where none is known."""
-    parts = names.select("package_name").distinct().withColumn("word", F.explode_outer(tokens_served(F.col("package_name"))))
-    found = parts.join(words.select("word", "vector"), "word", "left").filter(F.col("vector").isNotNull())
-    cells = found.select("package_name", F.posexplode("vector").alias("i", "x")).groupBy("package_name", "i").agg(F.avg("x").alias("x"))
-    means = cells.groupBy("package_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c.x).alias("embedding"))
+def pooled_texts(parts: DataFrame, keys: list[str], words: DataFrame, dim: int) -> DataFrame:
+    """(*keys, embedding): the mean of the vectors of a row's ``words``, repeats counted and unknown ones as zeros; zeros for no words.
+
+    ``words`` has a row (word, vector) for each known word; rows of equal keys are one.
+    """
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return names.select("package_name").distinct().join(means, "package_name", "left").withColumn("embedding", F.coalesce("embedding", zeros))
+    each = parts.select(*keys, F.explode_outer("words").alias("word"))
+    found = join_split(each, words.select("word", F.col("vector").cast("array<double>").alias("vector")), "word")
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.coalesce("vector", zeros))))
+    return found.groupBy(*keys).agg(mean.alias("embedding"))
+
+
+def pooled(names: DataFrame, words: DataFrame, dim: int) -> DataFrame:
+    """(package_name, embedding) of the distinct names: the mean of the vectors of a name's words, unknown ones as zeros."""
+    parts = names.select("package_name").distinct().withColumn("words", tokens_served(F.col("package_name")))
+    return pooled_texts(parts, ["package_name"], words, dim)
+
+
+def three_vectors(names: DataFrame, words: DataFrame, dim: int, registry: str) -> DataFrame:
+    """(package_name, embedding, author_embedding, package_embedding) of the distinct names of a registry.
+
+    Names of maven, golang and hf have vectors of their author's (group's) and
+    their package's (artifact's) part beside that of the whole; others have
+    nulls. All three are pooled in one pass over the words.
+    """
+    every = names.select("package_name").filter("package_name is not null").distinct()
+    kinds = ["whole"]
+    parts = F.array(F.struct(F.lit("whole").alias("kind"), F.col("package_name").alias("text")))
+    if registry in ("maven", "golang", "hf"):
+        split = embedding_parts(F.col("package_name"), F.lit(registry))
+        kinds += ["author", "package"]
+        parts = F.concat(parts, F.array(*(F.struct(F.lit(k).alias("kind"), split[k].alias("text")) for k in kinds[1:])))
+    rows = every.select("package_name", F.explode(parts).alias("x")).select("package_name", "x.kind", tokens_served(F.col("x.text")).alias("words"))
+    found = pooled_texts(rows, ["package_name", "kind"], words, dim).groupBy("package_name").pivot("kind", kinds).agg(F.first("embedding"))
+    missing = F.lit(None).cast("array<double>")
+    return found.select("package_name", F.col("whole").alias("embedding"), *(F.col(k).alias(f"{k}_embedding") if k in kinds else missing.alias(f"{k}_embedding") for k in ("author", "package")))
 
 
 def hashed_vector(name: str, dim: int = 64, least: int = 2, most: int = 5) -> np.ndarray:
@@ -89,3 +120,52 @@ def sampled_negatives(names: DataFrame, positives: DataFrame, limit: int, seed:
     known = known.union(known.select("y", "x")).distinct()
     pairs = pairs.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
     return pairs.filter(edit_ratio(F.col("a"), F.col("b")) <= 0.2).orderBy(key("a", "b"), "a", "b").limit(limit)
+
+
+#: Most components of vectors that are projected: their covariances lie on the driver.
+MOST_COMPONENTS = 4096
+
+
+def projected(vectors: DataFrame, id_col: str, vec_col: str, components: int = 2) -> DataFrame:
+    """(id, place): vectors less their mean, on their ``components`` directions of most variance.
+
+    Tasks add up their vectors and the products of these; the sums, a row for
+    each component, give the covariances. A direction's sign is such that its
+    largest component is positive. Vectors that are null, not finite or of
+    other lengths than most have are left out; directions of no variance give 0.
+    """
+    v = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").limit(1).collect()
+    if not sizes:
+        return rows.select(F.col("id").alias(id_col), F.array().cast("array<double>").alias("place"))
+    n, dim = sizes[0].n, sizes[0].dim
+    if dim > MOST_COMPONENTS:
+        raise ValueError(f"vectors of over {MOST_COMPONENTS} components")
+    rows = rows.filter(F.size("v") == dim)
+
+    def add_up(frames):
+        total, products = np.zeros(dim), np.zeros((dim, dim))
+        for f in frames:
+            if len(f):
+                x = np.stack(f["v"].to_list())
+                total += x.sum(axis=0)
+                products += x.T @ x
+        yield pd.DataFrame({"row": range(dim + 1), "x": [*products, total]})
+
+    sums = rows.select("v").mapInPandas(add_up, "row int, x array<double>").groupBy("row").agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).orderBy("row").toPandas()
+    every = np.stack(sums["x"].to_list())
+    mean = every[-1] / n
+    _, turn = np.linalg.eigh(every[:-1] / n - np.outer(mean, mean))
+    turn = turn[:, ::-1][:, :components]
+    turn *= np.where(turn[np.abs(turn).argmax(axis=0), np.arange(turn.shape[1])] < 0, -1, 1)
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                yield f[["id"]].assign(place=list((np.stack(f["v"].to_list()) - mean) @ turn))
+
+    from pyspark.sql import types as T
+
+    spec = T.StructType([rows.schema["id"], T.StructField("place", T.ArrayType(T.DoubleType()))])
+    return rows.mapInPandas(place, spec).withColumnRenamed("id", id_col)

@@ -20,12 +20,13 @@ from namewarden.functions import similarity as S
 from namewarden.operators import benignity as B
 from namewarden.operators import catalog as K
 from namewarden.operators import evaluate as E
-from namewarden.operators import learned, pairwise, releases, vector_index, vectors
+from namewarden.operators import learned, pairwise, releases, subwords, vector_index, vectors
 from namewarden.operators import neighbors as J
 from namewarden.operators import popular as P
 from namewarden.operators.durable import ensure_checkpoints
 from namewarden.plans import detect as D
-from namewarden.sources import readers
+from namewarden.plans import documents
+from namewarden.sources import readers, sinks
 from namewarden.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,6 +584,119 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.sampled_negatives(named, name_pairs(spark, sf_dir).filter(F.levenshtein("a", "b") < 3), 200)
 
 
+FORMS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MMM d, yyyy hh:mm:ss a", "yyyy/MM/dd HH:mm:ss", "dd MMMM yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss")
+
+
+@query("WITH e AS (SELECT user_id, event_type, date_trunc('second', ts) AS ts FROM events), b AS (SELECT user_id, min(ts) AS t FROM e WHERE event_type = 'error' GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE ts < t) AS earlier FROM b JOIN e USING (user_id) GROUP BY 1")
+def releases_in_any_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in seven forms."""
+    written = F.lit(None).cast("string")
+    for k, form in enumerate(FORMS):
+        written = F.when(F.col("event_id") % len(FORMS) == k, F.date_format(F.col("ts").cast("timestamp"), form)).otherwise(written)
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", written.alias("ts"))
+    return releases.before_first_bad(e, e.filter("event_type = 'error'"), "user_id", "ts").select("user_id", "earlier")
+
+
+@query(f"""WITH r AS (SELECT doc_id, toxic = 1 AS t, n_chars % 1000 / 1000 AS s FROM labels JOIN documents USING (doc_id)), n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM r GROUP BY t)),
+x AS (SELECT t, s FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5('42:' || doc_id), doc_id) AS place FROM r), n WHERE place <= n),
+c AS (SELECT k, count(*) FILTER (WHERE t AND floor(s / 0.01 + 1e-9) >= k) AS tp, count(*) FILTER (WHERE NOT t AND floor(s / 0.01 + 1e-9) >= k) AS fp, count(*) FILTER (WHERE NOT t AND floor(s / 0.01 + 1e-9) < k) AS tn, count(*) FILTER (WHERE t AND floor(s / 0.01 + 1e-9) < k) AS fn FROM x, unnest(range(10, 96, 5)) u(k) GROUP BY k), d AS (SELECT *, {RATIOS} FROM c)
+SELECT * FROM (SELECT round(k * 0.01, 6) AS threshold, {FULL} FROM d) ORDER BY f1 DESC, threshold LIMIT 1""")
+def balanced_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 18 thresholds over as many rows of either class."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.select("doc_id", (F.col("toxic") == 1).alias("t"), (F.col("n_chars") % 1000 / 1000).alias("s"))
+    found = E.sweep(E.balanced(rows, "t", "doc_id"), "t", "s", 10, 95, 5)
+    return E.best_by(found.select("threshold", *CELLS, *six_digits(*RATES)), "f1", "threshold")
+
+
+ORIGINS = ("npm", "pypi", "maven", "nuget", "ruby", "golang", "hf")
+
+
+def catalog_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages, in files apart by registry."""
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/packages-{uuid.uuid4().hex}"
+    registry = F.element_at(F.array(*map(F.lit, ORIGINS)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(registry.alias("registry"), F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_partkey").alias("package_name"), F.col("p_type").alias("doc"), F.col("p_partkey").alias("id"))
+    sinks.write_catalog(rows, path)
+    return spark.read.parquet(path)
+
+
+NAMED = "r AS (SELECT ['npm', 'pypi', 'maven', 'nuget', 'ruby', 'golang', 'hf'][p_partkey % 7 + 1] AS registry, replace(p_name, ' ', '-') || '-' || p_partkey AS package_name, p_type AS doc, p_partkey AS id FROM part)"
+
+
+@query(f"WITH {NAMED} SELECT r.package_name, doc, p_brand AS description, lower(p_type) AS summary, p_size AS owners FROM r LEFT JOIN (SELECT *, replace(p_name, ' ', '-') || '-' || p_partkey AS package_name FROM part WHERE p_size > 20) n ON n.package_name = r.package_name WHERE registry = 'nuget'")
+def nuget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nuget = table(spark, sf_dir, "part").filter("p_size > 20").select(F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_partkey").alias("package_name"), F.col("p_brand").alias("description"), F.lower("p_type").alias("summary"), F.col("p_size").alias("owners"))
+    return documents.nuget_documents(catalog_by_registry(spark, sf_dir), nuget)
+
+
+@query("SELECT p_brand || ':' || p_name || '-' || p_partkey AS package_name, l_linestatus AS description, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY 1, 2")
+def maven_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("group_id"), F.concat_ws("-", "p_name", "p_partkey").alias("artifact_id"))
+    artifacts = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.col("l_linestatus").alias("raw_index"))
+    return documents.maven_descriptions(packages, artifacts).groupBy("package_name", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NAMED} SELECT registry, package_name, doc FROM r WHERE registry IN ('npm', 'hf') AND id % 5 = 0")
+def requested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = catalog_by_registry(spark, sf_dir)
+    asked = catalog.filter("id % 5 = 0 and registry in ('npm', 'hf')").select("registry", F.upper("package_name").alias("package_name"))
+    return documents.requested(catalog, asked).select("registry", "package_name", "doc")
+
+
+SERVED = "list_filter(string_split_regex(regexp_replace(regexp_replace(lower({x}), '[-_ .~@/:]+', ' ', 'g'), '([0-9]+)', '\\1 ', 'g'), '\\s+'), lambda y: y <> '')"
+
+
+def three_sql(name: str, author: str, package: str) -> str:
+    """DuckDB SQL of three vectors of length 2: letters and first letter of the words that have an even number of letters, zeros for others."""
+    each = "coalesce(list_avg(list_transform({w}, lambda y: CASE WHEN length(y) % 2 = 0 THEN {v} ELSE 0 END)), 0)"
+    columns = ", ".join(f"round({each.format(w=SERVED.format(x=part), v=v)}, 6) AS {kind}_{c}" for kind, part in (("embedding", "n"), ("author", author), ("package", package)) for c, v in (("x", "length(y)::DOUBLE"), ("y", "ascii(y)::DOUBLE")))
+    return f"WITH g AS (SELECT DISTINCT {name} AS n FROM part) SELECT n AS package_name, {columns} FROM g"
+
+
+def three(spark: SparkSession, sf_dir: str, name: Column, registry: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select(name.alias("package_name")).distinct()
+    words = named.select(F.explode(N.tokens_served(F.col("package_name"))).alias("word")).distinct().filter(F.length("word") % 2 == 0)
+    found = vectors.three_vectors(named, words.withColumn("vector", F.array(F.length("word").cast("double"), F.ascii("word").cast("double"))), 2, registry)
+    pick = lambda kind, c: [F.round(F.get(c, F.lit(i)), 6).alias(f"{kind}_{x}") for i, x in enumerate("xy")]
+    return found.select("package_name", *pick("embedding", "embedding"), *pick("author", "author_embedding"), *pick("package", "package_embedding"))
+
+
+@query(three_sql("lower(p_brand) || '.' || p_size % 7 || ':' || replace(p_name, ' ', '-')", "split_part(n, ':', 1)", "split_part(n, ':', 2)"))
+def three_vectors_maven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return three(spark, sf_dir, F.concat(F.lower("p_brand"), F.lit("."), F.col("p_size") % 7, F.lit(":"), F.replace("p_name", F.lit(" "), F.lit("-"))), "maven")
+
+
+GO_NAME = "CASE p_size % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN 'example.org/' || replace(p_name, ' ', '-') ELSE 'github.com/' || lower(p_brand) || '/' || replace(p_name, ' ', '_') || '/v' || p_size % 5 END"
+
+
+@query(three_sql(GO_NAME, "CASE WHEN len(string_split(n, '/')) > 2 THEN split_part(n, '/', 2) ELSE split_part(n, '/', 1) END", "CASE WHEN len(string_split(n, '/')) > 2 THEN array_to_string(string_split(n, '/')[3:], '/') ELSE split_part(n, '/', 2) END"))
+def three_vectors_golang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.concat(F.lit("example.org/"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    long = F.concat(F.lit("github.com/"), F.lower("p_brand"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("/v"), F.col("p_size") % 5)
+    return three(spark, sf_dir, F.when(F.col("p_size") % 3 == 0, F.lower("p_type")).when(F.col("p_size") % 3 == 1, short).otherwise(long), "golang")
+
+
+@query(three_sql("CASE WHEN p_size % 4 = 0 THEN p_name ELSE lower(p_brand) || '/' || replace(p_name, ' ', '-') || CASE WHEN p_size % 4 = 1 THEN '/sub' ELSE '' END END", "CASE WHEN n LIKE '%/%' THEN split_part(n, '/', 1) ELSE '' END", "CASE WHEN n LIKE '%/%' THEN array_to_string(string_split(n, '/')[2:], '/') ELSE n END"))
+def three_vectors_hf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = F.concat(F.lower("p_brand"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_size") % 4 == 1, "/sub").otherwise(""))
+    return three(spark, sf_dir, F.when(F.col("p_size") % 4 == 0, F.col("p_name")).otherwise(full), "hf")
+
+
+@query()
+def subword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors trained on part names, customers, suppliers and paths of pages; held against a plain decomposition in the tests."""
+    one = lambda t, c: table(spark, sf_dir, t).select(c.alias("package_name"))
+    named = one("part", F.concat_ws("/", "p_brand", "p_name")).unionByName(one("customer", F.col("c_mktsegment"))).unionByName(one("pages", F.regexp_extract("url", "^https?://([^?#]*)", 1))).distinct()
+    return subwords.name_vectors(named, subwords.train(named))
+
+
+@query()
+def projected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 # learned weights, detection, streams
 
 
