@@ -625,9 +625,9 @@ def catalog_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMED = "r AS (SELECT ['npm', 'pypi', 'maven', 'nuget', 'ruby', 'golang', 'hf'][p_partkey % 7 + 1] AS registry, replace(p_name, ' ', '-') || '-' || p_partkey AS package_name, p_type AS doc, p_partkey AS id FROM part)"
 
 
-@query(f"WITH {NAMED} SELECT r.package_name, doc, p_brand AS description, lower(p_type) AS summary, p_size AS owners FROM r LEFT JOIN (SELECT *, replace(p_name, ' ', '-') || '-' || p_partkey AS package_name FROM part WHERE p_size > 20) n ON n.package_name = r.package_name WHERE registry = 'nuget'")
+@query(f"WITH {NAMED} SELECT r.package_name, doc, p_brand AS description, lower(p_type) AS summary, p_size::VARCHAR AS owners FROM r LEFT JOIN (SELECT *, replace(p_name, ' ', '-') || '-' || p_partkey AS package_name FROM part WHERE p_size > 20) n ON n.package_name = r.package_name WHERE registry = 'nuget'")
 def nuget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nuget = table(spark, sf_dir, "part").filter("p_size > 20").select(F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_partkey").alias("package_name"), F.col("p_brand").alias("description"), F.lower("p_type").alias("summary"), F.col("p_size").alias("owners"))
+    nuget = table(spark, sf_dir, "part").filter("p_size > 20").select(F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_partkey").alias("package_name"), F.col("p_brand").alias("description"), F.lower("p_type").alias("summary"), F.col("p_size").cast("string").alias("owners"))
     return documents.nuget_documents(catalog_by_registry(spark, sf_dir), nuget)
 
 
