@@ -24,3 +24,5 @@ RISK = {"adversarial": 8, "suspicious": 10, "no_readme": 3, "bare_metadata": 2,
 RISK_MOST, RISK_LOW, RISK_MEDIUM = 10, 5, 8
 #: Substitutions of look-alikes, tried in this order.
 LOOKALIKES = (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "b"), ("7", "t"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("i", "l"), ("l", "i"))
+#: Words of two names are alike over this overlap; what a name within the other counts from; what more like words, their order and their ends add.
+PART_LIKE, PART_INSIDE, PART_MORE, PART_ORDER, PART_END = 0.5, 0.7, 0.3, 0.2, 0.1

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a block, and rows of a block that are multiplied at once.
-BLOCK, ROWS = 4096, 256
+#: Vectors of a block, rows of a block that are multiplied at once, and most tasks, of a cell of two blocks each up to that.
+BLOCK, ROWS, TASKS = 4096, 256, 20_000
 
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +59,7 @@ def _cells(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, blo
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     rows = rows.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "v", "label")
-    tasks = max(1, min(blocks * (blocks + 1) // 2, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
-    return rows.repartition(tasks, "low", "high").sortWithinPartitions("low", "high", "block")
+    return rows.repartition(max(1, min(TASKS, blocks * (blocks + 1) // 2)), "low", "high").sortWithinPartitions("low", "high", "block")
 
 
 def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,3 +51,13 @@ def narrowed(queries: DataFrame, listed: DataFrame, registry: str) -> DataFrame:
     """(query, package_name, popularity): the targets of queries that are popular themselves."""
     own = queries.select(F.col("package_name").alias("query")).join(listed.select(F.col("package_name").alias("query"), F.col("popularity").alias("own")), "query")
     return own.join(listed, more_popular(F.col("own"), F.col("popularity"), registry)).select("query", "package_name", "popularity")
+
+
+def far_more_popular(pairs: DataFrame, listed: DataFrame, registry: str) -> DataFrame:
+    """The pairs (query, package_name) that ``narrowed`` has, worked out on the pairs alone."""
+    once = listed.groupBy("package_name").agg(F.min("popularity").alias("least"), F.max("popularity").alias("most"))
+    low = low_is_popular(registry)
+    own = once.select(F.col("package_name").alias("query"), F.col("most" if low else "least").alias("__own"))
+    other = once.select("package_name", F.col("least" if low else "most").alias("__other"))
+    both = pairs.join(own, "query").join(other, "package_name")
+    return both.filter(more_popular(F.col("__own"), F.col("__other"), registry)).select(*pairs.columns)

@@ -12,7 +12,7 @@ from namewarden.config import LEAST_SIMILARITY, REGISTRIES, TRUSTED_NAMESPACES
 from namewarden.functions.names import maintainers, namespace
 from namewarden.operators.benignity import active, comprehensive, judged, no_judge, overlapping, verified
 from namewarden.operators.neighbors import by_group, commands, flat, scored, valid
-from namewarden.operators.popular import narrowed
+from namewarden.operators.popular import far_more_popular
 
 HIERARCHIES = {"maven", "golang", "hf"}
 
@@ -65,8 +65,7 @@ def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registr
     asked = queries.filter(~F.coalesce(space("package_name").isin(list(trusted)), F.lit(False)))
     found = neighbours(asked, popular, registry, known_commands)
     own = asked.join(popular.select("package_name"), "package_name", "left_semi").select(F.col("package_name").alias("query"))
-    targets = narrowed(own.withColumnRenamed("query", "package_name"), popular, registry).select("query", "package_name")
-    found = found.join(own, "query", "left_anti").unionByName(found.join(own, "query", "left_semi").join(targets, ["query", "package_name"], "left_semi"))
+    found = found.join(own, "query", "left_anti").unionByName(far_more_popular(found.join(own, "query", "left_semi"), popular, registry))
     found = found.withColumns({"__a": space("query"), "__b": space("package_name")})
     kept = valid(found, registry, trusted, ("__a", "__b") if registry == "npm" else None).drop("__a", "__b")
     bad = verify(kept, documents, as_of, judge, registry).filter("is_false_positive = false")
