@@ -105,13 +105,6 @@ def auc_counts(at: DataFrame, score: str) -> DataFrame:
     return at.agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
-def weight_grid(df: DataFrame, truth: str, first: str, second: str, threshold: float) -> DataFrame:
-    """F1 at each weight 0, 0.1, ..., 1 of the first of two scores."""
-    rows = steps(df, 0, 10, 1, 0.1, "weight")
-    hit = F.col(first) * F.col("weight") + F.col(second) * (1 - F.col("weight")) >= threshold - 1e-12
-    return confusion(rows.withColumn("__hit", hit), truth, "__hit", ["weight"]).withColumn("weight", F.round("weight", 1))
-
-
 def latency(df: DataFrame, seconds: str) -> DataFrame:
     """mean_ms, median_ms, packages, total_s and throughput per second."""
     s = F.col(seconds)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors of a block, rows of a block that are multiplied at once, and most tasks, of a cell of two blocks each up to that.
 BLOCK, ROWS, TASKS = 4096, 256, 20_000
@@ -32,29 +33,35 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of the decimal forms of every a and every b."""
-    x, y = ([str(i).encode() for i in z.tolist()] for z in (a, b))
-    out = np.zeros((len(x), len(y)), np.int8)
-    for n in {len(s) for s in x}:
-        at_x = [i for i, s in enumerate(x) if len(s) == n]
-        cx = np.frombuffer(b"".join(x[i] for i in at_x), np.uint8).reshape(-1, n)
-        for m in {len(s) for s in y}:
-            at_y = [i for i, s in enumerate(y) if len(s) == m]
-            cy = np.frombuffer(b"".join(y[i] for i in at_y), np.uint8).reshape(-1, m)
-            last = [np.full((len(at_x), len(at_y)), j, np.int8) for j in range(m + 1)]
+    """Levenshtein distances of every a and every b, names or numbers in decimal, in code points."""
+    x, y = ([str(i).encode("utf-32-le") for i in z.tolist()] for z in (a, b))
+    out = np.zeros((len(x), len(y)), np.int32)
+    kind = np.int8 if max(map(len, [*x, *y]), default=0) < 4 * 127 else np.int32
+    for n in {len(s) // 4 for s in x}:
+        at_x = [i for i, s in enumerate(x) if len(s) == 4 * n]
+        cx = np.frombuffer(b"".join(x[i] for i in at_x), np.int32).reshape(len(at_x), n)
+        for m in {len(s) // 4 for s in y}:
+            at_y = [i for i, s in enumerate(y) if len(s) == 4 * m]
+            cy = np.frombuffer(b"".join(y[i] for i in at_y), np.int32).reshape(len(at_y), m)
+            last = [np.full((len(at_x), len(at_y)), j, kind) for j in range(m + 1)]
             for i in range(n):
                 row = [np.full_like(last[0], i + 1)]
                 for j in range(m):
                     other = (cx[:, i, None] != cy[None, :, j]).view(np.int8)
-                    row.append(np.minimum(np.minimum(last[j + 1], row[j]) + np.int8(1), last[j] + other))
+                    row.append(np.minimum(np.minimum(last[j + 1], row[j]) + kind(1), last[j] + other))
                 last = row
             out[np.ix_(at_x, at_y)] = last[m]
     return out
 
 
+def _id_type(vectors: DataFrame, id_col: str) -> str:
+    """long for whole numbers, else string."""
+    return "long" if isinstance(vectors.schema[id_col].dataType, T.IntegralType) else "string"
+
+
 def _cells(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, block: int) -> DataFrame:
     """Every vector once for each two blocks that it is in one of, the rows of two blocks together in a partition."""
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("double").alias("label"))
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast(_id_type(vectors, id_col)).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("double").alias("label"))
     blocks = max(1, -(-rows.count() // block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -79,7 +86,7 @@ def _tiles(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[tuple]:
     """(ids of x, ids of y, labels of x, labels of y, cosines, whether the pair counts) for stretches of one block's rows and all of another's."""
     for f in _groups(frames):
         low, high = f.low.iat[0], f.high.iat[0]
-        (u, size), ids, labels, block = unit(f.v.tolist()), f.id.to_numpy(np.int64), f.label.to_numpy(np.float64), f.block.to_numpy()
+        (u, size), ids, labels, block = unit(f.v.tolist()), (f.id.to_numpy(str) if f.id.dtype == object or str(f.id.dtype).startswith("str") else f.id.to_numpy(np.int64)), f.label.to_numpy(np.float64), f.block.to_numpy()
         x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for at in range(0, len(x), rows):
             i = x[at : at + rows]
@@ -100,9 +107,9 @@ def pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             i, j = np.nonzero(once if below is None else once & (s < below))
             a, b = xs[i], ys[j]
             same = pd.Series(lx[i] == ly[j], dtype=object).where(~(np.isnan(lx[i]) | np.isnan(ly[j])), None)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "s": s[i, j], "same": same})
+            yield pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "s": s[i, j], "same": same})
 
-    return _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "a long, b long, s double, same boolean")
+    return _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "a {0}, b {0}, s double, same boolean".format(_id_type(vectors, id_col)))
 
 
 def counted(vectors: DataFrame, level: Callable, low: int, high: int, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
@@ -127,7 +134,7 @@ def counted(vectors: DataFrame, level: Callable, low: int, high: int, id_col: st
 
 
 def weights(vectors: DataFrame, threshold: float, most: float = 5.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
-    """(k, tp, fp, tn, fn) over all pairs at each weight k / 10 of the cosine, the rest that of 1 - edits of the ids / ``most``."""
+    """(k, tp, fp, tn, fn) over all pairs at each weight k / 10 of the cosine, the rest that of 1 - edits of the ids, names or numbers, / ``most``."""
 
     def run(frames):
         total = np.zeros((11, 4), np.int64)

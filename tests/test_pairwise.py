@@ -69,3 +69,17 @@ def test_counted_rows_give_the_same_sweep_and_area(spark):
     ordered = lambda x: sorted(map(str, x.select("threshold", "tp", "fp", "tn", "fn").collect()))
     assert ordered(evaluate.sweep(df, "t", "s")) == ordered(evaluate.sweep_counts(counts, "level"))
     assert evaluate.auc(df, "t", "s").first() == evaluate.auc_counts(counts, "level").first()
+
+
+@pytest.mark.parametrize("block", [9, 5000])
+def test_names_are_ids_too(spark, block):
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice(list("abé-"), size=rng.integers(0, 9))) for _ in range(50)} | {"x" * 140, "x" * 139 + "y"})
+    rows = [(n, rng.normal(size=3).tolist(), int(rng.integers(2))) for n in names]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int").repartition(3)
+    got = {(r.a, r.b): r.s for r in pairwise.pairs(df, block=block).collect()}
+    want = {(a, b): float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) for i, (a, x, _) in enumerate(rows) for b, y, _ in rows[i + 1 :]}
+    assert got == pytest.approx(want)
+    for r in pairwise.weights(df, 0.3, 140.0, block=block).collect():
+        hits = Counter((k == m, want[a, b] * (r.k * 0.1) + (1 - plain_edits(a, b) / 140) * (1 - r.k * 0.1) >= 0.3 - 1e-12) for i, (a, _, k) in enumerate(rows) for b, _, m in rows[i + 1 :])
+        assert (r.tp, r.fp, r.tn, r.fn) == (hits[True, True], hits[False, True], hits[False, False], hits[True, False])
