@@ -53,6 +53,13 @@ def verify(pairs: DataFrame, documents: DataFrame, as_of: str, judge: Callable[[
     return out.withColumn("is_false_positive", F.when(~F.col("metadata_missing"), F.col("is_false_positive")))
 
 
+def untrusted(queries: DataFrame, registry: str, trusted: Sequence[str] | None = None) -> DataFrame:
+    """Queries that aren't in a trusted namespace of the registry."""
+    trusted = TRUSTED_NAMESPACES.get(registry, []) if trusted is None else trusted
+    space = namespace(F.col("package_name"), F.lit(registry))
+    return queries.filter(~F.coalesce(space.isin(list(trusted)), F.lit(False)))
+
+
 def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registry: str, as_of: str, judge: Callable[[pd.DataFrame], pd.DataFrame] = no_judge, known_commands: Sequence[str] = (), trusted: Sequence[str] | None = None) -> DataFrame:
     """At most one row for a query: its first neighbour, in order, that isn't benign.
 
@@ -62,7 +69,7 @@ def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registr
     """
     trusted = TRUSTED_NAMESPACES.get(registry, []) if trusted is None else trusted
     space = lambda c: namespace(F.col(c), F.lit(registry))
-    asked = queries.filter(~F.coalesce(space("package_name").isin(list(trusted)), F.lit(False)))
+    asked = untrusted(queries, registry, trusted)
     found = neighbours(asked, popular, registry, known_commands)
     own = asked.join(popular.select("package_name"), "package_name", "left_semi").select(F.col("package_name").alias("query"))
     found = found.join(own, "query", "left_anti").unionByName(far_more_popular(found.join(own, "query", "left_semi"), popular, registry))

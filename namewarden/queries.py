@@ -25,7 +25,7 @@ from namewarden.operators import neighbors as J
 from namewarden.operators import popular as P
 from namewarden.operators.durable import ensure_checkpoints
 from namewarden.plans import detect as D
-from namewarden.plans import documents
+from namewarden.plans import api, documents
 from namewarden.sources import readers, sinks
 from namewarden.streaming import arrivals
 
@@ -697,6 +697,185 @@ def projected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+# files, feeds and rules
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_type || ':' || p_name || '-' || p_partkey AS package_name FROM part")
+def names_of_a_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a CSV with groups and artifacts, its values quoted where they have to be."""
+    path = folder(spark, "dump")
+    sinks.write_csv(table(spark, sf_dir, "part").select(F.col("p_type").alias("group_id"), F.concat_ws("-", "p_name", "p_partkey").alias("artifact_id")), path)
+    return readers.names(readers.csv(spark, path)).select("package_name")
+
+
+@query("SELECT DISTINCT 'a, \"' || p_name || '\"' AS package_name FROM part WHERE p_size > 3")
+def distinct_names_of_a_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with commas and quotes; rows with a null are left out."""
+    path = folder(spark, "dump")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit('a, "'), "p_name", F.lit('"')).alias("package_name"), F.when(F.col("p_size") > 3, F.col("p_size")).alias("size"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return readers.distinct_names(readers.csv(spark, path))
+
+
+@query("SELECT p_name || '#' || p_partkey AS package_name, p_retailprice AS popularity FROM part WHERE p_retailprice IS NOT NULL ORDER BY 2 DESC")
+def popular_list_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "popular")
+    sinks.write_csv(table(spark, sf_dir, "part").filter("p_retailprice is not null").select(F.concat_ws("#", "p_name", "p_partkey").alias("package_name"), F.col("p_retailprice").alias("popularity")), path)
+    return readers.popular_list(spark, path)
+
+
+@query("SELECT DISTINCT c_name AS package_name FROM customer UNION SELECT DISTINCT s_name FROM supplier")
+def first_columns_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a folder whose files differ in their headers."""
+    path = folder(spark, "folder")
+    table(spark, sf_dir, "customer").select("c_name", "c_mktsegment").coalesce(1).write.option("header", True).mode("append").csv(path)
+    table(spark, sf_dir, "supplier").select("s_name", "s_acctbal").coalesce(1).write.option("header", True).mode("append").csv(path)
+    return readers.first_columns(spark, path)
+
+
+@query("SELECT doc_id, 'n' || doc_id AS typosquat_pkg, lang AS legitimate_pkg, source FROM documents WHERE doc_id % 3 <> 0 AND lang <> '' AND trim(source) <> '' AND doc_id % 5 NOT IN (0, 1)")
+def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made_up = F.when(F.col("doc_id") % 5 == 0, " Yes").when(F.col("doc_id") % 5 == 1, "TRUE").when(F.col("doc_id") % 5 == 2, "no")
+    name = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("n"), "doc_id")).when(F.col("doc_id") % 2 == 0, " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("typosquat_pkg"), F.col("lang").alias("legitimate_pkg"), "source", made_up.alias("hallucianated"))
+    return readers.positive_pairs(rows).drop("hallucianated")
+
+
+@query("SELECT user_id, event_id::VARCHAR AS version, min(strftime(ts, '%Y-%m-%d')) AS time, event_type AS kind FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 4")
+def release_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases from the JSON that two registries tell of a package."""
+    e = table(spark, sf_dir, "events").filter("event_type in ('click', 'view')").select("user_id", "event_type", F.col("event_id").cast("string").alias("v"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("t"))
+    of = lambda kind: e.filter(F.col("event_type") == kind).groupBy("user_id")
+    npm = of("click").agg(F.to_json(F.struct(F.map_from_entries(F.concat(F.collect_list(F.struct("v", "t")), F.array(F.struct(F.lit("created").alias("v"), F.lit("x").alias("t"))))).alias("time"))).alias("doc"))
+    gems = of("view").agg(F.to_json(F.collect_list(F.struct(F.col("v").alias("number"), F.col("t").alias("created_at")))).alias("doc"))
+    read = lambda df, registry, kind: df.select("user_id", F.explode(readers.releases(F.col("doc"), registry)).alias("x")).select("user_id", "x.version", "x.time", F.lit(kind).alias("kind"))
+    return read(npm, "npm", "click").unionByName(read(gems, "ruby", "view"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '-') AS package, 'distance ' || p_size AS reasons FROM part WHERE p_size % 2 = 0")
+def squat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tool's log tells; other lines tell nothing."""
+    said = F.format_string("2024-01-01 INFO - %s package exists. Potential squat. [distance %s]", F.replace("p_name", F.lit(" "), F.lit("-")), F.col("p_size"))
+    line = F.when(F.col("p_size") % 2 == 0, said).otherwise(F.concat(F.lit("INFO - checking "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", readers.squat_line(line).alias("x")).filter("x is not null").select("p_partkey", "x.package", "x.reasons")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 <> 1 AND event_id % 4 <> 3")
+def known_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(F.lit("typo"), F.lit(" unk "), F.lit(None).cast("string"), F.lit("UNK")), (F.col("event_id") % 4 + 1).cast("int"))
+    return readers.not_unknown(table(spark, sf_dir, "events").select("event_id", said.alias("confusion"))).select("event_id")
+
+
+@query("SELECT vec_id, round(CASE vec_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])) END, 6) AS similarity FROM embeddings")
+def finite_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines with vectors of which some are null, infinite or not numbers: 0."""
+    e = F.col("embedding").cast("array<double>")
+    odd = lambda x: F.concat(F.slice(e, 1, F.size(e) - 1), F.array(F.lit(float(x))))
+    spoilt = F.when(F.col("vec_id") % 5 == 1, odd("nan")).when(F.col("vec_id") % 5 == 2, odd("inf")).when(F.col("vec_id") % 5 > 2, e)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.cosine(spoilt, F.reverse(e)), 6).alias("similarity"))
+
+
+@query("SELECT s_name AS package_name, s_acctbal AS popularity FROM supplier ORDER BY 2, 1 LIMIT 30")
+def popular_topn_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("package_name"), F.col("s_acctbal").alias("popularity"))
+    return P.popular(rows, "golang", top=30)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'npm' WHEN 1 THEN 'maven' WHEN 2 THEN 'pypi' WHEN 3 THEN 'ruby' WHEN 4 THEN 'golang' WHEN 5 THEN 'hf' WHEN 6 THEN 'nuget' WHEN 7 THEN 'unknown' ELSE 'npm' END AS registry FROM part""")
+def registries_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("npm", "Maven", "PYPI", "ruby", "golang", "hf", "nuget", "cargo", "pypi-npm")))
+    name = F.concat_ws("_", F.lit("dump"), F.element_at(kinds, (F.col("p_partkey") % 9 + 1).cast("int")), F.lit("names.csv"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.registry_named(name).alias("registry"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_name AS query, CASE WHEN p_partkey % 11 = 0 THEN 'ab' ELSE p_type END || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '' || p_size END AS package_name, p_size AS rank FROM part),
+v AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, k) AS choice FROM x WHERE length(package_name) >= 3 AND k % 7 <> 0) SELECT query, package_name, k, choice FROM v WHERE choice <= 2""")
+def valid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two of a name's neighbours; unknown similarities and short names are none."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query"), F.when(F.col("p_partkey") % 11 == 0, "ab").otherwise(F.concat("p_type", "p_size")).alias("package_name"), F.struct("p_size", "p_partkey").alias("rank"), F.when(F.col("p_partkey") % 7 == 0, float("nan")).otherwise(0.9).alias("overall"))
+    return J.valid(rows, "pypi").select("query", "package_name", "k", F.col("choice").cast("long").alias("choice"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 4 <> 0")
+def allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names left when those of trusted namespaces are out."""
+    spaces = F.array(*map(F.lit, ("google", "gooogle", "@googled", "x")))
+    name = F.concat_ws("/", F.concat(F.lit("@"), F.element_at(spaces, (F.col("p_size") % 4 + 1).cast("int"))), F.replace("p_name", F.lit(" "), F.lit("-")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("package_name"))
+    return D.untrusted(rows, "npm").select("p_partkey")
+
+
+@query("SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY 1")
+def written_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers by group, written as JSON and as CSV, read again and joined."""
+    one, other = folder(spark, "metrics"), folder(spark, "stats")
+    stats = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean"))
+    sinks.write_json(stats.select("lang", "n"), one)
+    sinks.write_csv(stats.select("lang", "mean"), other)
+    means = readers.csv(spark, other, "name string, mean double")
+    return spark.read.schema("lang string, n long").json(one).join(means, F.col("lang").eqNullSafe(F.col("name"))).select("lang", "n", *six_digits("mean"))
+
+
+@query(f"WITH {PARTS}, m AS (SELECT DISTINCT p_type AS package_name, 9999999.0::DOUBLE AS popularity, 0 AS o FROM part WHERE p_type NOT IN (SELECT package_name FROM listed) UNION ALL SELECT *, 1 FROM listed) SELECT package_name, row_number() OVER (ORDER BY o, popularity DESC, package_name) AS place FROM m")
+def merged_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged list's order, as it is written."""
+    merged = P.with_targets(listed(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_type").alias("package_name")), "npm")
+    path = folder(spark, "merged")
+    sinks.write_csv(merged.coalesce(1), path)
+    rows = readers.csv(spark, path).select("package_name", F.monotonically_increasing_id().alias("at"))  # one file, in its order
+    return K.first_distinct([rows.withColumnRenamed("at", "place")], "package_name", 1_000_000).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT DISTINCT p_brand, p_name, 'github' AS kind, lower(p_brand) AS grp, replace(p_name, ' ', '_') AS package FROM part""")
+def split_github_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws("/", F.lit("github.com"), "p_brand", F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("v2"))
+    x = table(spark, sf_dir, "part").select("p_brand", "p_name", N.name_parts(name, F.lit("golang")).alias("x")).distinct()
+    return x.select("p_brand", "p_name", "x.kind", F.col("x.group").alias("grp"), "x.package")
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 < 3 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 7 > 2 THEN 1 ELSE 0 END) >= 3 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS comprehensive FROM orders")
+def comprehensive_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    filled = lambda c: F.when(c, "x").otherwise(F.when(k % 4 == 0, ""))
+    people = F.when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    flag = B.comprehensive(filled(k % 2 == 0), people, filled(k % 5 < 3), filled(k % 7 > 2), k % 11 != 0, k % 13 != 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", flag.alias("comprehensive"))
+
+
+#: Alignment distance row by row; a state holds the row before the last and the last.
+OSA = """list_reduce(list_prepend({{'p': [0], 'r': range(0, len({b}) + 1)}}, list_transform(range(1, len({a}) + 1), lambda i: {{'p': [i], 'r': [i]}})),
+ lambda s, e: {{'p': s.r, 'r': list_reduce(list_prepend([e.p[1]], list_transform(range(1, len({b}) + 1), lambda j: [j])), lambda w, j: list_append(w,
+ least(s.r[j[1] + 1] + 1, w[j[1]] + 1, s.r[j[1]] + CASE WHEN {a}[e.p[1]] = {b}[j[1]] THEN 0 ELSE 1 END,
+ CASE WHEN e.p[1] > 1 AND j[1] > 1 AND {a}[e.p[1]] = {b}[j[1] - 1] AND {a}[e.p[1] - 1] = {b}[j[1]] THEN s.p[j[1] - 1] + 1 ELSE 1000000 END)))}}).r[-1]"""
+
+
+@query(f"""WITH n AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_name[2] || p_name[1] || p_name[3:] WHEN p_size % 3 = 1 THEN p_name ELSE p_name[1:3] || p_name[5] || p_name[4] || p_name[6:] END AS a FROM part), pairs AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a <> y.a),
+d AS (SELECT a, b, {OSA.format(a='a', b='b')} AS d, greatest(length(a), length(b)) AS m FROM pairs) SELECT a, b, d AS edits, round(CASE WHEN d < 3 THEN 1.0 ELSE 1 - d / m END, 6) AS edit, round(1 - d / m, 6) AS ratio, CASE WHEN d < 3 THEN 1.0 ELSE 0.0 END AS space FROM d""")
+def sim_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default measure, swaps as one edit, over names with swapped letters."""
+    n, size = F.col("p_name"), F.col("p_size")
+    part = lambda i, k: F.substring(n, i, k)
+    odd = F.when(size % 3 == 0, F.concat(part(2, 1), part(1, 1), part(3, 100))).when(size % 3 == 1, n).otherwise(F.concat(part(1, 3), part(5, 1), part(4, 1), part(6, 100)))
+    one = table(spark, sf_dir, "part").select(odd.alias("a")).distinct()
+    pairs = one.join(F.broadcast(one.withColumnRenamed("a", "b")), F.col("a") != F.col("b"))
+    a, b = F.col("a"), F.col("b")
+    df = pairs.select("a", "b", S.distance(a, b).cast("long").alias("edits"), S.edit_similarity(a, b).alias("edit"), S.edit_ratio(a, b).alias("ratio"), S.namespace_similarity(a, b).alias("space"))
+    return df.select("a", "b", "edits", *six_digits("edit", "ratio"), "space")
+
+
+@query(f"WITH x AS (SELECT doc_id AS key, toxic = 1 AS label, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 100) / 100 END AS score FROM labels), c AS (SELECT {COUNTS} FROM (SELECT label AS t, coalesce(score >= 0.5, false) AS h FROM x WHERE label IS NOT NULL)), d AS (SELECT *, {RATIOS} FROM c) SELECT {FULL} FROM d")
+def evaluated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels")
+    truth = rows.select(F.col("doc_id").alias("key"), (F.col("toxic") == 1).alias("label"))
+    said = rows.filter("doc_id % 3 > 0").select(F.col("doc_id").alias("key"), (F.col("doc_id") % 100 / 100).alias("score"))
+    return api.evaluate(truth, said).select(*CELLS, *six_digits(*RATES))
+
+
 # learned weights, detection, streams
 
 

@@ -268,3 +268,35 @@ def test_learned_weights_equal_a_plain_regression(spark):
 def test_cells_of_blocks_are_tasks_of_their_own(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(400)], "vec_id long, embedding array<double>, label int")
     assert pairwise._cells(df, "vec_id", "embedding", "label", 20).rdd.getNumPartitions() == 210
+
+
+def test_similarities_of_given_pairs(spark):
+    from namewarden.plans import api
+
+    catalog = spark.createDataFrame([("lodash", [1.0, 0.0]), ("lodahs", [1.0, 1.0]), ("none", None)], "package_name string, embedding array<double>")
+    pairs = spark.createDataFrame([(1, "lodash", "lodahs"), (2, "lodash", "none"), (3, "lodash", "far-away"), (3, "lodash", "far-away"), (4, None, "x")], "id int, a string, b string")
+    got = sorted(api.similarity(pairs, catalog).collect(), key=lambda r: r.id)
+    assert [r.id for r in got] == [1, 2, 3, 3, 4]
+    assert got[0].vector_similarity == pytest.approx(0.5**0.5) and got[1].vector_similarity is None
+    want = plain_six("lodash", "far-away") | {"parts": plain_parts("lodash", "far-away"), "phonetic": edit.phonetic("lodash", "far-away")}
+    assert {k: got[2][k] for k in want} == pytest.approx(want) and got[2].similarity == pytest.approx(max(want.values()))
+    assert got[0].similarity == 1.0
+    assert [r.vector_similarity for r in api.similarity(pairs).collect()] == [None] * 5
+
+
+def test_evaluation_by_mode(spark):
+    from namewarden.operators import evaluate as E
+    from namewarden.plans import api
+
+    truth = spark.createDataFrame([(i, i % 3 == 0 if i < 40 else None) for i in range(45)] + [(None, True)], "key int, label boolean")
+    said = spark.createDataFrame([(i, None if i % 7 == 0 else (i * 37 % 100) / 100) for i in range(10, 60)], "key int, score double")
+    rows = [(i % 3 == 0, None if i < 10 or i % 7 == 0 else (i * 37 % 100) / 100) for i in range(40)]
+    got = api.evaluate(truth, said).first()
+    assert (got.tp, got.fp, got.tn, got.fn) == tuple(sum(t == a and ((s or 0) >= 0.5) == b for t, s in rows) for a, b in ((True, True), (False, True), (False, False), (True, False)))
+    both = spark.createDataFrame([r for r in rows if r[1] is not None], "label boolean, score double")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(api.evaluate(truth, said, "sweep")) == key(E.sweep(both, "label", "score"))
+    assert key(api.evaluate(truth, said, "curve")) == key(E.roc(both, "label", "score"))
+    assert key(api.evaluate(truth, said, "area")) == key(E.auc(both, "label", "score"))
+    with pytest.raises(ValueError):
+        api.evaluate(truth, said, "nothing")
