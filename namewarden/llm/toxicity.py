@@ -152,12 +152,13 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: scores and non-decreasing rates, to be interpolated; rates stay inside (0, 1)."""
-    order = np.argsort(score, kind="stable")
+    """Pooled adjacent violators: scores and non-decreasing rates, to be interpolated; rates stay inside (0, 1). Equal scores are one from the start."""
+    at, which = np.unique(score, return_inverse=True)
+    sums, sizes = np.bincount(which, y, len(at)), np.bincount(which, minlength=len(at))
     pools: list[list[float]] = []  # sum of labels, rows, least and greatest score
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        pools.append([v, 1, s, s])
-        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+    for s, v, n in zip(at.tolist(), sums.tolist(), sizes.tolist()):
+        pools.append([v, n, s, s])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
     x = [e for p in pools for e in (p[2], p[3])]
