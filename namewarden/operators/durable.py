@@ -67,7 +67,7 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
     """
     before = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = cut(df.withColumns({f"__of_{c}": x for c, x in sums.items()}))
-    n, columns = df.count(), [c for c in df.columns if not c.startswith("__of_")]
+    n, columns = df.count(), ["`" + c.replace("`", "``") + "`" for c in df.columns if not c.startswith("__of_")]
     if n <= few:
         line = before(group or [F.lit(0)])
         return df.select(*columns, *(F.coalesce(F.sum(f"__of_{c}").over(line), F.lit(0)).alias(c) for c in sums))
