@@ -84,20 +84,20 @@ def quotas(sized: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: in
     """What the mix takes of rows (id, source, size).
 
     (__source, __rank, __shards, source_size, target) of every source, and
-    (__of, shard, __cell, __words) of every shard, __of its source's rank:
-    the words it has and those it gives.
+    (__of, shard, __cell, __rows, __words) of every shard, __of its source's
+    rank: the words and rows that it has and the words that it gives.
     """
     of = targets(sized.select("source", "size"), weights, cap, few).withColumn("shards", F.ceil(F.col("n_docs") / shard_docs))
     of = cut(of)
     sources = small(of.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"), F.col("shards").alias("__shards"), "source_size", "target"), few)
     cells = sized.join(sources, F.col("source").eqNullSafe(F.col("__source")))
     cells = cells.select(F.col("__rank").alias("rank"), shard_of(order_key(F.col("id"), seed), F.col("__shards")).alias("shard"), "size")
-    cells = cut(cells.groupBy("rank", "shard").agg(F.sum("size").alias("cell")))
+    cells = cut(cells.groupBy("rank", "shard").agg(F.sum("size").alias("cell"), F.count(F.lit(1)).alias("rows")))
     all_targets = F.lit(of.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
     seats = apportion(of.select("rank", "target"), [], "rank", "target", F.floor(all_targets / block + 0.5), all_targets, few)
     sums = small(cut(seats.join(cells.groupBy("rank").agg(F.sum("cell").alias("words")), "rank")), few)
     per_shard = apportion(cells.join(sums, "rank"), ["rank"], "shard", "cell", F.col("quota"), F.col("words"), few)
-    given = cells.join(per_shard, ["rank", "shard"]).select(F.col("rank").alias("__of"), "shard", F.col("cell").alias("__cell"), F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))
+    given = cells.join(per_shard, ["rank", "shard"]).select(F.col("rank").alias("__of"), "shard", F.col("cell").alias("__cell"), F.col("rows").alias("__rows"), F.least(F.col("quota") * block, F.col("cell") * cap).alias("__words"))
     return sources, small(cut(given), few)
 
 
@@ -108,6 +108,14 @@ def placed(docs: DataFrame, key: Column, source: Column, sources: DataFrame, giv
     return df.join(given, (F.col("__rank") == F.col("__of")) & (F.col("__shard") == F.col("shard")))
 
 
+def summed_before(df: DataFrame, given: DataFrame, order: list[Column], size: Column, few: int) -> DataFrame:
+    """``df`` with __before, the sum of the sizes before a row in its shard; a shard of over ``few`` rows, as null ids make, is summed range by range."""
+    if (given.agg(F.max("__rows")).first()[0] or 0) > few:
+        return running(df, ["__rank", "shard"], order, {"__before": size}, few)
+    line = Window.partitionBy("__rank", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("__before", F.coalesce(F.sum(size).over(line), F.lit(0)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, few: int = FEW) -> DataFrame:
     """``docs`` with source_size, target, shard and taken (words the mix takes, repeats counted).
 
@@ -121,9 +129,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     made = ("source_size", "target", "shard", "taken")
     docs = docs.select(*quoted([c for c in docs.columns if c not in made]))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
-    df = placed(docs, order_key(F.col(id_col), seed), F.col(source_col), *quotas(sized, weights, cap, block, shard_docs, seed, few))
-    line = Window.partitionBy("__rank", "shard").orderBy("__key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__before", F.coalesce(F.sum(size_col).over(line), F.lit(0)))
+    sources, given = quotas(sized, weights, cap, block, shard_docs, seed, few)
+    df = placed(docs, order_key(F.col(id_col), seed), F.col(source_col), sources, given)
+    df = summed_before(df, given, [F.col("__key"), F.col(id_col), F.col(size_col)], F.col(size_col), few)
     rounds = F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)
     rest = F.when(F.col("__cell") > 0, F.expr("__words % __cell")).otherwise(0)
     taken = rounds * F.col(size_col) + F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col(size_col))
@@ -144,9 +152,8 @@ def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
     slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row().alias("row")))
     sources, given = quotas(slim.select("id", "source", "size"), weights, cap, block, shard_docs, seed, few)
     df = placed(slim, order_key(F.col("id"), seed), F.col("source"), sources, given)
-    line = Window.partitionBy("__rank", "shard").orderBy("__key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    more = (F.col("__cell") > 0) & (F.col("size") > 0) & (2 * F.expr("(__words % __cell) - before") >= F.col("size"))
+    df = summed_before(df, given, [F.col("__key"), F.col("id"), F.col("row")], F.col("size"), few)
+    more = (F.col("__cell") > 0) & (F.col("size") > 0) & (2 * F.expr("(__words % __cell) - __before") >= F.col("size"))
     place = F.struct(F.col("__key").alias("key"), F.col("id"), F.col("row"))
     last = df.groupBy("__of", "shard").agg(F.max(F.when(more, place)).alias("__last"), F.max(F.when(F.col("__cell") > 0, F.expr("__words div __cell")).otherwise(0)).alias("__rounds"))
     df = placed(docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(source_col).alias("__src"), F.col(id_col).alias("__id"), row().alias("__hash"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("__any")).filter("__any"), order_key(F.col("__id"), seed), F.col("__src"), sources, small(cut(last), few))
