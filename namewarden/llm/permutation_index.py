@@ -81,7 +81,11 @@ def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
 
 def orders(units: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Each row's nearest pivots, nearest first, ties to the lesser number."""
-    return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
+    far = -(units @ pivots.T)
+    if prefix >= far.shape[1]:
+        return np.argsort(far, axis=1, kind="stable").astype(np.int32)
+    some = np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
 
 
 class Files:
@@ -136,7 +140,7 @@ def search_bucket(index: pd.DataFrame, queries: pd.DataFrame, buckets: int, buck
     return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, pivots: int | None = None, prefix: int = PREFIX, posted: int = POSTED, keep: int = KEEP, rows: int = ROWS, queries_each: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, pivots: int | None = None, prefix: int = PREFIX, posted: int = POSTED, keep: int = KEEP, rows: int = ROWS, queries_each: int = QUERIES, probes: int | None = None, exact: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the ``top`` nearest vectors found for each query by cosine.
 
     Both tables have ``id_col`` and ``vec_col``. Vectors that are null, empty,
@@ -145,8 +149,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     that repeat an id are one vector, the least. A query of whose files few
     rows are posted, or fewer than ``top`` vectors, give fewer rows. Every
     vector is indexed; the pivots of each length come from a sample of at most
-    ``SAMPLE`` rows a pivot.
+    ``SAMPLE`` rows a pivot. A query reads ``probes`` files, ``probed`` by
+    default; ``exact`` has it read all and rerank every row, which gives what
+    comparing all gives.
     """
+    files = lambda n: n if exact else min(n, probes or probed(n))
+    keep = 1 << 62 if exact else keep
     every, asked = cut(usable(vectors, id_col, vec_col)), usable(queries, id_col, vec_col)
     sizes = {r.dim: r.n for r in every.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = {dim: pivots or pivots_for(n) for dim, n in sizes.items()}
@@ -162,8 +170,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             for dim, part in f.groupby("dim"):
                 if dim not in chosen:
                     continue
-                all_orders = orders(unit(np.stack(part.v.to_list()).astype(float)), chosen[dim], max(prefix, probed(len(chosen[dim]))))
-                order, probe = np.ascontiguousarray(all_orders[:, :prefix]), np.ascontiguousarray(all_orders[:, : probed(len(chosen[dim]))])
+                all_orders = orders(unit(np.stack(part.v.to_list()).astype(float)), chosen[dim], max(prefix, files(len(chosen[dim]))))
+                order, probe = np.ascontiguousarray(all_orders[:, :prefix]), np.ascontiguousarray(all_orders[:, : files(len(chosen[dim]))])
                 at = lambda x: [np.unique(r % buckets[dim]) for r in x]  # noqa: B023, E731
                 yield pd.DataFrame({"id": part.id, "v": part.v, "dim": part.dim, "order": [r.tobytes() for r in order], "probe": [r.tobytes() for r in probe], "own": at(order[:, :posted]), "reads": at(probe)})
 
