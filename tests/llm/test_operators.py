@@ -403,6 +403,17 @@ def test_permutation_index_splits_large_files_and_reads_only_its_own(spark):
     assert len(whole) == len(split) == 150
     assert all(split[k][1] >= s - 1e-12 for k, (_, s) in whole.items())
     assert {split[0, k + 1][0] for k in range(5)} == {1, 2, 3, 4, 5}
+    odd = df.filter("vec_id % 3 = 0 or vec_id < 100")
+    all_of_them = {(r.query_id, r.rank): (r.vec_id, r.score) for r in permutation_index.nearest(odd, queries, exact=True, rows=200).collect()}
+    units, ids = v / np.linalg.norm(v, axis=1, keepdims=True), np.array([i for i in range(1500) if i % 3 == 0 or i < 100])
+    for q in range(0, 1500, 50):
+        score = (units[ids] @ units[q]).round(12)
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:5]
+        assert [all_of_them[q, k + 1][0] for k in range(5)] == ids[best].tolist()
+    few = {r.query_id for r in permutation_index.nearest(odd, queries, probes=1).collect()}
+    assert few <= {q for q, _ in all_of_them}
+    far = rng.normal(size=(50, 40))
+    assert (permutation_index.orders(far, np.eye(40), 7) == np.argsort(-far, axis=1, kind="stable")[:, :7]).all()
     one = np.array([[0, 1, 2], [5, 6, 7]], np.int32)
     files = permutation_index.Files(one, 8)
     assert files.posted(np.array([1]), 2).tolist() == [True, False] and files.posted(np.array([2]), 2).tolist() == [False, False]
