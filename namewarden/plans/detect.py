@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewarden.config import LEAST_SIMILARITY, REGISTRIES, TRUSTED_NAMESPACES
+from namewarden.functions.attacks import attack_class
 from namewarden.functions.names import maintainers, namespace
 from namewarden.operators.benignity import active, comprehensive, judged, no_judge, overlapping, verified
 from namewarden.operators.neighbors import by_group, commands, flat, scored, valid
@@ -61,7 +62,7 @@ def untrusted(queries: DataFrame, registry: str, trusted: Sequence[str] | None =
 
 
 def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registry: str, as_of: str, judge: Callable[[pd.DataFrame], pd.DataFrame] = no_judge, known_commands: Sequence[str] = (), trusted: Sequence[str] | None = None) -> DataFrame:
-    """At most one row for a query: its first neighbour, in order, that isn't benign.
+    """At most one row for a query: its first neighbour, in order, that isn't benign, and what was done to its name.
 
     Queries in a trusted namespace give none. A query that is popular itself is
     held against much more popular names only, and is told to be removed from
@@ -77,6 +78,7 @@ def detect(queries: DataFrame, popular: DataFrame, documents: DataFrame, registr
     kept = valid(found, registry, trusted, ("__a", "__b") if registry == "npm" else None).drop("__a", "__b")
     bad = verify(kept, documents, as_of, judge, registry).filter("is_false_positive = false")
     first = bad.groupBy("query").agg(F.min_by(F.struct("package_name", "overall", "risk_score", "risk_level", "FP_category", "explanation", "command"), "rank").alias("x")).select("query", "x.*")
+    first = first.withColumn("attack_class", attack_class(F.col("query"), F.col("package_name")))
     return first.join(own.withColumn("removed_from_legit", F.lit(True)), "query", "left").withColumn("removed_from_legit", F.coalesce("removed_from_legit", F.lit(False)))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from namewarden.config import TRUSTED_NAMESPACES
 from namewarden.functions import names as N
 from namewarden.functions import similarity as S
+from namewarden.functions.attacks import attack_class
 from namewarden.operators import benignity as B
 from namewarden.operators import catalog as K
 from namewarden.operators import evaluate as E
@@ -876,6 +877,23 @@ def evaluated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.evaluate(truth, said).select(*CELLS, *six_digits(*RATES))
 
 
+TOKENS = "list_filter(string_split_regex(regexp_replace(regexp_replace(lower({x}), '[-_ .~@/:]+', ' ', 'g'), '([0-9]+)', ' \\1 ', 'g'), '\\s+'), lambda z: z <> '')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS t FROM part), v AS (SELECT t AS b, unnest([replace(t, ' ', '-'), replace(t, ' ', ''), '@own/' || t, split_part(t, ' ', 2) || '-' || split_part(t, ' ', 1), replace(t, 'l', '1'), t[1:2] || t[4] || t[3] || t[5:], t || 'x', t || '-utils', 'py' || t, split_part(t, ' ', 2), t, reverse(t)]) AS a FROM n),
+p AS (SELECT DISTINCT a, b FROM v), w AS (SELECT a, b, lower(a) AS c, lower(b) AS d, {TOKENS.format(x='a')} AS x, {TOKENS.format(x='b')} AS y FROM p)
+SELECT a, b, CASE WHEN c = d THEN NULL WHEN regexp_replace(c, '[-_ .~@/:]+', '', 'g') = regexp_replace(d, '[-_ .~@/:]+', '', 'g') THEN 'delimiters' WHEN regexp_replace(c, '^@[^/]*/', '') = regexp_replace(d, '^@[^/]*/', '') THEN 'scope'
+WHEN len(x) > 1 AND list_sort(x) = list_sort(y) THEN 'order' WHEN {LOOKALIKE.replace("a LIKE", "c LIKE").replace("b LIKE", "d LIKE").replace("replace(a,", "replace(c,").replace("replace(b,", "replace(d,").replace("= b)", "= d)").replace("= a)", "= c)")} THEN 'lookalike'
+WHEN damerau_levenshtein(c, d) = 1 THEN 'typo' WHEN starts_with(c, d) OR ends_with(c, d) THEN 'addition' WHEN len(x) > 0 AND len(list_filter(x, lambda z: NOT list_contains(y, z))) = 0 AND len(x) < len(y) THEN 'omission' END AS class FROM w""")
+def attack_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was done to part names to make others."""
+    t, word = F.col("b"), lambda i: F.split_part("b", F.lit(" "), F.lit(i))
+    part = lambda i, n: F.substring(t, i, n)
+    made = [F.replace(t, F.lit(" "), F.lit("-")), F.replace(t, F.lit(" "), F.lit("")), F.concat(F.lit("@own/"), t), F.concat(word(2), F.lit("-"), word(1)), F.replace(t, F.lit("l"), F.lit("1")), F.concat(part(1, 2), part(4, 1), part(3, 1), part(5, 100)), F.concat(t, F.lit("x")), F.concat(t, F.lit("-utils")), F.concat(F.lit("py"), t), word(2), t, F.reverse(t)]
+    pairs = table(spark, sf_dir, "part").select(F.col("p_name").alias("b")).distinct().withColumn("a", F.explode(F.array(*made))).distinct()
+    return pairs.select("a", "b", attack_class(F.col("a"), F.col("b"), sounds=False).alias("class"))
+
+
 # learned weights, detection, streams
 
 

@@ -300,3 +300,15 @@ def test_evaluation_by_mode(spark):
     assert key(api.evaluate(truth, said, "area")) == key(E.auc(both, "label", "score"))
     with pytest.raises(ValueError):
         api.evaluate(truth, said, "nothing")
+
+
+@pytest.mark.parametrize("name,target,want", [
+    ("left_pad", "left-pad", "delimiters"), ("@acme/core", "@babel/core", "scope"), ("core", "@babel/core", "scope"), ("pad-left", "left-pad", "order"), ("1odash", "lodash", "lookalike"),
+    ("lodahs", "lodash", "typo"), ("loadsh", "lodash", "typo"), ("lodash-utils", "lodash", "addition"), ("pylodash", "lodash", "addition"), ("matplotlib", "matplotlib-pyplot", "omission"),
+    ("lodash", "Lodash", None), ("far", "away", None), ("", "x", None), (None, "x", None), ("--", "-", "typo"), ("kathryn", "katherine", "sound"),
+])
+def test_attack_classes(spark, name, target, want):
+    from namewarden.functions.attacks import attack_class
+
+    got = spark.createDataFrame([(name, target)], "a string, b string").select(attack_class(F.col("a"), F.col("b")).alias("x")).first().x
+    assert got == want
