@@ -14,6 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namewarden.operators.durable import cut, small
+
+#: Pairs of a group that are compared directly.
+DIRECT = 250_000
+
 
 def places(most: int) -> list[tuple[int, int, int]]:
     """(difference of lengths, segment, shift) of what names within ``most`` edits may share."""
@@ -67,19 +72,39 @@ def first_shared(a: Column, b: Column, most: int) -> Column:
     return F.get(F.filter(_listed(most), shares), F.lit(0))["k"]
 
 
+def _sharing(asked: DataFrame, listed: DataFrame, a: str, b: str, most: int, on: Sequence[str]) -> DataFrame:
+    """Rows of both within ``most`` edits, once for each place that they share; __k is the place's number."""
+    x = asked.withColumn("__x", F.explode(probes(F.col(a), most))).select(*asked.columns, F.col("__x.size").alias("__size"), F.col("__x.i").alias("__i"), F.col("__x.text").alias("__text"), F.col("__x.k").alias("__k"))
+    y = listed.withColumn("__y", F.explode(segments(F.col(b), most))).select(*listed.columns, F.col("__y.size").alias("__size"), F.col("__y.i").alias("__i"), F.col("__y.text").alias("__text"))
+    return x.join(y, [*on, "__size", "__i", "__text"]).filter(F.levenshtein(a, b, most) >= 0).drop("__size", "__i", "__text")
+
+
 def near(asked: DataFrame, listed: DataFrame, a: str, b: str, most: int, on: Sequence[str] = ()) -> DataFrame:
     """Rows of both, equal in ``on``, whose names are within ``most`` edits, case and all; each pair of rows once.
 
     The sides have no other columns in common. It keeps no state, so ``asked``
     may be a stream. Null names are near nothing.
     """
-    x = asked.withColumn("__x", F.explode(probes(F.col(a), most))).select(*asked.columns, F.col("__x.size").alias("__size"), F.col("__x.i").alias("__i"), F.col("__x.text").alias("__text"), F.col("__x.k").alias("__k"))
-    y = listed.withColumn("__y", F.explode(segments(F.col(b), most))).select(*listed.columns, F.col("__y.size").alias("__size"), F.col("__y.i").alias("__i"), F.col("__y.text").alias("__text"))
-    pairs = x.join(y, [*on, "__size", "__i", "__text"]).filter(F.levenshtein(a, b, most) >= 0)
-    return pairs.filter(F.col("__k") == first_shared(F.col(a), F.col(b), most)).drop("__size", "__i", "__text", "__k")
+    pairs = _sharing(asked, listed, a, b, most, on)
+    return pairs.filter(F.col("__k") == first_shared(F.col(a), F.col(b), most)).drop("__k")
 
 
-def names_near(left: DataFrame, right: DataFrame, a: str, b: str, most: int, on: Sequence[str] = ()) -> DataFrame:
-    """(*on, a, b) of the distinct names that are within ``most`` edits."""
+def names_near(left: DataFrame, right: DataFrame, a: str, b: str, most: int, on: Sequence[str] = (), direct: int = DIRECT) -> DataFrame:
+    """(*on, a, b) of the distinct names that are within ``most`` edits, equal in ``on``.
+
+    Names of equal keys that make up to ``direct`` pairs are compared as they
+    are; only those of larger groups are joined on segments.
+    """
+    on = list(on)
     distinct = lambda df, c: df.select(*on, c).filter(F.col(c).isNotNull()).distinct()
-    return near(distinct(left, a), distinct(right, b), a, b, most, on)
+    x, y = distinct(left, a), distinct(right, b)
+    by_segments = lambda x, y: _sharing(x, y, a, b, most, on).select(*on, a, b).distinct()
+    if not on:
+        return by_segments(x, y)
+    count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    large = cut(count(x, "__n").join(count(y, "__m"), on).filter(F.col("__n") * F.col("__m") > direct).select(*on))
+    if not large.limit(1).count():
+        return x.join(y, on).filter(F.levenshtein(a, b, most) >= 0)
+    keys = small(large)
+    few = x.join(keys, on, "left_anti").join(y, on).filter(F.levenshtein(a, b, most) >= 0)
+    return few.unionByName(by_segments(x.join(keys, on, "left_semi"), y.join(keys, on, "left_semi")))

@@ -46,6 +46,10 @@ def test_names_within_some_edits_are_found_once(spark, most):
     keyed = [(r.a, r.b) for r in edits.near(left, right, "a", "b", most, ["k"]).collect()]
     of = {n: i % 3 for i, n in enumerate(names)}
     assert sorted(keyed) == [(a, b) for a, b in want if of[a] == of[b]]
+    twice = [df.union(df) for df in (left, right)]
+    for direct in (0, 8000, 10**9):  # all, one or none of the groups by segments
+        assert sorted((r.a, r.b) for r in edits.names_near(*twice, "a", "b", most, ["k"], direct).collect()) == sorted(keyed)
+    assert sorted((r.a, r.b) for r in edits.names_near(*twice, "a", "b", most).collect()) == want
 
 
 def test_a_long_name_makes_no_more_rows_than_a_short_one(spark):
