@@ -22,8 +22,8 @@ from namewarden.llm.common import cut, running
 
 #: Longest n-gram; buckets; least words of a document that may be drawn, percent of these that are; the seed.
 ORDERS, BUCKETS, LEAST, PERCENT, SEED = 2, 10_000, 20, 25, 7
-#: Bytes of text wanted in a task; rows that are ranked in one task.
-BYTES, ROWS = 4_000_000, 20_000
+#: Bytes of text wanted in a task; rows that are ranked in one task; most tasks, which get more of either beyond.
+BYTES, ROWS, TASKS = 4_000_000, 20_000, 100_000
 
 _KEY = ("__id", "__hash", "__bytes", "__row")
 
@@ -45,7 +45,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.octet_length(text).alias("__bytes"), F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("__text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    return rows.repartition(max(1, -(-total // size)), *_KEY[:3])
+    return rows.repartition(max(1, min(TASKS, -(-total // size))), *_KEY[:3])
 
 
 def features(rows: DataFrame, orders: int, buckets: int) -> DataFrame:
@@ -99,8 +99,9 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     weighed = weighed.withColumn("weight", F.expr("(__sum - pmod(__sum, greatest(n_features, 1))) div greatest(n_features, 1)"))
     weighed = cut(weighed.select(F.col("__id").alias(id_col), "n_words", "n_features", "weight", (F.col("weight") + noise(F.col("__id"), seed)).alias("score")))
     may = weighed.filter(F.col("n_words") >= least)
-    drawn = may.count() * percent // 100
-    place = running(may, [], [F.col("score").desc(), F.col(id_col).asc_nulls_last()], {"rank": F.lit(1)}, ranked)
+    able = may.count()
+    drawn = able * percent // 100
+    place = running(may, [], [F.col("score").desc(), F.col(id_col).asc_nulls_last()], {"rank": F.lit(1)}, max(ranked, able // TASKS))
     place = place.withColumn("rank", F.when(F.col("rank") < drawn, F.col("rank") + 1).cast("long"))
     return place.unionByName(weighed.filter(F.col("n_words") < least).withColumn("rank", F.lit(None).cast("long"))).select(id_col, "n_words", "n_features", "weight", "score", "rank")
 
