@@ -75,6 +75,16 @@ def hashed(names: DataFrame, column: str = "package_name", out: str = "embedding
     return names.withColumn(out, embed(column))
 
 
+def parsed(text: Column) -> Column:
+    """The vector that a text like [0.1, NaN, -2] tells; null if it tells none."""
+    return F.from_json(text, "array<double>")
+
+
+def written(vector: Column) -> Column:
+    """A vector as a text that ``parsed`` reads."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ",", "null"), F.lit("]"))
+
+
 def int8_scale(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """One row: the greatest absolute component of all vectors / 127."""
     return vectors.agg((F.max(F.array_max(F.transform(column, lambda x: F.abs(x.cast("double"))))) / 127).alias("scale"))

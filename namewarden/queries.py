@@ -574,6 +574,14 @@ def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("package_name", F.round(F.get("embedding", F.lit(0)), 6).alias("x"), F.round(F.get("embedding", F.lit(1)), 6).alias("y"))
 
 
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 5) AS similarity FROM embeddings")
+def vectors_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as text and read again."""
+    v = vectors.parsed(vectors.written(F.col("embedding")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(S.cosine(F.col("v"), F.reverse("v")), 5).alias("similarity"))
+
+
 @query()
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hashed(table(spark, sf_dir, "part").select(F.col("p_name").alias("package_name")).distinct())

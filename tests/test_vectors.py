@@ -186,3 +186,11 @@ def test_only_the_partitions_that_are_asked_for_are_read(spark, tmp_path):
     assert "(registry" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "PartitionFilters: [isnotnull(registry" in plan
     got = {r.package_name: r.description for r in made.collect()}
     assert len(got) == 50 and got["nuget-1"] == "d" and got["nuget-2"] is None
+
+
+def test_texts_of_vectors(spark):
+    texts = ["[1, -2.5e3]", "[]", "[NaN, Infinity, -Infinity]", "[1, null]", "x", "", None, "{}"]
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vectors.parsed(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got[:2] == [[1.0, -2500.0], []] and math.isnan(got[2][0]) and got[2][1:] == [math.inf, -math.inf] and got[3] == [1.0, None] and got[4:7] == [None] * 3
+    rows = spark.createDataFrame([([1.5, None, -0.0, 1e-30],), ([],), (None,)], "v array<double>")
+    assert [r.w for r in rows.select(vectors.parsed(vectors.written(F.col("v"))).alias("w")).collect()] == [[1.5, None, -0.0, 1e-30], [], None]
