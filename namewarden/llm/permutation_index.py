@@ -68,14 +68,24 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b)))
 
 
-def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
-    """The first so many rows that are under ``ALIKE`` in cosine to those before; a copied vector so is one pivot."""
-    kept = sample[:1].repeat(min(pivots, len(sample)), axis=0)
-    n = 1
-    for x in sample[1:]:
-        if n < len(kept) and (kept[:n] @ x).max() < ALIKE:
-            kept[n] = x
-            n += 1
+def spread(sample: np.ndarray, pivots: int, block: int = 1024) -> np.ndarray:
+    """The first so many rows that are under ``ALIKE`` in cosine to those before; a copied vector so is one pivot.
+
+    Rows are held against those kept so far block by block, and against each other within a block.
+    """
+    kept = np.empty((min(pivots, len(sample)), sample.shape[1]))
+    n = 0
+    for a in range(0, len(sample), block):
+        if n == len(kept):
+            break
+        some = sample[a : a + block]
+        some = some[(some @ kept[:n].T).max(axis=1, initial=-1) < ALIKE]
+        close, taken = some @ some.T >= ALIKE, np.zeros(len(some), bool)
+        for i in range(len(some)):
+            taken[i] = not (close[i, :i] & taken[:i]).any()
+        some = some[taken][: len(kept) - n]
+        kept[n : n + len(some)] = some
+        n += len(some)
     return kept[:n]
 
 
