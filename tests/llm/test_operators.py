@@ -412,6 +412,13 @@ def test_permutation_index_splits_large_files_and_reads_only_its_own(spark):
         assert [all_of_them[q, k + 1][0] for k in range(5)] == ids[best].tolist()
     few = {r.query_id for r in permutation_index.nearest(odd, queries, probes=1).collect()}
     assert few <= {q for q, _ in all_of_them}
+    sample = permutation_index.unit(np.repeat(rng.normal(size=(60, 5)), 4, axis=0) + 0.05 * rng.normal(size=(240, 5)))
+    alone = []
+    for x in sample:
+        if all(x @ y < permutation_index.ALIKE for y in alone):
+            alone.append(x)
+    for most, block in ((1000, 7), (9, 7), (1000, 1024)):
+        assert (permutation_index.spread(sample, most, block) == np.array(alone[:most])).all()
     far = rng.normal(size=(50, 40))
     assert (permutation_index.orders(far, np.eye(40), 7) == np.argsort(-far, axis=1, kind="stable")[:, :7]).all()
     one = np.array([[0, 1, 2], [5, 6, 7]], np.int32)
