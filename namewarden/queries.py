@@ -24,7 +24,7 @@ from namewarden.operators import evaluate as E
 from namewarden.operators import learned, pairwise, releases, subwords, vector_index, vectors
 from namewarden.operators import neighbors as J
 from namewarden.operators import popular as P
-from namewarden.operators.durable import ensure_checkpoints
+from namewarden.operators.durable import cut, ensure_checkpoints
 from namewarden.plans import detect as D
 from namewarden.plans import api, documents
 from namewarden.sources import readers, sinks
@@ -830,6 +830,16 @@ def written_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("lang string, n long").json(one).join(means, F.col("lang").eqNullSafe(F.col("name"))).select("lang", "n", *six_digits("mean"))
 
 
+@query(f"WITH {NAMED} SELECT registry, package_name FROM r WHERE registry = 'maven'")
+def saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry of a catalog's table, which is dropped again when it is read."""
+    name = f"packages_{uuid.uuid4().hex}"
+    sinks.save_table(catalog_by_registry(spark, sf_dir), name, folder(spark, "table"))
+    found = cut(spark.table(name).filter("registry = 'maven'").select("registry", "package_name"))
+    sinks.drop_table(spark, name)
+    return found
+
+
 @query(f"WITH {PARTS}, m AS (SELECT DISTINCT p_type AS package_name, 9999999.0::DOUBLE AS popularity, 0 AS o FROM part WHERE p_type NOT IN (SELECT package_name FROM listed) UNION ALL SELECT *, 1 FROM listed) SELECT package_name, row_number() OVER (ORDER BY o, popularity DESC, package_name) AS place FROM m")
 def merged_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged list's order, as it is written."""
