@@ -206,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y")).withColumn("h", F.xxhash64("__id", F.lit(3)))
     chosen = known.orderBy("h", "__id").limit(sample)
     chosen = chosen.withColumn("part", F.pmod(F.xxhash64("__id", F.lit(4)), F.lit(PARTS)).cast("int"))
-    # at most ``sample`` rows of an id, a label and a part
-    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("t", "y", "part")
+    # at most ``sample`` rows of an id, a label and a part; their texts are written once and read twice
+    rows = cut(docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("t", "y", "part"))
 
     def count(frames):
         seen: Counter = Counter()
