@@ -21,6 +21,8 @@ SPACE = " \t\n\x0b\f\r"
 LEAST = -(1 << 63)
 #: A window of the order by id spans 2**SPAN ids at most; upper levels span 2**UPPER windows each. Null ids lie in 2**NULLS windows.
 SPAN, UPPER, NULLS = 10, 20, 20
+#: Rows of a window that one task orders; windows of more, as repeated ids make, are ordered range by range.
+ROWS = 100_000
 
 
 def hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -76,27 +78,41 @@ def next_buckets(buckets: DataFrame, bits: int = 64 - SPAN + 1) -> DataFrame:
     return within.join(after, "wide").select("bucket", F.coalesce("in", "head").alias("next"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, scale: int = SCALE, rows: int = ROWS) -> DataFrame:
     """(id, text, own, next_text, next_own): each text and its sketch beside those of the next document by ascending id, the first one's after the last.
 
     Rows that share an id are ordered by text; null ids come first, in the
     order of a hash of their texts; null texts become empty. Which window of
     ids follows which is found on window numbers alone; texts are shuffled
-    once, and each window's first row is fetched by the one before.
+    once, and each window's first row is fetched by the one before. A window
+    of over ``rows`` rows is cut into ranges by id and text, of which the first
+    row of the next is fetched alike.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     null_bucket = F.lit((LEAST >> SPAN) - (1 << NULLS)) + F.pmod(F.xxhash64("text"), F.lit(1 << NULLS))
     docs = docs.withColumn("bucket", F.coalesce(F.shiftright("id", SPAN), null_bucket))
-    heads = cut(docs.groupBy("bucket").agg(F.min("id").alias("head")))
+    heads = cut(docs.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
     at = heads.select(F.col("bucket").alias("b"), "head")
     firsts = docs.join(small(at), (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("head")))
     firsts = with_sketch(firsts.groupBy("bucket").agg(F.min("text").alias("text")), "text", "own", shingle, scale)
     firsts = firsts.select("bucket", F.struct("text", "own").alias("first"))
     after = cut(next_buckets(heads.select("bucket"))).withColumnRenamed("bucket", "b").join(firsts, F.col("next") == F.col("bucket"))
     after = cut(after.select(F.col("b").alias("bucket"), "first"))
-    docs = with_sketch(docs.repartition("bucket"), "text", "own", shingle, scale)
-    lead = F.lead(F.struct("text", "own")).over(Window.partitionBy("bucket").orderBy("id", "text"))
-    df = docs.withColumn("in", lead).join(after, "bucket").withColumn("then", F.coalesce("in", "first"))
+    row, large = F.struct("text", "own"), heads.filter(F.col("n") > rows)
+    many = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    few = docs.join(small(large.select("bucket")), "bucket", "left_anti") if many else docs
+    few = with_sketch(few.repartition("bucket"), "text", "own", shingle, scale)
+    few = few.withColumn("in", F.lead(row).over(Window.partitionBy("bucket").orderBy("id", "text")))
+    if many:
+        dealt = docs.join(small(large.select("bucket")), "bucket", "left_semi").repartitionByRange(-(-many // rows) + 1, "bucket", "id", "text")
+        dealt = cut(with_sketch(dealt.withColumn("range", F.spark_partition_id()), "text", "own", shingle, scale))
+        starts = dealt.groupBy("bucket", "range").agg(F.min(F.struct("id", "text", "own")).alias("start"))
+        starts = cut(starts.withColumn("start", F.lead("start").over(Window.partitionBy("bucket").orderBy("range"))))  # a row for each range
+        line = Window.partitionBy("bucket", "range").orderBy("id", "text")
+        rest = dealt.withColumn("in", F.lead(row).over(line)).join(starts, ["bucket", "range"])
+        following = F.when(F.col("start").isNotNull(), F.struct("start.text", "start.own"))
+        few = few.unionByName(rest.withColumn("in", F.coalesce("in", following)).select(*few.columns))
+    df = few.join(after, "bucket").withColumn("then", F.coalesce("in", "first"))
     return df.select(F.col("id").alias(id_col), "text", "own", F.col("then.text").alias("next_text"), F.col("then.own").alias("next_own"))
 
 
