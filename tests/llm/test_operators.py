@@ -106,6 +106,23 @@ def test_sparse_and_negative_ids_are_in_order(spark):
     assert got == {i: str(j) for i, j in zip(ids, ids[1:] + ids[:1])}
 
 
+@pytest.mark.parametrize("most", [3, 40, 10_000])
+def test_rows_that_share_an_id_are_ordered_range_by_range(spark, most):
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 5, 5, 6, 7, 2000, None, -3]), rng.choice(["", None, "same words"]) if rng.random() < 0.1 else "t%06d" % rng.randrange(10**6)) for _ in range(400)] + [(5, "same words")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.with_next(df, "doc_id", "text", rows=most).collect()
+    known = [(i, t or "") for i, t in rows if i is not None]
+    known.sort()
+    pairs = Counter((r.doc_id, r.text, r.next_text) for r in got if r.doc_id is not None)
+    want = Counter((*a, b[1]) for a, b in zip(known, known[1:]))
+    # the last known row is followed by the first of null id
+    assert sum((pairs - want).values()) == 1 and not want - pairs and len(got) == len(rows)
+    assert all(r.own == s.own and r.next_own is not None for r in got for s in got[:1] if r.text == s.text)
+    whole = fingerprints.with_next(df, "doc_id", "text").collect()
+    assert Counter(map(str, got)) == Counter(map(str, whole))
+
+
 # byte-level BPE
 
 
