@@ -30,6 +30,8 @@ from namewarden.llm.common import BATCH_BYTES, cut, trim
 
 #: Words of a phrase; words of a shard and of a piece of a document; places between kept positions; phrases of a block; places located at once.
 WINDOW, SHARD, PIECE, RATE, PHRASES, PLACES = 10, 1 << 20, 1 << 19, 16, 200_000, 1 << 20
+#: Bytes of a text that are cut into words at once.
+CHUNK = 8_000_000
 #: Bits of a position in a sort key: a shard has fewer than 2^21 words and separators.
 AT = np.uint64(21)
 PLACE = np.uint64((1 << 21) - 1)
@@ -43,6 +45,23 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_LOWERED).split()
 
 
+def pieces(text: bytes, piece: int, overlap: int, chunk: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(first word's number, words) of stretches of a text of at most ``piece`` words, which share ``overlap``; one of no words for a text without.
+
+    Words are made chunk by chunk of a long text, so that few are held at once.
+    """
+    low, at, start, held = text.translate(_LOWERED), 0, 0, []
+    while at < len(low):
+        end = low.find(b" ", at + chunk)
+        end = len(low) if end < 0 else end
+        held += low[at:end].split()
+        at = end
+        while len(held) > piece:
+            yield start, held[:piece]
+            start, held = start + piece - overlap, held[piece - overlap :]
+    yield start, held
+
+
 class Vocabulary(dict):
     """Numbers of words by first use, from 1; 0 is the separator."""
 
@@ -211,11 +230,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         for batch in batches:
             numbers, sizes = [], []
             for text in batch.column(1).to_pylist():
-                found = words(text or b"")
                 numbers.append(number)
-                sizes.append(len(found))
-                for a in range(0, max(1, len(found) - overlap), piece - overlap):
-                    some = found[a : a + piece] if len(found) > piece else found
+                size = 0
+                for a, some in pieces(text or b"", piece, overlap):
+                    size = a + len(some)
                     if not some:
                         continue
                     coded = np.zeros(len(some) + 1, np.int32)
@@ -225,8 +243,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
                     total += len(coded)
                     if total >= shard:
                         yield closed()
-                    if len(found) <= piece:
-                        break
+                sizes.append(size)
                 number += 1
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(0).cast(out.field("id").type), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=out)
         if total:
