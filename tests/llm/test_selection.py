@@ -122,6 +122,18 @@ def test_contaminated_words_are_those_of_the_plain_search(spark, edge, edge_rows
     assert sum(bool(r[2]) for r in want) > 6
 
 
+def test_pieces_cover_a_text_and_overlap():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices("ab9 .é\n", k=rng.randint(0, 120)))
+        want = [w.encode() for w in words(text)]
+        piece, overlap = rng.choice([(1000, 9), (7, 2), (12, 9), (3, 0)])
+        got = list(decontamination.pieces(text.encode(), piece, overlap, rng.choice([1, 5, 40, 1000])))
+        assert all(want[a : a + len(p)] == p and len(p) <= piece for a, p in got)
+        assert [a for a, _ in got] == [k * (piece - overlap) for k in range(len(got))] and got[-1][0] + len(got[-1][1]) == len(want)
+        assert all(len(p) == piece for _, p in got[:-1]) and (len(got) == 1 or len(got[-1][1]) > overlap)
+
+
 def test_many_copies_and_passages_in_one_shard(spark):
     rng = random.Random(3)
     body = [rng.choice("abcdefgh") for _ in range(60)]
