@@ -19,6 +19,7 @@ from namewarden.plans import documents
 from namewarden.sources import sinks
 
 NAMES = ["facebook", "facebook-sdk", "facebook-sdk-test", "meta", "meta-sdk", "meta-sdk-test", "react-native", "react-native-sdk", "python-requests", "requests", "requests-test", "numpy", "numpy-test", "scipy", "scikit-learn", "matplotlib", "matplotlib-pyplot", "pyplot", "vue3x", "vue", "left-pad", "@babel/core", "babel-test", "native", "python", "learn", "sdk", "test", "--", "a"]
+#: Pairs of names whose likeness is looked at after training, in order.
 PAIRS = [("facebook", "meta"), ("Facebook/SDK", "meta-sdk"), ("facebook-sdk", "meta-sdk"), ("facebook-sdk", "facebook-sdk"), ("facebook-sdk", "meta-sdk"), ("facebook-sdk", "facebook-sdk-test"), ("facebook-sdk", "meta-sdk-test"), ("facebook-sdk", "facebook-sdk-test-test"), ("facebook-sdk", "meta-sdk-test-test"), ("Facebook", "facebook"), ("FACEBOOK", "facebook"), ("face/book", "facebook"), ("face.book", "facebook"), ("face_book", "facebook"), ("react-native", "react_native"), ("ReactNative", "react-native"), ("python-requests", "requests"), ("numpy", "scikit-learn"), ("matplotlib", "matplotlib-pyplot"), ("matplotlib", "matblotlip"), ("matplotlib", "catplotlib"), ("numpy", "scipy")]
 
 
