@@ -103,7 +103,8 @@ def train(names: DataFrame, dim: int = DIM, seed: int = 42, least: int = LEAST,
                     for j in range(wide):
                         out[:, j] += np.bincount(cols, x * y[each, j], columns)
             used = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pd.DataFrame({"col": used, "x": list(out[used])})
+            if len(used):
+                yield pd.DataFrame({"col": used, "x": list(out[used])})
 
         got = _summed(rows.mapInPandas(back, "col int, x array<double>"), "col")
         image = np.zeros((columns, wide))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,13 +40,14 @@ def _sums(sample: DataFrame, centroids: np.ndarray) -> np.ndarray:
             units = unit(f["v"].to_list())[0]
             np.add.at(sums, (units @ centroids.T).argmax(axis=1), units)
         used = np.flatnonzero(np.abs(sums).sum(axis=1))
-        yield pd.DataFrame({"list": used, "sums": list(sums[used])})
+        if len(used):
+            yield pd.DataFrame({"list": used, "sums": list(sums[used])})
 
     few = sample.select("v").mapInPandas(run, "list int, sums array<double>")
     cells = few.select("list", F.posexplode("sums").alias("i", "x")).groupBy("list", "i").agg(F.sum("x").alias("x")).toPandas()  # lists x dimensions
     moved = centroids.copy()
     moved[cells["list"].unique()] = 0
-    moved[cells["list"], cells["i"]] = cells["x"]
+    moved[cells["list"].to_numpy(), cells["i"].to_numpy()] = cells["x"].to_numpy()
     norms = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
     return np.where(norms > 0, moved / np.where(norms > 0, norms, 1), centroids)
 
@@ -102,6 +103,15 @@ def build(vectors: DataFrame, path: str, id_col: str, vec_col: str, lists: int |
     return {"rows": n, "left_out": whole - n, "lists": of.count(), "largest_list": largest, "bytes": size, "seconds": time.time() - began}
 
 
+#: Columns of a table of names that may hold vectors.
+COLUMNS = ("embedding", "author_embedding", "package_embedding")
+
+
+def build_all(table: DataFrame, path: str, key: str = "package_name", columns: Sequence[str] = COLUMNS, **options) -> dict[str, dict]:
+    """An index for each vector column that the table has, at ``path``/column, and what ``build`` tells of each; none for a table without such columns."""
+    return {c: build(table, f"{path}/{c}", key, c, **options) for c in columns if c in table.columns}
+
+
 def _top(top: int):
     """Marks the ``top`` greatest of each row, of equal ones the first."""
 

@@ -312,3 +312,20 @@ def test_attack_classes(spark, name, target, want):
 
     got = spark.createDataFrame([(name, target)], "a string, b string").select(attack_class(F.col("a"), F.col("b")).alias("x")).first().x
     assert got == want
+
+
+@pytest.mark.parametrize("registry", ["npm", "golang"])
+def test_neighbours_are_ranked_by_similarity_then_popularity(spark, registry):
+    """The most popular first among equals: of golang those of the least number, which is 0 for unlisted ones."""
+    from namewarden.operators import neighbors as J
+
+    listed = {"alpha": 5.0, "alphb": 5.0, "alphc": 900.0, "alphd": 2.0, "alphabet": 50.0}
+    pairs = spark.createDataFrame([("alphx", p, 0.1) for p in [*listed, "alphz", "zzz"]], "query string, package_name string, vector_similarity double")
+    popular = spark.createDataFrame(list(listed.items()) + [("alpha", 1.0)], "package_name string, popularity double")
+    got = J.scored(pairs, popular, registry).orderBy("rank").collect()
+    sims = {p: max((plain_six("alphx", p) | {"parts": plain_parts("alphx", p), "phonetic": edit.phonetic("alphx", p), "v": 0.1}).values()) for p in [*listed, "alphz", "zzz"]}
+    of = lambda p: listed.get(p, 0.0)
+    sign = 1 if registry == "golang" else -1
+    want = sorted((p for p in sims if sims[p] >= 0.85), key=lambda p: (-sims[p], sign * of(p), p))
+    assert [r.package_name for r in got] == want and [r.popularity for r in got] == [of(p) for p in want]
+    assert [r["rank"] for r in got] == list(range(1, len(want) + 1)) and len(want) >= 5

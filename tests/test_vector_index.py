@@ -97,3 +97,13 @@ def test_equal_seeds_give_equal_indexes(spark, built, tmp_path):
     vector_index.build(spark.createDataFrame(rows, "id long, v array<float>").repartition(5), str(tmp_path / "two"), "id", "v")
     lists = lambda p: sorted((r.id, r.list) for r in spark.read.parquet(f"{p}/vectors").select(F.col("b").alias("id"), "list").collect())
     assert lists(path) == lists(str(tmp_path / "two"))
+
+
+def test_every_vector_column_of_a_table_is_indexed(spark, tmp_path):
+    rows = [("a/x", [1.0, 0.0], [1.0, 0.0], None), ("b/x", [0.9, 0.1], [0.0, 1.0], [1.0, 1.0]), ("c/x", [0.0, 1.0], None, [1.0, 0.9])]
+    table = spark.createDataFrame(rows, "package_name string, embedding array<double>, author_embedding array<double>, package_embedding array<double>")
+    told = vector_index.build_all(table, str(tmp_path / "all"))
+    assert {c: (t["rows"], t["left_out"]) for c, t in told.items()} == {"embedding": (3, 0), "author_embedding": (2, 1), "package_embedding": (2, 1)}
+    found = vector_index.Index(spark, str(tmp_path / "all/package_embedding")).search(table, "package_name", "package_embedding", 1)
+    assert {(r.query_id, r.id) for r in found.collect()} == {("b/x", "c/x"), ("c/x", "b/x")}
+    assert vector_index.build_all(table.select("package_name"), str(tmp_path / "none")) == {}
