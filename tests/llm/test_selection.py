@@ -223,3 +223,13 @@ def test_the_annulus_prunes_and_keeps_boundary_ties():
 def test_clustering_of_no_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0])], "vec_id long, embedding array<float>")
     assert clustering.clustered(df).count() == 0
+
+
+def test_few_rows_over_many_partitions(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, None)], "doc_id long, text string").repartition(20)
+    items = spark.createDataFrame([(1, "b c d e f g h i j k"), (2, "zz")], "item_id long, text string").repartition(20)
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in decontamination.decontaminate(docs, items).collect()} == {(1, 10, 1), (2, 0, 0)}
+    assert {(r.doc_id, r.n_features) for r in resampling.resample(docs, items).collect()} == {(1, 23), (2, 0)}
+    rows = [(i, [float(i)] * 64) for i in range(3)]
+    got = clustering.clustered(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(20)).collect()
+    assert Counter(map(tuple, got)) == Counter(plain_clusters(rows, 16, 3, 64))
