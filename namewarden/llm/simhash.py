@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from namewarden.llm.common import cut, join_counted, map_texts, quoted, row_hash, small, trim
 from namewarden.llm.components import connected_components
+from namewarden.operators.durable import FEW
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -303,7 +304,8 @@ def alike_links(docs: DataFrame, sketched: DataFrame, key: str, text_col: str, r
     texts = sketched.groupBy("fp", "set").agg(F.min(F.struct(key, "bands")).alias("x")).select("fp", "set", F.col(f"x.{key}").alias("at"), F.explode("x.bands").alias("band"))
     rows = cut(texts.select("band", F.struct(F.xxhash64("band", "fp", "set").alias("order"), "fp", "at").alias("x")))
     shared = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n > 1"))
-    rows = cut(rows.join(small(shared), "band"))
+    # beyond what may be broadcast only the few bands of very many rows are, so that none is one task's
+    rows = cut(rows.join(F.broadcast(shared), "band") if shared.count() <= FEW else join_counted(rows, shared.withColumn("__n", F.col("n")), ["band"], "__n"))
     few = rows.filter(F.col("n") <= PAIRED).select("band", "x")
     pairs = few.join(few.select("band", F.col("x").alias("y")), "band").select("x", "y")
     many = rows.filter(F.col("n") > PAIRED)
