@@ -634,9 +634,10 @@ def test_large_bands_lose_no_link(spark, monkeypatch):
                 up[max(top(a), top(b))] = min(top(a), top(b))
     assert stars > 200
     kept = sorted(k for k in texts if top(k) == k)
-    for paired, block in ((16, 128), (1, 128), (1, 5)):
+    for paired, block, few in ((16, 128, 1_000_000), (1, 128, 0), (1, 5, 1_000_000)):
         monkeypatch.setattr(simhash, "PAIRED", paired)
         monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "FEW", few)
         assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == kept
 
 
