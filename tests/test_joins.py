@@ -11,14 +11,16 @@ from namewarden.operators import angles, edits
 from namewarden.operators import neighbors as J
 
 
-def apart(a, b):
-    last = list(range(len(b) + 1))
+def apart(a, b, most):
+    """Levenshtein distance, or more than ``most`` if it is over that: cells off the diagonal by more aren't looked at."""
+    far = most + 1
+    last = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        row = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            row[j] = i if j == 0 else min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != b[j - 1]))
         last = row
-    return last[-1]
+    return last.get(len(b), far)
 
 
 def odd_names(seed, n):
@@ -41,7 +43,7 @@ def test_names_within_some_edits_are_found_once(spark, most):
     df = spark.createDataFrame([(n, i % 3) for i, n in enumerate(names)], "n string, k int")
     left, right = df.select(F.col("n").alias("a"), "k"), df.select(F.col("n").alias("b"), "k")
     got = [tuple(r) for r in edits.near(left.drop("k"), right.drop("k"), "a", "b", most).collect()]
-    want = [(a, b) for a in names for b in names if abs(len(a) - len(b)) <= most and apart(a, b) <= most]
+    want = [(a, b) for a in names for b in names if abs(len(a) - len(b)) <= most and apart(a, b, most) <= most]
     assert sorted(got) == want
     keyed = [(r.a, r.b) for r in edits.near(left, right, "a", "b", most, ["k"]).collect()]
     of = {n: i % 3 for i, n in enumerate(names)}
@@ -76,7 +78,7 @@ def plain_over(left, right, over, keyed):
     return out
 
 
-@pytest.mark.parametrize("over,options", [(0.8, {}), (0.9, {"cell": 10, "rows": 7}), (0.5, {"cell": 5, "rows": 1000, "direct": 50}), (-0.2, {"cell": 20, "rows": 13, "direct": 0}), (0.99, {"cell": 3, "references": 4, "direct": 0})])
+@pytest.mark.parametrize("over,options", [(0.8, {}), (0.9, {"cell": 20, "rows": 40}), (0.5, {"cell": 25, "rows": 1000, "direct": 50}), (-0.2, {"cell": 60, "rows": 70, "direct": 0}), (0.99, {"cell": 30, "references": 4, "direct": 0})])
 @pytest.mark.parametrize("keyed", [False, True])
 def test_pairs_over_a_cosine_are_those_of_all_pairs(spark, over, options, keyed):
     left, right = some_vectors(1, 150, 6, 9), some_vectors(1, 220, 6, 9)[40:]
