@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewarden.llm.common import cut, map_texts
+from namewarden.llm.common import cut, map_texts, process_cache
 
 #: Labelled rows that are fitted on at most; the rest of the labels is not read into the model.
 SAMPLE = 20_000
@@ -43,17 +43,23 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ("words", "stems", "word_hits", "stem_hits", "word_weight", "stem_weight", "word_most", "stem_most", "second", "near", "near_hits", "capitals", "shouted", "exclaimed", "punctuation", "mixed", "spaced", "stretched", "digits", "length")
 
 
+def kinds() -> np.ndarray:
+    """For each code point whether it is a letter (1), upper case (2), a digit (4); made once in a worker."""
+    known = process_cache()
+    if "kinds" not in known:
+        every = list(map(chr, range(0x110000)))
+        known["kinds"] = sum(np.fromiter(map(is_one, every), np.uint8, len(every)) << k for k, is_one in enumerate((str.isalpha, str.isupper, str.isdigit))).astype(np.uint8)
+    return known["kinds"]
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case words; those that mix letters with digits or signs are read as letters, final signs left off."""
-    out = []
-    for t in _TOKEN.findall(text.lower()):
-        if not t.isalpha():
-            t = t.rstrip("!*@$_")
-            if not t or not any(map(str.isalpha, t)):
-                continue
-            t = t.translate(LEET).replace("*", "").replace("_", "")
-        out.append(t)
-    return out
+    found = _TOKEN.findall(text.lower())
+    odd = [i for i, t in enumerate(found) if not t.isalpha()]
+    for i in odd:
+        t = found[i].rstrip("!*@$_")
+        found[i] = t.translate(LEET).replace("*", "").replace("_", "") if any(map(str.isalpha, t)) else None
+    return [t for t in found if t is not None] if odd else found
 
 
 def features(text: str, words: dict[str, float], stems: dict[str, float]) -> list[float]:
@@ -64,28 +70,31 @@ def features(text: str, words: dict[str, float], stems: dict[str, float]) -> lis
     # a word's longest stem in the lexicon counts
     stem_hits = []
     for i, w in enumerate(found):
-        for k in reversed(STEMS):
-            if len(w) > k and w[:k] in stems:
-                stem_hits.append((i, stems[w[:k]]))
-                break
+        if len(w) > STEMS[0]:
+            for k in reversed(STEMS):
+                if len(w) > k and w[:k] in stems:
+                    stem_hits.append((i, stems[w[:k]]))
+                    break
     you = np.array([i for i, w in enumerate(found) if w in SECOND])
     at = np.array(sorted({i for i, _ in hits} | {i for i, _ in stem_hits}))
     near = np.full(len(at), 50.0)
     if len(you) and len(at):
         p = np.searchsorted(you, at)
         near = np.minimum(np.abs(at - you[np.clip(p, 0, len(you) - 1)]), np.abs(at - you[np.clip(p - 1, 0, len(you) - 1)])).clip(0, 50).astype(float)
-    letters = max(1, sum(map(str.isalpha, text)))
+    kind = kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    count = lambda bit: int(np.count_nonzero(kind & bit))
+    letters = max(1, count(1))
     chars = max(1, len(text))
     raw = text.split()
     many = max(1, len(raw))
     return [
-        math.log1p(len(found)), sum(len(w) > STEMS[0] for w in found) / n, len(hits) / n, len(stem_hits) / n,
+        math.log1p(len(found)), sum(map(STEMS[0].__lt__, map(len, found))) / n, len(hits) / n, len(stem_hits) / n,
         sum(x for _, x in hits) / n, sum(x for _, x in stem_hits) / n, float(len(hits)), float(len(stem_hits)),
         len(you) / n, float(near.min()) if len(near) else 50.0, float((near <= 5).sum()) / n,
-        sum(map(str.isupper, text)) / letters, sum(w.isupper() and len(w) > 1 for w in raw) / many,
+        count(2) / letters, sum(len(w) > 1 for w in filter(str.isupper, raw)) / many,
         (text.count("!") + text.count("?")) / chars, sum(text.count(c) for c in ".,;:#%&*$") / chars,
         len(_MIXED.findall(text)) / many, len(_SPACED.findall(text)) / many, len(_STRETCHED.findall(text)) / many,
-        sum(map(str.isdigit, text)) / chars, math.log1p(len(text)),
+        count(4) / chars, math.log1p(len(text)),
     ]
 
 
