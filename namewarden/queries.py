@@ -63,9 +63,9 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ordered pairs of distinct part names, a fixed vocabulary of a few dozen names."""
+    """All ordered pairs of distinct part names, a few dozen names; Spark broadcasts one side if its size allows."""
     one = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    return one.join(F.broadcast(one.withColumnRenamed("a", "b")), F.col("a") != F.col("b"))
+    return one.join(one.withColumnRenamed("a", "b"), F.col("a") != F.col("b"))
 
 
 def six_digits(*columns: str) -> list[Column]:
@@ -881,7 +881,7 @@ def sim_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda i, k: F.substring(n, i, k)
     odd = F.when(size % 3 == 0, F.concat(part(2, 1), part(1, 1), part(3, 100))).when(size % 3 == 1, n).otherwise(F.concat(part(1, 3), part(5, 1), part(4, 1), part(6, 100)))
     one = table(spark, sf_dir, "part").select(odd.alias("a")).distinct()
-    pairs = one.join(F.broadcast(one.withColumnRenamed("a", "b")), F.col("a") != F.col("b"))
+    pairs = one.join(one.withColumnRenamed("a", "b"), F.col("a") != F.col("b"))
     a, b = F.col("a"), F.col("b")
     df = pairs.select("a", "b", S.distance(a, b).cast("long").alias("edits"), S.edit_similarity(a, b).alias("edit"), S.edit_ratio(a, b).alias("ratio"), S.namespace_similarity(a, b).alias("space"))
     return df.select("a", "b", "edits", *six_digits("edit", "ratio"), "space")
