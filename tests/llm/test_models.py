@@ -155,6 +155,20 @@ def test_the_lexicon_equals_plain_counts(spark):
     assert np.mean([(r.score >= 0.5) == toxic[r.doc_id] for r in got if r.held_out]) > 0.9
 
 
+def test_scores_over_the_edge_table(spark, edge_dir, edge_rows):
+    """Equal texts have equal scores, null ones those of empty ones, and each is what the model says of the text alone."""
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{edge_dir}/documents.parquet"), spark.read.parquet(f"{edge_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = sorted({t or "" for _, t, *_ in edge_rows})
+    said = dict(zip(texts, model(texts).tolist()))
+    assert model.trees.margin(np.array([list(plain_features(t, model.words, model.stems).values()) for t in texts])) == pytest.approx(model.trees.margin(np.array([toxicity.features(t, model.words, model.stems) for t in texts])))
+    got = Counter((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in QUERIES["op10_toxicity"](spark, edge_dir).collect())
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    assert got == Counter((i, out(i), round(said[t or ""], 9), int(said[t or ""] >= 0.5)) for i, t, *_ in edge_rows)
+
+
 # language
 
 
