@@ -93,68 +93,90 @@ def blocked(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> tu
     return left, right, groups
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], choose: Callable[[np.ndarray], np.ndarray], groups: int) -> DataFrame:
+def _cosines(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of all rows of two results of ``unit``; 0 where lengths differ."""
+    (u, n), (v, m) = x, y
+    dim = min(u.shape[1], v.shape[1])
+    return np.where(n[:, None] == m[None, :], u[:, :dim] @ v[:, :dim].T, 0.0)
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], choose: Callable[[np.ndarray], np.ndarray], groups: int, also: float | None = None) -> DataFrame:
     """(a, b, similarity) of the pairs of equal keys that ``choose`` marks in a matrix of cosines.
 
+    With ``also`` sides have w too, unit vectors or zeros, and a pair's w must
+    be of one length and their cosine over it.
+
     Sides have (keys, block, part, a or b, v), v of length 1. Equal (keys,
     block, part) come together in a task, the left ones held; the columns of a
     matrix are in the order of b, and may be some of a group's.
     """
-    by = [*keys, "block", "part"]
-    both = left.select(*by, F.lit(0).alias("side"), F.col("a"), F.lit(None).cast(right.schema["b"].dataType).alias("b"), "v")
-    both = both.unionByName(right.select(*by, F.lit(1).alias("side"), F.lit(None).cast(left.schema["a"].dataType).alias("a"), "b", "v"))
+    by, vectors = [*keys, "block", "part"], ["v"] if also is None else ["v", "w"]
+    both = left.select(*by, F.lit(0).alias("side"), F.col("a"), F.lit(None).cast(right.schema["b"].dataType).alias("b"), *vectors)
+    both = both.unionByName(right.select(*by, F.lit(1).alias("side"), F.lit(None).cast(left.schema["a"].dataType).alias("a"), "b", *vectors))
     both = both.repartition(max(1, min(TASKS, groups)), *by).sortWithinPartitions(*by, "side")
     spec = T.StructType([left.schema["a"], right.schema["b"], T.StructField("similarity", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, held = None, [], []
+        key, ids, held, second = None, [], [], []
         for f in frames:
             turn = np.flatnonzero(np.concatenate([[True], (f[by].iloc[1:].to_numpy() != f[by].iloc[:-1].to_numpy()).any(axis=1)])) if len(f) else []
             for a, b in zip(turn, [*turn[1:], len(f)]):
                 part = f.iloc[a:b]
                 now = tuple(part[by].iloc[0])
                 if now != key:
-                    key, ids, held = now, [], []
+                    key, ids, held, second = now, [], [], []
                 asking, answering = part[part["side"] == 0], part[part["side"] == 1].sort_values("b", kind="stable")
                 if len(asking):
                     ids += asking["a"].to_list()
                     held.append(np.stack(asking["v"].to_list()))
+                    if also is not None:
+                        second += asking["w"].to_list()
                 if not len(answering) or not held:
                     continue
                 held = [np.concatenate(held)]
                 y, known = np.stack(answering["v"].to_list()), answering["b"].to_list()
+                z = unit(answering["w"].to_list()) if also is not None else None
                 for at in range(0, len(ids), 256):
                     s = held[0][at : at + 256] @ y.T
-                    i, j = np.nonzero(choose(s))
+                    chosen = choose(s)
+                    if z is not None:
+                        chosen &= _cosines(unit(second[at : at + 256]), z) > also
+                    i, j = np.nonzero(chosen)
                     if len(i):
                         yield pd.DataFrame({"a": pd.Series([ids[at + k] for k in i.tolist()]), "b": pd.Series([known[k] for k in j.tolist()]), "similarity": s[i, j]})
 
     return both.mapInPandas(run, spec)
 
 
-def cosine_over(left: DataFrame, right: DataFrame, over: float, on: Sequence[str] = (), references: int = REFERENCES, cell: int = CELL, rows: int = ROWS, direct: int = DIRECT) -> DataFrame:
+def cosine_over(left: DataFrame, right: DataFrame, over: float, on: Sequence[str] = (), references: int = REFERENCES, cell: int = CELL, rows: int = ROWS, direct: int = DIRECT, also: float | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs, equal in ``on``, whose vectors' cosine is over ``over``.
 
+    With ``also`` both sides have w, and the pair's w must have a cosine over it.
+
     ``left`` has a and v, ``right`` b and v, both ``on``; ids tell their rows
     apart, or pairs are repeated. Vectors that are null, zero, of other lengths
     or not finite match nothing, nor do null keys. References are
     ``references`` at most, drawn from the right by hashes.
     """
-    on = list(on)
-    left, right = usable(left.select(*on, "a", "v"), "v"), usable(right.select(*on, "b", "v"), "v")
+    on, more = list(on), [] if also is None else ["w"]
+    left, right = usable(left.select(*on, "a", "v", *more), "v"), usable(right.select(*on, "b", "v", *more), "v")
+    if more:
+        left, right = usable(left, "w"), usable(right, "w")
     if on:
         count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
         large = cut(count(left, "n").join(count(right, "m"), on).filter(F.col("n") * F.col("m") > direct).select(*on))
-        pairs = left.join(small(large), on, "left_anti").join(right.withColumnRenamed("v", "w"), on)
-        pairs = pairs.filter(F.size("v") == F.size("w")).select("a", "b", cosine(F.col("v"), F.col("w")).alias("similarity")).filter(F.col("similarity") > over)
+        pairs = left.join(small(large), on, "left_anti").join(right.withColumnsRenamed({"v": "__v", "w": "__w"}), on).filter(F.size("v") == F.size("__v"))
+        if more:
+            pairs = pairs.filter((F.size("w") == F.size("__w")) & (cosine(F.col("w"), F.col("__w")) > also))
+        pairs = pairs.select("a", "b", cosine(F.col("v"), F.col("__v")).alias("similarity")).filter(F.col("similarity") > over)
         if not large.limit(1).count():
             return pairs
         left, right = left.join(small(large), on, "left_semi"), right.join(small(large), on, "left_semi")
-        return pairs.unionByName(_by_cells(left, right, over, on, references, cell, rows))
-    return _by_cells(left, right, over, on, references, cell, rows)
+        return pairs.unionByName(_by_cells(left, right, over, on, references, cell, rows, also))
+    return _by_cells(left, right, over, on, references, cell, rows, also)
 
 
-def _by_cells(left: DataFrame, right: DataFrame, over: float, on: list[str], references: int, cell: int, rows: int) -> DataFrame:
+def _by_cells(left: DataFrame, right: DataFrame, over: float, on: list[str], references: int, cell: int, rows: int, also: float | None = None) -> DataFrame:
     sizes = right.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length of vectors
     found: dict[int, np.ndarray] = {}
     for r in sizes:
@@ -167,4 +189,4 @@ def _by_cells(left: DataFrame, right: DataFrame, over: float, on: list[str], ref
     left = cut(_placed(left, "v", cells, own=False)).withColumn("cell", F.explode("cells")).drop("cells")
     keys = [*on, "dim", "cell"]
     left, right, groups = blocked(left, right.drop("angle"), keys, rows)
-    return matched(left, right, keys, lambda s: s > over, groups)
+    return matched(left, right, keys, lambda s: s > over, groups, also)

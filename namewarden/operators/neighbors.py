@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from namewarden.config import AUTHOR_OVER, FLAT_LIMIT, GROUP_EDITS, KEPT, LEAST_SIMILARITY, NEAR_EDITS, PART_OVER, VECTOR_OVER
 from namewarden.functions.edit import osa_col
 from namewarden.functions.similarity import cosine, greatest_number, six, suspicious_namespace
-from namewarden.operators.angles import cosine_over
+from namewarden.operators.angles import SLACK, cosine_over
 from namewarden.operators.edits import names_near
 from namewarden.operators.popular import low_is_popular
 
@@ -77,7 +77,8 @@ def by_group(queries: DataFrame, popular: DataFrame, kind: str) -> DataFrame:
     found = q.select("__same", *own).distinct().join(near, ["__same", "q_other"]).join(p.select("__same", *their).distinct(), ["__same", "p_other"]).select(own[0], their[0])
     vectors = "author_embedding" in queries.columns and "author_embedding" in popular.columns and "package_embedding" in queries.columns and "package_embedding" in popular.columns
     if vectors:
-        by_vector = cosine_over(q.select("__same", F.col(own[0]).alias("a"), F.col("q_author_embedding").alias("v")), p.select("__same", F.col(their[0]).alias("b"), F.col("p_author_embedding").alias("v")), AUTHOR_OVER, ["__same"])
+        given = lambda df, x, c: df.select("__same", F.col(f"{x}_package_name").alias(c), F.col(f"{x}_author_embedding").alias("v"), F.col(f"{x}_package_embedding").alias("w"))
+        by_vector = cosine_over(given(q, "q", "a"), given(p, "p", "b"), AUTHOR_OVER - SLACK, ["__same"], also=PART_OVER - SLACK)  # the exact limits are below
         found = found.union(by_vector.select("a", "b"))
     pairs = q.join(found.distinct(), own[0]).join(p.drop("__same"), their[0])
     pairs = pairs.filter((F.col("q_other") != F.col("p_other")) & (F.col("q_package_name") != F.col("p_package_name")))

@@ -54,6 +54,35 @@ def test_names_within_some_edits_are_found_once(spark, most):
     assert sorted((r.a, r.b) for r in edits.names_near(*twice, "a", "b", most).collect()) == want
 
 
+@pytest.mark.parametrize("short", [0, 3, 9])
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_names_that_begin_and_end_alike_are_joined_on_the_rest(spark, most, short):
+    names = sorted({f"the-same-{n}-end" for n in odd_names(most + 7, 60)[:60]} | {"the-same--end", "the-same-end"} | {f"the-same-{i}-end" for i in range(90, 130)})
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{c} string") for c in "ab")
+    want = [(a, b) for a in names for b in names if abs(len(a) - len(b)) <= most and apart(a, b, most) <= most]
+    assert sorted(map(tuple, edits.names_near(left, right, "a", "b", most, short=short).collect())) == want
+    x, _ = edits._stripped(left, right, "a", "b", [])
+    assert {r.a: r["__s"] for r in x.collect()} == {n: n.removeprefix("the-same-").removesuffix("end") if n != "the-same-end" else "" for n in names}
+
+
+def test_rows_made_of_names_arent_broadcast(spark):
+    """Spark counts a table that explodes by what it was before."""
+    names = odd_names(1, 50)
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{c} string") for c in "ab")
+    plan = edits.names_near(left, right, "a", "b", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Broadcast" not in plan
+
+
+def test_second_vectors_are_looked_at_in_the_same_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2).tolist(), rng.normal(size=3).tolist() if i % 9 else None, i % 2) for i in range(120)] + [(500, [1.0, 0.0], [1.0, 2.0], 0), (501, [1.0, 0.0], [0.0, 0.0, 0.0], 0)]
+    side = lambda c: spark.createDataFrame(rows, f"{c} long, v array<double>, w array<double>, k int")
+    first, second = plain_over([r[:2] + r[3:] for r in rows], [r[:2] + r[3:] for r in rows], 0.6, True), plain_over([(r[0], *r[2:]) for r in rows], [(r[0], *r[2:]) for r in rows], 0.5, True)
+    for direct in (0, 10**9):
+        got = angles.cosine_over(side("a"), side("b"), 0.6, ["k"], cell=20, rows=30, direct=direct, also=0.5).collect()
+        assert Counter((r.a, r.b) for r in got) == Counter(first & second) and len(got) > 100
+
+
 def test_a_long_name_makes_no_more_rows_than_a_short_one(spark):
     df = spark.createDataFrame([("abcdefghij",), ("a" * 20_000,)], "n string").select(F.size(edits.probes(F.col("n"), 2)).alias("p"), F.size(edits.segments(F.col("n"), 2)).alias("s"))
     assert {tuple(r) for r in df.collect()} == {(31, 3)}
