@@ -160,3 +160,11 @@ def test_an_unknown_registry_has_no_neighbours(spark):
 
     rows = spark.createDataFrame([("lodash", 9e6), ("lodahs", 1.0)], "package_name string, popularity double")
     assert neighbours(rows, rows, "npm").count() and not neighbours(rows, rows, "nowhere").count()
+
+
+def test_names_of_a_batch_are_compared_once_each(spark):
+    """Rows with the same name don't each make rows of its parts."""
+    new = spark.range(300).select("id", F.when(F.col("id") % 2 == 0, "Lodahs").otherwise("reakt").alias("package_name"))
+    found = arrivals.confusable(new, spark.createDataFrame([("lodash",), ("react",), ("LODAHS",)], "package_name string"))
+    assert sorted(map(tuple, found.select("id", "target", "edits").collect())) == [(i, "react", 1) if i % 2 else (i, "lodash", 2) for i in range(300)]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
