@@ -148,6 +148,50 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], choose: Callable
     return both.mapInPandas(run, spec)
 
 
+def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame, rows: int = 4 * ROWS) -> DataFrame:
+    """(a, b, similarity) of given pairs (a, b), 0 where a vector is null, zero, not finite or of another length.
+
+    ``left`` has a and v, ``right`` b and v; each row of an id gives one. Ids
+    are dealt to blocks by a hash; vectors go once to each block of the other
+    side, not to each pair.
+    """
+    blocks = [max(1, -(-df.count() // rows)) for df in (left, right)]
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    types = {"a": left.schema["a"].dataType, "b": right.schema["b"].dataType, "v": left.schema["v"].dataType}
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    both = left.select(at("a", blocks[0]).alias("x"), each(blocks[1]).alias("y"), F.lit(0).alias("side"), "a", none("b"), "v")
+    both = both.unionByName(right.select(each(blocks[0]).alias("x"), at("b", blocks[1]).alias("y"), F.lit(1).alias("side"), none("a"), "b", F.col("v").cast(types["v"]).alias("v")))
+    both = both.unionByName(pairs.select(at("a", blocks[0]).alias("x"), at("b", blocks[1]).alias("y"), F.lit(2).alias("side"), "a", "b", none("v")))
+    both = both.repartition(max(1, min(TASKS, blocks[0] * blocks[1])), "x", "y").sortWithinPartitions("x", "y", "side")
+    spec = T.StructType([left.schema["a"], right.schema["b"], T.StructField("similarity", T.DoubleType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, made = None, ([], []), None
+        for f in frames:
+            for now, part in f.groupby(["x", "y"], sort=False):
+                if now != key:
+                    key, held, made = now, ([], []), None
+                for side in (0, 1):
+                    some = part[part["side"] == side]
+                    if len(some):
+                        held[side].append(some)
+                asked = part[part["side"] == 2]
+                if not len(asked) or not all(held):
+                    continue
+                if made is None:
+                    made = [pd.concat(h) for h in held]
+                    ids = [pd.DataFrame({c: m[c].to_numpy(), f"at_{c}": np.arange(len(m))}) for c, m in zip("ab", made)]
+                    (u, n), (w, m) = (unit(x["v"].to_list()) for x in made)
+                    dim = min(u.shape[1], w.shape[1])
+                found = asked[["a", "b"]].merge(ids[0], on="a").merge(ids[1], on="b")
+                i, j = found["at_a"].to_numpy(), found["at_b"].to_numpy()
+                s = np.where(n[i] == m[j], np.einsum("ij,ij->i", u[i, :dim], w[j, :dim]), 0.0)
+                yield found[["a", "b"]].assign(similarity=s)
+
+    return both.mapInPandas(run, spec)
+
+
 def cosine_over(left: DataFrame, right: DataFrame, over: float, on: Sequence[str] = (), references: int = REFERENCES, cell: int = CELL, rows: int = ROWS, direct: int = DIRECT, also: float | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs, equal in ``on``, whose vectors' cosine is over ``over``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from namewarden.config import AUTHOR_OVER, FLAT_LIMIT, GROUP_EDITS, KEPT, LEAST_SIMILARITY, NEAR_EDITS, PART_OVER, VECTOR_OVER
 from namewarden.functions.edit import osa_col
 from namewarden.functions.similarity import cosine, greatest_number, six, suspicious_namespace
-from namewarden.operators.angles import SLACK, cosine_over
+from namewarden.operators.angles import SLACK, cosine_of, cosine_over
 from namewarden.operators.edits import names_near
 from namewarden.operators.popular import low_is_popular
 
@@ -33,6 +33,13 @@ def within_two_edits(left: DataFrame, right: DataFrame, a: str, b: str) -> DataF
     return left.join(pairs, F.lower(left[a]) == F.col("__a")).join(right, F.lower(right[b]) == F.col("__b")).drop("__a", "__b")
 
 
+def _first_by_edits(names: DataFrame, limit: int) -> DataFrame:
+    """Pairs that can be neighbours and of which under ``limit`` of the query have fewer edits; the others aren't kept whatever their vectors."""
+    pairs = names.withColumn("__edits", F.levenshtein(F.lower("query"), F.lower("package_name")))
+    pairs = pairs.filter((F.col("__edits") > 0) & (F.col("__edits") < most_edits(F.col("query"))))
+    return pairs.withColumn("__place", F.rank().over(Window.partitionBy("query").orderBy("__edits"))).filter(F.col("__place") <= limit).drop("__edits", "__place")
+
+
 def flat(queries: DataFrame, popular: DataFrame, limit: int = FLAT_LIMIT, vector_over: float | None = VECTOR_OVER) -> DataFrame:
     """(query, package_name, edits, vector_similarity, place): neighbours of names without namespaces.
 
@@ -43,13 +50,14 @@ def flat(queries: DataFrame, popular: DataFrame, limit: int = FLAT_LIMIT, vector
     """
     q = queries.select(F.col("package_name").alias("query"), *([F.col("embedding").alias("__v")] if vector_over is not None else []))
     p = popular.select("package_name", *(["embedding"] if vector_over is not None else []))
-    names = within_two_edits(q.select("query").distinct(), p.select("package_name").distinct(), "query", "package_name")
     if vector_over is not None:
         p = p.filter(F.col("embedding").isNotNull())
-        pairs = cosine_over(q.select(F.col("query").alias("a"), F.col("__v").alias("v")), p.select(F.col("package_name").alias("b"), F.col("embedding").alias("v")), vector_over)
-        pairs = pairs.select(F.col("a").alias("query"), F.col("b").alias("package_name"), F.col("similarity").alias("vector_similarity"))
-        near = q.join(names, "query").join(p, "package_name").withColumn("vector_similarity", cosine(F.col("__v"), F.col("embedding")))
-        pairs = pairs.union(near.select(*pairs.columns)).groupBy("query", "package_name").agg(F.max("vector_similarity").alias("vector_similarity"))
+    names = within_two_edits(q.select("query").distinct(), p.select("package_name").distinct(), "query", "package_name")
+    if vector_over is not None:
+        left, right = q.select(F.col("query").alias("a"), F.col("__v").alias("v")), p.select(F.col("package_name").alias("b"), F.col("embedding").alias("v"))
+        near = cosine_of(_first_by_edits(names, limit).select(F.col("query").alias("a"), F.col("package_name").alias("b")), left, right)
+        pairs = cosine_over(left, right, vector_over).select("a", "b", "similarity").union(near).toDF("query", "package_name", "vector_similarity")
+        pairs = pairs.groupBy("query", "package_name").agg(F.max("vector_similarity").alias("vector_similarity"))
     else:
         pairs = names.withColumn("vector_similarity", F.lit(None).cast("double"))
     pairs = pairs.withColumn("edits", F.levenshtein(F.lower("query"), F.lower("package_name")))

@@ -83,6 +83,30 @@ def test_second_vectors_are_looked_at_in_the_same_join(spark):
         assert Counter((r.a, r.b) for r in got) == Counter(first & second) and len(got) > 100
 
 
+@pytest.mark.parametrize("rows", [20, 1000])
+def test_cosines_of_given_pairs(spark, rows):
+    given = [r[:2] for r in some_vectors(6, 70, 4, 5)] + [("v1", [1.0, 0.0, 0.0, 0.0])]
+    side = lambda c: spark.createDataFrame(given, f"{c} string, v array<double>").repartition(3)
+    ids = sorted({a for a, _ in given})
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i % 3 :: 3]]
+    got = angles.cosine_of(spark.createDataFrame(pairs, "a string, b string").repartition(4), side("a"), side("b"), rows).collect()
+    want = Counter()
+    for a, b in pairs:
+        for x in (v for i, v in given if i == a):
+            for y in (v for i, v in given if i == b):
+                known = x and y and len(x) == len(y) and None not in x + y
+                norm = np.linalg.norm(x) * np.linalg.norm(y) if known else 0.0
+                want[a, b, round(float(np.dot(x, y) / norm), 9) + 0.0 if norm > 0 else 0.0] += 1
+    assert Counter((r.a, r.b, round(r.similarity, 9) + 0.0) for r in got) == want
+
+
+def test_only_pairs_that_can_be_kept_are_given_vectors(spark):
+    pairs = [("abcdefgh", f"abcdefg{c}") for c in "ijklm"] + [("abcdefgh", f"abcdef{c}{c}") for c in "ijklm"] + [("abcdefgh", "ABCDEFGH"), ("ab", "ax")]
+    df = spark.createDataFrame(pairs, "query string, package_name string")
+    assert sorted(map(tuple, J._first_by_edits(df, 5).collect())) == sorted(pairs[:5])
+    assert sorted(map(tuple, J._first_by_edits(df, 6).collect())) == sorted(pairs[:10])
+
+
 def test_a_long_name_makes_no_more_rows_than_a_short_one(spark):
     df = spark.createDataFrame([("abcdefghij",), ("a" * 20_000,)], "n string").select(F.size(edits.probes(F.col("n"), 2)).alias("p"), F.size(edits.segments(F.col("n"), 2)).alias("s"))
     assert {tuple(r) for r in df.collect()} == {(31, 3)}
