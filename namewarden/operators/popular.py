@@ -47,10 +47,20 @@ def more_popular(own: Column, other: Column, registry: str) -> Column:
     return (own < 10000) & (other >= 10 * own)
 
 
-def narrowed(queries: DataFrame, listed: DataFrame, registry: str) -> DataFrame:
-    """(query, package_name, popularity): the targets of queries that are popular themselves."""
+#: Rows of either side that a task compares, and most parts of a side.
+ROWS, PARTS = 4096, 140
+
+
+def narrowed(queries: DataFrame, listed: DataFrame, registry: str, rows: int = ROWS) -> DataFrame:
+    """(query, package_name, popularity): the targets of queries that are popular themselves.
+
+    Their number grows with the square of the rows; each part of the queries
+    meets each part of the list in a task of its own, so tasks don't grow.
+    """
     own = queries.select(F.col("package_name").alias("query")).join(listed.select(F.col("package_name").alias("query"), F.col("popularity").alias("own")), "query")
-    return own.join(listed, more_popular(F.col("own"), F.col("popularity"), registry)).select("query", "package_name", "popularity")
+    part = lambda df: df.repartition(max(1, min(PARTS, -(-df.count() // rows))))
+    targets = part(listed.select("package_name", "popularity")).hint("shuffle_replicate_nl")
+    return part(own).join(targets, more_popular(F.col("own"), F.col("popularity"), registry)).select("query", "package_name", "popularity")
 
 
 def far_more_popular(pairs: DataFrame, listed: DataFrame, registry: str) -> DataFrame:

@@ -14,6 +14,7 @@ from namewarden.functions import similarity as S
 from namewarden.operators import benignity as B
 from namewarden.operators import evaluate as E
 from namewarden.operators import neighbors as J
+from namewarden.operators import popular as P
 from namewarden.plans import detect as D
 from namewarden.sources import readers
 from namewarden.streaming import arrivals
@@ -168,3 +169,11 @@ def test_names_of_a_batch_are_compared_once_each(spark):
     found = arrivals.confusable(new, spark.createDataFrame([("lodash",), ("react",), ("LODAHS",)], "package_name string"))
     assert sorted(map(tuple, found.select("id", "target", "edits").collect())) == [(i, "react", 1) if i % 2 else (i, "lodash", 2) for i in range(300)]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_targets_are_compared_part_by_part(spark):
+    rows = spark.range(90).select(F.concat(F.lit("n"), "id").alias("package_name"), (F.col("id") * F.col("id")).cast("double").alias("popularity"))
+    found = P.narrowed(rows.select("package_name"), rows, "npm", rows=20)
+    want = [(f"n{i}", f"n{j}", float(j * j)) for i in range(90) for j in range(90) if i * i < 10000 and j * j >= 10 * i * i]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() == 25
