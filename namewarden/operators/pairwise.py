@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vectors of a block, rows of a block that are multiplied at once, and most tasks, of a cell of two blocks each up to that.
-BLOCK, ROWS, TASKS = 4096, 256, 20_000
+#: Most vectors of a block, pairs that are looked at at once, and most tasks, of a cell of two blocks each up to that.
+BLOCK, TILE, TASKS = 16_384, 1_000_000, 20_000
+#: Blocks of a table that has 1024 vectors for each; tasks that give counts by level before a task takes more than a cell.
+SPREAD, TALLIES = 8, 256
 
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -32,25 +34,73 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0), sizes
 
 
-def edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of every a and every b, names or numbers in decimal, in code points."""
-    x, y = ([str(i).encode("utf-32-le") for i in z.tolist()] for z in (a, b))
-    out = np.zeros((len(x), len(y)), np.int32)
-    kind = np.int8 if max(map(len, [*x, *y]), default=0) < 4 * 127 else np.int32
-    for n in {len(s) // 4 for s in x}:
-        at_x = [i for i, s in enumerate(x) if len(s) == 4 * n]
-        cx = np.frombuffer(b"".join(x[i] for i in at_x), np.int32).reshape(len(at_x), n)
-        for m in {len(s) // 4 for s in y}:
-            at_y = [i for i, s in enumerate(y) if len(s) == 4 * m]
-            cy = np.frombuffer(b"".join(y[i] for i in at_y), np.int32).reshape(len(at_y), m)
-            last = [np.full((len(at_x), len(at_y)), j, kind) for j in range(m + 1)]
+def _stretch(at: np.ndarray) -> np.ndarray | slice:
+    """A slice for numbers that follow one another."""
+    return slice(at[0], at[-1] + 1) if at[-1] - at[0] + 1 == len(at) else at
+
+
+def _taken(x: np.ndarray, at: np.ndarray | slice, axis: int) -> np.ndarray:
+    return x if isinstance(at, slice) else x.take(at, axis)
+
+
+class Spelled:
+    """Names or numbers in decimal, by length: what is written before each letter is kept once for all that begin so."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        names = [str(i).encode("utf-32-le") for i in ids.tolist()]
+        self.count, self.longest, self.of = len(names), max(map(len, names), default=0) // 4, {}
+        sizes = np.array([len(s) // 4 for s in names], np.int64)
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            letters = np.frombuffer(b"".join(names[i] for i in at), np.int32).reshape(len(at), n)
+            group, levels = np.zeros(len(at), np.int64), []
             for i in range(n):
-                row = [np.full_like(last[0], i + 1)]
-                for j in range(m):
-                    other = (cx[:, i, None] != cy[None, :, j]).view(np.int8)
-                    row.append(np.minimum(np.minimum(last[j + 1], row[j]) + kind(1), last[j] + other))
+                # a beginning is one letter shorter and a letter
+                kinds, first, now = np.unique(group * 0x110000 + letters[:, i], return_index=True, return_inverse=True)
+                levels.append((group[first], letters[first, i]))
+                group = now.reshape(-1)
+            everyone = n > 0 and np.array_equal(group, np.arange(len(at)))
+            self.of[n] = _stretch(at), slice(None) if everyone else group, levels
+
+
+def edits(a: np.ndarray | Spelled, b: np.ndarray | Spelled) -> np.ndarray:
+    """Levenshtein distances of every a and every b, names or numbers in decimal, in code points."""
+    x, y = (z if isinstance(z, Spelled) else Spelled(z) for z in (a, b))
+    kind = np.int8 if max(x.longest, y.longest) < 127 else np.int32
+    out = np.zeros((x.count, y.count), kind)
+    for at_x, end_x, levels_x in x.of.values():
+        for at_y, end_y, levels_y in y.of.values():
+            last = [np.full((1, 1 if j == 0 else len(levels_y[j - 1][0])), j, kind) for j in range(len(levels_y) + 1)]
+            for i, (up, cx) in enumerate(levels_x, 1):
+                row = [np.full((len(up), 1), i, kind)]
+                for j, (back, cy) in enumerate(levels_y, 1):
+                    near = last[j - 1].take(up, 0).take(back, 1)
+                    near += (cx[:, None] != cy[None, :]).view(np.int8)
+                    less = np.minimum(last[j].take(up, 0), row[j - 1].take(back, 1))
+                    less += kind(1)
+                    row.append(np.minimum(less, near, out=near))
                 last = row
-            out[np.ix_(at_x, at_y)] = last[m]
+            found = _taken(_taken(last[-1], end_x, 0), end_y, 1)
+            if isinstance(at_x, slice) and isinstance(at_y, slice):
+                out[at_x, at_y] = found
+            else:
+                every = [np.arange(n)[at] for n, at in ((x.count, at_x), (y.count, at_y))]
+                out[np.ix_(*every)] = found
+    return out
+
+
+def least_cosines(e: int, threshold: float, most: float) -> list[float]:
+    """For each weight k / 10 the least cosine at which names of ``e`` edits are a hit: the score never falls with the cosine."""
+    out = []
+    for k in range(11):
+        hit = lambda s: s * (k * 0.1) + (1 - e / most) * (1 - k * 0.1) >= threshold - 1e-12  # noqa: B023, E731
+        low, high = -2.0, 2.0  # roundings included
+        if hit(low) or not hit(high):
+            out.append(-np.inf if hit(low) else np.inf)
+            continue
+        while low < (middle := (low + high) / 2) < high:
+            low, high = (low, middle) if hit(middle) else (middle, high)
+        out.append(high)
     return out
 
 
@@ -59,14 +109,19 @@ def _id_type(vectors: DataFrame, id_col: str) -> str:
     return "long" if isinstance(vectors.schema[id_col].dataType, T.IntegralType) else "string"
 
 
-def _cells(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, block: int) -> DataFrame:
-    """Every vector once for each two blocks that it is in one of, the rows of two blocks together in a partition."""
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast(_id_type(vectors, id_col)).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("double").alias("label"))
-    blocks = max(1, -(-rows.count() // block))
+def _cells(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, block: int, few: bool = False) -> DataFrame:
+    """Every vector once for each two blocks that it is in one of, the rows of two blocks together in a partition; ``few`` puts up to eight cells of many in one."""
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast(_id_type(vectors, id_col)).alias("id"), v.alias("v"), F.col(label_col).cast("double").alias("label"))
+    n = rows.count()
+    blocks = max(1, -(-n // block), min(SPREAD, n // 1024))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     rows = rows.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "v", "label")
-    return rows.repartition(max(1, min(TASKS, blocks * (blocks + 1) // 2)), "low", "high").sortWithinPartitions("low", "high", "block")
+    cells = blocks * (blocks + 1) // 2
+    tasks = min(cells, max(TALLIES, cells // 8)) if few else cells
+    return rows.repartition(max(1, min(TASKS, tasks)), "low", "high").sortWithinPartitions("low", "high", "block")
 
 
 def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,18 +137,20 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _tiles(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[tuple]:
-    """(ids of x, ids of y, labels of x, labels of y, cosines, whether the pair counts) for stretches of one block's rows and all of another's."""
+def _tiles(frames: Iterator[pd.DataFrame], most: int = TILE) -> Iterator[tuple]:
+    """(ids of x, ids of y, labels of x, labels of y, cosines, whether the pair counts) for stretches of one block's rows and all of another's, ordered by id; ids of y stay the same object."""
     for f in _groups(frames):
+        f = f.sort_values("id")
         low, high = f.low.iat[0], f.high.iat[0]
         (u, size), ids, labels, block = unit(f.v.tolist()), (f.id.to_numpy(str) if f.id.dtype == object or str(f.id.dtype).startswith("str") else f.id.to_numpy(np.int64)), f.label.to_numpy(np.float64), f.block.to_numpy()
         x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        ys, rows = ids[y], max(1, most // max(1, len(y)))
         for at in range(0, len(x), rows):
             i = x[at : at + rows]
             s = u[i] @ u[y].T
             s[size[i][:, None] != size[y][None, :]] = 0
-            once = ids[i][:, None] < ids[y][None, :] if low == high else np.ones(s.shape, bool)
-            yield ids[i], ids[y], labels[i], labels[y], s, once
+            once = ids[i][:, None] < ys[None, :] if low == high else np.ones(s.shape, bool)
+            yield ids[i], ys, labels[i], labels[y], s, once
 
 
 def pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", below: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -103,7 +160,7 @@ def pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """
 
     def run(frames):
-        for xs, ys, lx, ly, s, once in _tiles(frames, ROWS):
+        for xs, ys, lx, ly, s, once in _tiles(frames):
             i, j = np.nonzero(once if below is None else once & (s < below))
             a, b = xs[i], ys[j]
             same = pd.Series(lx[i] == ly[j], dtype=object).where(~(np.isnan(lx[i]) | np.isnan(ly[j])), None)
@@ -121,15 +178,19 @@ def counted(vectors: DataFrame, level: Callable, low: int, high: int, id_col: st
 
     def run(frames):
         total = np.zeros(2 * (high - low + 1), np.int64)
-        for _, _, lx, ly, s, once in _tiles(frames, ROWS):
+        for _, _, lx, ly, s, once in _tiles(frames):
             known = once & ~(np.isnan(lx)[:, None] | np.isnan(ly)[None, :])
             at = (np.clip(level(s), low, high) - low).astype(np.int64) * 2 + (lx[:, None] == ly[None, :])
-            total += np.bincount(at[known], minlength=len(total))
+            at = at[known]
+            if len(at):
+                first = at.min()
+                counts = np.bincount(at - first)
+                total[first : first + len(counts)] += counts
         n, p = total.reshape(-1, 2).T
         at = np.flatnonzero(n + p)
         yield pd.DataFrame({"level": at + low, "p": p[at], "n": n[at]})
 
-    few = _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "level long, p long, n long")
+    few = _cells(vectors, id_col, vector_col, label_col, block, few=True).mapInPandas(run, "level long, p long, n long")
     return few.groupBy("level").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
@@ -137,14 +198,22 @@ def weights(vectors: DataFrame, threshold: float, most: float = 5.0, id_col: str
     """(k, tp, fp, tn, fn) over all pairs at each weight k / 10 of the cosine, the rest that of 1 - edits of the ids, names or numbers, / ``most``."""
 
     def run(frames):
-        total = np.zeros((11, 4), np.int64)
-        for xs, ys, lx, ly, s, once in _tiles(frames, ROWS):
+        total, least, asked, spelled = np.zeros((11, 4), np.int64), {}, None, None
+        for xs, ys, lx, ly, s, once in _tiles(frames):
+            if ys is not asked:
+                asked, spelled = ys, Spelled(ys)
             known = once & ~(np.isnan(lx)[:, None] | np.isnan(ly)[None, :])
-            same = (lx[:, None] == ly[None, :])[known]
-            s, e = s[known], 1 - edits(xs, ys)[known] / most
-            for k in range(11):
-                hit = s * (k * 0.1) + e * (1 - k * 0.1) >= threshold - 1e-12
-                total[k] += np.bincount(2 * same + hit, minlength=4)
+            same, e = lx[:, None] == ly[None, :], edits(Spelled(xs), spelled)
+            for d in range(int(e.min(initial=0)), int(e.max(initial=0)) + 1):
+                at = known & (e == d)
+                if not at.any():
+                    continue
+                if d not in least:
+                    least[d] = least_cosines(d, threshold, most)
+                for j, of in enumerate((s[at & ~same], s[at & same])):
+                    hits = np.array([np.count_nonzero(of >= x) for x in least[d]])
+                    total[:, 2 * j + 1] += hits
+                    total[:, 2 * j] += len(of) - hits
         yield pd.DataFrame({"k": range(11), "tp": total[:, 3], "fp": total[:, 1], "tn": total[:, 0], "fn": total[:, 2]})
 
     few = _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "k int, tp long, fp long, tn long, fn long")

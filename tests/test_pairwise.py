@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from namewarden.operators import evaluate, pairwise
 
@@ -83,3 +84,33 @@ def test_names_are_ids_too(spark, block):
     for r in pairwise.weights(df, 0.3, 140.0, block=block).collect():
         hits = Counter((k == m, want[a, b] * (r.k * 0.1) + (1 - plain_edits(a, b) / 140) * (1 - r.k * 0.1) >= 0.3 - 1e-12) for i, (a, _, k) in enumerate(rows) for b, _, m in rows[i + 1 :])
         assert (r.tp, r.fp, r.tn, r.fn) == (hits[True, True], hits[False, True], hits[False, False], hits[True, False])
+
+
+def test_edits_of_names_that_begin_alike():
+    rng = np.random.default_rng(8)
+    names = np.array(["".join(rng.choice(list("ab中"), size=rng.integers(0, 7))) for _ in range(90)] + ["", "x" * 140])
+    for a, b in ((names, names[::-1]), (np.arange(7, 140), np.arange(95, 110)), (names[:0], names), (np.array([-5, 40, 1234]), np.array([12, 5]))):
+        assert pairwise.edits(a, b).tolist() == [[plain_edits(str(x), str(y)) for y in b.tolist()] for x in a.tolist()]
+    # a beginning that names share is worked out once
+    levels = pairwise.Spelled(np.arange(10_000, 20_000)).of[5][2]
+    assert [len(up) for up, _ in levels] == [1, 10, 100, 1000, 10_000]
+
+
+def test_least_cosines_are_exact():
+    for e in range(8):
+        for k, x in enumerate(pairwise.least_cosines(e, 0.3, 5.0)):
+            hit = lambda s: s * (k * 0.1) + (1 - e / 5.0) * (1 - k * 0.1) >= 0.3 - 1e-12  # noqa: B023, E731
+            if np.isfinite(x):
+                assert hit(x) and not hit(np.nextafter(x, -9))
+            else:
+                assert hit(-1.5) == hit(1.5) == (x < 0)
+
+
+def test_vectors_go_to_few_blocks_as_they_are(spark):
+    """Floats stay floats, and a row goes once to each block of many rows."""
+    df = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    cells = pairwise._cells(df, "vec_id", "embedding", "label", pairwise.BLOCK)
+    assert cells.schema["v"].dataType.elementType.simpleString() == "float"
+    assert cells.count() == 20_000 * pairwise.SPREAD
+    many = pairwise._cells(df, "vec_id", "embedding", "label", 200)
+    assert many.rdd.getNumPartitions() == 5050 and pairwise._cells(df, "vec_id", "embedding", "label", 200, few=True).rdd.getNumPartitions() == 631
