@@ -148,7 +148,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], choose: Callable
     return both.mapInPandas(run, spec)
 
 
-def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame, rows: int = 4 * ROWS) -> DataFrame:
+def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity) of given pairs (a, b), 0 where a vector is null, zero, not finite or of another length.
 
     ``left`` has a and v, ``right`` b and v; each row of an id gives one. Ids
