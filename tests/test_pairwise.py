@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namewarden.operators import evaluate, pairwise
+from namewarden.queries import sim_hybrid
 
 
 def plain_edits(a, b):
@@ -114,3 +115,33 @@ def test_vectors_go_to_few_blocks_as_they_are(spark):
     assert cells.count() == 20_000 * pairwise.SPREAD
     many = pairwise._cells(df, "vec_id", "embedding", "label", 200)
     assert many.rdd.getNumPartitions() == 5050 and pairwise._cells(df, "vec_id", "embedding", "label", 200, few=True).rdd.getNumPartitions() == 631
+
+
+@pytest.mark.parametrize(("block", "most"), [(10, 8_000_000), (5000, 8_000_000), (5000, 700), (70, 100)])
+def test_pairs_with_edits_come_by_ranges_of_cosines(spark, vectors, block, most):
+    rows, df = vectors
+    got = pairwise.with_edits(df, block=block, most=most).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r.a, r.b, round(r.s, 9) + 0.0, r.edits) for r in got) == Counter((a, b, round(s, 9) + 0.0, plain_edits(str(a), str(b))) for a, b, s, _ in plain(rows))
+    if block == 5000:
+        order = [(round(r.s, 6), r.edits) for r in got]
+        assert len({r.task for r in got}) == 1 and order == sorted(order)
+
+
+@pytest.mark.parametrize("most", [50, 8_000_000])
+def test_pairs_of_copies_with_edits(spark, most):
+    df = spark.createDataFrame([(f"é{i}" if i else "", [1.0, 2.0] if i < 60 else [-2.0, 1.0], None) for i in range(64)], "vec_id string, embedding array<double>, label int")
+    got = pairwise.with_edits(df, most=most).collect()
+    assert Counter((r.a, r.b) for r in got) == Counter({tuple(sorted((f"é{i}" if i else "", f"é{j}" if j else ""))): 1 for i in range(64) for j in range(i)})
+    assert all(r.edits == plain_edits(r.a, r.b) for r in got)
+    assert Counter(round(r.s, 9) for r in got) == {1.0: 60 * 59 // 2 + 6, 0.0: 240}
+    assert pairwise.with_edits(df.limit(0)).collect() == [] and pairwise.with_edits(df.limit(1)).collect() == []
+
+
+def test_files_of_hybrid_scores_are_small(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).astype("float32").tolist(), 1) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    sim_hybrid(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1_999_000
+    # 24.7 bytes a row in the order of ids
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 16 * 1_999_000
