@@ -8,6 +8,8 @@ grows with the square of the vectors.
 
 from __future__ import annotations
 
+import io
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 BLOCK, TILE, TASKS = 16_384, 1_000_000, 20_000
 #: Pairs that are put in order at once, about, and rows of a batch of them.
 ORDERED, BATCH = 8_000_000, 250_000
+#: Vectors by which found pairs are dealt to ranges, rows of a range, about, and found pairs that a task holds.
+SAMPLE, RANGE, FOUND = 2048, 2_000_000, 1_000_000
 #: Blocks of a table that has 1024 vectors for each; tasks that give counts by level before a task takes more than a cell.
 SPREAD, TALLIES = 8, 256
 
@@ -180,6 +184,77 @@ def pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "a {0}, b {0}, s double, same boolean".format(_id_type(vectors, id_col)))
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers of eight bytes, first bytes together, then second ones and so on, or of strings, compressed."""
+    out = io.BytesIO()
+    for x in columns:
+        np.save(out, x if x.dtype.kind == "U" else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T))
+    return zlib.compress(out.getbuffer(), 1)
+
+
+def _unpacked(packed: bytes, *kinds: type) -> list[np.ndarray]:
+    read = io.BytesIO(zlib.decompress(packed))
+    columns = [np.load(read) for _ in kinds]
+    return [x if x.dtype.kind == "U" else np.ascontiguousarray(x.T).view(kind).reshape(-1) for x, kind in zip(columns, kinds)]
+
+
+def _ends(vectors: DataFrame, id_col: str, vector_col: str, below: float, each: int) -> list[float]:
+    """Cosines under ``below`` that part its pairs into ranges of about ``each``, by those of a bounded sample."""
+    known = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    n = known.count()
+    u, size = unit([r.v for r in known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
+    s = u @ u.T
+    s[size[:, None] != size[None, :]] = 0
+    s = s[np.triu_indices(len(s), 1)]
+    hits = s[s < below]
+    parts = max(1 + int(len(hits) / max(1, len(s)) * n * (n - 1) / 2 / each), min(16, n // 4096))
+    # what no sampled pair tells goes by even steps
+    return np.quantile(np.concatenate([hits, np.linspace(-1, below, 64)]), np.arange(1, min(TASKS, parts)) / min(TASKS, parts)).tolist()
+
+
+def ordered_pairs(vectors: DataFrame, below: float, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK, each: int = RANGE) -> DataFrame:
+    """(a, b, s) for all pairs a < b of ids of a cosine under ``below``, ordered by s, a and b.
+
+    Cosines are worked out once. Pairs are shuffled to ranges of cosines,
+    packed: those of two blocks that go to a range are one row. A range's rows
+    are then sorted by Spark, about ``each`` of them.
+    """
+    ends, kind = _ends(vectors, id_col, vector_col, below, each), _id_type(vectors, id_col)
+    whole = kind == "long"
+
+    def packed(held):
+        x, y, s = (np.concatenate(c) for c in zip(*held))
+        at = np.searchsorted(ends, s, "right")
+        order = np.argsort(at, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            # ids of x ascend, so that the steps between them are small
+            yield at[some[0]], _packed(np.diff(x[some], prepend=np.int64(0)) if whole else x[some], y[some], s[some])
+
+    def run(frames):
+        for f in _groups(frames):
+            held, n = [], 0
+            for xs, ys, _, _, s, once in _stretches(_cell(f), TILE):
+                i, j = np.nonzero(once & (s < below))
+                if len(i):
+                    held.append((xs[i], ys[j], s[i, j]))
+                n += len(i)
+                if n >= FOUND:
+                    yield pd.DataFrame(packed(held), columns=["at", "packed"])
+                    held, n = [], 0
+            if held:
+                yield pd.DataFrame(packed(held), columns=["at", "packed"])
+
+    def rows(frames):
+        for f in frames:
+            for p in f.packed:
+                x, y, s = _unpacked(p, np.int64, np.int64, np.float64)
+                x = np.cumsum(x) if whole else x
+                yield pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "s": s})
+
+    found = _cells(vectors, id_col, vector_col, label_col, block).mapInPandas(run, "at int, packed binary")
+    return found.repartitionById(len(ends) + 1, F.col("at")).mapInPandas(rows, f"a {kind}, b {kind}, s double").sortWithinPartitions("s", "a", "b")
+
+
 def _ranges(cell: tuple, most: int) -> list[tuple[float, float]]:
     """Ranges of cosines, from the first up to the second, that hold about ``most`` pairs of a cell each, by some of its rows."""
     one, (xs, lx, ux, dx), y = cell

@@ -494,7 +494,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT a, b, round(s, 6) AS s FROM vp WHERE s < -0.3 ORDER BY vp.s")
 def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.pairs(table(spark, sf_dir, "embeddings"), below=-0.3).orderBy("s").select("a", "b", F.round("s", 6).alias("s"))
+    return pairwise.ordered_pairs(table(spark, sf_dir, "embeddings"), -0.3).select("a", "b", F.round("s", 6).alias("s"))
 
 
 # tables

@@ -145,3 +145,32 @@ def test_files_of_hybrid_scores_are_small(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1_999_000
     # 24.7 bytes a row in the order of ids
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 16 * 1_999_000
+
+
+@pytest.mark.parametrize(("block", "each"), [(10, 300), (5000, 300), (5000, 2_000_000)])
+def test_pairs_under_a_cosine_in_order(spark, vectors, block, each):
+    rows, df = vectors
+    want = sorted((s, a, b) for a, b, s, _ in plain(rows) if s < -0.3)
+    found = pairwise.ordered_pairs(df, -0.3, block=block, each=each)
+    assert (found.rdd.getNumPartitions() > 4) == (each == 300)
+    got = [(r.s, r.a, r.b) for r in found.collect()]
+    assert got == sorted(got)
+    assert Counter((round(s, 9), a, b) for s, a, b in got) == Counter((round(s, 9), a, b) for s, a, b in want)
+    assert pairwise.ordered_pairs(df.limit(0), -0.3).collect() == []
+
+
+def test_copies_under_a_cosine_are_ordered_by_name(spark):
+    df = spark.createDataFrame([(f"é{i}" if i else "", [1.0, 2.0] if i % 2 else [-1.0, -1.9], None) for i in range(120)], "vec_id string, embedding array<double>, label int")
+    got = [(r.a, r.b) for r in pairwise.ordered_pairs(df, -0.3, block=50, each=100).collect()]
+    names = [(f"é{i}" if i else "", i % 2) for i in range(120)]
+    assert got == sorted((a, b) for a, m in names for b, n in names if a < b and m != n)
+
+
+def test_found_pairs_take_few_bytes_to_shuffle():
+    rng = np.random.default_rng(6)
+    x, y, s = np.sort(rng.integers(0, 100_000, 20_000)), rng.integers(0, 100_000, 20_000), -0.3 - rng.random(20_000) / 10
+    packed = pairwise._packed(np.diff(x, prepend=0), y, s)
+    # 16 bytes, compressed, as rows of their own
+    assert len(packed) < 10.5 * len(x)
+    back = pairwise._unpacked(packed, np.int64, np.int64, np.float64)
+    assert [np.cumsum(back[0]).tolist(), back[1].tolist(), back[2].tolist()] == [x.tolist(), y.tolist(), s.tolist()]
