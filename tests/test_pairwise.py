@@ -2,12 +2,15 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from namewarden.functions import similarity as S
 from namewarden.operators import evaluate, pairwise
-from namewarden.queries import sim_hybrid
+from namewarden.queries import HYBRID, sim_hybrid
 
 
 def plain_edits(a, b):
@@ -147,6 +150,51 @@ def test_files_of_hybrid_scores_are_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 16 * 1_999_000
 
 
+def test_edits_are_worked_out_once_for_all_ranges(monkeypatch):
+    rng = np.random.default_rng(9)
+    cell = False, *((np.sort(rng.choice(range(k, 9000, 2), 300, replace=False)), np.zeros(300), pairwise.unit(list(rng.normal(size=(300, 8))))[0], np.full(300, 8)) for k in (0, 1))
+    asked, plainly = [], pairwise.edits
+    monkeypatch.setattr(pairwise, "edits", lambda x, y: asked.append(x.count * y.count) or plainly(x, y))
+    a, b, s, e = (np.concatenate(c) for c in zip(*pairwise._in_order(cell, 7000)))
+    # 13 ranges, each of which had all pairs' edits before
+    assert len(pairwise._ranges(cell, 7000)) == 13 and sum(asked) == 90_000
+    assert len({*zip(a.tolist(), b.tolist())}) == 90_000 and (a < b).all()
+    first, second = np.where(a % 2, b, a), np.where(a % 2, a, b)
+    i, j = np.searchsorted(cell[1][0], first), np.searchsorted(cell[2][0], second)
+    assert np.allclose(s, (cell[1][2][i] * cell[2][2][j]).sum(axis=1)) and e.tolist() == plainly(cell[1][0], cell[2][0])[i, j].tolist()
+
+
+def test_pairs_are_ordered_by_keys():
+    rng = np.random.default_rng(10)
+    s, e = np.append(rng.choice([-1, 1], 998) * (1 - rng.random(998) * 2e-5), [1 + 4e-16, -1 - 4e-16]), rng.integers(0, 7, 1000).astype(np.int8)
+    for bits, most in ((12, 6), (38, 6), (41, 6)):
+        keys = np.sort(pairwise._keys(s, e, 5, bits, most))
+        at = (keys & ((1 << bits) - 1)) - 5
+        assert keys.min() >= 0 and sorted(at.tolist()) == list(range(1000))
+        of = [(x, y if bits < 41 else 0) for x, y in zip(np.rint(s[at] * 1e6).tolist(), e[at].tolist())]
+        assert of == sorted(of)
+
+
+def test_hybrid_scores_are_made_in_the_tasks(spark, vectors, tmp_path):
+    """As the columns' functions and SQL give them, but not row by row above the tasks."""
+    vectors[1].write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = sim_hybrid(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "round(" not in plan and "tanh(" not in plan
+    columns = pairwise.with_edits(vectors[1]).select("a", "b", F.round("s", 6), F.round(S.hybrid(F.col("edits") / 10, F.col("s")), 6), F.round(S.tanh_hybrid((F.col("s"), 0.4), (F.abs("s"), 0.6)), 6))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, columns.collect()))
+    rng = np.random.default_rng(11)
+    f = pd.DataFrame({"s": np.concatenate([rng.normal(size=5000) / 4, np.arange(-41, 42) / 2e6, [0.0, 1.0, -1.0]]), "e": rng.integers(0, 7, 5086).astype(np.int8)})
+    want = duckdb.sql("SELECT round(s, 6), round(0.5 * s + 0.5 * e / 10, 6), round(0.4 * tanh(2 * s) + 0.6 * tanh(2 * abs(s)), 6) FROM f").fetchall()
+    got = {name: of(f.s.to_numpy(), f.e.to_numpy()) for name, of in HYBRID.items()}
+    assert [*zip(*(x.tolist() for x in got.values()))] == want and not any((np.signbit(x) & (x == 0)).any() for x in got.values())
+
+
+def test_cells_with_edits_stay_small(spark):
+    df = spark.range(60_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    assert pairwise.with_edits(df).rdd.getNumPartitions() == 55
+
+
 @pytest.mark.parametrize(("block", "each"), [(10, 300), (5000, 300), (5000, 2_000_000)])
 def test_pairs_under_a_cosine_in_order(spark, vectors, block, each):
     rows, df = vectors
