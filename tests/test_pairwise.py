@@ -195,6 +195,15 @@ def test_cells_with_edits_stay_small(spark):
     assert pairwise.with_edits(df).rdd.getNumPartitions() == 55
 
 
+def test_a_task_has_one_cell(spark):
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    cells = pairwise._cells(df, "vec_id", "embedding", "label", 200).select(F.spark_partition_id().alias("task"), "low", "high").distinct().collect()
+    # by a hash 20 of 55 tasks or so had none, and some three or four
+    assert sorted(r.task for r in cells) == list(range(55))
+    few = pairwise._cells(df, "vec_id", "embedding", "label", 20, few=True).select(F.spark_partition_id().alias("task"), "low", "high").distinct().collect()
+    assert max(Counter(r.task for r in few).values()) == -(-5050 // 631)
+
+
 @pytest.mark.parametrize(("block", "each"), [(10, 300), (5000, 300), (5000, 2_000_000)])
 def test_pairs_under_a_cosine_in_order(spark, vectors, block, each):
     rows, df = vectors
